@@ -17,7 +17,7 @@ from ..session import ship
 #: Documents that a Python worker holds unpacked at once; a memory bound only, results don't depend on it.
 STEP = 256
 #: Entries after which a worker's cache of words starts anew; a memory bound only.
-CACHE = 400_000
+CACHE = 120_000
 #: ASCII white space of the contracts, as a Java pattern.
 SPACE = r"[\x20\x09-\x0D]+"
 MASK = (1 << 64) - 1

@@ -80,7 +80,7 @@ class Encoder:
             got = b"".join(map(self.piece, self.pattern.findall(word.lower())))
         else:
             got = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self.known) > CACHE:
+        if len(self.known) > 2 * CACHE:
             self.known.clear()
             self.known[""] = b""
         self.known[word] = got

@@ -55,15 +55,19 @@ class Vocabulary(dict):
 
     def reset(self) -> None:
         self.clear()
-        self.rows, self.marks = [(0, 0, 0)], [-1]
+        self.n, self.rows, self.marks = 1, np.zeros((1024, 3), np.int64), np.full(1024, -1)
 
     def __missing__(self, raw: bytes) -> int:
         word = raw.strip(EDGES)
         text = word.decode("utf-8", "ignore").lower()
         h = lambda s: xxhash.xxh3_64_intdigest(s) % (BUCKETS - 1) + 1
-        row = self[raw] = len(self.rows)
-        self.rows.append((h("w" + text), h("4" + text[:4]) if len(text) > 3 else 0, h("5" + text[:5]) if len(text) > 4 else 0) if text else (0, 0, 0))
-        self.marks.append(LANGUAGE_WORDS.get(text.encode(), -1))
+        row = self[raw] = self.n
+        if row == len(self.rows):
+            self.rows, self.marks = np.concatenate([self.rows, np.zeros_like(self.rows)]), np.concatenate([self.marks, np.full_like(self.marks, -1)])
+        if text:
+            self.rows[row] = h("w" + text), h("4" + text[:4]) if len(text) > 3 else 0, h("5" + text[:5]) if len(text) > 4 else 0
+            self.marks[row] = LANGUAGE_WORDS.get(text.encode(), -1)
+        self.n += 1
         return row
 
 
@@ -130,7 +134,7 @@ def train(samples: list[str], labels: list[int], seed: int = 7) -> Net:
     y = np.array(labels, np.float32)
     vocab = Vocabulary()
     docs = [list(map(vocab.__getitem__, t.encode().split())) for t in samples]
-    table, marks = np.array(vocab.rows, np.int64), np.array(vocab.marks)
+    table, marks = vocab.rows, vocab.marks
     emb = rng.normal(0, 0.05, (BUCKETS, DIM)).astype(np.float32)
     conv = [rng.normal(0, 0.3, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
     net = Net(emb, conv, np.zeros(FILTERS * len(WIDTHS), np.float32), rng.normal(0, 0.3, FILTERS * len(WIDTHS)).astype(np.float32), 0.0, np.zeros(N_LANG, np.float32))
@@ -224,8 +228,7 @@ def score_texts(net: Net, values: list[str]) -> np.ndarray:
         _VOCAB.reset()
     get = _VOCAB.__getitem__
     flat, starts = laid_out([list(map(get, t.encode().split())) for t in values])
-    rows, marks = np.array(_VOCAB.rows, np.int64), np.array(_VOCAB.marks)
-    z = net.logits(rows[flat], starts) - net.shift[languages(marks[flat], starts)]
+    z = net.logits(_VOCAB.rows[flat], starts) - net.shift[languages(_VOCAB.marks[flat], starts)]
     return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
 
 
