@@ -1,8 +1,223 @@
-"""The registered queries."""
+"""The registered queries, each with the SQL that DuckDB answers alike."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from ..operators import cbom, effort, risk, rules
+from ..operators import dims
+from . import synthetic
+
+join = lambda c: F.array_join(c, "|")
+
+
+def _entries(spark: SparkSession, sf: str) -> DataFrame:
+    return cbom.merge(cbom.classify(synthetic.findings(spark, sf)))
+
+
+def _scored(spark: SparkSession, sf: str, profile: str | None = "enterprise_default") -> DataFrame:
+    return risk.recommend(risk.score(risk.findings(cbom.bill(synthetic.findings(spark, sf))), profile))
+
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    return risk_bands(spark, sf)
+
+
+def classify_histogram(spark, sf):
+    return cbom.category_histogram(cbom.classify(synthetic.findings(spark, sf)))
+
+
+def exact_dedup(spark, sf):
+    df = synthetic.findings(spark, sf)
+    return cbom.exact_dedup(df.unionByName(df)).select("artifact_id", "file_path", "line_number", "artifact_type", "algorithm", "detection_method", "confidence")
+
+
+def cbom_merge(spark, sf):
+    return _entries(spark, sf).select("cbom_entry_id", "algorithm", "key_size", "cbom_category", "library", "occurrence_count", "max_confidence", F.size("files_affected").cast("long").alias("n_files"), F.get("files_affected", F.lit(0)).alias("first_file"), F.col("occurrences")[0].file_path.alias("first_path"))
+
+
+def cbom_summary(spark, sf):
+    return cbom.summary(cbom.attach_recommendations(_entries(spark, sf)))
+
+
+def cross_file(spark, sf):
+    return cbom.cross_file_patterns(_entries(spark, sf)).select("algorithm", "key_size", "pattern_type", F.size("files_affected").cast("long").alias("n_files"), "total_occurrences", "severity_signal")
+
+
+def cross_language(spark, sf):
+    return cbom.cross_language_patterns(_entries(spark, sf)).select("algorithm", "key_size", join("languages").alias("languages"))
+
+
+def recommendations(spark, sf):
+    return cbom.attach_fixes(cbom.attach_recommendations(_entries(spark, sf))).select("cbom_entry_id", "algorithm", "recommendation.*", "fix_suggestion")
+
+
+def context_counts(spark, sf):
+    return risk.findings(_entries(spark, sf)).groupBy("finding_type", "purpose", "sensitivity", "internet_facing", "data_lifetime_years", "migration_effort_years").agg(F.count("*").alias("n"))
+
+
+def conversion_counts(spark, sf):
+    return risk.conversion_counts(_entries(spark, sf))
+
+
+def risk_bands(spark, sf):
+    s = _scored(spark, sf)
+    return s.groupBy(F.col("risk.layer").alias("layer"), F.col("risk.band").alias("band"), "algorithm", F.col("recommendation.primary").alias("primary"), F.col("recommendation.reason").alias("reason"), F.col("recommendation.est_migration_effort").alias("effort"), F.round("risk.layer_score", 3).alias("score")).agg(F.count("*").alias("n"))
+
+
+def system_score(spark, sf):
+    return risk.system_score(_scored(spark, sf)).select(F.round("overall_score", 3).alias("overall_score"), "priority_layer", F.col("findings").cast("long").alias("findings"))
+
+
+def merged_recommendations(spark, sf):
+    entries = cbom.bill(synthetic.findings(spark, sf))
+    m = risk.merge_recommendations(risk.score(risk.findings(entries)), entries)
+    return m.groupBy("migration_phase", "db_recommendation_source").agg(F.count("*").alias("n"))
+
+
+def effort_score(spark, sf):
+    r = effort.ratings(synthetic.findings(spark, sf))
+    return r.select("n", "hardware", "protocol", "software", "packets", "legacy", "agile", "hardcoded", "configured", "architecture", "w_ca", "w_ds", "w_np", "ca", "ds", "np", "m_tech")
+
+
+def effort_components(spark, sf):
+    df = synthetic.findings(spark, sf)
+    return effort.components(df, effort.ratings(df)).select("component", "path", "n", "ca", "ds", "np", "m_tech")
+
+
+def high_confidence(spark, sf):
+    return synthetic.findings(spark, sf).where(F.coalesce("confidence", F.lit(0.0)) >= 0.65).select("artifact_id", "algorithm", "confidence")
+
+
+def distinct_locations(spark, sf):
+    return effort.affected_files(synthetic.findings(spark, sf))
+
+
+def top_components(spark, sf):
+    return cbom.ordered(_entries(spark, sf)).limit(5).select("cbom_entry_id", "occurrence_count")
+
+
+def multiset_difference(spark, sf):
+    df = synthetic.findings(spark, sf)
+    changed = df.withColumn("algorithm", F.when(F.col("line_number") == 1, "X").otherwise(F.col("algorithm")))
+    return cbom.multiset_difference(df, changed).groupBy("side", "algorithm").agg(F.count("*").alias("n"))
+
+
+def cyclonedx_components(spark, sf):
+    c = cbom.cyclonedx_components(cbom.attach_recommendations(_entries(spark, sf)))
+    return c.select(F.col("component.bom-ref").alias("ref"), F.col("component.name").alias("name"), F.col("component.cryptoProperties.assetType").alias("asset_type"), "occurrence_count")
+
+
+def rule_match(spark, sf):
+    return rules.code_rules(synthetic.files(spark, sf)).groupBy("path", "algorithm", "evidence", "key_size", "mode", "warning_type").agg(F.count("*").alias("n"))
+
+
+def c_calls(spark, sf):
+    return rules.matched(synthetic.files(spark, sf), rules.C_CALLS, "pattern_match").groupBy("algorithm", "artifact_type", "library", "key_size").agg(F.count("*").alias("n"))
+
+
+def hardware_rules(spark, sf):
+    return rules.hardware(synthetic.files(spark, sf)).groupBy("artifact_type", "evidence", "detection_method").agg(F.count("*").alias("n"))
+
+
+def protocol_rules(spark, sf):
+    return rules.protocols(synthetic.files(spark, sf)).groupBy("algorithm", "evidence", "protocol", "detection_method").agg(F.count("*").alias("n"))
+
+
+def key_size_band(spark, sf):
+    f = synthetic.files(spark, sf)
+    calls = f.where("l_partkey % 10 = 1").select(F.concat("path", F.lit("-"), F.col("l_orderkey").cast("string")).alias("path"), "line_number").distinct()
+    sizes = f.where("l_partkey % 10 = 7").select(F.concat(F.col("path"), F.lit("-"), F.col("l_orderkey").cast("string")).alias("_p"), F.col("line_number").alias("_l"), F.lit("1500").alias("_s"))
+    wide = sizes.withColumn("_p", F.regexp_replace("_p", r"^.*-", "")), calls.withColumn("path", F.regexp_replace("path", r"^.*-", "")).distinct()
+    return rules.key_size_band(wide[1], wide[0])
+
+
+def line_split(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    return rules.lines(docs).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length(F.trim("line"))).alias("chars"))
+
+
+_F = f"with f as ({synthetic.oracle_findings()})"
+_CASE = lambda table, key, default="null": "case " + key + " " + " ".join(f"when '{k}' then {v!r}" for k, v in table.items()) + f" else {default} end"
+_IN = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
+_C = f"""{_F}, c as (select *, case when algorithm in {_IN(dims.PROTOCOL_NAMES)} then 'Protocol' when artifact_type in ('import_signal') then 'Library' when artifact_type in ('certificate', 'cert') then 'Certificate'
+ when artifact_type = 'protocol' then 'Protocol' when lower(file_path) like '%.key' then 'Key' when regexp_matches(lower(file_path), '[.](crt|pem|cer|p12|pfx|der)$') then 'Certificate'
+ when algorithm <> 'UNSPECIFIED' and regexp_matches(upper(algorithm), 'TLS|SSL|SSH|IPSEC') then 'Protocol' when artifact_type = 'hash' then 'Hash Function'
+ when artifact_type = 'algorithm' and key_size is not null and algorithm in ('RSA', 'ECC', 'DSA', '3DES') then 'Key' when artifact_type = 'algorithm' then 'Algorithm' else 'Uncategorized' end as cbom_category from f)"""
+_M = f"""{_C}, k as (select *, coalesce(algorithm = 'UNSPECIFIED', false) as u, row_number() over (partition by coalesce(algorithm = 'UNSPECIFIED', false), case when algorithm = 'UNSPECIFIED' then library else algorithm end, case when algorithm = 'UNSPECIFIED' then null else key_size end order by confidence desc, ord) as best,
+ row_number() over (partition by coalesce(algorithm = 'UNSPECIFIED', false), case when algorithm = 'UNSPECIFIED' then library else algorithm end, case when algorithm = 'UNSPECIFIED' then null else key_size end order by ord) as nth from c),
+ m as (select u, case when u then library else algorithm end as k, case when u then null else key_size end as key_size, max(case when best = 1 then artifact_id end) as cbom_entry_id, max(case when best = 1 then algorithm end) as algorithm,
+ max(case when best = 1 then cbom_category end) as cbom_category, max(case when best = 1 then library end) as library, count(*) as occurrence_count, max(confidence) as max_confidence, count(distinct file_path) as n_files, min(file_path) as first_file,
+ max(case when nth = 1 then file_path end) as first_path, min(ord) as first_ord, list_sort(list_distinct(list(case when file_path like '%.py' then 'Python' when file_path like '%.java' then 'Java' when file_path like '%.c' then 'C' else 'Other' end))) as langs from k group by 1, 2, 3)"""
+_E = f"""{_M}, e as (select m.cbom_entry_id, m.algorithm, m.cbom_category, c.file_path, m.key_size, m.first_ord, c.ord, {_CASE(dims.FINDING_TYPE, 'm.cbom_category')} as finding_type
+ from m join k c on c.u = m.u and (case when c.u then c.library else c.algorithm end) is not distinct from m.k and (case when c.u then null else c.key_size end) is not distinct from m.key_size),
+ x as (select *, case when regexp_matches(lower(file_path), 'payment|financial|kms|vault') then 'Critical' when regexp_matches(lower(file_path), 'tls|gateway|public|auth|login|api|payment') then 'High' else 'Moderate' end as sensitivity,
+ regexp_matches(lower(file_path), 'tls|gateway|public|auth|login|api|payment') as internet_facing,
+ case when cbom_category in ('Certificate', 'Protocol') then 'key_exchange' when cbom_category = 'Hash Function' then 'integrity' when cbom_category = 'Key' and upper(algorithm) in ('ECDSA', 'DSA', 'ED25519') then 'signing' else 'encryption' end as purpose from e where finding_type is not null),
+ y as (select *, case sensitivity when 'Critical' then 12.0::double when 'High' then 6.0::double else 3.0::double end as data_lifetime_years, ({_CASE(dims.MIGRATION_YEARS, 'finding_type')})::double as migration_effort_years,
+ case when regexp_matches(lower(coalesce(algorithm, '')), 'ml-kem|kyber|ml-dsa|dilithium|slh-dsa|sphincs') then 'pqc' when regexp_matches(lower(coalesce(algorithm, '')), 'rsa|ecc|ecdsa|ecdh|dh|dsa|elgamal') then 'shor' when regexp_matches(lower(coalesce(algorithm, '')), 'aes|chacha20|sha|hmac|camellia|3des|des') then 'grover' else 'shor' end as cls from x)"""
+_S = f"""{_E}, z as (select *, ({_CASE({k: v[0] for k, v in dims.ATTENUATION.items()}, 'cls')})::double as a, ({_CASE({k: v[1] for k, v in dims.ATTENUATION.items()}, 'cls')})::double as b from y),
+ s as (select *, {_CASE({'certificate': 'in_transit', 'tls_config': 'in_transit'}, 'finding_type', "'in_use'")} as layer, 0.25::double * a * (1 / (1 + exp(-2 * ((data_lifetime_years + migration_effort_years) / 9 - 1)))) + 0.15::double * a * least(migration_effort_years / 3, 1)
+ + 0.30::double * b * ({_CASE(dims.SENSITIVITY, 'sensitivity')})::double + 0.20::double * b * (case when internet_facing then 0.6::double else 0 end) as raw from z)"""
+_R = lambda i: _CASE({k: v[i] for k, v in dims.RECOMMENDATIONS.items()}, "algorithm")
+
+
+def _text(values: dict, key: str, default: str) -> str:
+    q = lambda t: "'" + t.replace("'", "''") + "'" if isinstance(t, str) else str(t).lower()
+    return f"case {key} " + " ".join(f"when {q(k)} then {q(v)}" for k, v in values.items()) + f" else {default} end"
+
+
+def _rec(i: int) -> str:
+    q = lambda t: "'" + t.replace("'", "''") + "'" if isinstance(t, str) else str(t).lower()
+    known = _text({k: v[i] for k, v in dims.RECOMMENDATIONS.items()}, "algorithm", q(dims.UNKNOWN_RECOMMENDATION[i]))
+    return f"case when coalesce(algorithm = 'UNSPECIFIED', false) then {_text({k: v[i] for k, v in dims.CATEGORY_GUIDANCE.items()}, 'cbom_category', 'null')} else {known} end"
+
+
+def _fix() -> str:
+    lang = "case when first_path like '%.py' then 'python' when first_path like '%.java' then 'java' end"
+    return _text({f"{a}/{g}": t for (a, g), t in dims.FIXES.items()}, f"algorithm || '/' || ({lang})", "null")
+
+
+_FLAGS = f"""{_F}, g as (select count(*) as n, count(*) filter (artifact_type in ('hsm', 'embedded_iot', 'firmware', 'hardware')) as hardware, count(*) filter (artifact_type in ('protocol', 'packet_constraint')) as protocol,
+ count(*) filter (artifact_type not in ('hsm', 'embedded_iot', 'firmware', 'hardware', 'protocol', 'packet_constraint', 'database_crypto')) as software, count(*) filter (artifact_type = 'packet_constraint') as packets,
+ count(*) filter (upper(algorithm) in {_IN(dims.LEGACY_ALGORITHMS)}) as legacy, count(*) filter (library in {_IN(dims.AGILE_LIBRARIES)}) as agile, count(*) filter (detection_method in ('ast_call', 'semgrep')) as hardcoded, count(*) filter (detection_method in ('config_directive', 'api_pattern')) as configured,
+ count(*) filter (artifact_type = 'hsm') as hsm, count(*) filter (artifact_type in ('embedded_iot', 'firmware')) as iot from f),
+ w as (select *, 0.35::double + 0.15::double * software / (hardware + protocol + software) as p1, 0.20::double + 0.35::double * hardware / (hardware + protocol + software) as p2, 0.20::double + 0.30::double * protocol / (hardware + protocol + software) as p3 from g),
+ v as (select *, round(p1 / (p1 + p2 + p3), 2) as w_ca, round(p2 / (p1 + p2 + p3), 2) as w_ds from w),
+ r as (select *, round(1 - w_ca - w_ds, 2) as w_np, 4 as ca, case when hsm > 1 or (hsm >= 1 and iot >= 1) then 5 else 4 end as ds, case when iot > 0 or packets > 1 then 5 else 4 end as np from v)"""
+_L = f"with l as ({synthetic.LINES})"
+
+ORACLES = {
+    "classify_histogram": f"{_C} select cbom_category, count(*) as n from c group by 1",
+    "exact_dedup": f"{_F} select artifact_id, file_path, line_number, artifact_type, algorithm, detection_method, confidence from (select *, row_number() over (partition by file_path, line_number, artifact_type, algorithm, detection_method order by ord) as r from f) where r = 1",
+    "cbom_merge": f"{_M} select cbom_entry_id, algorithm, key_size, cbom_category, library, occurrence_count, max_confidence, n_files, first_file, first_path from m",
+    "cbom_summary": f"{_M} select count(*) as unique_entries, cast(sum(occurrence_count) as bigint) as raw_findings, count(*) filter (({_rec(2)}) = false) as quantum_vulnerable, (select count(distinct file_path) from f) as files from m",
+    "cross_file": f"{_M} select algorithm, key_size, 'cross_file_repetition' as pattern_type, n_files, occurrence_count as total_occurrences, case when n_files >= 3 then 'high' else 'medium' end as severity_signal from m where n_files >= 2 and not u",
+    "cross_language": f"{_M} select algorithm, key_size, array_to_string(langs, '|') as languages from m where len(langs) >= 2 and not u",
+    "recommendations": f"{_M} select cbom_entry_id, algorithm, {_rec(0)} as recommended_alternative, {_rec(1)} as rationale, {_rec(2)} as already_quantum_safe, {_fix()} as fix_suggestion from m",
+    "context_counts": f"{_E} select finding_type, purpose, sensitivity, internet_facing, data_lifetime_years, migration_effort_years, count(*) as n from y group by all",
+    "conversion_counts": f"{_E} select count(*) filter (finding_type is not null) as converted, count(*) filter (finding_type is null) as skipped from e",
+    "risk_bands": f"""{_S} select layer, case when raw <= 0.3 then 'low' when raw <= 0.6 then 'medium' when raw <= 0.85 then 'high' else 'critical' end as band, algorithm,
+ case when cls = 'pqc' then algorithm when purpose in ('key_exchange', 'encryption') then case when raw > 0.6 then 'ML-KEM-1024' else 'ML-KEM-768' end else case when raw > 0.6 then 'ML-DSA-87' else 'ML-DSA-65' end end as "primary",
+ case when cls = 'pqc' then 'already quantum-safe (PQC algorithm detected)' else case when raw <= 0.3 then 'low' when raw <= 0.6 then 'medium' when raw <= 0.85 then 'high' else 'critical' end || ' risk band' || case when internet_facing then ' + internet-facing' else '' end end as reason,
+ case when cls = 'pqc' then 'none' when migration_effort_years <= 0.5 then 'low' when migration_effort_years <= 1.5 then 'medium' else 'high' end as effort, round(round(raw, 4), 3) as score, count(*) as n from s group by all""",
+    "system_score": f"{_S} select (select round(round(avg(round(raw, 4)), 4), 3) from s) as overall_score, (select layer from (select layer, round(avg(round(raw, 4)), 4) as v from s group by 1) order by v desc limit 1) as priority_layer, (select count(*) from s) as findings",
+    "merged_recommendations": f"{_E} select case when finding_type in ('certificate', 'tls_config') or coalesce(algorithm in {_IN(dims.HYBRID_ALGORITHMS)}, false) then 'Hybrid-ready' else 'Discover & Assess' end as migration_phase, case when algorithm = 'UNSPECIFIED' then case when cbom_category in ('Certificate', 'Protocol') then 'category_fallback' else 'none' end else 'algorithm_map' end as db_recommendation_source, count(*) as n from y group by all",
+    "effort_score": f"{_FLAGS} select n, hardware, protocol, software, packets, legacy, agile, hardcoded, configured, 'mixed' as architecture, w_ca, w_ds, w_np, ca, ds, np, round(w_ca * ca + w_ds * ds + w_np * np, 2) as m_tech from r",
+    "effort_components": f"{_FLAGS}, p as (select file_path as path, count(*) as n, case when bool_or(coalesce(upper(algorithm) in {_IN(dims.LEGACY_ALGORITHMS)}, false)) then 4 else 2 end as ca, case when bool_or(artifact_type in ('hsm', 'embedded_iot', 'firmware')) then 4 else 1 end as ds, case when bool_or(artifact_type = 'packet_constraint') then 4 else 1 end as np from f group by 1) select regexp_extract(path, '([^/]*)$', 1) as component, path, p.n, p.ca, p.ds, p.np, round(w_ca * p.ca + w_ds * p.ds + w_np * p.np, 2) as m_tech from p, r",
+    "high_confidence": f"{_F} select artifact_id, algorithm, confidence from f where confidence >= 0.65",
+    "distinct_locations": f"{_F} select distinct file_path from f",
+    "top_components": f"{_M} select cbom_entry_id, occurrence_count from m order by occurrence_count desc, first_ord limit 5",
+    "multiset_difference": f"{_F} select 'left' as side, algorithm, count(*) as n from f where line_number = 1 and algorithm is distinct from 'X' group by 2 union all select 'right', 'X', count(*) from f where line_number = 1 having count(*) > 0",
+    "cyclonedx_components": f"{_M} select cbom_entry_id as ref, case when u then coalesce(library, 'unknown') else algorithm end as name, {_text(dims.ASSET_TYPES, 'cbom_category', chr(39) + 'algorithm' + chr(39))} as asset_type, occurrence_count from m",
+    "rule_match": f"{_L} select path, case l_partkey % 10 when 0 then 'RSA' when 1 then 'AES' when 2 then 'SHA-1' when 4 then 'SHA-256' when 5 then 'TLS' else 'RSA' end as algorithm, case l_partkey % 10 when 0 then 'crypto-rsa-keygen' when 1 then 'crypto-aes-cipher' when 2 then 'crypto-sha1-hash' when 4 then 'crypto-sha2-hash' when 5 then 'crypto-tls-api' else 'crypto-rsa-keygen' end as evidence, cast(nullif(regexp_extract(line, '\\b(512|1024|2048|3072|4096|8192|128|192|256)\\b', 1), '') as int) as key_size, case when l_partkey % 10 = 1 then 'GCM' end as mode, case when l_partkey % 10 = 2 then 'weak_hash' end as warning_type, count(*) as n from l where l_partkey % 10 in (0, 1, 2, 4, 5, 8) group by all",
+    "c_calls": f"{_L} select case when l_partkey % 10 = 4 then 'SHA-256' else 'RSA' end as algorithm, case when l_partkey % 10 = 4 then 'hash' else 'algorithm' end as artifact_type, case when l_partkey % 10 = 4 then 'openssl/evp.h' else 'openssl/rsa.h' end as library, cast(nullif(regexp_extract(line, '[(](\\d+)', 1), '') as int) as key_size, count(*) as n from l where l_partkey % 10 in (4, 8) group by all",
+    "hardware_rules": f"{_L} select 'packet_constraint' as artifact_type, 'Packet / Buffer Constraint' as evidence, 'packet_mtu_pattern' as detection_method, count(*) as n from l where l_partkey % 10 = 7 having count(*) > 0",
+    "protocol_rules": f"""{_L}, q as (select l_partkey % 10 as k from l where l_partkey % 10 in (5, 6)) select null::varchar as algorithm, 'Python ssl' as evidence, 'TLS 1.2+' as protocol, 'api_pattern' as detection_method, count(*) as n from q where k = 5
+ union all select null, 'nginx_ssl_protocols: TLSv1.2 TLSv1.3', 'TLS', 'config_directive', count(*) from q where k = 6 union all select 'TLS 1.2', '1.2', 'TLS 1.2', 'api_pattern', count(*) from q where k = 6 union all select 'TLS 1.3', '1.3', 'TLS 1.3', 'api_pattern', count(*) from q where k = 6""",
+    "key_size_band": f"{_L} select distinct cast(c.l_orderkey as varchar) as path, c.line_number, case when exists (select 1 from l s where s.l_orderkey = c.l_orderkey and s.l_partkey % 10 = 7 and s.line_number between c.line_number and c.line_number + 3) then 1500 end as key_size from l c where c.l_partkey % 10 = 1",
+    "line_split": "with s as (select doc_id, unnest(string_split(case when text like '%' || chr(10) then text[:-2] else text end, chr(10))) as line from documents) select doc_id, count(*) as n, cast(sum(length(trim(line, ' '))) as bigint) as chars from s group by 1",
+}
+
+QUERIES = {f.__name__: f for f in (classify_histogram, exact_dedup, cbom_merge, cbom_summary, cross_file, cross_language, recommendations, context_counts, conversion_counts, risk_bands, system_score, merged_recommendations, effort_score, effort_components, high_confidence, distinct_locations, top_components, multiset_difference, cyclonedx_components, rule_match, c_calls, hardware_rules, protocol_rules, key_size_band, line_split)}
