@@ -1 +1,2 @@
 """functions of the inventory engine."""
+from .scoring import risk_score, time_left  # noqa: F401

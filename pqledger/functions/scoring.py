@@ -1,0 +1,18 @@
+"""Scores as column functions for use in other plans."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from ..operators.risk import time_factor, weights_of
+
+
+def time_left(lifetime: Column, effort: Column) -> Column:
+    return time_factor(lifetime, effort)
+
+
+def risk_score(time: Column, migration: Column, sensitivity: Column, exposure: Column, compliance: Column, alpha: Column, beta: Column, profile: str | None = None) -> Column:
+    t, m, s, e, c = weights_of(profile)
+    raw = t * alpha * time + m * alpha * migration + s * beta * sensitivity + e * beta * exposure + c * compliance
+    return F.least(F.greatest(raw, F.lit(0.0)), F.lit(1.0))
