@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import CACHE, fold, read, stored, texts
 
-VOCAB, CLASS, HIDDEN, WINDOW, STREAMS = 4096, 64, 24, 16, 64
+VOCAB, CLASS, HIDDEN, WINDOW, STREAMS = 2048, 64, 24, 16, 96
 #: One training document in so many trains the network's weights; counts are of all.
 TRAIN_SHARE = 16
 #: Training documents that a shard takes about.
@@ -155,7 +155,7 @@ def log_probs(p: dict, h: np.ndarray, ids: np.ndarray, v_top: int, heads: int) -
 def train_shard(p: dict, docs: Iterator[np.ndarray], v_top: int, heads: int, end: int) -> tuple[dict, int]:
     """Truncated backpropagation over whole documents, laid end to end in STREAMS streams."""
     p = {k: w.copy() for k, w in p.items()}
-    g2 = {k: np.full_like(w, 1e-4) for k, w in p.items()}
+    g2 = {k: np.full_like(w, 1e-2 if k in ("bw", "bc") else 5e-4) for k, w in p.items()}
     more = iter(docs)
     queue: list[np.ndarray] = [np.zeros(0, np.int64)] * STREAMS
     h, last = np.zeros((STREAMS, HIDDEN), np.float32), np.full(STREAMS, end)
@@ -190,7 +190,7 @@ def train_shard(p: dict, docs: Iterator[np.ndarray], v_top: int, heads: int, end
         seen += len(ok)
         hh, yy = flat_h[ok], flat_y[ok]
         c = class_of(yy, v_top, heads)
-        scale = np.float32(1 / len(ok))
+        scale = np.float32(1 / (WINDOW * STREAMS))  # so that a few last tokens move little
         pc = np.exp(log_softmax(hh @ p["wc"] + p["bc"]))
         pc[np.arange(len(yy)), c] -= 1
         pc *= scale
@@ -225,7 +225,7 @@ def train_shard(p: dict, docs: Iterator[np.ndarray], v_top: int, heads: int, end
         for k in ("u", "wc", "bc", "ww", "bw"):
             np.clip(grad[k], -0.5, 0.5, out=grad[k])
             g2[k] += grad[k] ** 2
-            p[k] -= RATE * grad[k] / np.sqrt(g2[k]) * (0.3 if k in ("bw", "bc") else 1)
+            p[k] -= RATE * grad[k] / np.sqrt(g2[k]) * (0.5 if k in ("bw", "bc") else 1)
         u, inv = np.unique(inputs.ravel(), return_inverse=True)
         gx = np.zeros((len(u), 3 * HIDDEN), np.float32)
         np.add.at(gx, inv, dx.reshape(-1, 3 * HIDDEN))

@@ -27,9 +27,9 @@ from .common import CACHE, bounded_sample, fold, read, steps, texts
 from .quality import STOP_WORDS
 
 #: Labelled documents that training takes at most; documented bound, the only sample.
-TRAIN_DOCS = 4000
+TRAIN_DOCS = 5000
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 17, 8, 6, (1, 2, 3)
-EPOCHS, BATCH, RATE = 4, 32, 0.1
+EPOCHS, BATCH, RATE = 7, 32, 0.1
 EDGES = b".,;:!?\"'()[]{}<>|*#$%&-+=/\\"
 
 
