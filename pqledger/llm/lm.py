@@ -252,8 +252,8 @@ def unpack(raw: bytes, like: dict) -> dict:
     return out
 
 
-def averaged(parts: DataFrame, n: int) -> DataFrame:
-    """(shard, weights, tokens): means by tokens, until few are left."""
+def averaged(parts: DataFrame) -> DataFrame:
+    """(shard, weights, tokens): means by tokens, until at most 16 are left, however many shards there were."""
 
     def mean(table: pa.Table) -> pa.Table:
         total, acc = 0, None
@@ -263,9 +263,8 @@ def averaged(parts: DataFrame, n: int) -> DataFrame:
             total += t
         return pa.table({"shard": pa.array([table["shard"][0].as_py() // 16], pa.int64()), "weights": pa.array([(acc / max(total, 1)).astype("<f4").tobytes()], pa.binary()), "tokens": pa.array([total], pa.int64())})
 
-    while n > 16:
-        parts = parts.groupBy(F.floor(F.col("shard") / 16)).applyInArrow(mean, "shard long, weights binary, tokens long")
-        n = math.ceil(n / 16)
+    while parts.count() > 16:
+        parts = stored(parts.groupBy(F.floor(F.col("shard") / 16)).applyInArrow(mean, "shard long, weights binary, tokens long"), "shards")
     return parts
 
 
@@ -314,7 +313,7 @@ def fit(docs: DataFrame, text: str, id_col: str) -> tuple[Vocabulary, dict, Data
     some = docs.where(F.pmod(F.xxhash64(id_col, F.lit("train")), F.lit(TRAIN_SHARE)) == 0).select(F.col(text).alias("_t"), F.col(id_col).alias("_i"))
     dealt = some.repartition(shards, F.xxhash64("_i", F.lit("deal"))).sortWithinPartitions("_i", "_t").select("_t", F.spark_partition_id().cast("long").alias("s"))
     parts = stored(dealt.mapInArrow(run, "shard long, weights binary, tokens long"), "shards")
-    last = averaged(parts, shards).collect()  # at most 16 rows
+    last = averaged(parts).collect()  # at most 16 rows
     if not last:
         return v, p0, counts
     weight = sum(r.tokens for r in last)
