@@ -1,22 +1,24 @@
 """Links near-duplicates: candidates from shared buckets, exact verification, classes as connected components.
 
 All similar pairs within a bucket count, but they are not all emitted. Members are compared with the bucket's first one;
-then, where a bucket still holds several classes, with the first one of each class there; and what the triangle
-inequality of the Jaccard distance can't exclude after that, pair by pair. So a class has every link that its buckets
-hold, while a group of n mutually similar members costs about n comparisons.
+then, where a bucket still holds several classes, with one member of another class. What stays apart after these two
+rounds goes through a prefix filter, which loses no pair: two texts of the threshold's similarity share a shingle among
+the rarest (1 - threshold) of each. Texts that only share a common passage have no such shingle in common and are never
+compared. In a shingle's group, members outside its largest class meet the members of other classes, and sizes and
+places of the shingle exclude what can't reach the threshold. So a class has every link that its buckets hold, while a
+group of n mutually similar members costs about 2n comparisons.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORDS, shingles, stored
+from .common import WORDS, mix, shingles, steps, stored, texts
 
 #: Rows of one salt when a member's text is joined to its many partners.
 SALT = 200
@@ -33,22 +35,25 @@ def tune_bands(threshold: float, recall: float = 0.999, most: int = 160) -> tupl
     return best
 
 
-def bag(text: str, k: int = 5) -> dict[int, int]:
-    """The multiset of a text's k-word shingles, lower-cased."""
-    u, n = np.unique(shingles(WORDS.array(text.lower().split()), k), return_counts=True)
-    return dict(zip(u.tolist(), n.tolist(), strict=True))
+Bag = tuple[np.ndarray, np.ndarray]
 
 
-def jaccard(a: dict[int, int], b: dict[int, int], weighted: bool) -> float:
-    if len(a) > len(b):
-        a, b = b, a
-    if not a and not b:
-        return 1.0
+def bag(text: str, k: int = 5) -> Bag:
+    """The multiset of a text's k-word shingles, lower-cased: sorted hashes and their counts."""
+    return np.unique(shingles(WORDS.array(text.lower().split()), k), return_counts=True)
+
+
+def jaccard(a: Bag, b: Bag, weighted: bool) -> float:
+    (ha, na), (hb, nb) = (a, b) if len(a[0]) <= len(b[0]) else (b, a)
+    if not len(ha):
+        return 0.0 if len(hb) else 1.0
+    at = np.minimum(np.searchsorted(hb, ha), len(hb) - 1)
+    same = hb[at] == ha
     if weighted:
-        low = sum(min(n, b[h]) for h, n in a.items() if h in b)
-        return low / (sum(a.values()) + sum(b.values()) - low)
-    low = sum(h in b for h in a)
-    return low / (len(a) + len(b) - low)
+        low = int(np.minimum(na[same], nb[at[same]]).sum())
+        return low / (int(na.sum()) + int(nb.sum()) - low)
+    low = int(same.sum())
+    return low / (len(ha) + len(hb) - low)
 
 
 def verified(pairs: DataFrame, items: DataFrame, weighted: bool, k: int = 5) -> DataFrame:
@@ -85,44 +90,76 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.withColumnRenamed("l", "class_id")
 
 
+def shingle_sets(items: DataFrame, weighted: bool, k: int) -> DataFrame:
+    """(id, token, size): each text's shingles; of multisets, the n-th repeat of a shingle is a token of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in steps(whole, 64):
+                sets = []
+                for t in texts(batch, "text"):
+                    h, n = bag(t, k)
+                    if weighted:
+                        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                        with np.errstate(over="ignore"):
+                            h = mix(np.repeat(h, n) + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                    sets.append(h)
+                size = np.array([len(h) for h in sets])
+                ids = np.repeat(np.array(batch.column(0).to_pylist(), np.int64), size)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(sets).view(np.int64)), pa.array(np.repeat(size, size).astype(np.int32))], names=["id", "token", "size"])
+
+    return items.select("id", "text").mapInArrow(run, "id long, token long, size int")
+
+
+def prefix_pairs(items: DataFrame, classes: DataFrame, threshold: float, weighted: bool, k: int) -> DataFrame:
+    """(a, b) of texts of different classes that may reach the threshold: no pair that does is missing."""
+    tokens = stored(shingle_sets(items, weighted, k), "tokens")
+    often = tokens.groupBy("token").agg(F.count("*").alias("df"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "token")) - 1
+    prefix = F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1
+    rare = tokens.join(often, "token").withColumn("place", place).where((F.col("place") < prefix) & (F.col("df") > 1)).drop("df")
+    rare = rare.join(classes, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
+    share = rare.groupBy("token", "class_id").agg(F.count("*").alias("n")).groupBy("token").agg(F.max(F.struct("n", "class_id")).alias("most"), F.count("*").alias("classes"))
+    share = share.where("classes > 1").select("token", F.col("most.class_id").alias("largest"))
+    rare = stored(rare.join(share, "token"), "prefixes")
+    x = rare.where("class_id <> largest").select("token", F.col("id").alias("x"), F.col("size").alias("sx"), F.col("place").alias("px"), F.col("class_id").alias("cx"))
+    y = rare.select("token", F.col("id").alias("y"), F.col("size").alias("sy"), F.col("place").alias("py"), F.col("class_id").alias("cy"), "largest")
+    most = F.least("px", "py") + F.least(F.col("sx") - F.col("px"), F.col("sy") - F.col("py"))
+    need = (F.col("sx") + F.col("sy")) * (threshold / (1 + threshold)) - 1e-6
+    once = (F.col("cy") == F.col("largest")) | (F.col("x") < F.col("y"))
+    met = x.join(y, (x.token == y.token) & (F.col("cx") != F.col("cy")) & once & (most >= need))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def still_open(member: DataFrame, classes: DataFrame) -> DataFrame:
+    """(bucket, id, class_id) of the buckets that hold several classes."""
+    placed = member.select("bucket", "id").join(classes, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
+    mixed = placed.groupBy("bucket").agg(F.min("class_id").alias("x"), F.max("class_id").alias("y")).where("x <> y").select("bucket")
+    return stored(placed.join(mixed, "bucket", "left_semi"), "open")
+
+
 def linked(buckets: DataFrame, items: DataFrame, threshold: float, weighted: bool, k: int = 5) -> tuple[DataFrame, DataFrame]:
     """(edges, classes) of buckets (id, bucket): edges (a, b, sim) are all verified links that classes need."""
     first = buckets.groupBy("bucket").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
     member = stored(buckets.join(first, "bucket"), "members")
-    items = items.join(member.select("id").distinct(), "id", "left_semi")
-    items = stored(items, "items")
+    items = stored(items.join(member.select("id").distinct(), "id", "left_semi"), "items")
     star = member.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
-    sims = stored(verified(star, items, weighted, k), "sims")
-    edges = sims.where(F.col("sim") >= threshold)
+    known = stored(verified(star, items, weighted, k), "sims")
+    edges = known.where(F.col("sim") >= threshold)
     classes = components(edges)
-    # buckets that still hold several classes
-    placed = member.select("bucket", "id").join(classes, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
-    mixed = placed.groupBy("bucket").agg(F.min("class_id").alias("x"), F.max("class_id").alias("y")).where("x <> y").select("bucket")
-    open_ = stored(placed.join(mixed, "bucket", "left_semi"), "open")
-    if open_.isEmpty():
-        return edges, classes
-    heads = open_.groupBy("bucket", F.col("class_id").alias("head_class")).agg(F.min("id").alias("head"))
-    tries = stored(open_.join(heads, "bucket").where("id <> head").select("bucket", "id", "class_id", "head", "head_class"), "tries")
-    asked = tries.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
-    known = sims.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim").distinct()
-    more = stored(verified(asked.join(known, ["a", "b"], "left_anti"), items, weighted, k), "sims")
-    known = known.unionByName(more)
-    edges = edges.unionByName(more.where(F.col("sim") >= threshold))
-    before, classes = classes, components(edges)
-    # pairs across classes whose distances to a head differ by no more than the largest distance of a link
-    reach = 1 - threshold + 1e-9
-    dist = tries.withColumns({"a": F.least("id", "head"), "b": F.greatest("id", "head")}).join(known, ["a", "b"]).select("bucket", "head", "id", "class_id", "head_class", (1 - F.col("sim")).alias("d"))
-    own = open_.join(heads, "bucket").where("id = head").select("bucket", "head", "id", "class_id", "head_class", F.lit(0.0).alias("d"))
-    dist = dist.unionByName(own)
-    now = classes.withColumnRenamed("class_id", "now")
-    dist = dist.join(now, "id", "left").withColumn("now", F.coalesce("now", "id")).withColumn("cell", F.floor(F.col("d") / reach))
-    inner = dist.where("class_id = head_class").select("bucket", "head", F.col("id").alias("y"), F.col("d").alias("dy"), F.col("now").alias("now_y"), F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
-    outer = dist.where("class_id <> head_class").select("bucket", "head", F.col("id").alias("x"), F.col("d").alias("dx"), F.col("now").alias("now_x"), "cell")
-    rest = inner.join(outer, ["bucket", "head", "cell"]).where((F.col("now_x") != F.col("now_y")) & (F.abs(F.col("dx") - F.col("dy")) <= reach))
-    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(known, ["a", "b"], "left_anti")
-    rest = stored(rest, "rest")
-    if rest.isEmpty():
-        return edges, classes
-    last = stored(verified(rest, items, weighted, k), "sims")
-    edges = edges.unionByName(last.where(F.col("sim") >= threshold))
-    return edges, components(edges)
+    for last in (False, True):
+        open_ = still_open(member, classes)
+        if open_.isEmpty():
+            break
+        if last:
+            left = items.join(open_.select("id").distinct(), "id", "left_semi")
+            pairs = prefix_pairs(left, classes, threshold, weighted, k)
+        else:
+            other = open_.groupBy("bucket").agg(F.max(F.struct("class_id", "id")).alias("other")).select("bucket", "other.id", "other.class_id").toDF("bucket", "head", "head_class")
+            pairs = open_.join(other, "bucket").where("class_id <> head_class").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
+        asked = pairs.join(known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
+        more = stored(verified(stored(asked, "asked"), items, weighted, k), "sims")
+        known = known.unionByName(more)
+        edges = edges.unionByName(more.where(F.col("sim") >= threshold))
+        classes = components(edges)
+    return edges, classes

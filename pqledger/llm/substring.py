@@ -15,18 +15,15 @@ can't be named and have no result; further columns are not read.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORDS, mix, read, shingles, stored
 from .linkage import linked, tune_bands
-from .neardup import signed
 
 THRESHOLD, SHINGLE = 0.8, 5
 PARAGRAPH_WORDS = 40
@@ -37,27 +34,37 @@ UNIT_WORDS = 4
 #: A unit ends at one word in CUT, and at one sentence end in SENTENCE_CUT.
 CUT, SENTENCE_CUT = 10, 2
 BANDS, ROWS = tune_bands(THRESHOLD, 0.999, 64)
-WORD = re.compile(r"\S+")
-
-
-def units(text: str) -> Iterator[tuple[int, int, list[str]]]:
-    """(start, end, lower-cased words) of all units of a text, in order."""
-    long = text.lower() if len(text.lower()) == len(text) else None
-    for line in re.finditer(r"[^\n]+", text):
-        at = line.start()
-        words, start, end = [], None, at
-        for w in WORD.finditer(line.group()):
-            if start is None:
-                start = at + w.start()
-            raw = w.group()
-            words.append(raw.lower() if long is None else long[at + w.start() : at + w.end()])
-            end = at + w.end()
-            h = WORDS[words[-1]]
-            if h % CUT == 0 or (raw[-1] in ".!?" and h % SENTENCE_CUT == 0):
-                yield start, end, words
-                words, start = [], None
-        if words:
-            yield start, end, words
+GOLD = np.uint64(0x9E3779B97F4A7C15)
+BLANK = np.array([chr(i).isspace() for i in range(0x3001)])
+
+
+def sequence_ids(h: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Hashes of the word sequences that begin at starts and, n words each, follow one another."""
+    nth = np.arange(len(h)) - np.repeat(starts, n)
+    with np.errstate(over="ignore"):
+        return mix(np.add.reduceat(mix(h + (nth + 1).astype(np.uint64) * GOLD), starts) + n.astype(np.uint64) * GOLD)
+
+
+def split(text: str) -> tuple | None:
+    """(word hashes, units, lines) of a text; units and lines are (first word, words, start, stop), None without a word."""
+    h = WORDS.array(text.lower().split())
+    if not len(h):
+        return None
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    blank = BLANK[np.minimum(code, 0x3000)] & (code <= 0x3000)
+    edge = np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8))
+    starts, stops = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    breaks = np.flatnonzero(code == 10)
+    line = np.searchsorted(breaks, starts)
+    ends_line = np.append(line[1:] != line[:-1], True)
+    sentence = np.isin(code[stops - 1], [ord(c) for c in ".!?"])
+    cut = np.flatnonzero(ends_line | (h % np.uint64(CUT) == 0) | (sentence & (h % np.uint64(SENTENCE_CUT) == 0)))
+    first = np.append(0, cut[:-1] + 1)
+    units = first, cut - first + 1, starts[first], stops[cut]
+    cut = np.flatnonzero(ends_line)
+    first = np.append(0, cut[:-1] + 1)
+    around = np.concatenate([[-1], breaks, [len(code)]])
+    return h, units, (first, cut - first + 1, around[line[first]] + 1, around[line[first] + 1])
 
 
 def minhash(hashes: list[np.ndarray]) -> np.ndarray:
@@ -69,7 +76,7 @@ def minhash(hashes: list[np.ndarray]) -> np.ndarray:
         for b in range(BANDS):
             key = np.full(len(hashes), b + 1, np.uint64)
             for r in range(ROWS):
-                seed = mix(np.array([b * ROWS + r + 1], np.uint64) * np.uint64(0x9E3779B97F4A7C15))[0]
+                seed = mix(np.array([b * ROWS + r + 1], np.uint64) * GOLD)[0]
                 x = (flat ^ seed) * np.uint64(0xFF51AFD7ED558CCD)
                 key = mix(key * np.uint64(7) + np.minimum.reduceat(x ^ (x >> np.uint64(32)), starts))
             out[:, b] = key
@@ -87,27 +94,28 @@ def all_units(df: DataFrame, text: str, id_col: str) -> DataFrame:
         for whole in batches:
             for i in range(0, whole.num_rows, 64):
                 batch = whole.slice(i, 64)
-                doc, kind, pos, start, stop, n, ids, para = [], [], [], [], [], [], [], []
+                rows, para, is_para = [], [], []
                 for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    if key is None or not t:
+                    if key is None or not t or (got := split(t)) is None:
                         continue
-                    for p, (s, e, words) in enumerate(units(t)):
-                        doc.append(key), kind.append(0), pos.append(p), start.append(s), stop.append(e), n.append(len(words))
-                        ids.append(signed(xxhash.xxh3_64_intdigest(" ".join(words))))
-                    for p, line in enumerate(re.finditer(r"[^\n]+", t)):
-                        words = line.group().lower().split()
-                        if len(words) >= PARAGRAPH_WORDS:
-                            doc.append(key), kind.append(1), pos.append(p), start.append(line.start()), stop.append(line.end()), n.append(len(words))
-                            ids.append(signed(xxhash.xxh3_64_intdigest(" ".join(words))))
-                            para.append(np.unique(shingles(WORDS.array(words), SHINGLE)))
-                if not doc:
+                    h, *spans = got
+                    for kind, (first, n, start, stop) in enumerate(spans):
+                        ids, pos = sequence_ids(h, first, n), np.arange(len(first))
+                        if kind:
+                            long = np.flatnonzero(n >= PARAGRAPH_WORDS)
+                            first, n, start, stop, ids, pos = (x[long] for x in (first, n, start, stop, ids, pos))
+                            s = shingles(h, SHINGLE) if len(long) else h
+                            para += [s[a : a + m - SHINGLE + 1] for a, m in zip(first.tolist(), n.tolist(), strict=True)]
+                        rows.append((np.full(len(n), key), np.full(len(n), kind), pos, start, stop, n, ids.view(np.int64)))
+                        is_para.append(np.full(len(n), kind == 1))
+                if not rows:
                     continue
                 flat = minhash(para).view(np.int64).ravel() if para else np.zeros(0, np.int64)
-                is_para = np.array(kind) == 1
-                at = np.concatenate([[0], np.cumsum(np.where(is_para, BANDS, 0))]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat), mask=pa.array(~is_para))
-                arrays = [pa.array(doc, pa.int64()), *(pa.array(x, pa.int32()) for x in (kind, pos, start, stop, n)), pa.array(ids, pa.int64()), lists]
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
+                para_rows = np.concatenate(is_para)
+                at = np.concatenate([[0], np.cumsum(np.where(para_rows, BANDS, 0))]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat), mask=pa.array(~para_rows))
+                doc, *ints, ids = (np.concatenate(x) for x in zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), *(pa.array(x.astype(np.int32)) for x in ints), pa.array(ids), lists], names=names)
 
     return df.select(F.col(id_col).cast("long"), F.col(text)).mapInArrow(run, SCHEMA)
 
