@@ -4,8 +4,9 @@ All similar pairs within a bucket count, but they are not all emitted. Members a
 then, where a bucket still holds several classes, with one member of another class. What stays apart after these two
 rounds goes through a prefix filter, which loses no pair: two texts of the threshold's similarity share a shingle among
 the rarest (1 - threshold) of each. Texts that only share a common passage have no such shingle in common and are never
-compared. In a shingle's group, members outside its largest class meet the members of other classes, and sizes and
-places of the shingle exclude what can't reach the threshold. So a class has every link that its buckets hold, while a
+compared. In a shingle's group, members outside its largest class meet the members of other classes; sizes,
+places of the shingle and bitmaps of the shingles, whose differing bits bound the differing shingles from below, exclude
+what can't reach the threshold. So a class has every link that its buckets hold, while a
 group of n mutually similar members costs about 2n comparisons.
 """
 
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import WORDS, mix, shingles, steps, stored, texts
 
+#: 64-bit words of the bitmap that stands for a text's shingles.
+BITMAP = 16
 #: Rows of one salt when a member's text is joined to its many partners.
 SALT = 200
 
@@ -121,13 +124,16 @@ def prefix_pairs(items: DataFrame, classes: DataFrame, threshold: float, weighte
     rare = rare.join(classes, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
     share = rare.groupBy("token", "class_id").agg(F.count("*").alias("n")).groupBy("token").agg(F.max(F.struct("n", "class_id")).alias("most"), F.count("*").alias("classes"))
     share = share.where("classes > 1").select("token", F.col("most.class_id").alias("largest"))
-    rare = stored(rare.join(share, "token"), "prefixes")
-    x = rare.where("class_id <> largest").select("token", F.col("id").alias("x"), F.col("size").alias("sx"), F.col("place").alias("px"), F.col("class_id").alias("cx"))
-    y = rare.select("token", F.col("id").alias("y"), F.col("size").alias("sy"), F.col("place").alias("py"), F.col("class_id").alias("cy"), "largest")
+    rare = stored(rare.join(share, "token").join(bitmaps(tokens), "id"), "prefixes")
+    maps = [f"m{i}" for i in range(BITMAP)]
+    x = rare.where("class_id <> largest").select("token", F.col("id").alias("x"), F.col("size").alias("sx"), F.col("place").alias("px"), F.col("class_id").alias("cx"), *[F.col(m).alias(f"x{m}") for m in maps])
+    y = rare.select("token", F.col("id").alias("y"), F.col("size").alias("sy"), F.col("place").alias("py"), F.col("class_id").alias("cy"), "largest", *[F.col(m).alias(f"y{m}") for m in maps])
     most = F.least("px", "py") + F.least(F.col("sx") - F.col("px"), F.col("sy") - F.col("py"))
     need = (F.col("sx") + F.col("sy")) * (threshold / (1 + threshold)) - 1e-6
+    differ = sum((F.bit_count(F.col(f"x{m}").bitwiseXOR(F.col(f"y{m}"))) for m in maps), F.lit(0))
+    apart = (F.col("sx") + F.col("sy")) * ((1 - threshold) / (1 + threshold)) + 1e-6
     once = (F.col("cy") == F.col("largest")) | (F.col("x") < F.col("y"))
-    met = x.join(y, (x.token == y.token) & (F.col("cx") != F.col("cy")) & once & (most >= need))
+    met = x.join(y, (x.token == y.token) & (F.col("cx") != F.col("cy")) & once & (most >= need) & (differ <= apart))
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -138,6 +144,22 @@ def still_open(member: DataFrame, classes: DataFrame) -> DataFrame:
     return stored(placed.join(mixed, "bucket", "left_semi"), "open")
 
 
+def bitmaps(tokens: DataFrame) -> DataFrame:
+    """(id, m0, m1, ...): each token sets one bit. Bits that differ are never more than tokens that differ."""
+    place = F.pmod("token", F.lit(64 * BITMAP))
+    bit = F.expr(f"shiftleft(1L, cast(pmod(token, {64 * BITMAP}) % 64 as int))")
+    return tokens.groupBy("id").agg(*[F.bit_or(F.when(F.floor(place / 64) == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"m{i}") for i in range(BITMAP)])
+
+
+def merged(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """The classes (id, class_id) after more links (a, b): only classes that a link joins are labelled anew."""
+    of = lambda x: classes.select(F.col("id").alias(x), F.col("class_id").alias(f"c{x}"))
+    both = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct()
+    joint = components(both).toDF("class_id", "least")
+    fresh = links.select(F.col("a").alias("id")).union(links.select("b")).distinct().join(classes, "id", "left_anti").withColumn("class_id", F.col("id"))
+    return stored(classes.unionByName(fresh).join(joint, "class_id", "left").select("id", F.coalesce("least", "class_id").alias("class_id")), "classes")
+
+
 def linked(buckets: DataFrame, items: DataFrame, threshold: float, weighted: bool, k: int = 5) -> tuple[DataFrame, DataFrame]:
     """(edges, classes) of buckets (id, bucket): edges (a, b, sim) are all verified links that classes need."""
     first = buckets.groupBy("bucket").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -160,6 +182,6 @@ def linked(buckets: DataFrame, items: DataFrame, threshold: float, weighted: boo
         asked = pairs.join(known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
         more = stored(verified(stored(asked, "asked"), items, weighted, k), "sims")
         known = known.unionByName(more)
-        edges = edges.unionByName(more.where(F.col("sim") >= threshold))
-        classes = components(edges)
+        links = more.where(F.col("sim") >= threshold)
+        edges, classes = edges.unionByName(links), merged(classes, links)
     return edges, classes
