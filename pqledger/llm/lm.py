@@ -6,9 +6,9 @@ predicts the class and, among frequent words, the word; within a surface class a
 class's training counts, so probabilities add up over the same events as the unigram base: V words and one unseen.
 
 The network is trained by truncated backpropagation through WINDOW steps, with state carried across windows of a document,
-on a fixed share of the training documents (TRAIN_SHARE of them, picked by id, so what it learns from grows with the
-corpus); shards train side by side from one start, and their weights are averaged by tokens. Scoring carries state over
-whole documents.
+on every training document once. Shards train side by side, and their weights are averaged by tokens, in two rounds: one
+document in FIRST_ROUND gives a common start, from which the shards of all others go on. Scoring carries state over whole
+documents.
 
 Null, empty and blank texts have the end token only. Repeated rows are each counted, learned from and scored. Null ids
 count as training rows and pass through. Without any training row the counts are 0 and every word is unseen. Further
@@ -30,10 +30,10 @@ from pyspark.sql import functions as F
 from .common import CACHE, fold, read, stored, texts
 
 VOCAB, CLASS, HIDDEN, WINDOW, STREAMS = 2048, 64, 24, 16, 96
-#: One training document in so many trains the network's weights; counts are of all.
-TRAIN_SHARE = 16
-#: Training documents that a shard takes about.
-SHARD_DOCS = 400
+#: One training document in so many is in the first round of training, all others are in the second.
+FIRST_ROUND = 16
+#: Training documents that a shard takes about, over both rounds.
+SHARD_DOCS = 6400
 #: Counts of so many words go to all executors at most; rarer words' counts are joined.
 KNOWN = 100_000
 #: Partial counts that a task holds before it passes them on; documents scored side by side. Memory bounds only.
@@ -190,7 +190,8 @@ def train_shard(p: dict, docs: Iterator[np.ndarray], v_top: int, heads: int, end
         seen += len(ok)
         hh, yy = flat_h[ok], flat_y[ok]
         c = class_of(yy, v_top, heads)
-        scale = np.float32(1 / (WINDOW * STREAMS))  # so that a few last tokens move little
+        scale = np.float32(1 / (WINDOW * STREAMS))
+        rate = np.float32(RATE * len(ok) / (WINDOW * STREAMS))  # so that a few last tokens move little
         pc = np.exp(log_softmax(hh @ p["wc"] + p["bc"]))
         pc[np.arange(len(yy)), c] -= 1
         pc *= scale
@@ -225,12 +226,12 @@ def train_shard(p: dict, docs: Iterator[np.ndarray], v_top: int, heads: int, end
         for k in ("u", "wc", "bc", "ww", "bw"):
             np.clip(grad[k], -0.5, 0.5, out=grad[k])
             g2[k] += grad[k] ** 2
-            p[k] -= RATE * grad[k] / np.sqrt(g2[k]) * (0.5 if k in ("bw", "bc") else 1)
+            p[k] -= rate * grad[k] / np.sqrt(g2[k]) * (0.5 if k in ("bw", "bc") else 1)
         u, inv = np.unique(inputs.ravel(), return_inverse=True)
         gx = np.zeros((len(u), 3 * HIDDEN), np.float32)
         np.add.at(gx, inv, dx.reshape(-1, 3 * HIDDEN))
         g2["x"][u] += gx**2
-        p["x"][u] -= RATE * gx / np.sqrt(g2["x"][u])
+        p["x"][u] -= rate * gx / np.sqrt(g2["x"][u])
 
 
 def encode(ids: dict[bytes, int], ws: list[bytes], n_top: int) -> np.ndarray:
@@ -274,7 +275,9 @@ def fit(docs: DataFrame, text: str, id_col: str) -> tuple[Vocabulary, dict, Data
     head = counts.orderBy(F.desc("n"), "word").limit(KNOWN).toArrow()  # bounded by KNOWN
     pairs = list(zip(head["word"].to_pylist(), head["n"].to_pylist(), strict=True))
     known = dict(pairs)
-    total, distinct = (x or 0 for x in counts.agg(F.sum("n"), F.count("*")).first())
+    total, distinct, n_docs = (x or 0 for x in counts.agg(F.sum("n"), F.count("*"), F.sum(F.when(F.col("word") == F.lit(END), F.col("n")))).first())
+    if n_docs:
+        known[END] = n_docs
     top = [(w, n) for w, n in pairs[:VOCAB] if w != END]
     top.insert(0, (END, known.get(END, 0)))
     top_words = {w for w, _ in top}
@@ -292,8 +295,16 @@ def fit(docs: DataFrame, text: str, id_col: str) -> tuple[Vocabulary, dict, Data
         mass[r.k] += r.m
     v = Vocabulary(top, known, total, distinct, mass)
     p0 = start_weights(v)
-    n_docs = known.get(END, 0)
-    shards = max(1, min(n_docs, round(n_docs / TRAIN_SHARE / SHARD_DOCS)))
+    shards = max(1, round(n_docs / SHARD_DOCS))
+    lot = F.pmod(F.xxhash64(id_col, F.lit("train")), F.lit(FIRST_ROUND))
+    p = p0
+    for mine in (lot == 0, lot != 0):
+        p = round_of_training(docs.where(mine), p, v, shards, text, id_col)
+    return v, p, counts
+
+
+def round_of_training(docs: DataFrame, start: dict, v: Vocabulary, shards: int, text: str, id_col: str) -> dict:
+    """The mean, by tokens, of the weights that the shards of docs learn from start; start if there are no docs."""
     ids, n_top, heads = v.ids, v.n_top, v.heads
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,19 +317,21 @@ def fit(docs: DataFrame, text: str, id_col: str) -> tuple[Vocabulary, dict, Data
                 for t in b.column(0).to_pylist():
                     yield encode(ids, words(t or ""), n_top)
 
-        p, n = train_shard(p0, each(), n_top, heads, ids[END])
+        p, n = train_shard(start, each(), n_top, heads, ids[END])
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([shard[0]], pa.int64()), pa.array([pack(p)], pa.binary()), pa.array([n], pa.int64())], names=["shard", "weights", "tokens"])
 
-    some = docs.where(F.pmod(F.xxhash64(id_col, F.lit("train")), F.lit(TRAIN_SHARE)) == 0).select(F.col(text).alias("_t"), F.col(id_col).alias("_i"))
-    dealt = some.repartition(shards, F.xxhash64("_i", F.lit("deal"))).sortWithinPartitions("_i", "_t").select("_t", F.spark_partition_id().cast("long").alias("s"))
+    some = docs.select(F.col(text).alias("_t"), F.col(id_col).alias("_i"))
+    order = F.coalesce(F.floor(F.log2(F.length("_t") + 1) / 2), F.lit(0))  # long ones first, so that no stream runs on alone
+    # by text as well, so that rows of one id, or of none, don't all meet in one shard
+    dealt = some.repartition(shards, F.xxhash64("_i", "_t")).sortWithinPartitions(order.desc(), F.xxhash64("_i", F.lit("deal")), "_i", "_t").select("_t", F.spark_partition_id().cast("long").alias("s"))
     parts = stored(dealt.mapInArrow(run, "shard long, weights binary, tokens long"), "shards")
     last = averaged(parts).collect()  # at most 16 rows
     if not last:
-        return v, p0, counts
+        return start
     weight = sum(r.tokens for r in last)
     mean = sum(np.frombuffer(r.weights, "<f4").astype(np.float64) * (r.tokens / weight) for r in last)
-    return v, unpack(mean.astype("<f4").tobytes(), p0), counts
+    return unpack(mean.astype("<f4").tobytes(), start)
 
 
 LN10 = math.log(10)
