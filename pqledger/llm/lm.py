@@ -135,6 +135,14 @@ def log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(1, keepdims=True))
 
 
+def softmax(x: np.ndarray) -> np.ndarray:
+    """In place."""
+    x -= x.max(1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(1, keepdims=True)
+    return x
+
+
 def class_of(ids: np.ndarray, v_top: int, heads: int) -> np.ndarray:
     return np.where(ids < v_top, ids // CLASS, ids - v_top + heads)
 
@@ -155,6 +163,7 @@ def log_probs(p: dict, h: np.ndarray, ids: np.ndarray, v_top: int, heads: int) -
 def train_shard(p: dict, docs: Iterator[np.ndarray], v_top: int, heads: int, end: int) -> tuple[dict, int]:
     """Truncated backpropagation over whole documents, laid end to end in STREAMS streams."""
     p = {k: w.copy() for k, w in p.items()}
+    f4 = np.float32
     g2 = {k: np.full_like(w, 1e-2 if k in ("bw", "bc") else 5e-4) for k, w in p.items()}
     more = iter(docs)
     queue: list[np.ndarray] = [np.zeros(0, np.int64)] * STREAMS
@@ -175,62 +184,68 @@ def train_shard(p: dict, docs: Iterator[np.ndarray], v_top: int, heads: int, end
             queue[b] = queue[b][n:]
         if (y < 0).all():
             return p, seen
-        inputs, states, saved = np.empty_like(y), [], []
+        inputs, keep = np.empty_like(y), np.empty((WINDOW, STREAMS, 1), f4)
+        h0, hs, r, z, n, an = (np.empty((WINDOW, STREAMS, HIDDEN), f4) for _ in range(6))
         for t in range(WINDOW):
-            inputs[t] = np.maximum(last, 0)
-            fresh = last == end  # a document begins
-            h = np.where(fresh[:, None], np.float32(0), h)
-            h0 = h
-            h, s = cell(p, h, p["x"][inputs[t]])
-            states.append(h)
-            saved.append((h0, fresh, s))
+            inputs[t] = last
+            keep[t, :, 0] = last != end  # else a document begins
+            h0[t] = h * keep[t]
+            h, (r[t], z[t], n[t], an[t]) = cell(p, h0[t], p["x"][last])
+            hs[t] = h
             last = np.where(y[t] >= 0, y[t], end)
-        flat_h, flat_y = np.concatenate(states), y.ravel()
+        flat_y = y.ravel()
         ok = np.flatnonzero(flat_y >= 0)
         seen += len(ok)
-        hh, yy = flat_h[ok], flat_y[ok]
-        c = class_of(yy, v_top, heads)
-        scale = np.float32(1 / (WINDOW * STREAMS))
-        rate = np.float32(RATE * len(ok) / (WINDOW * STREAMS))  # so that a few last tokens move little
-        pc = np.exp(log_softmax(hh @ p["wc"] + p["bc"]))
+        # rows in the order of their classes, so that each class is one slice
+        c = class_of(flat_y[ok], v_top, heads)
+        order = np.argsort(c, kind="stable")
+        ok, c = ok[order], c[order]
+        hh, yy = hs.reshape(-1, HIDDEN)[ok], flat_y[ok]
+        edges = np.searchsorted(c, np.arange(heads + 1)).tolist()
+        scale = f4(1 / (WINDOW * STREAMS))
+        rate = f4(RATE * len(ok) / (WINDOW * STREAMS))  # so that a few last tokens move little
+        pc = softmax(hh @ p["wc"] + p["bc"])
         pc[np.arange(len(yy)), c] -= 1
         pc *= scale
-        grad = {k: np.zeros_like(p[k]) for k in ("ww", "bw", "u")}
-        grad["wc"], grad["bc"] = hh.T @ pc, pc.sum(0)
+        grad = {"wc": hh.T @ pc, "bc": pc.sum(0), "ww": np.zeros_like(p["ww"]), "bw": np.zeros_like(p["bw"])}
         dh = pc @ p["wc"].T
-        order = np.argsort(c, kind="stable")
-        edges = np.searchsorted(c[order], np.arange(heads + 1))
-        for k in range(heads):
-            rows = order[edges[k] : edges[k + 1]]
-            if len(rows):
-                d = np.exp(log_softmax(hh[rows] @ p["ww"][k] + p["bw"][k]))
-                d[np.arange(len(rows)), yy[rows] - k * CLASS] -= 1
-                d *= scale
-                grad["ww"][k], grad["bw"][k] = hh[rows].T @ d, d.sum(0)
-                dh[rows] += d @ p["ww"][k].T
-        full = np.zeros_like(flat_h)
+        m = edges[-1]  # rows of frequent words
+        if m:
+            pw = p["bw"][c[:m]]
+            some = [(k, edges[k], edges[k + 1]) for k in range(heads) if edges[k] < edges[k + 1]]
+            for k, i, j in some:
+                pw[i:j] += hh[i:j] @ p["ww"][k]
+            pw = softmax(pw)
+            pw[np.arange(m), yy[:m] - c[:m] * CLASS] -= 1
+            pw *= scale
+            for k, i, j in some:
+                grad["ww"][k] = hh[i:j].T @ pw[i:j]
+                dh[i:j] += pw[i:j] @ p["ww"][k].T
+            grad["bw"][[k for k, _, _ in some]] = np.add.reduceat(pw, [i for _, i, _ in some])
+        full = np.zeros((WINDOW * STREAMS, HIDDEN), f4)
         full[ok] = dh
         full = full.reshape(WINDOW, STREAMS, HIDDEN)
-        carry = np.zeros((STREAMS, HIDDEN), np.float32)
-        dx = np.empty((WINDOW, STREAMS, 3 * HIDDEN), np.float32)
+        carry = np.zeros((STREAMS, HIDDEN), f4)
+        dx, da = (np.empty((WINDOW, STREAMS, 3 * HIDDEN), f4) for _ in range(2))
+        to_n, to_z, to_r = (1 - z) * (1 - n * n), (h0 - n) * z * (1 - z), an * r * (1 - r)
         for t in range(WINDOW - 1, -1, -1):
-            h0, fresh, (r, z, n, an) = saved[t]
             d = full[t] + carry
-            dn = d * (1 - z) * (1 - n * n)
-            dz = d * (h0 - n) * z * (1 - z)
-            dr = dn * an * r * (1 - r)
-            dx[t] = np.concatenate([dr, dz, dn], 1)
-            da = np.concatenate([dr, dz, dn * r], 1)
-            grad["u"] += h0.T @ da
-            carry = np.where(fresh[:, None], np.float32(0), d * z + da @ p["u"].T)
-        for k in ("u", "wc", "bc", "ww", "bw"):
-            np.clip(grad[k], -0.5, 0.5, out=grad[k])
-            g2[k] += grad[k] ** 2
-            p[k] -= rate * grad[k] / np.sqrt(g2[k]) * (0.5 if k in ("bw", "bc") else 1)
-        u, inv = np.unique(inputs.ravel(), return_inverse=True)
-        gx = np.zeros((len(u), 3 * HIDDEN), np.float32)
-        np.add.at(gx, inv, dx.reshape(-1, 3 * HIDDEN))
-        g2["x"][u] += gx**2
+            dn = d * to_n[t]
+            da[t, :, :HIDDEN] = dn * to_r[t]
+            da[t, :, HIDDEN : 2 * HIDDEN] = d * to_z[t]
+            da[t, :, 2 * HIDDEN :] = dn * r[t]
+            dx[t, :, 2 * HIDDEN :] = dn
+            carry = (d * z[t] + da[t] @ p["u"].T) * keep[t]
+        dx[:, :, : 2 * HIDDEN] = da[:, :, : 2 * HIDDEN]
+        grad["u"] = h0.reshape(-1, HIDDEN).T @ da.reshape(-1, 3 * HIDDEN)
+        for k, g in grad.items():
+            np.clip(g, -0.5, 0.5, out=g)
+            g2[k] += g * g
+            p[k] -= (rate * f4(0.5) if k in ("bw", "bc") else rate) * g / np.sqrt(g2[k])
+        by_input = np.argsort(inputs, axis=None, kind="stable")
+        u, firsts = np.unique(inputs.ravel()[by_input], return_index=True)
+        gx = np.add.reduceat(dx.reshape(-1, 3 * HIDDEN)[by_input], firsts)
+        g2["x"][u] += gx * gx
         p["x"][u] -= rate * gx / np.sqrt(g2["x"][u])
 
 
