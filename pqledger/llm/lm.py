@@ -37,7 +37,7 @@ SHARD_DOCS = 6400
 #: Counts of so many words go to all executors at most; rarer words' counts are joined.
 KNOWN = 100_000
 #: Partial counts that a task holds before it passes them on; documents scored side by side. Memory bounds only.
-FLUSH, SIDE_BY_SIDE = 400_000, 1024
+FLUSH, SIDE_BY_SIDE = 400_000, 4096
 END = b"\n"  # no word holds white space
 SURFACE = 4 * 3 * 3
 RATE = 0.08
@@ -249,11 +249,21 @@ def train_shard(p: dict, docs: Iterator[np.ndarray], v_top: int, heads: int, end
         p["x"][u] -= rate * gx / np.sqrt(g2["x"][u])
 
 
-def encode(ids: dict[bytes, int], ws: list[bytes], n_top: int) -> np.ndarray:
-    """Ids of a document's tokens, with the end."""
-    out = [i if (i := ids.get(w)) is not None else n_top + surface(w) for w in ws]
-    out.append(ids[END])
-    return np.array(out)
+class Slots(dict):
+    """word -> number; words without one get first + their surface class, remembered while there is room."""
+
+    def __init__(self, numbers: dict[bytes, int], first: int):
+        super().__init__(numbers)
+        self.first, self.room = first, len(numbers) + CACHE
+
+    def __missing__(self, word: bytes) -> int:
+        k = self.first + surface(word)
+        if len(self) < self.room:
+            self[word] = k
+        return k
+
+    def array(self, ws: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, ws), np.int64, len(ws))
 
 
 def pack(p: dict) -> bytes:
@@ -291,8 +301,7 @@ def fit(docs: DataFrame, text: str, id_col: str) -> tuple[Vocabulary, dict, Data
     pairs = list(zip(head["word"].to_pylist(), head["n"].to_pylist(), strict=True))
     known = dict(pairs)
     total, distinct, n_docs = (x or 0 for x in counts.agg(F.sum("n"), F.count("*"), F.sum(F.when(F.col("word") == F.lit(END), F.col("n")))).first())
-    if n_docs:
-        known[END] = n_docs
+    known[END] = n_docs
     top = [(w, n) for w, n in pairs[:VOCAB] if w != END]
     top.insert(0, (END, known.get(END, 0)))
     top_words = {w for w, _ in top}
@@ -323,14 +332,14 @@ def round_of_training(docs: DataFrame, start: dict, v: Vocabulary, shards: int,
     ids, n_top, heads = v.ids, v.n_top, v.heads
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = [None]
+        shard, slots = [None], Slots(ids, n_top)
 
         def each() -> Iterator[np.ndarray]:
             for b in batches:
                 if b.num_rows and shard[0] is None:
                     shard[0] = b.column(1)[0].as_py()
                 for t in b.column(0).to_pylist():
-                    yield encode(ids, words(t or ""), n_top)
+                    yield slots.array([*words(t or ""), END])
 
         p, n = train_shard(start, each(), n_top, heads, ids[END])
         if n:
@@ -386,39 +395,26 @@ def score_batch(p: dict, docs: list[np.ndarray], n_top: int, heads: int, end: in
 
 
 def scored(docs: DataFrame, v: Vocabulary, p: dict, counts: DataFrame, text: str, id_col: str) -> DataFrame:
-    known, ids, n_top, heads, end, mass = v.known, v.ids, v.n_top, v.heads, v.end, [math.log10(m) for m in v.mass]
-    logs = {w: math.log10(n + 0.1) for w, n in known.items()}
-    unseen_end = math.log10(0.1)
+    known, ids, n_top, heads, end = v.known, v.ids, v.n_top, v.heads, v.end
+    n_words = len(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cached: dict[bytes, tuple[int, float]] = {}
+        # of slots: the known words, then the surface classes of all others
+        slots = Slots({w: i for i, w in enumerate(known)}, n_words)
+        net_id = np.array([k if (k := ids.get(w)) is not None else n_top + surface(w) for w in known] + list(range(n_top, n_top + SURFACE)))
+        log = np.concatenate([v.logs(list(known.values())), np.zeros(SURFACE)])
+        share = np.where(net_id < n_top, 0.0, log - np.log10(np.append(v.mass, 1.0))[np.maximum(net_id - n_top, -1)])
         for whole in batches:
             for i in range(0, whole.num_rows, SIDE_BY_SIDE):
                 batch = whole.slice(i, SIDE_BY_SIDE)
                 rows, n, n_known, base, extra, rest_w, rest_n = [], [], [], [], [], [], []
                 for t in texts(batch, "_t"):
-                    e, lb, kn, ex, rest = [], logs.get(END, unseen_end), int(END in logs), 0.0, []
-                    ws = words(t)
-                    for w in ws:
-                        if (got := cached.get(w)) is None:
-                            if len(cached) > CACHE:
-                                cached.clear()
-                            k, l = ids.get(w), logs.get(w)
-                            got = cached[w] = (n_top + surface(w) if k is None else k, l)
-                        k, l = got
-                        e.append(k)
-                        if l is None:
-                            rest.append(w)
-                        else:
-                            lb += l
-                            kn += 1
-                        if k >= n_top:
-                            ex -= mass[k - n_top]
-                            if l is not None:
-                                ex += l
-                    e.append(end)
-                    c = Counter(rest)
-                    rows.append(np.array(e)), n.append(len(e)), n_known.append(kn), base.append(lb), extra.append(ex), rest_w.append(list(c.keys())), rest_n.append(list(c.values()))
+                    ws = [*words(t), END]
+                    at = slots.array(ws)
+                    rest = np.flatnonzero(at >= n_words).tolist()
+                    c = Counter([ws[k] for k in rest])
+                    rows.append(net_id[at])
+                    n.append(len(ws)), n_known.append(len(ws) - len(rest) - (known[END] == 0)), base.append(log[at].sum()), extra.append(share[at].sum()), rest_w.append(list(c.keys())), rest_n.append(list(c.values()))
                 net = score_batch(p, rows, n_top, heads, end)
                 rid = np.frombuffer(os.urandom(8 * len(n)), "<i8")
                 yield pa.RecordBatch.from_arrays(
