@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -46,11 +47,12 @@ class Tokens(dict):
         bare = raw.strip(EDGE)
         low = bare.lower()
         kind = WORD_TYPE
-        if not any(map(str.isalnum, bare)):
+        letters = bare.isalpha()  # holds for most words, and spares them the next two tests
+        if not letters and not any(map(str.isalnum, bare)):
             h = value = 0
         else:
             value = xxhash.xxh3_64_intdigest(low) | 1
-            kind = NUMBER_TYPE if NUMBER.fullmatch(bare) else UNIT_TYPE if low in UNITS else WORD_TYPE
+            kind = NUMBER_TYPE if not letters and NUMBER.fullmatch(bare) else UNIT_TYPE if low in UNITS else WORD_TYPE
             h = value if kind == WORD_TYPE else kind
         got = self[raw] = (h, value, kind, int(bare[:1].isupper()), int(raw.rstrip("\"')]»”’")[-1:] in ".!?:"))
         return got
@@ -70,8 +72,8 @@ def template(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not rows:
         z = np.zeros(0, np.uint64)
         return z, z, np.zeros(0, bool)
-    h, v = (np.fromiter((r[i] for r in rows), np.uint64, len(rows)) for i in (0, 1))
-    kind, cap, stop = (np.fromiter((r[i] for r in rows), np.int8, len(rows)) for i in (2, 3, 4))
+    h, v = (np.fromiter(map(itemgetter(i), rows), np.uint64, len(rows)) for i in (0, 1))
+    kind, cap, stop = (np.fromiter(map(itemgetter(i), rows), np.int8, len(rows)) for i in (2, 3, 4))
     first = np.array(line_start) | np.concatenate([[True], stop[:-1] == 1])
     name = (cap == 1) & ~first & (kind == WORD_TYPE)
     h = np.where(name & (h > 0), np.uint64(NAME_TYPE), h)
