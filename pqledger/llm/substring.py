@@ -1,16 +1,19 @@
-"""Substring dedup: paragraphs are MinHash-banded, verified by exact Jaccard and clustered; finer units catch passages
-that stand inside other paragraphs.
+"""Substring dedup: paragraphs are MinHash-banded, verified by exact Jaccard and clustered; exact windows find passages that
+stand inside other paragraphs.
 
 A paragraph is a line of PARAGRAPH_WORDS words or more. Its MinHash over 5-word shingles falls into bands tuned for high
-recall; paragraphs that collide are verified by exact Jaccard similarity, and components are classes. A unit is a
-piece of a line, cut after words whose hash says so, sentence ends more often: this puts the cuts of a passage at the
-same words wherever it stands; equal units form a class. In each document, runs of neighbouring units of classes that other
-documents share, RUN_WORDS words or more in all, are repeated passages.
+recall; paragraphs that collide are verified by exact Jaccard similarity, and components are classes. A window is
+PASSAGE_WORDS words in a row, across lines; equal windows form a class. The anchor of a window is the least hash of its
+GRAM-word sequences: equal windows have equal anchors, so only windows whose anchor stands elsewhere too are made and
+compared, and none is missed. Neighbouring repeated windows form a passage: exactly the words that lie in a stretch of
+PASSAGE_WORDS words or more which another document has word for word.
 
 Result: one row for each repeated span (doc_id, kind paragraph or passage, start and end in code points, n_words,
-class_id, first_doc, removed). The first occurrence by (doc_id, start) stays (removed false). Repeats within one document
-alone are no result. Null and empty texts have no units; rows that repeat a doc_id are one document; rows of null id
-can't be named and have no result; further columns are not read.
+class_id, first_doc, removed). The first occurrence by (doc_id, start) stays (removed false). Windows that stand earlier and
+windows that stand here first make spans of their own, so a span that stays can reach into one that goes; what goes stands
+in a span that stays. A passage's class_id is its least window, the same for passages of the same extent. Repeats within one
+document alone are no result. Words are lower-cased and split at white space. Null and empty texts have no spans; rows that
+repeat a doc_id are one document; rows of null id can't be named and have no result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -27,12 +30,8 @@ from .linkage import linked, tune_bands
 
 THRESHOLD, SHINGLE = 0.8, 5
 PARAGRAPH_WORDS = 40
-#: A passage's ends may be cut, so a run is somewhat shorter than the passages that must be found.
-RUN_WORDS = 36
-#: At least half a run's words must be in units of so many words; shorter ones are often equal by chance.
-UNIT_WORDS = 4
-#: A unit ends at one word in CUT, and at one sentence end in SENTENCE_CUT.
-CUT, SENTENCE_CUT = 10, 2
+#: Words of a passage at least, and of the sequences that anchor it.
+PASSAGE_WORDS, GRAM = 50, 20
 BANDS, ROWS = tune_bands(THRESHOLD, 0.999, 64)
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 BLANK = np.array([chr(i).isspace() for i in range(0x3001)])
@@ -46,7 +45,7 @@ def sequence_ids(h: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray
 
 
 def split(text: str) -> tuple | None:
-    """(word hashes, units, lines) of a text; units and lines are (first word, words, start, stop), None without a word."""
+    """(word hashes, starts, stops, lines) of a text; lines are (first word, words, start, stop), None without a word."""
     h = WORDS.array(text.lower().split())
     if not len(h):
         return None
@@ -56,15 +55,25 @@ def split(text: str) -> tuple | None:
     starts, stops = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     breaks = np.flatnonzero(code == 10)
     line = np.searchsorted(breaks, starts)
-    ends_line = np.append(line[1:] != line[:-1], True)
-    sentence = np.isin(code[stops - 1], [ord(c) for c in ".!?"])
-    cut = np.flatnonzero(ends_line | (h % np.uint64(CUT) == 0) | (sentence & (h % np.uint64(SENTENCE_CUT) == 0)))
-    first = np.append(0, cut[:-1] + 1)
-    units = first, cut - first + 1, starts[first], stops[cut]
-    cut = np.flatnonzero(ends_line)
+    cut = np.flatnonzero(np.append(line[1:] != line[:-1], True))
     first = np.append(0, cut[:-1] + 1)
     around = np.concatenate([[-1], breaks, [len(code)]])
-    return h, units, (first, cut - first + 1, around[line[first]] + 1, around[line[first] + 1])
+    return h, starts, stops, (first, cut - first + 1, around[line[first]] + 1, around[line[first] + 1])
+
+
+def fused(x: np.ndarray, n: int, pair) -> np.ndarray:
+    """All n neighbours of x made one by pair, in doubling steps; the last two may overlap."""
+    k = 1
+    while 2 * k <= n:
+        x, k = pair(x[:-k], x[k:]), 2 * k
+    return x if k == n else pair(x[: k - n], x[n - k :])
+
+
+def windows(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(anchor, hash) of each window of PASSAGE_WORDS words; h has so many at least."""
+    with np.errstate(over="ignore"):
+        both = lambda a, b: mix(a * np.uint64(3) + b)
+        return fused(fused(h, GRAM, both), PASSAGE_WORDS - GRAM + 1, np.minimum), fused(h, PASSAGE_WORDS, both)
 
 
 def minhash(hashes: list[np.ndarray]) -> np.ndarray:
@@ -83,43 +92,105 @@ def minhash(hashes: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-SCHEMA = "doc_id long, kind int, pos int, start int, stop int, n_words int, id long, buckets array<long>"
+SCHEMA = "doc_id long, tid long, kind int, start int, stop int, n_words int, id long, buckets array<long>"
+
+
+def text_id(h: np.ndarray) -> int:
+    return int(sequence_ids(h, np.zeros(1, np.int64), np.array([len(h)])).view(np.int64)[0])
 
 
 def all_units(df: DataFrame, text: str, id_col: str) -> DataFrame:
-    """kind 0: units; kind 1: paragraphs, with buckets."""
-    names = ["doc_id", "kind", "pos", "start", "stop", "n_words", "id", "buckets"]
+    """kind 0: anchors (id), start and stop are the first and last window's words; kind 1: paragraphs, with buckets;
+    kind 2: texts that have a window, id is the least. tid is a hash of the text's words."""
+    names = ["doc_id", "tid", "kind", "start", "stop", "n_words", "id", "buckets"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for i in range(0, whole.num_rows, 64):
                 batch = whole.slice(i, 64)
-                rows, para, is_para = [], [], []
+                rows, para = [], []
                 for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     if key is None or not t or (got := split(t)) is None:
                         continue
-                    h, *spans = got
-                    for kind, (first, n, start, stop) in enumerate(spans):
-                        ids, pos = sequence_ids(h, first, n), np.arange(len(first))
-                        if kind:
-                            long = np.flatnonzero(n >= PARAGRAPH_WORDS)
-                            first, n, start, stop, ids, pos = (x[long] for x in (first, n, start, stop, ids, pos))
-                            s = shingles(h, SHINGLE) if len(long) else h
-                            para += [s[a : a + m - SHINGLE + 1] for a, m in zip(first.tolist(), n.tolist(), strict=True)]
-                        rows.append((np.full(len(n), key), np.full(len(n), kind), pos, start, stop, n, ids.view(np.int64)))
-                        is_para.append(np.full(len(n), kind == 1))
+                    h, starts, stops, (first, n, start, stop) = got
+                    tid = text_id(h)
+
+                    def add(kind, start, stop, n, ids, key=key, tid=tid):
+                        full = lambda x: np.full(len(ids), x)
+                        rows.append((full(key), full(tid), full(kind), start, stop, n, ids.view(np.int64)))
+
+                    if len(h) >= PASSAGE_WORDS:
+                        anchor, w = windows(h)
+                        ids, at = np.unique(anchor, return_index=True)
+                        last = len(anchor) - 1 - np.unique(anchor[::-1], return_index=True)[1]
+                        add(0, at, last, np.full(len(at), GRAM), ids)
+                        add(2, starts[:1], stops[-1:], np.array([len(h)]), w.min(keepdims=True))
+                    long = np.flatnonzero(n >= PARAGRAPH_WORDS)
+                    if len(long):
+                        ids = sequence_ids(h, first, n)
+                        first, n, start, stop, ids = (x[long] for x in (first, n, start, stop, ids))
+                        s = shingles(h, SHINGLE)
+                        para += [s[a : a + m - SHINGLE + 1] for a, m in zip(first.tolist(), n.tolist(), strict=True)]
+                        add(1, start, stop, n, ids)
                 if not rows:
                     continue
                 flat = minhash(para).view(np.int64).ravel() if para else np.zeros(0, np.int64)
-                para_rows = np.concatenate(is_para)
-                at = np.concatenate([[0], np.cumsum(np.where(para_rows, BANDS, 0))]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat), mask=pa.array(~para_rows))
-                doc, *ints, ids = (np.concatenate(x) for x in zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), *(pa.array(x.astype(np.int32)) for x in ints), pa.array(ids), lists], names=names)
+                doc, tids, kind, *ints, ids = (np.concatenate(x) for x in zip(*rows, strict=True))
+                at = np.concatenate([[0], np.cumsum(np.where(kind == 1, BANDS, 0))]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat), mask=pa.array(kind != 1))
+                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(tids, pa.int64()), *(pa.array(x.astype(np.int32)) for x in (kind, *ints)), pa.array(ids), lists], names=names)
 
     return df.select(F.col(id_col).cast("long"), F.col(text)).mapInArrow(run, SCHEMA)
 
 
+def shared_windows(items: DataFrame) -> DataFrame:
+    """Windows whose anchor is wanted, or all of a copied text; items: (doc_id, text, tid, copied, anchors)."""
+    names = ["doc_id", "tid", "copied", "pos", "start", "stop", "w"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, 64):
+                out = []
+                for key, t, tid, copied, anchors in zip(*(c.to_pylist() for c in whole.slice(i, 64).columns), strict=True):
+                    # a repeated doc_id brings each of its texts; the one that has the hash is right
+                    if not t or (got := split(t)) is None or text_id(got[0]) != tid:
+                        continue
+                    h, starts, stops, _ = got
+                    anchor, w = windows(h)
+                    at = np.arange(len(w)) if copied else np.flatnonzero(np.isin(anchor.view(np.int64), np.array(anchors, np.int64)))
+                    full = lambda x, n=len(at): np.full(n, x)
+                    out.append((full(key), full(tid), full(copied), at, starts[at], stops[at + PASSAGE_WORDS - 1], w[at].view(np.int64)))
+                if out:
+                    doc, tids, copied, *ints, w = (np.concatenate(x) for x in zip(*out, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(tids, pa.int64()), pa.array(copied), *(pa.array(x.astype(np.int32)) for x in ints), pa.array(w)], names=names)
+
+    return items.mapInArrow(run, "doc_id long, tid long, copied boolean, pos int, start int, stop int, w long")
+
+
+def repeated_passages(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """Spans of the windows that stand in other places; found: all_units, docs: (doc_id, text)."""
+    full = found.where("kind = 2").select("doc_id", "tid", "start", "stop", "n_words", "id").dropDuplicates(["doc_id", "tid"])
+    # of texts with the same words, the one of the least doc_id speaks for all, and the others go as wholes
+    texts = full.groupBy("tid").agg(F.min("doc_id").alias("first_doc"), (F.count("*") > 1).alias("copied"))
+    anchors = found.where("kind = 0").select("id", "tid", "start", "stop")
+    shared = anchors.groupBy("id").agg(F.min("tid").alias("x"), F.max("tid").alias("y")).where("x <> y").select("id")
+    lists = anchors.join(shared, "id", "left_semi").groupBy("tid").agg(F.collect_set("id").alias("anchors"))
+    wanted = stored(texts.join(lists, "tid", "left").where("copied or anchors is not null").withColumnRenamed("first_doc", "doc_id"), "wanted")
+    items = docs.join(wanted, "doc_id").select("doc_id", "text", "tid", "copied", F.coalesce("anchors", F.array().cast("array<long>")))
+    place = F.struct("doc_id", "tid", "pos")
+    w = stored(shared_windows(items), "windows")
+    classes = w.groupBy("w").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.max("copied").alias("any")).where("any or first.tid <> last.tid").select("w", "first")
+    hit = w.join(classes, "w").withColumn("later", place != F.col("first"))
+    island = F.col("pos") - F.dense_rank().over(Window.partitionBy("doc_id", "tid", "later").orderBy("pos"))
+    runs = hit.withColumn("island", island).groupBy("doc_id", "tid", "later", "island").agg(
+        F.min("start").alias("start"), F.max("stop").alias("end"), (F.max("pos") - F.min("pos") + PASSAGE_WORDS).cast("int").alias("n_words"),
+        F.min("w").alias("class_id"), F.min("first.doc_id").alias("first_doc"))
+    copies = full.join(texts.where("copied"), "tid").where("doc_id <> first_doc")
+    passage = F.lit("passage").alias("kind")
+    return runs.select("doc_id", passage, "start", "end", "n_words", "class_id", "first_doc", F.col("later").alias("removed")).unionByName(
+        copies.select("doc_id", passage, "start", F.col("stop").alias("end"), "n_words", F.col("id").alias("class_id"), "first_doc", F.lit(True).alias("removed")))
+
+
 def repeated_spans(df: DataFrame, text: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     found = stored(all_units(df, text, id_col), "units")
     # paragraphs: distinct ones are banded, linked and classed
@@ -134,16 +205,12 @@ def repeated_spans(df: DataFrame, text: str = "text", id_col: str = "doc_id", th
     # a repeated doc_id brings its span from each row; the one that has the paragraph's hash is right
     items = items.join(spots, "_d").select("id", F.expr("substring(_t, start + 1, stop - start)").alias("text")).dropDuplicates(["id", "text"])
     _, classes = linked(buckets, items, threshold, False, SHINGLE)
-    unit_class = found.select("doc_id", "kind", "pos", "start", "stop", "n_words", "id").join(classes.withColumn("kind", F.lit(1)), ["id", "kind"], "left").withColumn("class_id", F.coalesce("class_id", "id")).drop("id")
-    groups = unit_class.groupBy("kind", "class_id").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.min(F.struct("doc_id", "start")).alias("first")).where("first_doc <> last_doc").drop("last_doc")
-    hit = unit_class.join(groups, ["kind", "class_id"]).withColumn("later", F.struct("doc_id", "start") != F.col("first"))
-    paragraphs = hit.where("kind = 1").select("doc_id", F.lit("paragraph").alias("kind"), "start", F.col("stop").alias("end"), "n_words", "class_id", "first_doc", F.col("later").alias("removed"))
-    island = F.col("pos") - F.row_number().over(Window.partitionBy("doc_id").orderBy("pos"))
-    runs = hit.where("kind = 0").dropDuplicates(["doc_id", "pos"]).withColumn("island", island).groupBy("doc_id", "island").agg(
-        F.min("start").alias("start"), F.max("stop").alias("end"), F.sum("n_words").alias("n_words"), F.sum(F.when(F.col("n_words") >= UNIT_WORDS, F.col("n_words")).otherwise(0)).alias("solid"),
-        F.min("class_id").alias("class_id"), F.min("first_doc").alias("first_doc"), F.bool_or("later").alias("removed"))
-    passages = runs.where((F.col("n_words") >= RUN_WORDS) & (2 * F.col("solid") >= F.col("n_words"))).select("doc_id", F.lit("passage").alias("kind"), "start", "end", F.col("n_words").cast("int").alias("n_words"), "class_id", "first_doc", "removed")
-    return paragraphs.unionByName(passages)
+    line_class = para.select("doc_id", "start", "stop", "n_words", "id").join(classes, "id", "left").withColumn("class_id", F.coalesce("class_id", "id")).drop("id")
+    groups = line_class.groupBy("class_id").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.min(F.struct("doc_id", "start")).alias("first")).where("first_doc <> last_doc").drop("last_doc")
+    later = F.struct("doc_id", "start") != F.col("first")
+    paragraphs = line_class.join(groups, "class_id").select("doc_id", F.lit("paragraph").alias("kind"), "start", F.col("stop").alias("end"), "n_words", "class_id", "first_doc", later.alias("removed"))
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return paragraphs.unionByName(repeated_passages(found, docs))
 
 
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:

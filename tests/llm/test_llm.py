@@ -298,3 +298,14 @@ def test_pipeline(spark, tmp_path):
     assert not ids & leaks and len({classes[i] for i in ids}) == len(ids)
     final = cp.STAGES[-1][1](spark, kept, SF)
     assert final.count() == kept.count() and final.agg(F.sum("n_tokens")).first()[0] == final.orderBy(F.desc("start")).select(F.col("start") + F.col("n_tokens")).first()[0]
+
+
+def test_substring_keeps_the_first_copy(spark):
+    # the passage's words also stand one by one in an earlier document, which doesn't hold it
+    passage = words(30, 80)
+    apart = ". ".join(f"{w}. y{i}" for i, w in enumerate(passage))
+    rows = [(0, apart)] + [(i, " ".join(words(30 + i, 60, 1) + passage + words(30 + i, 60, 2))) for i in (1, 2, 3)]
+    got = [r for r in substring.repeated_spans(frame(spark, rows)).collect() if r.kind == "passage"]
+    text = dict(rows)
+    assert {(r.doc_id, r.removed, text[r.doc_id][r.start : r.end]) for r in got} == {(i, i > 1, " ".join(passage)) for i in (1, 2, 3)} and len(got) == 3
+    assert {(r.n_words, r.first_doc) for r in got} == {(80, 1)} and len({r.class_id for r in got}) == 1
