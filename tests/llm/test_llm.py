@@ -309,3 +309,29 @@ def test_substring_keeps_the_first_copy(spark):
     text = dict(rows)
     assert {(r.doc_id, r.removed, text[r.doc_id][r.start : r.end]) for r in got} == {(i, i > 1, " ".join(passage)) for i in (1, 2, 3)} and len(got) == 3
     assert {(r.n_words, r.first_doc) for r in got} == {(80, 1)} and len({r.class_id for r in got}) == 1
+
+
+def test_substring_finds_every_passage_of_fifty_words(spark):
+    rng, vocab = np.random.default_rng(4), words(40, 400)
+    texts = {i: words(50 + i, 120, 3) for i in range(40)}
+    for n in (49, 50, 51, 55, 60, 100):
+        passage = list(rng.choice(vocab, n))
+        for i in rng.choice(40, 2, replace=False).tolist():
+            at = int(rng.integers(1, len(texts[i])))
+            texts[i] = texts[i][:at] + passage + texts[i][at:]
+    texts |= {40: texts[3], 41: texts[5][10:90], 42: texts[5][40:] + texts[7][:70]}
+    places = collections.defaultdict(list)
+    for i, t in sorted(texts.items()):
+        for p in range(len(t) - 49):
+            places[tuple(t[p : p + 50])].append((i, p))
+    want = {True: collections.defaultdict(set), False: collections.defaultdict(set)}
+    for at in places.values():
+        for i, p in at if len({i for i, _ in at}) > 1 else []:
+            want[(i, p) != at[0]][i].update(range(p, p + 50))
+    got = {True: collections.defaultdict(set), False: collections.defaultdict(set)}
+    for r in substring.repeated_spans(frame(spark, [(i, " ".join(t)) for i, t in texts.items()])).where("kind = 'passage'").collect():
+        text = " ".join(texts[r.doc_id])
+        first = len(text[: r.start].split())
+        assert len(text[r.start : r.end].split()) == r.n_words
+        got[r.removed][r.doc_id].update(range(first, first + r.n_words))
+    assert got == want and len(want[True]) >= 7
