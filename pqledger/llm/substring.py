@@ -1,17 +1,17 @@
 """Substring dedup: paragraphs are MinHash-banded, verified by exact Jaccard and clustered; exact windows find passages that
 stand inside other paragraphs.
 
-A paragraph is a line of PARAGRAPH_WORDS words or more. Its MinHash over 5-word shingles falls into bands tuned for high
-recall; paragraphs that collide are verified by exact Jaccard similarity, and components are classes. A window is
-PASSAGE_WORDS words in a row, across lines; equal windows form a class. The anchor of a window is the least hash of its
-GRAM-word sequences: equal windows have equal anchors, so only windows whose anchor stands elsewhere too are made and
-compared, and none is missed. Neighbouring repeated windows form a passage: exactly the words that lie in a stretch of
-PASSAGE_WORDS words or more which another document has word for word.
+A paragraph is a line of SHINGLE words or more; shorter lines are left out. Its MinHash over 5-word shingles falls into
+bands tuned for high recall; paragraphs that collide are verified by exact Jaccard similarity, and components are classes.
+A window is PASSAGE_WORDS words in a row, across lines; equal windows form a class. The anchor of a window is the least
+hash of its GRAM-word sequences: equal windows have equal anchors, so only windows whose anchor stands elsewhere too are
+made and compared, and none is missed. Neighbouring repeated windows form a passage: exactly the words that lie in a
+stretch of PASSAGE_WORDS words or more which another document has word for word.
 
 Result: one row for each repeated span (doc_id, kind paragraph or passage, start and end in code points, n_words,
 class_id, first_doc, removed). The first occurrence by (doc_id, start) stays (removed false). Windows that stand earlier and
-windows that stand here first make spans of their own, so a span that stays can reach into one that goes; what goes stands
-in a span that stays. A passage's class_id is its least window, the same for passages of the same extent. Repeats within one
+windows that stand here first make spans of their own, so a span that stays can reach into one that goes; every
+word that goes has a copy in an earlier place that stays. A passage's class_id is its least window, the same for passages of the same extent. Repeats within one
 document alone are no result. Words are lower-cased and split at white space. Null and empty texts have no spans; rows that
 repeat a doc_id are one document; rows of null id can't be named and have no result; further columns are not read.
 """
@@ -29,7 +29,6 @@ from .common import WORDS, mix, read, shingles, stored
 from .linkage import linked, tune_bands
 
 THRESHOLD, SHINGLE = 0.8, 5
-PARAGRAPH_WORDS = 40
 #: Words of a passage at least, and of the sequences that anchor it.
 PASSAGE_WORDS, GRAM = 50, 20
 BANDS, ROWS = tune_bands(THRESHOLD, 0.999, 64)
@@ -125,7 +124,7 @@ def all_units(df: DataFrame, text: str, id_col: str) -> DataFrame:
                         last = len(anchor) - 1 - np.unique(anchor[::-1], return_index=True)[1]
                         add(0, at, last, np.full(len(at), GRAM), ids)
                         add(2, starts[:1], stops[-1:], np.array([len(h)]), w.min(keepdims=True))
-                    long = np.flatnonzero(n >= PARAGRAPH_WORDS)
+                    long = np.flatnonzero(n >= SHINGLE)
                     if len(long):
                         ids = sequence_ids(h, first, n)
                         first, n, start, stop, ids = (x[long] for x in (first, n, start, stop, ids))

@@ -335,3 +335,10 @@ def test_substring_finds_every_passage_of_fifty_words(spark):
         assert len(text[r.start : r.end].split()) == r.n_words
         got[r.removed][r.doc_id].update(range(first, first + r.n_words))
     assert got == want and len(want[True]) >= 7
+
+
+def test_substring_compares_short_lines(spark):
+    line = words(60, 30)
+    rows = [(1, " ".join(line)), (2, " ".join(words(61, 9)) + "\n" + " ".join(line[:-1] + ["x"])), (3, "a b c d e"), (4, "q\na b c d e"), (5, "a b c d"), (6, "a b c d")]
+    got = substring.repeated_spans(frame(spark, rows)).collect()
+    assert {(r.doc_id, r.kind, r.first_doc, r.removed) for r in got} == {(1, "paragraph", 1, False), (2, "paragraph", 1, True), (3, "paragraph", 3, False), (4, "paragraph", 3, True)}
