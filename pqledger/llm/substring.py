@@ -6,14 +6,15 @@ bands tuned for high recall; paragraphs that collide are verified by exact Jacca
 A window is PASSAGE_WORDS words in a row, across lines; equal windows form a class. The anchor of a window is the least
 hash of its GRAM-word sequences: equal windows have equal anchors, so only windows whose anchor stands elsewhere too are
 made and compared, and none is missed. Neighbouring repeated windows form a passage: exactly the words that lie in a
-stretch of PASSAGE_WORDS words or more which another document has word for word.
+stretch of PASSAGE_WORDS words or more which another place has word for word. Places within one document count too, where
+they don't overlap: of a text that repeats a short period, the first two windows' worth at most stays.
 
 Result: one row for each repeated span (doc_id, kind paragraph or passage, start and end in code points, n_words,
 class_id, first_doc, removed). The first occurrence by (doc_id, start) stays (removed false). Windows that stand earlier and
-windows that stand here first make spans of their own, so a span that stays can reach into one that goes; every
-word that goes has a copy in an earlier place that stays. A passage's class_id is its least window, the same for passages of the same extent. Repeats within one
-document alone are no result. Words are lower-cased and split at white space. Null and empty texts have no spans; rows that
-repeat a doc_id are one document; rows of null id can't be named and have no result; further columns are not read.
+windows that stand here first make spans of their own, so a span that stays can reach into one that goes; every word that
+goes has a copy in an earlier place that stays. A passage's class_id is its least window, the same for passages of the
+same extent. Words are lower-cased and split at white space. Null and empty texts have no spans; rows that repeat a doc_id
+are one document; rows of null id can't be named and have no result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -172,14 +173,16 @@ def repeated_passages(found: DataFrame, docs: DataFrame) -> DataFrame:
     # of texts with the same words, the one of the least doc_id speaks for all, and the others go as wholes
     texts = full.groupBy("tid").agg(F.min("doc_id").alias("first_doc"), (F.count("*") > 1).alias("copied"))
     anchors = found.where("kind = 0").select("id", "tid", "start", "stop")
-    shared = anchors.groupBy("id").agg(F.min("tid").alias("x"), F.max("tid").alias("y")).where("x <> y").select("id")
+    shared = anchors.groupBy("id").agg(F.min("tid").alias("x"), F.max("tid").alias("y"), F.max(F.col("stop") - F.col("start")).alias("far")).where(f"x <> y or far >= {PASSAGE_WORDS}").select("id")
     lists = anchors.join(shared, "id", "left_semi").groupBy("tid").agg(F.collect_set("id").alias("anchors"))
     wanted = stored(texts.join(lists, "tid", "left").where("copied or anchors is not null").withColumnRenamed("first_doc", "doc_id"), "wanted")
     items = docs.join(wanted, "doc_id").select("doc_id", "text", "tid", "copied", F.coalesce("anchors", F.array().cast("array<long>")))
     place = F.struct("doc_id", "tid", "pos")
     w = stored(shared_windows(items), "windows")
-    classes = w.groupBy("w").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.max("copied").alias("any")).where("any or first.tid <> last.tid").select("w", "first")
-    hit = w.join(classes, "w").withColumn("later", place != F.col("first"))
+    classes = w.groupBy("w").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.max("copied").alias("any")).where(f"any or first.tid <> last.tid or last.pos - first.pos >= {PASSAGE_WORDS}").select("w", "first")
+    # a window that overlaps its own first copy is not yet a repeat of it
+    overlaps = (F.col("tid") == F.col("first.tid")) & (F.col("pos") - F.col("first.pos") < PASSAGE_WORDS)
+    hit = w.join(classes, "w").withColumn("later", (place != F.col("first")) & ~overlaps)
     island = F.col("pos") - F.dense_rank().over(Window.partitionBy("doc_id", "tid", "later").orderBy("pos"))
     runs = hit.withColumn("island", island).groupBy("doc_id", "tid", "later", "island").agg(
         F.min("start").alias("start"), F.max("stop").alias("end"), (F.max("pos") - F.min("pos") + PASSAGE_WORDS).cast("int").alias("n_words"),
@@ -205,8 +208,9 @@ def repeated_spans(df: DataFrame, text: str = "text", id_col: str = "doc_id", th
     items = items.join(spots, "_d").select("id", F.expr("substring(_t, start + 1, stop - start)").alias("text")).dropDuplicates(["id", "text"])
     _, classes = linked(buckets, items, threshold, False, SHINGLE)
     line_class = para.select("doc_id", "start", "stop", "n_words", "id").join(classes, "id", "left").withColumn("class_id", F.coalesce("class_id", "id")).drop("id")
-    groups = line_class.groupBy("class_id").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.min(F.struct("doc_id", "start")).alias("first")).where("first_doc <> last_doc").drop("last_doc")
-    later = F.struct("doc_id", "start") != F.col("first")
+    place = F.struct("doc_id", "start")
+    groups = line_class.groupBy("class_id").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("class_id", "first", F.col("first.doc_id").alias("first_doc"))
+    later = place != F.col("first")
     paragraphs = line_class.join(groups, "class_id").select("doc_id", F.lit("paragraph").alias("kind"), "start", F.col("stop").alias("end"), "n_words", "class_id", "first_doc", later.alias("removed"))
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return paragraphs.unionByName(repeated_passages(found, docs))

@@ -342,3 +342,15 @@ def test_substring_compares_short_lines(spark):
     rows = [(1, " ".join(line)), (2, " ".join(words(61, 9)) + "\n" + " ".join(line[:-1] + ["x"])), (3, "a b c d e"), (4, "q\na b c d e"), (5, "a b c d"), (6, "a b c d")]
     got = substring.repeated_spans(frame(spark, rows)).collect()
     assert {(r.doc_id, r.kind, r.first_doc, r.removed) for r in got} == {(1, "paragraph", 1, False), (2, "paragraph", 1, True), (3, "paragraph", 3, False), (4, "paragraph", 3, True)}
+
+
+def test_substring_within_one_document(spark):
+    passage, line = words(70, 60), " ".join(words(71, 12))
+    rows = [(1, " ".join(words(72, 70) + passage + words(73, 70) + passage)), (2, f"{line}\na b c d e\n{line}"), (3, "word " * 3000), (4, "few " * 60)]
+    got = substring.repeated_spans(frame(spark, rows)).collect()
+    text = dict(rows)
+    assert sorted((r.removed, text[1][r.start : r.end]) for r in got if r.doc_id == 1 and r.kind == "passage") == [(i, " ".join(passage)) for i in (False, True)]
+    assert sorted((r.start, r.removed) for r in got if r.doc_id == 2) == [(0, False), (len(line) + 11, True)]
+    # what goes of a text that repeats one word leaves its first window whole
+    assert [(r.start, r.n_words) for r in got if r.doc_id == 3 and r.removed] == [(5 * 50, 2950)] and not [r for r in got if r.doc_id == 4]
+    assert all(r.first_doc == r.doc_id for r in got)
