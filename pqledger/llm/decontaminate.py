@@ -3,8 +3,9 @@
 Numbers, names and units of both sides become typed placeholders; windows of WINDOW template words are hash-joined. For
 each document and item, matched windows that lie on one diagonal (the same distance between both places) form a run, in
 which each benchmark slot value must always stand for the same document value. A run convicts if it covers RUN_WORDS
-template words, or nearly all of a shorter item, and its slots are consistent. So questions with other numbers or names
-are caught as well as exact copies.
+template words and its slots are consistent, and so does any consistent stretch of BROKEN_WORDS in a run whose slots aren't;
+a diagonal of consistent slots also convicts if it covers nearly all of a shorter item. So questions with other numbers or
+names are caught as well as exact copies.
 
 Words are lower-cased and stripped of edge punctuation; words without letters or digits vanish. A name is a capitalised
 word that doesn't begin a sentence or a line. Items without a window (under MIN_WORDS words) match nothing; null and
@@ -29,6 +30,8 @@ from .common import CACHE, mix, read, steps, stored
 WINDOW, MIN_WORDS, RUN_WORDS, COVER = 8, 8, 13, 0.8
 #: A window needs so many words that aren't placeholders.
 LITERALS = 4
+#: In a run whose slots contradict each other, a consistent stretch convicts from so many words: two windows side by side.
+BROKEN_WORDS = 2 * WINDOW
 #: Window hashes of the benchmark that are sent to all executors at most (8 bytes each); beyond, windows are joined by shuffle alone.
 BROADCAST_WINDOWS = 1 << 21
 NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*%?")
@@ -122,6 +125,44 @@ def window_rows(df: DataFrame, text: str, id_col: str, only: np.ndarray | None =
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("_t")).mapInArrow(run, SCHEMA)
 
 
+def judge(at: list[int], words: int, slots: list[tuple[int, int, int]]) -> tuple[int, int, bool]:
+    """(covered words, longest consistent stretch, convicted) of a diagonal: its windows' places in the item and slots (place, value, document's value), both sorted."""
+    runs: list[list[int]] = []
+    for p in at:
+        if runs and p <= runs[-1][1]:
+            runs[-1][1] = p + WINDOW
+        else:
+            runs.append([p, p + WINDOW])
+    cover, longest, bad, k = sum(e - s for s, e in runs), 0, False, 0
+    for s, e in runs:
+        left, best, seen = s, 0, {}
+        while k < len(slots) and slots[k][0] < e:
+            p, a, b = slots[k]
+            clash = max((q + 1 for c, q in seen.get(a, {}).items() if c != b), default=left)
+            if clash > left:
+                best, left = max(best, p - left), clash
+            seen.setdefault(a, {})[b] = p
+            k += 1
+        best = max(best, e - left)
+        longest, bad = max(longest, best), bad or best >= (RUN_WORDS if left == s else BROKEN_WORDS)
+    one = len({x[1] for x in slots}) == len({x[1:] for x in slots})
+    return cover, longest, bad or (one and cover >= COVER * words)
+
+
+def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The convicted diagonals of (id, item_id, item_words, at, slots)."""
+    for batch in batches:
+        out = []
+        for key, item, words, at, slots in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            triples = sorted((x["p"], x["a"], x["b"]) for x in slots)
+            cover, longest, bad = judge(at, words, triples)
+            if bad:
+                out.append((key, item, words, cover, longest, len({x[1:] for x in triples})))
+        if out:
+            names = ["id", "item_id", "item_words", "covered_words", "longest_run", "slots"]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64() if i < 2 else pa.int32()) for i, x in enumerate(zip(*out, strict=True))], names=names)
+
+
 def contaminated(docs: DataFrame, bench: DataFrame, text: str = "text", id_col: str = "doc_id", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
     """One row for each convicted (doc_id, item_id): covered words, the longest run, item words, slots and distinct slot values."""
     items = stored(window_rows(bench, item_text, item_id).distinct(), "items")
@@ -132,21 +173,10 @@ def contaminated(docs: DataFrame, bench: DataFrame, text: str = "text", id_col:
     mine = window_rows(docs, text, id_col, only)
     other = items.select("w", F.col("id").alias("item_id"), F.col("pos").alias("ipos"), F.col("n").alias("item_words"), F.col("slots").alias("islots"))
     hits = mine.drop("n").distinct().join(F.broadcast(other) if n <= BROADCAST_WINDOWS // 64 else other, "w").withColumn("diagonal", F.col("pos") - F.col("ipos"))
-    pairs = F.filter(F.transform(F.arrays_zip("islots", "slots"), lambda x: F.when(x.islots != -1, F.struct(x.islots.alias("a"), x.slots.alias("b")))), lambda x: x.isNotNull())
-    # places of a diagonal's windows, made into runs of windows that touch or overlap
+    pairs = F.filter(F.transform(F.arrays_zip("islots", "slots"), lambda x, i: F.when(x.islots != -1, F.struct((F.col("ipos") + i).alias("p"), x.islots.alias("a"), x.slots.alias("b")))), lambda x: x.isNotNull())
     g = hits.groupBy("id", "item_id", "diagonal").agg(
         F.max("item_words").alias("item_words"), F.sort_array(F.collect_set("ipos")).alias("at"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("slots"))
-    zero = F.struct(F.lit(0).alias("cover"), F.lit(0).alias("run"), F.lit(0).alias("best"), F.lit(-1000000).alias("end"))
-
-    def step(s, p):
-        add = F.least(F.lit(WINDOW), p + WINDOW - s.end)
-        run = F.when(p <= s.end, s.run + add).otherwise(F.lit(WINDOW))
-        return F.struct((s.cover + add).alias("cover"), run.alias("run"), F.greatest(s.best, run).alias("best"), (p + WINDOW).alias("end"))
-
-    g = g.withColumn("r", F.aggregate("at", zero, step))
-    consistent = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda x: x.a)))
-    g = g.select("id", "item_id", "diagonal", "item_words", F.col("r.cover").alias("covered_words"), F.col("r.best").alias("longest_run"), F.size("slots").alias("slots"), consistent.alias("consistent"))
-    bad = g.where(F.col("consistent") & ((F.col("longest_run") >= RUN_WORDS) | (F.col("covered_words") >= COVER * F.col("item_words"))))
+    bad = g.select("id", "item_id", "item_words", "at", "slots").mapInArrow(judged, "id long, item_id long, item_words int, covered_words int, longest_run int, slots int")
     best = F.max(F.struct("longest_run", "covered_words", "item_words", "slots"))
     return bad.groupBy(F.col("id").alias("doc_id"), "item_id").agg(best.alias("b"), F.count("*").alias("n_places")).select("doc_id", "item_id", "b.longest_run", "b.covered_words", "b.item_words", "b.slots", "n_places")
 

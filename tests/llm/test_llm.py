@@ -354,3 +354,13 @@ def test_substring_within_one_document(spark):
     # what goes of a text that repeats one word leaves its first window whole
     assert [(r.start, r.n_words) for r in got if r.doc_id == 3 and r.removed] == [(5 * 50, 2950)] and not [r for r in got if r.doc_id == 4]
     assert all(r.first_doc == r.doc_id for r in got)
+
+
+def test_decontamination_of_long_copies_with_one_changed_slot(spark):
+    item = words(80, 200)
+    item[20], item[60], item[190] = "25", "25", "25"
+    rows = [(1, " ".join(item)), (2, " ".join(item[:190] + ["26"] + item[191:])), (3, " ".join(item[50:66] + words(81, 90))), (4, " ".join(words(82, 200)))]
+    b = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert {(r.doc_id, r.longest_run) for r in decontaminate.contaminated(frame(spark, rows), b).collect()} == {(1, 200), (2, 190), (3, 16)}
+    two = decontaminate.judge([0, 5, 30, 35], 60, [(2, 7, 8), (32, 7, 9)])
+    assert two == (26, 13, True)  # runs that don't touch are each consistent
