@@ -7,8 +7,11 @@ template words and its slots are consistent, and so does any consistent stretch
 a diagonal of consistent slots also convicts if it covers nearly all of a shorter item. So questions with other numbers or
 names are caught as well as exact copies.
 
-Words are lower-cased and stripped of edge punctuation; words without letters or digits vanish. A name is a capitalised
-word that doesn't begin a sentence or a line. Items without a window (under MIN_WORDS words) match nothing; null and
+Words are case-folded and stripped of edge punctuation; words without letters or digits vanish. A name is a capitalised
+word that doesn't begin a sentence or a line; every window with a name also counts with its names as plain words, so copies
+in capitals or in title case match, and a window of too few literal words counts as it is written. An item under WINDOW
+words matches as a whole, without placeholders; one under SHORT_WORDS words stands in too many texts by chance and
+matches nothing; null and
 empty texts on either side match nothing; rows that repeat an id are treated as one text's further copies; null ids
 can't be named: their rows are never convicted. Further columns are not read.
 """
@@ -27,9 +30,11 @@ from pyspark.sql import functions as F
 
 from .common import CACHE, mix, read, steps, stored
 
-WINDOW, MIN_WORDS, RUN_WORDS, COVER = 8, 8, 13, 0.8
-#: A window needs so many words that aren't placeholders.
+WINDOW, RUN_WORDS, COVER = 8, 13, 0.8
+#: A window of placeholders needs so many words that aren't placeholders, else its words count as they are.
 LITERALS = 4
+#: Items of fewer words match nothing.
+SHORT_WORDS = 4
 #: In a run whose slots contradict each other, a consistent stretch convicts from so many words: two windows side by side.
 BROKEN_WORDS = 2 * WINDOW
 #: Window hashes of the benchmark that are sent to all executors at most (8 bytes each); beyond, windows are joined by shuffle alone.
@@ -48,7 +53,7 @@ class Tokens(dict):
         if len(self) >= CACHE:
             self.clear()
         bare = raw.strip(EDGE)
-        low = bare.lower()
+        low = bare.casefold()  # so that ß and SS are the same
         kind = WORD_TYPE
         letters = bare.isalpha()  # holds for most words, and spares them the next two tests
         if not letters and not any(map(str.isalnum, bare)):
@@ -64,8 +69,8 @@ class Tokens(dict):
 TOKENS = Tokens()
 
 
-def template(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(form hashes, value hashes, is a slot) of a text's template words."""
+def template(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(form hashes, value hashes, is a slot, is a name) of a text's template words."""
     rows: list[tuple[int, int, int, int, int]] = []
     line_start = []
     for line in text.split("\n"):
@@ -74,35 +79,55 @@ def template(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         rows += map(TOKENS.__getitem__, words)
     if not rows:
         z = np.zeros(0, np.uint64)
-        return z, z, np.zeros(0, bool)
+        return z, z, np.zeros(0, bool), np.zeros(0, bool)
     h, v = (np.fromiter(map(itemgetter(i), rows), np.uint64, len(rows)) for i in (0, 1))
     kind, cap, stop = (np.fromiter(map(itemgetter(i), rows), np.int8, len(rows)) for i in (2, 3, 4))
     first = np.array(line_start) | np.concatenate([[True], stop[:-1] == 1])
     name = (cap == 1) & ~first & (kind == WORD_TYPE)
     h = np.where(name & (h > 0), np.uint64(NAME_TYPE), h)
     keep = h > 0
-    return h[keep], v[keep], (name | (kind != WORD_TYPE))[keep]
+    return h[keep], v[keep], (name | (kind != WORD_TYPE))[keep], name[keep]
 
 
-def windows(h: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, place) of all windows with enough literal words."""
-    n = len(h) - WINDOW + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+def sequences(h: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all n words in a row, in doubling steps; the last two may overlap."""
+    if len(h) < n:
+        return np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
-        x = np.zeros(n, np.uint64)
-        for i in range(WINDOW):
-            x = mix(x * np.uint64(3) + h[i : i + n])
-    c = np.concatenate([[0], np.cumsum(~slot)])
-    at = np.flatnonzero(c[WINDOW:] - c[:-WINDOW] >= LITERALS)
-    return x[at], at
+        k = 1
+        while 2 * k <= n:
+            h, k = mix(h[:-k] * np.uint64(3) + h[k:]), 2 * k
+        return h if k == n else mix(h[: k - n] * np.uint64(3) + h[n - k :] + np.uint64(n))
+
+
+def windows(h: np.ndarray, v: np.ndarray, slot: np.ndarray, name: np.ndarray, short: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, place) of all windows: with names as placeholders, where there is one, and with names as plain words; a
+    window of too few literal words is plain altogether. Then plain ones of the short lengths."""
+    xs, at = [], []
+    if len(h) >= WINDOW:
+        names, slots = (np.concatenate([[0], np.cumsum(x)]) for x in (name, slot))
+        names, slots = names[WINDOW:] - names[:-WINDOW], slots[WINDOW:] - slots[:-WINDOW]
+        spelled = sequences(np.where(name, v, h), WINDOW)
+        plain = np.flatnonzero(WINDOW - slots + names < LITERALS)
+        if len(plain):
+            spelled[plain] = sequences(v, WINDOW)[plain]
+        named = np.flatnonzero((names > 0) & (WINDOW - slots >= LITERALS))
+        xs += [spelled, sequences(h, WINDOW)[named] if len(named) else spelled[:0]]
+        at += [np.arange(len(spelled)), named]
+    for n in short:
+        xs.append(sequences(v, n))
+        at.append(np.arange(len(xs[-1])))
+    if not xs:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(xs), np.concatenate(at)
 
 
 SCHEMA = "id long, w long, pos int, n int, slots array<long>"
 
 
-def window_rows(df: DataFrame, text: str, id_col: str, only: np.ndarray | None = None) -> DataFrame:
-    """(id, window hash, place, template words of the text, value hashes of the window's slots or -1)."""
+def window_rows(df: DataFrame, text: str, id_col: str, only: np.ndarray | None = None, short: list[int] | None = None) -> DataFrame:
+    """(id, window hash, place, template words of the text, value hashes of the window's words). Items, which short is
+    None for, have values at slots and else -1; of an item shorter than a window all words are one plain window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -111,13 +136,14 @@ def window_rows(df: DataFrame, text: str, id_col: str, only: np.ndarray | None =
                 for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     if key is None or not t:
                         continue
-                    h, v, slot = template(t)
-                    x, at = windows(h, slot)
+                    h, v, slot, name = template(t)
+                    own = [len(h)] if SHORT_WORDS <= len(h) < WINDOW else []
+                    x, at = windows(h, v, slot, name, own if short is None else short)
                     if only is not None and len(x):
                         i = np.searchsorted(only, x)
                         some = only[np.minimum(i, len(only) - 1)] == x if len(only) else np.zeros(len(x), bool)
                         x, at = x[some], at[some]
-                    values = np.where(slot, v.view(np.int64), np.int64(-1))
+                    values = np.where(slot, v.view(np.int64), np.int64(-1)) if short is None else v.view(np.int64)
                     for w, p in zip(x.view(np.int64).tolist(), at.tolist(), strict=True):
                         ids.append(key), ws.append(w), ps.append(p), ns.append(len(h)), ss.append(values[p : p + WINDOW].tolist())
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ws, pa.int64()), pa.array(ps, pa.int32()), pa.array(ns, pa.int32()), pa.array(ss, pa.list_(pa.int64()))], names=["id", "w", "pos", "n", "slots"])
@@ -129,10 +155,11 @@ def judge(at: list[int], words: int, slots: list[tuple[int, int, int]]) -> tuple
     """(covered words, longest consistent stretch, convicted) of a diagonal: its windows' places in the item and slots (place, value, document's value), both sorted."""
     runs: list[list[int]] = []
     for p in at:
+        end = min(p + WINDOW, words)
         if runs and p <= runs[-1][1]:
-            runs[-1][1] = p + WINDOW
+            runs[-1][1] = end
         else:
-            runs.append([p, p + WINDOW])
+            runs.append([p, end])
     cover, longest, bad, k = sum(e - s for s, e in runs), 0, False, 0
     for s, e in runs:
         left, best, seen = s, 0, {}
@@ -170,10 +197,11 @@ def contaminated(docs: DataFrame, bench: DataFrame, text: str = "text", id_col:
     only = None
     if n <= BROADCAST_WINDOWS:  # its size is proven; the hashes only spare windows that can't match
         only = np.sort(np.array(items.select("w").distinct().toArrow()["w"].to_numpy()).view(np.uint64))
-    mine = window_rows(docs, text, id_col, only)
+    short = sorted(r.n for r in items.where(F.col("n") < WINDOW).select("n").distinct().collect())
+    mine = window_rows(docs, text, id_col, only, short)
     other = items.select("w", F.col("id").alias("item_id"), F.col("pos").alias("ipos"), F.col("n").alias("item_words"), F.col("slots").alias("islots"))
     hits = mine.drop("n").distinct().join(F.broadcast(other) if n <= BROADCAST_WINDOWS // 64 else other, "w").withColumn("diagonal", F.col("pos") - F.col("ipos"))
-    pairs = F.filter(F.transform(F.arrays_zip("islots", "slots"), lambda x, i: F.when(x.islots != -1, F.struct((F.col("ipos") + i).alias("p"), x.islots.alias("a"), x.slots.alias("b")))), lambda x: x.isNotNull())
+    pairs = F.filter(F.transform(F.arrays_zip("islots", "slots"), lambda x, i: F.when((x.islots != -1) & x.slots.isNotNull(), F.struct((F.col("ipos") + i).alias("p"), x.islots.alias("a"), x.slots.alias("b")))), lambda x: x.isNotNull())
     g = hits.groupBy("id", "item_id", "diagonal").agg(
         F.max("item_words").alias("item_words"), F.sort_array(F.collect_set("ipos")).alias("at"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("slots"))
     bad = g.select("id", "item_id", "item_words", "at", "slots").mapInArrow(judged, "id long, item_id long, item_words int, covered_words int, longest_run int, slots int")

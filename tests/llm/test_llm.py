@@ -364,3 +364,11 @@ def test_decontamination_of_long_copies_with_one_changed_slot(spark):
     assert {(r.doc_id, r.longest_run) for r in decontaminate.contaminated(frame(spark, rows), b).collect()} == {(1, 200), (2, 190), (3, 16)}
     two = decontaminate.judge([0, 5, 30, 35], 60, [(2, 7, 8), (32, 7, 9)])
     assert two == (26, 13, True)  # runs that don't touch are each consistent
+
+
+def test_decontamination_of_other_cases_and_short_items(spark):
+    item = " ".join(words(90, 20)) + " and 12 more"
+    rich = "He met Ann Bob Cid Dan Eve Flo Gus Hal 1 2 3 4 5"
+    rows = [(1, item.upper()), (2, f"It said: {item.title()}."), (3, item.upper().replace("12", "77")), (4, f"yes. {rich} so"), (5, "We ask: who wrote the red book? Now"), (6, "who wrote the blue book"), (7, rich.replace("Ann", "Zoe").replace("1 2 3", "3 1 9"))]
+    b = spark.createDataFrame([(1, item), (2, rich), (3, "Who wrote the red book?"), (4, "red book")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame(spark, rows), b).collect()} == {(1, 1), (2, 1), (3, 1), (4, 2), (5, 3)}
