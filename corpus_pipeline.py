@@ -1,8 +1,9 @@
 """The corpus pipeline: toxicity, near-duplicates, benchmark decontamination, mixing, token ids.
 
 Each stage takes (spark, docs, sf_dir), works on all its predecessor kept, and all but the last return the columns of
-documents. Null and empty texts go through every stage as its operator defines; rows of null doc_id are kept by the
-filtering stages that decide by id, and mixing keeps one copy of them. Empty input gives empty output.
+documents. Null and empty texts go through every stage as its operator defines. Near-dedup and decontamination decide by
+rows, known by doc_id and text, so rows that repeat a doc_id or have none are judged by their own texts; mixing keeps one
+copy of rows of null doc_id. Empty input gives empty output.
 """
 
 from __future__ import annotations
@@ -26,17 +27,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays: the one of the least doc_id."""
-    classes = neardup.near_duplicates(docs)
-    stay = classes.where("is_representative").select("doc_id").distinct()
-    one = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null"))
+    """One row of each class stays: the one of the least doc_id, null last; of rows of that id, the one of the least hash."""
+    # in the order of (doc_id, hash of the text), as text
+    number = F.lpad(F.hex(F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    rows = docs.withColumn("_row", F.concat(F.coalesce(number, F.lit("~")), F.lpad(F.hex(F.xxhash64("text")), 16, "0")))
+    stay = neardup.near_duplicates(rows, id_col="_row").where("is_representative").select(F.col("doc_id").alias("_row")).distinct()
+    return rows.join(stay, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    leaks = decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti")
+    rows = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    leaks = decontaminate.contaminated(rows, read(spark, sf_dir, "benchmark"), id_col="_row").select(F.col("doc_id").alias("_row")).distinct()
+    return rows.join(leaks, "_row", "left_anti").select(*docs.columns)
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

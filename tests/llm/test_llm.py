@@ -372,3 +372,14 @@ def test_decontamination_of_other_cases_and_short_items(spark):
     rows = [(1, item.upper()), (2, f"It said: {item.title()}."), (3, item.upper().replace("12", "77")), (4, f"yes. {rich} so"), (5, "We ask: who wrote the red book? Now"), (6, "who wrote the blue book"), (7, rich.replace("Ann", "Zoe").replace("1 2 3", "3 1 9"))]
     b = spark.createDataFrame([(1, item), (2, rich), (3, "Who wrote the red book?"), (4, "red book")], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame(spark, rows), b).collect()} == {(1, 1), (2, 1), (3, 1), (4, 2), (5, 3)}
+
+
+def test_pipeline_judges_rows_by_their_own_texts(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    a, b, c = (" ".join(words(i, 60)) for i in (95, 96, 97))
+    got = cp.drop_near_duplicates(spark, frame(spark, [(1, a), (1, b), (-2, a), (None, a), (None, c), (None, c)]), "").collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(-2, a), (1, b), (0, c)]) and len(got[0]) == 6
+    spark.createDataFrame([(1, c)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = cp.drop_benchmark_leaks(spark, frame(spark, [(1, a), (1, c), (None, b), (None, c), (2, None)]), str(tmp_path)).collect()
+    assert {(r.doc_id, r.text) for r in got} == {(1, a), (None, b), (2, None)}
