@@ -130,6 +130,10 @@ def window_rows(df: DataFrame, text: str, id_col: str, only: np.ndarray | None =
     None for, have values at slots and else -1; of an item shorter than a window all words are one plain window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if only is not None:  # most windows fall on an empty place of the table, the others are looked up
+            mask = np.uint64((1 << min(24, max(16, (16 * len(only)).bit_length()))) - 1)
+            table = np.zeros(int(mask) + 1, bool)
+            table[(only & mask).view(np.int64)] = True
         for whole in batches:
             for batch in steps(whole):
                 ids, ws, ps, ns, ss = [], [], [], [], []
@@ -139,9 +143,11 @@ def window_rows(df: DataFrame, text: str, id_col: str, only: np.ndarray | None =
                     h, v, slot, name = template(t)
                     own = [len(h)] if SHORT_WORDS <= len(h) < WINDOW else []
                     x, at = windows(h, v, slot, name, own if short is None else short)
-                    if only is not None and len(x):
-                        i = np.searchsorted(only, x)
-                        some = only[np.minimum(i, len(only) - 1)] == x if len(only) else np.zeros(len(x), bool)
+                    if only is not None:
+                        some = np.flatnonzero(table[(x & mask).view(np.int64)])
+                        if not len(some):
+                            continue
+                        some = some[only[np.minimum(np.searchsorted(only, x[some]), len(only) - 1)] == x[some]]
                         x, at = x[some], at[some]
                     values = np.where(slot, v.view(np.int64), np.int64(-1)) if short is None else v.view(np.int64)
                     for w, p in zip(x.view(np.int64).tolist(), at.tolist(), strict=True):
