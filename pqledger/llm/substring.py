@@ -198,12 +198,13 @@ def repeated_spans(df: DataFrame, text: str = "text", id_col: str = "doc_id", th
     # paragraphs: distinct ones are banded, linked and classed
     para = found.where("kind = 1")
     where = para.groupBy("id").agg(F.min(F.struct("doc_id", "start", "stop")).alias("at"))
-    buckets = para.select("id", F.explode("buckets").alias("bucket")).distinct()
+    # only buckets that several paragraphs share can link
+    buckets = para.select("id", F.explode("buckets").alias("bucket"))
+    shared = stored(buckets.groupBy("bucket").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("bucket"), "shared")
+    buckets = stored(buckets.join(shared, "bucket", "left_semi").distinct(), "buckets")
     spots = where.select("id", "at.*").withColumnRenamed("doc_id", "_d")
     items = df.select(F.col(id_col).cast("long").alias("_d"), F.col(text).alias("_t"))
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    open_ids = stored(buckets.join(shared, "bucket", "left_semi").select("id").distinct(), "open")
-    spots = spots.join(open_ids, "id", "left_semi")
+    spots = spots.join(buckets.select("id").distinct(), "id", "left_semi")
     # a repeated doc_id brings its span from each row; the one that has the paragraph's hash is right
     items = items.join(spots, "_d").select("id", F.expr("substring(_t, start + 1, stop - start)").alias("text")).dropDuplicates(["id", "text"])
     _, classes = linked(buckets, items, threshold, False, SHINGLE)
