@@ -1,30 +1,36 @@
-"""Links near-duplicates: candidates from shared buckets, exact verification, classes as connected components.
-
-All similar pairs within a bucket count, but they are not all emitted. Members are compared with the bucket's first one;
-then, where a bucket still holds several classes, with one member of another class. What stays apart after these two
-rounds goes through a prefix filter, which loses no pair: two texts of the threshold's similarity share a shingle among
-the rarest (1 - threshold) of each. Texts that only share a common passage have no such shingle in common and are never
-compared. In a shingle's group, members outside its largest class meet the members of other classes; sizes,
-places of the shingle and bitmaps of the shingles, whose differing bits bound the differing shingles from below, exclude
-what can't reach the threshold. So a class has every link that its buckets hold, while a
-group of n mutually similar members costs about 2n comparisons.
+"""Links near-duplicates: candidates from shared bands, exact verification, classes as connected components.
+
+Every pair of texts that share a band counts, but pairs within a band's group are neither listed nor all verified:
+
+1. Each text is compared with one other, the least id of its groups. Links join classes.
+2. Groups that still hold several classes compare their members with one member of another class, twice.
+3. In groups that are still mixed, members outside a group's largest class meet the members of other classes. A pair is
+   made only in the first group that both share, and only if sizes and sketches allow the threshold's similarity.
+
+A sketch is the parity of a text's shingles by bit: bits in which two sketches differ are never more than shingles in
+which the texts differ, whatever they have in common. So steps 1 and 2 cost about as many pairs as there are members, and
+step 3 makes only pairs near the threshold; none that reaches it is missing. Similarities are exact, from whole sets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORDS, mix, shingles, steps, stored, texts
+from .common import GOLD, Scratch, hashed_words, mix, shingles, steps
 
-#: 64-bit words of the bitmap that stands for a text's shingles.
-BITMAP = 16
-#: Rows of one salt when a member's text is joined to its many partners.
+#: 64-bit words of a sketch.
+SKETCH = 16
+MAPS = [f"m{i}" for i in range(SKETCH)]
+#: Pairs of one salt when a text's shingles are joined to its many partners.
 SALT = 200
+#: Rounds in which mixed groups are compared with one of their members.
+STARS = 2
 
 
 def tune_bands(threshold: float, recall: float = 0.999, most: int = 160) -> tuple[int, int]:
@@ -43,7 +49,7 @@ Bag = tuple[np.ndarray, np.ndarray]
 
 def bag(text: str, k: int = 5) -> Bag:
     """The multiset of a text's k-word shingles, lower-cased: sorted hashes and their counts."""
-    return np.unique(shingles(WORDS.array(text.lower().split()), k), return_counts=True)
+    return np.unique(shingles(hashed_words([text]).h, k), return_counts=True)
 
 
 def jaccard(a: Bag, b: Bag, weighted: bool) -> float:
@@ -59,129 +65,152 @@ def jaccard(a: Bag, b: Bag, weighted: bool) -> float:
     return low / (len(ha) + len(hb) - low)
 
 
-def verified(pairs: DataFrame, items: DataFrame, weighted: bool, k: int = 5) -> DataFrame:
-    """(a, b) with their exact similarity; items: (id, text). A text that many pairs need is copied by salt."""
-    need = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT).cast("int").alias("n"))
-    left = items.join(need, items.id == need.a).select("a", "text", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("s"), "n").withColumnRenamed("text", "ta")
-    right = pairs.join(items.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(need, "a").withColumn("s", F.pmod(F.xxhash64("b"), F.col("n")).cast("int")).drop("n")
-    both = right.join(left.drop("n"), ["a", "s"]).select("a", "b", "ta", "tb")
+def tokens(h: np.ndarray, weighted: bool) -> np.ndarray:
+    """The set that stands for shingles h: different ones, or for multisets each repeat as an element of its own. The Jaccard
+    similarity of these sets is that of the texts."""
+    u, n = np.unique(h, return_counts=True)
+    if not weighted or len(u) == len(h):
+        return u
+    nth = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+    with np.errstate(over="ignore"):
+        return np.where(nth > 0, mix(np.repeat(u, n) + nth.astype(np.uint64) * GOLD), np.repeat(u, n))
+
+
+def sketch(t: np.ndarray) -> np.ndarray:
+    """The parity of tokens by bit, as SKETCH words."""
+    bit = np.bincount((t >> np.uint64(8)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
+    return np.packbits(bit.astype(np.uint8), bitorder="little").view("<u8")
+
+
+def may_reach(sx: Column, sy: Column, differ: Column, threshold: float) -> Column:
+    """Whether sets of these sizes, with so many differing sketch bits, can be as similar as the threshold."""
+    slack = 1e-6
+    apart = (sx + sy) * ((1 - threshold) / (1 + threshold)) + slack
+    return (F.least(sx, sy) + slack >= F.greatest(sx, sy) * threshold) & (differ <= apart)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, mine = None, {}
-        for batch in batches:
-            out = []
-            for a, ta, tb in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                if a != last:
-                    last, mine = a, bag(ta.as_py(), k)
-                out.append(jaccard(mine, bag(tb.as_py(), k), weighted))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["a", "b", "sim"])
 
-    return both.mapInArrow(run, "a long, b long, sim double")
+def differing(x: str, y: str) -> Column:
+    out = F.lit(0)
+    for m in MAPS:
+        out = out + F.bit_count(F.col(f"{x}{m}").bitwiseXOR(F.col(f"{y}{m}")))
+    return out
 
 
-def components(edges: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, items: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) that reach the threshold. A set that many pairs need is copied by salt."""
+    side = lambda x: items.select(F.col("id").alias(x), F.col("size").alias(f"s{x}"), *[F.col(m).alias(f"{x}{m}") for m in MAPS])
+    met = pairs.join(side("a"), "a").join(side("b"), "b").where(may_reach(F.col("sa"), F.col("sb"), differing("a", "b"), threshold))
+    near = scratch.store(met.select("a", "b", "sa", "sb"), "near")
+    need = near.groupBy("a").agg(F.ceil(F.count("*") / SALT).cast("int").alias("n"))
+    sets = items.select("id", "tokens")
+    left = sets.join(need, sets.id == need.a).select("a", F.col("tokens").alias("ta"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("s"))
+    right = near.join(need, "a").withColumn("s", F.pmod(F.xxhash64("b"), F.col("n")).cast("int")).drop("n")
+    both = right.join(left, ["a", "s"]).join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
+    same = F.size(F.array_intersect("ta", "tb"))
+    return both.where(same / (F.col("sa") + F.col("sb") - same) >= threshold).select("a", "b")
+
+
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, class_id) of all ids in edges (a, b); class_id is the least id that can be reached."""
-    both = stored(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct(), "edges")
-    labels = stored(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("l")).select("id", F.least("id", "l").alias("l")), "labels")
+    both = scratch.store(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct(), "edges")
+    labels = scratch.store(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("l")).select("id", F.least("id", "l").alias("l")), "labels")
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), F.col("l")), "b").groupBy("a").agg(F.min("l").alias("m"))
         step = labels.join(near, labels.id == near.a).select("id", F.least("l", "m").alias("m"), "l")
         jump = labels.select(F.col("id").alias("m"), F.col("l").alias("r"))
-        new = stored(step.join(jump, "m", "left").select("id", F.least("m", F.coalesce("r", "m")).alias("l"), (F.least("m", F.coalesce("r", "m")) != F.col("l")).alias("moved")), "labels")
+        new = scratch.store(step.join(jump, "m", "left").select("id", F.least("m", F.coalesce("r", "m")).alias("l"), (F.least("m", F.coalesce("r", "m")) != F.col("l")).alias("moved")), "labels")
         labels = new.select("id", "l")
         if new.where("moved").isEmpty():
+            scratch.drop("edges")
             return labels.withColumnRenamed("l", "class_id")
 
 
-def shingle_sets(items: DataFrame, weighted: bool, k: int) -> DataFrame:
-    """(id, token, size): each text's shingles; of multisets, the n-th repeat of a shingle is a token of its own."""
+def merged(classes: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """The classes (id, class_id) after more links (a, b): only classes that a link joins are labelled anew."""
+    of = lambda x: classes.select(F.col("id").alias(x), F.col("class_id").alias(f"c{x}"))
+    both = links.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    joint = components(both, scratch).toDF("class_id", "least")
+    new = scratch.store(classes.join(joint, "class_id", "left").select("id", F.coalesce("least", "class_id").alias("class_id")), "classes")
+    scratch.drop("labels", "near")
+    scratch.sweep()
+    return new
+
+
+def mixed_groups(member: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(bucket, id, class_id) of the groups that hold several classes."""
+    placed = member.select("bucket", "id").join(classes, "id")
+    several = placed.groupBy("bucket").agg(F.min("class_id").alias("x"), F.max("class_id").alias("y")).where("x <> y").select("bucket")
+    return scratch.store(placed.join(several, "bucket", "left_semi"), "open")
+
+
+def left_over(open_: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of different classes that share a group and may reach the threshold, each pair once."""
+    most = open_.groupBy("bucket", "class_id").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "class_id")).alias("most"))
+    own = open_.groupBy("id").agg(F.collect_list("bucket").alias("groups"))  # as many as there are bands
+    rows = open_.join(most.select("bucket", F.col("most.class_id").alias("largest")), "bucket").join(items.drop("tokens"), "id").join(own, "id")
+    side = lambda x: [F.col("id").alias(x), F.col("class_id").alias(f"c{x}"), F.col("size").alias(f"s{x}"), F.col("groups").alias(f"g{x}"), *[F.col(m).alias(f"{x}{m}") for m in MAPS]]
+    x = rows.where("class_id <> largest").select("bucket", *side("x"))
+    y = rows.select(F.col("bucket").alias("same"), (F.col("class_id") == F.col("largest")).alias("in_largest"), *side("y"))
+    apart = (F.col("cx") != F.col("cy")) & (F.col("in_largest") | (F.col("x") < F.col("y")))
+    less = lambda g: F.filter(g, lambda v: v < F.col("bucket"))
+    met = x.join(y, (F.col("bucket") == F.col("same")) & apart & may_reach(F.col("sx"), F.col("sy"), differing("x", "y"), threshold) & ~F.arrays_overlap(less("gx"), less("gy")))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def token_sets(items: DataFrame, weighted: bool, k: int) -> DataFrame:
+    """(id, tokens, size, sketch words) of (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in steps(whole, 64):
-                sets = []
-                for t in texts(batch, "text"):
-                    h, n = bag(t, k)
-                    if weighted:
-                        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                        with np.errstate(over="ignore"):
-                            h = mix(np.repeat(h, n) + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                    sets.append(h)
-                size = np.array([len(h) for h in sets])
-                ids = np.repeat(np.array(batch.column(0).to_pylist(), np.int64), size)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(sets).view(np.int64)), pa.array(np.repeat(size, size).astype(np.int32))], names=["id", "token", "size"])
-
-    return items.select("id", "text").mapInArrow(run, "id long, token long, size int")
-
-
-def prefix_pairs(items: DataFrame, classes: DataFrame, threshold: float, weighted: bool, k: int) -> DataFrame:
-    """(a, b) of texts of different classes that may reach the threshold: no pair that does is missing."""
-    tokens = stored(shingle_sets(items, weighted, k), "tokens")
-    often = tokens.groupBy("token").agg(F.count("*").alias("df"))
-    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "token")) - 1
-    prefix = F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1
-    rare = tokens.join(often, "token").withColumn("place", place).where((F.col("place") < prefix) & (F.col("df") > 1)).drop("df")
-    rare = rare.join(classes, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
-    share = rare.groupBy("token", "class_id").agg(F.count("*").alias("n")).groupBy("token").agg(F.max(F.struct("n", "class_id")).alias("most"), F.count("*").alias("classes"))
-    share = share.where("classes > 1").select("token", F.col("most.class_id").alias("largest"))
-    rare = stored(rare.join(share, "token").join(bitmaps(tokens), "id"), "prefixes")
-    maps = [f"m{i}" for i in range(BITMAP)]
-    x = rare.where("class_id <> largest").select("token", F.col("id").alias("x"), F.col("size").alias("sx"), F.col("place").alias("px"), F.col("class_id").alias("cx"), *[F.col(m).alias(f"x{m}") for m in maps])
-    y = rare.select("token", F.col("id").alias("y"), F.col("size").alias("sy"), F.col("place").alias("py"), F.col("class_id").alias("cy"), "largest", *[F.col(m).alias(f"y{m}") for m in maps])
-    most = F.least("px", "py") + F.least(F.col("sx") - F.col("px"), F.col("sy") - F.col("py"))
-    need = (F.col("sx") + F.col("sy")) * (threshold / (1 + threshold)) - 1e-6
-    differ = sum((F.bit_count(F.col(f"x{m}").bitwiseXOR(F.col(f"y{m}"))) for m in maps), F.lit(0))
-    apart = (F.col("sx") + F.col("sy")) * ((1 - threshold) / (1 + threshold)) + 1e-6
-    once = (F.col("cy") == F.col("largest")) | (F.col("x") < F.col("y"))
-    met = x.join(y, (x.token == y.token) & (F.col("cx") != F.col("cy")) & once & (most >= need) & (differ <= apart))
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-
-def still_open(member: DataFrame, classes: DataFrame) -> DataFrame:
-    """(bucket, id, class_id) of the buckets that hold several classes."""
-    placed = member.select("bucket", "id").join(classes, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
-    mixed = placed.groupBy("bucket").agg(F.min("class_id").alias("x"), F.max("class_id").alias("y")).where("x <> y").select("bucket")
-    return stored(placed.join(mixed, "bucket", "left_semi"), "open")
-
-
-def bitmaps(tokens: DataFrame) -> DataFrame:
-    """(id, m0, m1, ...): each token sets one bit. Bits that differ are never more than tokens that differ."""
-    place = F.pmod("token", F.lit(64 * BITMAP))
-    bit = F.expr(f"shiftleft(1L, cast(pmod(token, {64 * BITMAP}) % 64 as int))")
-    return tokens.groupBy("id").agg(*[F.bit_or(F.when(F.floor(place / 64) == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"m{i}") for i in range(BITMAP)])
-
-
-def merged(classes: DataFrame, links: DataFrame) -> DataFrame:
-    """The classes (id, class_id) after more links (a, b): only classes that a link joins are labelled anew."""
-    of = lambda x: classes.select(F.col("id").alias(x), F.col("class_id").alias(f"c{x}"))
-    both = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct()
-    joint = components(both).toDF("class_id", "least")
-    fresh = links.select(F.col("a").alias("id")).union(links.select("b")).distinct().join(classes, "id", "left_anti").withColumn("class_id", F.col("id"))
-    return stored(classes.unionByName(fresh).join(joint, "class_id", "left").select("id", F.coalesce("least", "class_id").alias("class_id")), "classes")
-
-
-def linked(buckets: DataFrame, items: DataFrame, threshold: float, weighted: bool, k: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(edges, classes) of buckets (id, bucket): edges (a, b, sim) are all verified links that classes need."""
-    first = buckets.groupBy("bucket").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
-    member = stored(buckets.join(first, "bucket"), "members")
-    items = stored(items.join(member.select("id").distinct(), "id", "left_semi"), "items")
-    star = member.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
-    known = stored(verified(star, items, weighted, k), "sims")
-    edges = known.where(F.col("sim") >= threshold)
-    classes = components(edges)
-    for last in (False, True):
-        open_ = still_open(member, classes)
+            for batch in steps(whole, 256, 1):
+                w = hashed_words(batch.column(1))
+                yield token_batch(batch.column(0), [tokens(shingles(w.h[a:b], k), weighted) for a, b in zip(w.at[:-1].tolist(), w.at[1:].tolist(), strict=True)])
+
+    return items.select("id", "text").mapInArrow(run, SETS)
+
+
+SETS = "id long, tokens array<long>, size long, " + ", ".join(f"{m} long" for m in MAPS)
+
+
+def token_batch(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
+    size = np.array([len(t) for t in sets], np.int64)
+    flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(flat))
+    maps = np.array([sketch(t) for t in sets], np.uint64).reshape(-1, SKETCH).view(np.int64)
+    return pa.RecordBatch.from_arrays([ids, lists, pa.array(size), *(pa.array(np.ascontiguousarray(maps[:, i])) for i in range(SKETCH))], names=["id", "tokens", "size", *MAPS])
+
+
+def linked(buckets: DataFrame, items: DataFrame | Callable[[DataFrame], DataFrame], threshold: float, weighted: bool, k: int = 5, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
+    """(links, classes) of buckets (id, bucket), different rows: verified links (a, b) that make up the classes, and (id,
+    class_id) of the ids that have one. items: (id, text); or the result of token_sets; or a function that gets a table of
+    ids and gives their texts (id, text)."""
+    spark = buckets.sparkSession
+    scratch = scratch or Scratch(spark, "linkage")
+    shared = buckets.groupBy("bucket").agg(F.min("id").alias("rep"), F.max("id").alias("other")).where("rep <> other").select("bucket", "rep")
+    member = scratch.store(buckets.join(shared, "bucket").select("bucket", "id", "rep"), "members")
+    first = scratch.store(member.groupBy("id").agg(F.min("rep").alias("rep")), "first")
+    scratch.sweep()
+    ids = first.select("id")
+    if not isinstance(items, DataFrame) or "tokens" not in items.columns:
+        items = scratch.store(token_sets(items.join(ids, "id", "left_semi") if isinstance(items, DataFrame) else items(ids), weighted, k), "sets")
+    classes = scratch.store(first.select("id", F.col("id").alias("class_id")), "classes")
+    links = []
+
+    def compare(pairs: DataFrame) -> DataFrame:
+        links.append(scratch.store(verified(pairs, items, threshold, scratch), f"links{len(links)}"))
+        return merged(classes, links[-1], scratch)
+
+    classes = compare(first.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")))
+    for star in range(STARS + 1):
+        open_ = mixed_groups(member, classes, scratch)
         if open_.isEmpty():
             break
-        if last:
-            left = items.join(open_.select("id").distinct(), "id", "left_semi")
-            pairs = prefix_pairs(left, classes, threshold, weighted, k)
-        else:
-            other = open_.groupBy("bucket").agg(F.max(F.struct("class_id", "id")).alias("other")).select("bucket", "other.id", "other.class_id").toDF("bucket", "head", "head_class")
-            pairs = open_.join(other, "bucket").where("class_id <> head_class").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
-        asked = pairs.join(known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
-        more = stored(verified(stored(asked, "asked"), items, weighted, k), "sims")
-        known = known.unionByName(more)
-        links = more.where(F.col("sim") >= threshold)
-        edges, classes = edges.unionByName(links), merged(classes, links)
-    return edges, classes
+        if star == STARS:
+            classes = compare(left_over(open_, items, threshold))
+            break
+        head = F.max if star else F.min
+        heads = open_.groupBy("bucket").agg(head(F.struct("class_id", "id")).alias("h")).select("bucket", F.col("h.id").alias("a"), F.col("h.class_id").alias("ca"))
+        classes = compare(open_.join(heads, "bucket").where("class_id <> ca").select("a", F.col("id").alias("b")).distinct())
+    scratch.drop("members", "first", "sets", "open")
+    several = classes.groupBy("class_id").agg(F.count("*").alias("n")).where("n > 1").select("class_id")
+    return reduce(DataFrame.unionByName, links), classes.join(several, "class_id", "left_semi").select("id", "class_id")

@@ -6,10 +6,12 @@ place. A point falls on one of the signature's places, which keeps its earliest
 the probability of their weighted Jaccard similarity, without bias. Only points before a time that fills all places with
 high probability are made; a text with an empty place runs on with doubled time.
 
-Rows are classed by their words: texts of equal lower-cased words share a class at once. Null, empty and blank texts form
-one class of their own (no shingles, similarity 1 to each other). Texts under five words have one shingle, all their
-words. Repeated rows stay, in one class; null ids pass through and are named only if the class has no other. An empty
-table gives no rows; further columns are not read.
+Rows are classed by their words: texts of equal lower-cased words share a class at once, known by 128 bits. Null, empty
+and blank texts form one class of their own (no shingles, similarity 1 to each other). Texts under five words have one
+shingle, all their words. Each row is judged by its own text, whatever its id: rows of null id, rows that repeat an id
+with another text, and repeated rows all get a class. A class is named by its least (doc_id, null last, content): class_id
+is that doc_id, and class_key, its content's hash, tells classes apart whose least doc_id is the same. An empty table gives no
+rows; further columns are not read.
 """
 
 from __future__ import annotations
@@ -18,19 +20,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MASK, WORDS, mix, read, shingles, steps, stored, texts
+from .common import GOLD, MASK, Scratch, hashed_words, mix, read, sequence_ids, shingles, steps, text_key
 from .linkage import linked
 
 THRESHOLD, SHINGLE = 0.8, 5
-#: 26 bands of 5: a pair at 0.8 is missed with probability 3e-5.
-BANDS, ROWS = 26, 5
+#: 20 bands of 4: a pair at 0.8 is missed with probability 3e-5.
+BANDS, ROWS = 20, 4
 SIZE = BANDS * ROWS
 EMPTY = MASK
-GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def unit(h: np.ndarray) -> np.ndarray:
@@ -51,7 +51,7 @@ def bag_minhash(element: np.ndarray, weight: np.ndarray, doc: np.ndarray, docs:
     """Signatures, docs x SIZE, of uint64: the time of each place's first point (float32 bits) and 32 bits naming it."""
     sig = np.full(docs * SIZE, EMPTY, np.uint64)
     total = np.bincount(doc, weight, docs)
-    limit = SIZE * (np.log(SIZE) + 4) / np.maximum(total, 1)
+    limit = SIZE * (np.log(SIZE) + 2) / np.maximum(total, 1)  # one in eight texts goes on with doubled time
     with np.errstate(over="ignore"):
         e, low, high = intervals(weight)
         todo = np.ones(docs, bool)
@@ -86,48 +86,61 @@ def bands(sig: np.ndarray) -> np.ndarray:
     return out
 
 
-def signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
 def signatures(df: DataFrame, text: str, id_col: str) -> DataFrame:
-    """(doc_id, id, buckets): id is a 64-bit hash of the text's words, equal for exact copies."""
+    """(doc_id, t1, t2, c1, c2, bands) of each row: t names the text, c its words; without words c is 0 and there are no bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in steps(batch, 64):
-                ids, es, ws, ds = [], [], [], []
-                values = texts(part, "_t")
-                for i, t in enumerate(values):
-                    words = t.lower().split()
-                    ids.append(signed(xxhash.xxh3_64_intdigest(" ".join(words))))
-                    u, n = np.unique(shingles(WORDS.array(words), SHINGLE), return_counts=True)
-                    es.append(u)
-                    ws.append(n)
-                    ds.append(np.full(len(u), i))
-                sig = bag_minhash(np.concatenate(es), np.concatenate(ws).astype(np.float64), np.concatenate(ds), len(values))
-                flat = pa.array(bands(sig).view(np.int64).ravel())
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) * BANDS + 1, BANDS), pa.int32()), flat)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.int64()), lists], names=["doc_id", "id", "buckets"])
-
-    base = df.select(F.col(id_col).alias("doc_id"), F.col(text).alias("_t"))
-    return base.mapInArrow(run, base.select("doc_id", F.lit(0).cast("long").alias("id"), F.array(F.lit(0).cast("long")).alias("buckets")).schema)
+            for part in steps(batch, 64, 3):
+                w = hashed_words(part.column(3))
+                n = np.diff(w.at)
+                some = np.flatnonzero(n)
+                names = np.zeros((2, len(n)), np.uint64)
+                names[:, some] = sequence_ids(w.h, w.at[some], n[some])
+                es, ws = [], []
+                for i in some.tolist():
+                    u, k = np.unique(shingles(w.h[w.at[i] : w.at[i + 1]], SHINGLE), return_counts=True)
+                    es.append(u), ws.append(k)
+                sets = np.array([len(u) for u in es], np.int64)
+                sig = bag_minhash(np.concatenate([*es, np.zeros(0, np.uint64)]), np.concatenate([*ws, np.zeros(0)]).astype(np.float64), np.repeat(np.arange(len(some)), sets), len(some))
+                at = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))])
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(bands(sig).view(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *(pa.array(x.view(np.int64)) for x in names), lists], names=["doc_id", "t1", "t2", "c1", "c2", "bands"])
+
+    base = df.select(F.col(id_col).alias("doc_id"), *text_key(text), F.col(text).alias("_t"))
+    zero = F.lit(0).cast("long")
+    return base.mapInArrow(run, base.select("doc_id", "t1", "t2", zero.alias("c1"), zero.alias("c2"), F.array(zero).alias("bands")).schema)
+
+
+def near_rows(df: DataFrame, text: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, t1, t2, class_id, class_key, is_representative) of every row; t1 and t2 are the row's text_key."""
+    scratch = Scratch(df.sparkSession, "near")
+    sig = scratch.store(signatures(df, text, id_col), "signatures")
+    # of exact copies, the row of the least doc_id speaks for all; their number is fixed once they are written
+    place = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t1", "t2")).alias("at")
+    one = sig.groupBy("c1", "c2").agg(place, F.first("bands").alias("bands"))
+    distinct = scratch.store(one.select("c1", "c2", "at.*", "bands").withColumn("id", F.monotonically_increasing_id()), "distinct")
+
+    def fetch(ids: DataFrame) -> DataFrame:
+        wanted = distinct.join(ids, "id", "left_semi").select("id", F.col("doc_id").alias("_d"), F.col("t1").alias("_1"), F.col("t2").alias("_2"))
+        base = df.select(F.col(id_col).alias("doc_id"), *text_key(text), F.col(text).alias("text"))
+        same = base.doc_id.eqNullSafe(wanted["_d"]) & (base.t1 == wanted["_1"]) & (base.t2 == wanted["_2"])
+        return base.join(wanted, same).groupBy("id").agg(F.first("text").alias("text"))  # repeated rows meet here
+
+    _, classes = linked(distinct.select("id", F.explode("bands").alias("bucket")), fetch, threshold, True, SHINGLE, scratch)
+    named = distinct.drop("bands").join(classes, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
+    key = F.concat(F.lpad(F.hex("c1"), 16, "0"), F.lpad(F.hex("c2"), 16, "0")).alias("key")
+    least = named.groupBy("class_id").agg(F.min(F.struct("no_id", "doc_id", key, "t1", "t2")).alias("least"))
+    names = scratch.store(named.select("c1", "c2", "class_id").join(least, "class_id").select("c1", "c2", "least"), "names")
+    both = sig.select("doc_id", "t1", "t2", "c1", "c2").join(names, ["c1", "c2"])
+    scratch.drop("distinct", "classes")
+    first = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("t1") == F.col("least.t1")) & (F.col("t2") == F.col("least.t2"))
+    return both.select("doc_id", "t1", "t2", F.col("least.doc_id").alias("class_id"), F.col("least.key").alias("class_key"), first.alias("is_representative"))
 
 
 def near_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, class_id, is_representative) of every row; class_id is the least doc_id of its class."""
-    sig = stored(signatures(df, text, id_col), "signatures")
-    # of exact copies, the one of the least doc_id speaks for all
-    reps = sig.groupBy("id").agg(F.min("doc_id").alias("doc_id"))
-    distinct = sig.join(reps, ["id", "doc_id"], "left_semi").dropDuplicates(["id"]).where("id <> %d" % signed(xxhash.xxh3_64_intdigest("")))
-    buckets = distinct.select("id", F.explode("buckets").alias("bucket")).distinct()
-    base = df.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
-    items = base.join(distinct.select("doc_id", "id"), "doc_id")
-    _, classes = linked(buckets, items.select("id", "text"), threshold, True, SHINGLE)
-    reps = reps.join(classes, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
-    least = reps.groupBy("class_id").agg(F.min("doc_id").alias("least"))
-    named = reps.join(least, "class_id").select("id", F.col("least").alias("class_id"))
-    return sig.select("doc_id", "id").join(named, "id").select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("is_representative"))
+    """(doc_id, class_id, class_key, is_representative) of every row."""
+    return near_rows(df, text, id_col, threshold).drop("t1", "t2")
 
 
 def op6_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
