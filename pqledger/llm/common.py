@@ -191,7 +191,7 @@ def hashed_words(texts: pa.Array | list[str | None]) -> Words:
 
 def word_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     n = stop - start
-    eight = np.ndarray(len(data), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    eight = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
 
     def part(at: np.ndarray, left: np.ndarray) -> np.ndarray:
         return eight[at] & (np.uint64(MASK) >> ((8 - np.minimum(left, 8)) * 8).astype(np.uint64))
@@ -235,8 +235,8 @@ def sequence_ids(h: np.ndarray, starts: np.ndarray, n: np.ndarray) -> tuple[np.n
         return mix(np.add.reduceat(a, first) + size), mix(np.add.reduceat(b, first) ^ size)
 
 
-def steps(batch: pa.RecordBatch, n: int = STEP, text: int | str | None = None) -> Iterator[pa.RecordBatch]:
-    """Slices of at most n rows and, by the text column, about STEP_BYTES of text, one row at least."""
+def steps(batch: pa.RecordBatch, n: int = STEP, text: int | str | None = None, most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of at most n rows and, by the text column, about `most` bytes of text, one row at least."""
     if text is None:
         for i in range(0, batch.num_rows, n):
             yield batch.slice(i, n)
@@ -245,7 +245,7 @@ def steps(batch: pa.RecordBatch, n: int = STEP, text: int | str | None = None) -
     i = 0
     while i < batch.num_rows:
         some = np.cumsum(size[i : i + n])
-        j = i + max(1, int(np.searchsorted(some, STEP_BYTES)))
+        j = i + max(1, int(np.searchsorted(some, most)))
         yield batch.slice(i, min(j, batch.num_rows) - i)
         i = j
 

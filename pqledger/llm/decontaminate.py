@@ -18,17 +18,15 @@ can't be named: their rows are never convicted. Further columns are not read.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE, mix, read, steps, stored
+from .common import STEP_BYTES, flat, mix, read, steps, stored, word_hashes
 
 WINDOW, RUN_WORDS, COVER = 8, 13, 0.8
 #: A window of placeholders needs so many words that aren't placeholders, else its words count as they are.
@@ -39,54 +37,67 @@ SHORT_WORDS = 4
 BROKEN_WORDS = 2 * WINDOW
 #: Window hashes of the benchmark that are sent to all executors at most (8 bytes each); beyond, windows are joined by shuffle alone.
 BROADCAST_WINDOWS = 1 << 21
-NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*%?")
+#: In the syntax of Arrow's patterns.
+NUMBER = r"^[+-]?[$€£]?\p{Nd}[\p{Nd}.,:/]*%?$"
 #: Units of measure that become a placeholder; fixed values.
 UNITS = set("mm cm m km kg g mg lb lbs oz ml l litre litres liter liters inch inches ft foot feet mile miles yard yards hour hours minute minutes second seconds day days week weeks month months year years dollar dollars euro euros cent cents percent degree degrees kmh mph".split())
 EDGE = " \t.,;:!?\"'()[]{}<>|*#$%&=/\\-–—…«»“”‘’"
 WORD_TYPE, NUMBER_TYPE, UNIT_TYPE, NAME_TYPE = range(4)
 
 
-class Tokens(dict):
-    """raw word -> (hash of its form or 0 if it vanishes, hash of its value, type, may be a name, ends a sentence)."""
-
-    def __missing__(self, raw: str) -> tuple[int, int, int, int, int]:
-        if len(self) >= CACHE:
-            self.clear()
-        bare = raw.strip(EDGE)
-        low = bare.casefold()  # so that ß and SS are the same
-        kind = WORD_TYPE
-        letters = bare.isalpha()  # holds for most words, and spares them the next two tests
-        if not letters and not any(map(str.isalnum, bare)):
-            h = value = 0
-        else:
-            value = xxhash.xxh3_64_intdigest(low) | 1
-            kind = NUMBER_TYPE if not letters and NUMBER.fullmatch(bare) else UNIT_TYPE if low in UNITS else WORD_TYPE
-            h = value if kind == WORD_TYPE else kind
-        got = self[raw] = (h, value, kind, int(bare[:1].isupper()), int(raw.rstrip("\"')]»”’")[-1:] in ".!?:"))
-        return got
-
-
-TOKENS = Tokens()
+def word_rows(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of its form or 0 if it vanishes, hash of its value, type, may be a name, ends a sentence) of words as written."""
+    flags = lambda x: x.to_numpy(zero_copy_only=False)
+
+    def hashed(x: pa.Array) -> np.ndarray:
+        data, offsets = flat(x)
+        return word_hashes(data, offsets[:-1], offsets[1:]) | np.uint64(1)
+
+    bare = pc.utf8_trim(words, EDGE)
+    low = pc.utf8_lower(bare)
+    value = hashed(low)
+    wide = pa.array(np.flatnonzero(~flags(pc.string_is_ascii(bare))))
+    value[wide] = hashed(pa.array([x.casefold() for x in bare.take(wide).to_pylist()], words.type))  # so that ß and SS are the same
+    kind = np.where(flags(pc.is_in(low, pa.array(sorted(UNITS), words.type))), UNIT_TYPE, WORD_TYPE)
+    mixed = np.flatnonzero(~flags(pc.utf8_is_alpha(bare)))  # few words aren't all letters
+    rest = bare.take(pa.array(mixed))
+    kind[mixed[flags(pc.match_substring_regex(rest, NUMBER))]] = NUMBER_TYPE
+    form = np.where(kind == WORD_TYPE, value, kind.astype(np.uint64))
+    nothing = mixed[~flags(pc.match_substring_regex(rest, r"[\p{L}\p{N}]"))]
+    form[nothing] = value[nothing] = 0
+    capital = flags(pc.utf8_is_upper(pc.utf8_slice_codeunits(bare, 0, 1)))
+    stop = flags(pc.match_substring_regex(words, "[.!?:][\"')\\]»”’]*$"))
+    return form, value, kind, capital, stop
+
+
+def templates(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(form hashes, value hashes, is a slot, is a name) of each text's template words. Each different word of the batch is
+    looked at once."""
+    if not len(texts):
+        return []
+    lines = pc.split_pattern(texts.fill_null(""), "\n")
+    lists = pc.utf8_split_whitespace(lines.flatten())
+    size = lambda x: pc.list_value_length(x).to_numpy(zero_copy_only=False)
+    line = np.repeat(np.arange(len(lists)), size(lists))
+    doc = np.repeat(np.arange(len(texts)), size(lines))
+    coded = lists.flatten().dictionary_encode()
+    words, at = coded.dictionary, coded.indices.to_numpy()
+    blank = pc.index(words, pa.scalar("", words.type)).as_py()
+    if blank >= 0:
+        full = at != blank
+        at, line = at[full], line[full]
+    h, v, kind, cap, stop = (x[at] for x in word_rows(words))
+    first = np.append(True, (line[1:] != line[:-1]) | stop[:-1])[: len(line)]
+    name = cap & ~first & (kind == WORD_TYPE)
+    h = np.where(name & (h > 0), np.uint64(NAME_TYPE), h)
+    keep = h > 0
+    slot = name | (kind != WORD_TYPE)
+    ends = np.cumsum(np.bincount(doc[line[keep]], minlength=len(texts)))[:-1]
+    return list(zip(*(np.split(x[keep], ends) for x in (h, v, slot, name)), strict=True))
 
 
 def template(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(form hashes, value hashes, is a slot, is a name) of a text's template words."""
-    rows: list[tuple[int, int, int, int, int]] = []
-    line_start = []
-    for line in text.split("\n"):
-        words = line.split()
-        line_start += [True] + [False] * (len(words) - 1) if words else []
-        rows += map(TOKENS.__getitem__, words)
-    if not rows:
-        z = np.zeros(0, np.uint64)
-        return z, z, np.zeros(0, bool), np.zeros(0, bool)
-    h, v = (np.fromiter(map(itemgetter(i), rows), np.uint64, len(rows)) for i in (0, 1))
-    kind, cap, stop = (np.fromiter(map(itemgetter(i), rows), np.int8, len(rows)) for i in (2, 3, 4))
-    first = np.array(line_start) | np.concatenate([[True], stop[:-1] == 1])
-    name = (cap == 1) & ~first & (kind == WORD_TYPE)
-    h = np.where(name & (h > 0), np.uint64(NAME_TYPE), h)
-    keep = h > 0
-    return h[keep], v[keep], (name | (kind != WORD_TYPE))[keep], name[keep]
+    return templates(pa.array([text], pa.large_string()))[0]
 
 
 def sequences(h: np.ndarray, n: int) -> np.ndarray:
@@ -135,12 +146,11 @@ def window_rows(df: DataFrame, text: str, id_col: str, only: np.ndarray | None =
             table = np.zeros(int(mask) + 1, bool)
             table[(only & mask).view(np.int64)] = True
         for whole in batches:
-            for batch in steps(whole):
+            for batch in steps(whole, 2048, 1, 4 * STEP_BYTES):
                 ids, ws, ps, ns, ss = [], [], [], [], []
-                for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    if key is None or not t:
+                for key, (h, v, slot, name) in zip(batch.column(0).to_pylist(), templates(batch.column(1)), strict=True):
+                    if key is None or not len(h):
                         continue
-                    h, v, slot, name = template(t)
                     own = [len(h)] if SHORT_WORDS <= len(h) < WINDOW else []
                     x, at = windows(h, v, slot, name, own if short is None else short)
                     if only is not None:

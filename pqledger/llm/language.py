@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fold, read, steps
+from .common import STEP, fold, read, sampled_texts, steps
 
 #: Families of languages; fixed values.
 FAMILIES = {
@@ -143,8 +143,8 @@ class Model:
 
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", n: int = TRAIN_DOCS) -> Model:
     """Learns from a bounded sample of df, from which the caller has taken held-out rows."""
-    picked = F.broadcast(bounded_sample(df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(id_col).alias("_i")).where("_i is not null"), "_i", n).distinct())
-    got = df.select(F.col(id_col).alias("_i"), F.col(text).alias("_t"), F.col(lang).alias("_g")).where("_t is not null and _g is not null").join(picked, "_i").select("_t", "_g").toArrow()
+    rows = df.select(F.col(id_col).alias("_i"), F.col(text).alias("_t"), F.col(lang).alias("_g")).where("_i is not null and _t is not null and _g is not null")
+    got = sampled_texts(rows, n).toArrow()
     rows = sorted(zip(got["_t"].to_pylist(), got["_g"].to_pylist(), strict=True))
     return Model([t for t, _ in rows], [g for _, g in rows])
 
@@ -152,7 +152,7 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "do
 def predict(df: DataFrame, model: Model, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in steps(batch):
+            for part in steps(batch, STEP, 1):
                 langs, scores = model.predict(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 

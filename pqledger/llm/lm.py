@@ -17,6 +17,7 @@ columns are not read.
 
 from __future__ import annotations
 
+import heapq
 import math
 import os
 from collections import Counter
@@ -24,41 +25,65 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE, fold, read, stored, texts
+from .common import flat, fold, read, stored
 
-VOCAB, CLASS, HIDDEN, WINDOW, STREAMS = 2048, 64, 24, 16, 96
+VOCAB, CLASS, HIDDEN, WINDOW, STREAMS = 2048, 64, 16, 16, 192
 #: One training document in so many is in the first round of training, all others are in the second.
 FIRST_ROUND = 16
 #: Training documents that a shard takes about, over both rounds.
 SHARD_DOCS = 6400
 #: Counts of so many words go to all executors at most; rarer words' counts are joined.
 KNOWN = 100_000
-#: Partial counts that a task holds before it passes them on; documents scored side by side. Memory bounds only.
-FLUSH, SIDE_BY_SIDE = 400_000, 4096
+#: Partial counts that a task holds before it passes them on; tokens scored side by side. Memory bounds only.
+FLUSH, SIDE_BY_SIDE = 400_000, 4_000_000
 END = b"\n"  # no word holds white space
 SURFACE = 4 * 3 * 3
-RATE = 0.08
-
-
-def words(text: str) -> list[bytes]:
-    """Lower-cased (A-Z) words between ASCII white space."""
-    return text.encode().lower().split()
-
-
-_ES, _DE, _FR = (tuple(c.encode() for c in s) for s in ("ñóíáú", "äöüß", "éèêàçùîôâ"))
-
-
-def surface(word: bytes) -> int:
-    """The surface class of a word."""
-    kind = 0
-    if not word.isascii():
-        kind = 1 + max(range(3), key=lambda i: (sum(c in word for c in (_ES, _DE, _FR)[i]), -i))
-    n = len(word)
-    end = word[-1:]
-    return (kind * 3 + (0 if n < 6 else 1 if n < 11 else 2)) * 3 + (0 if end.isalpha() or end > b"\x7f" else 1 if end in b".,;:!?" else 2)
+RATE = 0.1
+
+
+def batch_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(different words, each token's word, tokens of each text) of a batch: lower-cased (A-Z) words between ASCII white space."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    n = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = lists.flatten().dictionary_encode()
+    words, at = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+    blank = pc.index(words, pa.scalar("", words.type)).as_py()
+    if blank >= 0:
+        keep = at != blank
+        n = np.bincount(np.repeat(np.arange(len(n)), n)[keep], minlength=len(n))
+        at = at[keep]
+    return words.cast(pa.binary()), at, n
+
+
+#: The second bytes of letters (after C3) that tell a language; fixed values: es, de, fr.
+_TELLING = np.full(256, -1)
+for _i, _letters in enumerate(("ñóíáú", "äöüß", "éèêàçùîôâ")):
+    for _c in _letters:
+        _TELLING[_c.encode()[1]] = _i
+_END = np.full(256, 2)
+_END[[c for c in range(128) if chr(c).isalpha()]] = 0
+_END[128:] = 0
+_END[list(b".,;:!?")] = 1
+
+
+def surfaces(words: pa.Array) -> np.ndarray:
+    """The surface classes of words: alphabet, length, last letter."""
+    data, offsets = flat(words)
+    n = np.diff(offsets)
+    if not len(n):
+        return np.zeros(0, np.int64)
+    last = np.where(n > 0, data[np.maximum(offsets[1:], 1) - 1] if len(data) else 0, 0)
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    told = _TELLING[data[lead + 1]]
+    of = np.searchsorted(offsets, lead[told >= 0], "right") - 1
+    votes = np.bincount(of * 3 + told[told >= 0], minlength=3 * len(n)).reshape(-1, 3)
+    high = np.concatenate([[0], np.cumsum(data >= 0x80)])
+    kind = np.where(high[offsets[1:]] > high[offsets[:-1]], 1 + votes.argmax(1), 0)
+    return (kind * 3 + np.where(n < 6, 0, np.where(n < 11, 1, 2))) * 3 + _END[last]
 
 
 def token_counts(df: DataFrame, text: str) -> DataFrame:
@@ -73,11 +98,14 @@ def token_counts(df: DataFrame, text: str) -> DataFrame:
             return b
 
         for batch in batches:
-            for t in texts(batch, "_t"):
-                c.update(words(t))
-                c[END] += 1
-                if len(c) > FLUSH:
-                    yield out()
+            ws, at, n = batch_words(batch.column(0))
+            for w, k in zip(ws.to_pylist(), np.bincount(at, minlength=len(ws)).tolist(), strict=True):
+                if k:
+                    c[w] += k
+            if len(n):
+                c[END] += len(n)
+            if len(c) > FLUSH:
+                yield out()
         if c:
             yield out()
 
@@ -107,42 +135,49 @@ def start_weights(v: Vocabulary, seed: int = 11) -> dict[str, np.ndarray]:
     f = np.float32
     counts = np.full(v.heads * CLASS, 0.0)
     counts[: v.n_top] = [n + 0.1 for _, n in v.top]
-    bw = np.full((v.heads, CLASS), -1e9)
-    bw[counts.reshape(-1, CLASS) > 0] = np.log(counts[counts > 0])
-    mass = np.concatenate([counts.reshape(-1, CLASS).sum(1), v.mass])
+    bw = np.full((v.heads, CLASS), -60.0)  # places beyond the vocabulary
+    shape = counts.reshape(-1, CLASS)
+    bw[shape > 0] = np.log(counts[counts > 0]) - np.repeat(np.log(shape.sum(1)), (shape > 0).sum(1))
+    mass = np.concatenate([shape.sum(1), v.mass])
+    # the last rows of wc and ww are biases
     return {
         "x": rng.normal(0, 0.1, (v.n_top + SURFACE, 3 * HIDDEN)).astype(f), "u": rng.normal(0, 0.2, (HIDDEN, 3 * HIDDEN)).astype(f),
-        "wc": np.zeros((HIDDEN, v.classes), f), "bc": np.log(np.maximum(mass, 1e-9)).astype(f),
-        "ww": np.zeros((v.heads, HIDDEN, CLASS), f), "bw": bw.astype(f),
+        "wc": np.concatenate([np.zeros((HIDDEN, v.classes)), np.log(np.maximum(mass / mass.sum(), 1e-12))[None]]).astype(f),
+        "ww": np.concatenate([np.zeros((v.heads, HIDDEN, CLASS)), bw[:, None]], 1).astype(f),
     }
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
 def cell(p: dict, h: np.ndarray, x: np.ndarray):
     """One step; returns the new state and what the way back needs."""
     a = h @ p["u"]
-    rz = sigmoid(x[:, : 2 * HIDDEN] + a[:, : 2 * HIDDEN])
-    r, z = rz[:, :HIDDEN], rz[:, HIDDEN:]
-    n = np.tanh(x[:, 2 * HIDDEN :] + r * a[:, 2 * HIDDEN :])
-    return n + z * (h - n), (r, z, n, a[:, 2 * HIDDEN :])
-
-
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
-
-
-def softmax(x: np.ndarray) -> np.ndarray:
-    """In place."""
-    x -= x.max(1, keepdims=True)
+    rz = x[:, : 2 * HIDDEN] + a[:, : 2 * HIDDEN]
+    np.negative(rz, out=rz)
+    np.exp(rz, out=rz)
+    rz += 1
+    np.reciprocal(rz, out=rz)
+    r, z, an = rz[:, :HIDDEN], rz[:, HIDDEN:], a[:, 2 * HIDDEN :]
+    n = r * an
+    n += x[:, 2 * HIDDEN :]
+    np.tanh(n, out=n)
+    new = h - n
+    new *= z
+    new += n
+    return new, (r, z, n, an)
+
+
+def softmax(x: np.ndarray, scale: float = 1.0) -> np.ndarray:
+    """scale times the probabilities of rows of logits, in place. Logits are log-odds and never near the limits of exp."""
     np.exp(x, out=x)
-    x /= x.sum(1, keepdims=True)
+    x *= np.float32(scale) / x.sum(1, keepdims=True)
     return x
 
 
+def with_ones(h: np.ndarray) -> np.ndarray:
+    out = np.ones((len(h), h.shape[1] + 1), np.float32)
+    out[:, :-1] = h
+    return out
+
+
 def class_of(ids: np.ndarray, v_top: int, heads: int) -> np.ndarray:
     return np.where(ids < v_top, ids // CLASS, ids - v_top + heads)
 
@@ -150,120 +185,139 @@ def class_of(ids: np.ndarray, v_top: int, heads: int) -> np.ndarray:
 def log_probs(p: dict, h: np.ndarray, ids: np.ndarray, v_top: int, heads: int) -> np.ndarray:
     """Natural logs of the network's probabilities of ids after states h."""
     c = class_of(ids, v_top, heads)
-    out = log_softmax(h @ p["wc"] + p["bc"])[np.arange(len(ids)), c]
-    order = np.argsort(c, kind="stable")
-    edges = np.searchsorted(c[order], np.arange(heads + 1))
+    order = np.argsort(c.astype(np.int16), kind="stable")
+    h, c, ids = with_ones(h[order]), c[order], ids[order]
+    logits = h @ p["wc"]
+    got = logits[np.arange(len(ids)), c]
+    got -= np.log(np.exp(logits, out=logits).sum(1))
+    edges = np.searchsorted(c, np.arange(heads + 1)).tolist()
     for k in range(heads):
-        rows = order[edges[k] : edges[k + 1]]
-        if len(rows):
-            out[rows] += log_softmax(h[rows] @ p["ww"][k] + p["bw"][k])[np.arange(len(rows)), ids[rows] - k * CLASS]
+        a, b = edges[k], edges[k + 1]
+        if a < b:
+            logits = h[a:b] @ p["ww"][k]
+            got[a:b] += logits[np.arange(b - a), ids[a:b] - k * CLASS]
+            got[a:b] -= np.log(np.exp(logits, out=logits).sum(1))
+    out = np.empty(len(ids), got.dtype)
+    out[order] = got
     return out
 
 
+def side_by_side(docs: list[np.ndarray], streams: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whole documents laid end to end in streams of about equal length, long ones first: (tokens, places x streams, -1
+    beyond a stream's end; lengths, in falling order)."""
+    heap = [(0, i) for i in range(min(streams, len(docs)))]
+    parts: list[list[np.ndarray]] = [[] for _ in heap]
+    for d in sorted(docs, key=len, reverse=True):
+        n, i = heapq.heappop(heap)
+        parts[i].append(d)
+        heapq.heappush(heap, (n + len(d), i))
+    heap.sort(reverse=True)
+    lengths = np.array([n for n, _ in heap], np.int64)
+    out = np.full((int(lengths[0]) if len(heap) else 0, len(heap)), -1, np.int32)
+    for k, (n, i) in enumerate(heap):
+        out[:n, k] = np.concatenate(parts[i])
+    return out, lengths
+
+
+def window_gradients(p: dict, h: np.ndarray, x: np.ndarray, y: np.ndarray, v_top: int, heads: int, end: int, weight: float) -> tuple[dict, np.ndarray, np.ndarray]:
+    """(gradients, rows of the input table that they concern, the state after the window) of weight times the negative
+    log-likelihood of y (steps x streams, -1 for none) after inputs x, by backpropagation within the window."""
+    f4 = np.float32
+    steps_, streams = y.shape
+    e = p["x"][x]
+    keep = (x != end).astype(f4)[:, :, None]  # else a document begins
+    h0, hs, r, z, n, an = (np.empty((steps_, streams, HIDDEN), f4) for _ in range(6))
+    for t in range(steps_):
+        np.multiply(h, keep[t], out=h0[t])
+        h, (r[t], z[t], n[t], an[t]) = cell(p, h0[t], e[t])
+        hs[t] = h
+    flat_y = y.ravel()
+    ok = np.flatnonzero(flat_y >= 0)
+    # rows in the order of their classes, so that each class is one slice
+    c = class_of(flat_y[ok], v_top, heads)
+    order = np.argsort(c.astype(np.int16), kind="stable")
+    ok, c = ok[order], c[order]
+    hh, yy = with_ones(hs.reshape(-1, HIDDEN)[ok]), flat_y[ok]
+    edges = np.searchsorted(c, np.arange(heads + 1)).tolist()
+    pc = softmax(hh @ p["wc"], weight)
+    pc[np.arange(len(yy)), c] -= f4(weight)
+    grad = {"wc": hh.T @ pc, "ww": np.zeros_like(p["ww"])}
+    dh = pc @ p["wc"][:-1].T
+    m = edges[-1]  # rows of frequent words
+    if m:
+        pw = np.empty((m, CLASS), f4)
+        some = [(k, edges[k], edges[k + 1]) for k in range(heads) if edges[k] < edges[k + 1]]
+        for k, i, j in some:
+            np.matmul(hh[i:j], p["ww"][k], out=pw[i:j])
+        softmax(pw, weight)
+        pw[np.arange(m), yy[:m] - c[:m] * CLASS] -= f4(weight)
+        for k, i, j in some:
+            np.matmul(hh[i:j].T, pw[i:j], out=grad["ww"][k])
+            dh[i:j] += pw[i:j] @ p["ww"][k][:-1].T
+    full = np.zeros((steps_ * streams, HIDDEN), f4)
+    full[ok] = dh
+    full = full.reshape(steps_, streams, HIDDEN)
+    carry = np.zeros((streams, HIDDEN), f4)
+    da, dn = np.empty((steps_, streams, 3 * HIDDEN), f4), np.empty((steps_, streams, HIDDEN), f4)
+    to_n, to_z, to_r, back = (1 - z) * (1 - n * n), (h0 - n) * z * (1 - z), an * r * (1 - r), np.ascontiguousarray(p["u"].T)
+    for t in range(steps_ - 1, -1, -1):
+        d = full[t] + carry
+        np.multiply(d, to_n[t], out=dn[t])
+        g = da[t]
+        np.multiply(dn[t], to_r[t], out=g[:, :HIDDEN])
+        np.multiply(d, to_z[t], out=g[:, HIDDEN : 2 * HIDDEN])
+        np.multiply(dn[t], r[t], out=g[:, 2 * HIDDEN :])
+        d *= z[t]
+        d += g @ back
+        carry = np.multiply(d, keep[t], out=d)
+    grad["u"] = h0.reshape(-1, HIDDEN).T @ da.reshape(-1, 3 * HIDDEN)
+    da[:, :, 2 * HIDDEN :] = dn  # now by the inputs
+    rows = np.argsort(x, axis=None, kind="stable")
+    u, firsts = np.unique(x.ravel()[rows], return_index=True)
+    grad["x"] = np.add.reduceat(da.reshape(-1, 3 * HIDDEN)[rows], firsts)
+    return grad, u, h
+
+
 def train_shard(p: dict, docs: Iterator[np.ndarray], v_top: int, heads: int, end: int) -> tuple[dict, int]:
     """Truncated backpropagation over whole documents, laid end to end in STREAMS streams."""
     p = {k: w.copy() for k, w in p.items()}
     f4 = np.float32
-    g2 = {k: np.full_like(w, 1e-2 if k in ("bw", "bc") else 5e-4) for k, w in p.items()}
-    more = iter(docs)
-    queue: list[np.ndarray] = [np.zeros(0, np.int64)] * STREAMS
-    h, last = np.zeros((STREAMS, HIDDEN), np.float32), np.full(STREAMS, end)
-    seen, open_ = 0, True
-    while True:
-        for b in range(STREAMS):
-            while open_ and len(queue[b]) < WINDOW:
-                d = next(more, None)
-                if d is None:
-                    open_ = False
-                else:
-                    queue[b] = np.concatenate([queue[b], d])
-        y = np.full((WINDOW, STREAMS), -1)
-        for b in range(STREAMS):
-            n = min(WINDOW, len(queue[b]))
-            y[:n, b] = queue[b][:n]
-            queue[b] = queue[b][n:]
-        if (y < 0).all():
-            return p, seen
-        inputs, keep = np.empty_like(y), np.empty((WINDOW, STREAMS, 1), f4)
-        h0, hs, r, z, n, an = (np.empty((WINDOW, STREAMS, HIDDEN), f4) for _ in range(6))
-        for t in range(WINDOW):
-            inputs[t] = last
-            keep[t, :, 0] = last != end  # else a document begins
-            h0[t] = h * keep[t]
-            h, (r[t], z[t], n[t], an[t]) = cell(p, h0[t], p["x"][last])
-            hs[t] = h
-            last = np.where(y[t] >= 0, y[t], end)
-        flat_y = y.ravel()
-        ok = np.flatnonzero(flat_y >= 0)
-        seen += len(ok)
-        # rows in the order of their classes, so that each class is one slice
-        c = class_of(flat_y[ok], v_top, heads)
-        order = np.argsort(c, kind="stable")
-        ok, c = ok[order], c[order]
-        hh, yy = hs.reshape(-1, HIDDEN)[ok], flat_y[ok]
-        edges = np.searchsorted(c, np.arange(heads + 1)).tolist()
-        scale = f4(1 / (WINDOW * STREAMS))
-        rate = f4(RATE * len(ok) / (WINDOW * STREAMS))  # so that a few last tokens move little
-        pc = softmax(hh @ p["wc"] + p["bc"])
-        pc[np.arange(len(yy)), c] -= 1
-        pc *= scale
-        grad = {"wc": hh.T @ pc, "bc": pc.sum(0), "ww": np.zeros_like(p["ww"]), "bw": np.zeros_like(p["bw"])}
-        dh = pc @ p["wc"].T
-        m = edges[-1]  # rows of frequent words
-        if m:
-            pw = p["bw"][c[:m]]
-            some = [(k, edges[k], edges[k + 1]) for k in range(heads) if edges[k] < edges[k + 1]]
-            for k, i, j in some:
-                pw[i:j] += hh[i:j] @ p["ww"][k]
-            pw = softmax(pw)
-            pw[np.arange(m), yy[:m] - c[:m] * CLASS] -= 1
-            pw *= scale
-            for k, i, j in some:
-                grad["ww"][k] = hh[i:j].T @ pw[i:j]
-                dh[i:j] += pw[i:j] @ p["ww"][k].T
-            grad["bw"][[k for k, _, _ in some]] = np.add.reduceat(pw, [i for _, i, _ in some])
-        full = np.zeros((WINDOW * STREAMS, HIDDEN), f4)
-        full[ok] = dh
-        full = full.reshape(WINDOW, STREAMS, HIDDEN)
-        carry = np.zeros((STREAMS, HIDDEN), f4)
-        dx, da = (np.empty((WINDOW, STREAMS, 3 * HIDDEN), f4) for _ in range(2))
-        to_n, to_z, to_r = (1 - z) * (1 - n * n), (h0 - n) * z * (1 - z), an * r * (1 - r)
-        for t in range(WINDOW - 1, -1, -1):
-            d = full[t] + carry
-            dn = d * to_n[t]
-            da[t, :, :HIDDEN] = dn * to_r[t]
-            da[t, :, HIDDEN : 2 * HIDDEN] = d * to_z[t]
-            da[t, :, 2 * HIDDEN :] = dn * r[t]
-            dx[t, :, 2 * HIDDEN :] = dn
-            carry = (d * z[t] + da[t] @ p["u"].T) * keep[t]
-        dx[:, :, : 2 * HIDDEN] = da[:, :, : 2 * HIDDEN]
-        grad["u"] = h0.reshape(-1, HIDDEN).T @ da.reshape(-1, 3 * HIDDEN)
+    g2 = {k: np.full_like(w, 5e-4) for k, w in p.items()}
+    slow = {k: np.ones((w.shape[-2], 1), f4) for k, w in p.items() if k in ("wc", "ww")}
+    for k, w in slow.items():  # biases start from counts and move less
+        g2[k][..., -1, :], w[-1] = 1e-2, 0.5
+    ys, lengths = side_by_side(list(docs), STREAMS)
+    xs = np.concatenate([np.full((1, ys.shape[1]), end, np.int32), ys[:-1]]) if len(ys) else ys
+    h = np.zeros((ys.shape[1], HIDDEN), f4)
+    for t in range(0, len(ys), WINDOW):
+        a = int(np.searchsorted(-lengths, -t, "left"))  # streams longer than t
+        y, x = ys[t : t + WINDOW, :a], xs[t : t + WINDOW, :a]
+        share = int((y >= 0).sum()) / (WINDOW * STREAMS)
+        grad, u, h = window_gradients(p, h[:a], np.where(x >= 0, x, end), y, v_top, heads, end, 1 / (WINDOW * STREAMS))
+        rate = f4(RATE * share)  # so that a few last tokens move little
         for k, g in grad.items():
-            np.clip(g, -0.5, 0.5, out=g)
-            g2[k] += g * g
-            p[k] -= (rate * f4(0.5) if k in ("bw", "bc") else rate) * g / np.sqrt(g2[k])
-        by_input = np.argsort(inputs, axis=None, kind="stable")
-        u, firsts = np.unique(inputs.ravel()[by_input], return_index=True)
-        gx = np.add.reduceat(dx.reshape(-1, 3 * HIDDEN)[by_input], firsts)
-        g2["x"][u] += gx * gx
-        p["x"][u] -= rate * gx / np.sqrt(g2["x"][u])
+            at = u if k == "x" else ...
+            if k != "x":
+                np.clip(g, -0.5, 0.5, out=g)
+            g2[k][at] += g * g
+            g *= rate * slow[k] if k in slow else rate
+            g /= np.sqrt(g2[k][at])
+            p[k][at] -= g
+    return p, int(lengths.sum())
 
 
-class Slots(dict):
-    """word -> number; words without one get first + their surface class, remembered while there is room."""
+class Slots:
+    """word -> number; words without one get first + their surface class."""
 
-    def __init__(self, numbers: dict[bytes, int], first: int):
-        super().__init__(numbers)
-        self.first, self.room = first, len(numbers) + CACHE
+    def __init__(self, words: list[bytes]):
+        self.words, self.first = pa.array(words, pa.binary()), len(words)
 
-    def __missing__(self, word: bytes) -> int:
-        k = self.first + surface(word)
-        if len(self) < self.room:
-            self[word] = k
-        return k
-
-    def array(self, ws: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, ws), np.int64, len(ws))
+    def of(self, words: pa.Array) -> np.ndarray:
+        got = pc.index_in(words, value_set=self.words)
+        out = got.fill_null(-1).to_numpy().astype(np.int64)
+        rest = np.flatnonzero(out < 0)
+        out[rest] = self.first + surfaces(words.take(pa.array(rest)))
+        return out
 
 
 def pack(p: dict) -> bytes:
@@ -307,11 +361,10 @@ def fit(docs: DataFrame, text: str, id_col: str) -> tuple[Vocabulary, dict, Data
     top_words = {w for w, _ in top}
 
     def masses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(SURFACE)
+        sums, slots = np.zeros(SURFACE), Slots(list(top_words))
         for b in batches:
-            for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if w not in top_words:
-                    sums[surface(w)] += n + 0.1
+            k = slots.of(b.column(0)) - slots.first
+            sums += np.bincount(k[k >= 0], b.column(1).to_numpy()[k >= 0] + 0.1, SURFACE)
         yield pa.RecordBatch.from_arrays([pa.array(range(SURFACE), pa.int32()), pa.array(sums)], names=["k", "m"])
 
     mass = [0.1] * SURFACE
@@ -329,19 +382,21 @@ def fit(docs: DataFrame, text: str, id_col: str) -> tuple[Vocabulary, dict, Data
 
 def round_of_training(docs: DataFrame, start: dict, v: Vocabulary, shards: int, text: str, id_col: str) -> dict:
     """The mean, by tokens, of the weights that the shards of docs learn from start; start if there are no docs."""
-    ids, n_top, heads = v.ids, v.n_top, v.heads
+    top, n_top, heads, end = [w for w, _ in v.top], v.n_top, v.heads, v.end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, slots = [None], Slots(ids, n_top)
+        shard, slots = [None], Slots(top)
 
         def each() -> Iterator[np.ndarray]:
             for b in batches:
                 if b.num_rows and shard[0] is None:
                     shard[0] = b.column(1)[0].as_py()
-                for t in b.column(0).to_pylist():
-                    yield slots.array([*words(t or ""), END])
+                ws, at, n = batch_words(b.column(0))
+                ids = slots.of(ws).astype(np.int32)[at]
+                for d in np.split(ids, np.cumsum(n)[:-1]) if len(n) else []:
+                    yield np.append(d, np.int32(end))
 
-        p, n = train_shard(start, each(), n_top, heads, ids[END])
+        p, n = train_shard(start, each(), n_top, heads, end)
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([shard[0]], pa.int64()), pa.array([pack(p)], pa.binary()), pa.array([n], pa.int64())], names=["shard", "weights", "tokens"])
 
@@ -395,40 +450,58 @@ def score_batch(p: dict, docs: list[np.ndarray], n_top: int, heads: int, end: in
 
 
 def scored(docs: DataFrame, v: Vocabulary, p: dict, counts: DataFrame, text: str, id_col: str) -> DataFrame:
-    known, ids, n_top, heads, end = v.known, v.ids, v.n_top, v.heads, v.end
+    known, top, n_top, heads, end = v.known, [w for w, _ in v.top], v.n_top, v.heads, v.end
     n_words = len(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # of slots: the known words, then the surface classes of all others
-        slots = Slots({w: i for i, w in enumerate(known)}, n_words)
-        net_id = np.array([k if (k := ids.get(w)) is not None else n_top + surface(w) for w in known] + list(range(n_top, n_top + SURFACE)))
+        slots = Slots(list(known))
+        net_id = np.concatenate([Slots(top).of(slots.words), n_top + np.arange(SURFACE)])
         log = np.concatenate([v.logs(list(known.values())), np.zeros(SURFACE)])
         share = np.where(net_id < n_top, 0.0, log - np.log10(np.append(v.mass, 1.0))[np.maximum(net_id - n_top, -1)])
-        for whole in batches:
-            for i in range(0, whole.num_rows, SIDE_BY_SIDE):
-                batch = whole.slice(i, SIDE_BY_SIDE)
-                rows, n, n_known, base, extra, rest_w, rest_n = [], [], [], [], [], [], []
-                for t in texts(batch, "_t"):
-                    ws = [*words(t), END]
-                    at = slots.array(ws)
-                    rest = np.flatnonzero(at >= n_words).tolist()
-                    c = Counter([ws[k] for k in rest])
-                    rows.append(net_id[at])
-                    n.append(len(ws)), n_known.append(len(ws) - len(rest) - (known[END] == 0)), base.append(log[at].sum()), extra.append(share[at].sum()), rest_w.append(list(c.keys())), rest_n.append(list(c.values()))
-                net = score_batch(p, rows, n_top, heads, end)
-                rid = np.frombuffer(os.urandom(8 * len(n)), "<i8")
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(rid), pa.array(n, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(net + np.array(extra)), pa.array(rest_w, pa.list_(pa.binary())), pa.array(rest_n, pa.list_(pa.int32()))],
-                    names=["doc_id", "rid", "n_tokens", "n_known", "base", "score", "words", "ns"])
+        last = list(known).index(END)
+        pool: list[tuple] = []
+
+        def out() -> pa.RecordBatch:
+            ids = [d for x in pool for d in x[-1]]
+            net = score_batch(p, ids, n_top, heads, end)
+            columns = [pa.concat_arrays([x[k] for x in pool]) for k in range(7)]
+            pool.clear()
+            net += columns[4].to_numpy()
+            rid = pa.array(np.frombuffer(os.urandom(8 * len(ids)), "<i8"))
+            return pa.RecordBatch.from_arrays([columns[0], rid, *columns[1:4], pa.array(net), *columns[5:7]], names=["doc_id", "rid", "n_tokens", "n_known", "base", "score", "words", "ns"])
+
+        held = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ws, which, n = batch_words(batch.column(1))
+            at = slots.of(ws)[which]
+            doc = np.repeat(np.arange(len(n)), n)
+            total = lambda x: np.bincount(doc, x, len(n))  # noqa: E731, B023
+            rare = np.flatnonzero(at >= n_words)
+            pairs, times = np.unique(doc[rare] * max(1, len(ws)) + which[rare], return_counts=True)
+            lists = np.searchsorted(pairs, np.arange(len(n) + 1) * max(1, len(ws)))
+            names = pa.ListArray.from_arrays(pa.array(lists, pa.int32()), ws.take(pa.array(pairs % max(1, len(ws)))))
+            ns = pa.ListArray.from_arrays(pa.array(lists, pa.int32()), pa.array(times.astype(np.int32)))
+            n_known = total((at < n_words).astype(float)).astype(np.int64) + (known[END] > 0)
+            ids = [np.append(d, np.int32(end)) for d in np.split(net_id[at].astype(np.int32), np.cumsum(n)[:-1])]
+            pool.append((batch.column(0), pa.array(n + 1), pa.array(n_known), pa.array(total(log[at]) + log[last]), pa.array(total(share[at]) + share[last]), names, ns, ids))
+            held += len(at) + len(n)
+            if held > SIDE_BY_SIDE:
+                yield out()
+                held = 0
+        if pool:
+            yield out()
 
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("_t"))
     zero = F.lit(0).cast("long")
     schema = base.select("doc_id", zero.alias("rid"), zero.alias("n_tokens"), zero.alias("n_known"), F.lit(0.0).alias("base"), F.lit(0.0).alias("score"), F.array().cast("array<binary>").alias("words"), F.array().cast("array<int>").alias("ns")).schema
     mine = stored(base.mapInArrow(run, schema), "scores")  # once: rid names a row
-    rare = mine.select("doc_id", "rid", F.explode(F.arrays_zip("words", "ns")).alias("x")).select("doc_id", "rid", F.xxhash64("x.words").alias("h"), F.col("x.ns").alias("m"))
-    rare_counts = counts.select(F.xxhash64("word").alias("h"), F.col("n").alias("c"))
+    rare = mine.select("doc_id", "rid", F.explode(F.arrays_zip("words", "ns")).alias("x")).select("doc_id", "rid", F.col("x.words").alias("word"), F.col("x.ns").alias("m"))
     c = F.coalesce("c", zero)
-    found = rare.join(rare_counts, "h", "left").select("doc_id", "rid", zero.alias("n_tokens"), F.when(c > 0, F.col("m")).otherwise(0).cast("long").alias("n_known"), (F.col("m") * F.log10(c + 0.1)).alias("base"), (F.col("m") * F.log10(c + 0.1)).alias("score"))
+    log = F.col("m") * F.log10(c + 0.1)
+    found = rare.join(counts.select("word", F.col("n").alias("c")), "word", "left").select("doc_id", "rid", zero.alias("n_tokens"), F.when(c > 0, F.col("m")).otherwise(0).cast("long").alias("n_known"), log.alias("base"), log.alias("score"))
     both = mine.select("doc_id", "rid", "n_tokens", "n_known", "base", "score").unionByName(found).groupBy("doc_id", "rid").agg(*[F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base", "score")])
     return both.select("doc_id", "n_tokens", "n_known", F.lit(v.total).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * v.denominator).alias("base_score"), "score")
 

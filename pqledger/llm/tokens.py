@@ -17,18 +17,21 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE, bounded_sample, read, shared_dir
+from .common import CACHE, read, sampled_texts, shared_dir
 
 MAGIC = b"PQTOK1\n\0"
 INDEX = np.dtype([("key", "<i8"), ("null", "u1"), ("at", "<u8"), ("size", "<u4"), ("start", "<u8"), ("tokens", "<u8")])
@@ -37,6 +40,14 @@ END_ID = 2
 DICT_DOCS, DICT_BYTES = 1000, 64 * 1024
 
 
+#: Signs that are not plain in a word: blanks and controls, soft hyphens, the capital I with a dot, all from U+0250.
+ODD = re.compile("[^\\x21-\\x7e\\xa1-\\xac\\xae-\\u012f\\u0131-\\u024f]")
+#: The same in a text, where ASCII white space is plain; in the syntax of Arrow's patterns.
+ODD_TEXT = r"[^\x09-\x0d\x20-\x7e\x{a1}-\x{ac}\x{ae}-\x{12f}\x{131}-\x{24f}]"
+#: The part of the tokenizer's pattern that takes runs of letters.
+LETTERS = r"[\p{L}]+|"
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -44,10 +55,12 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Whole texts to ids, the same as Tokenizer.encode(text, add_special_tokens=False).ids, remembering words.
+    """Whole texts to ids, the same as Tokenizer.encode(text, add_special_tokens=False).ids, by different pieces.
 
-    The tokenizer splits at white space before anything else, so text between spaces can be encoded on its own; only
-    texts that hold a special token's string are given to the library whole."""
+    Of plain texts, up to U+024F, the tokenizer's NFC changes nothing, lower-casing goes letter by letter and white space only
+    separates. So Arrow lower-cases a batch, cuts it into the pieces of the tokenizer's pattern and numbers them; each
+    different piece is encoded once and ids are gathered by number. Other texts are cut at spaces, and the library encodes
+    the words that aren't plain; texts that hold a special token's string are given to the library whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -55,42 +68,78 @@ class Encoder:
 
         self.tokenizer, spec = Tokenizer.from_file(path), json.load(open(path, encoding="utf-8"))
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.model, self.known, self.pieces = self.tokenizer.model, {"": b""}, {}
+        self.model = self.tokenizer.model
+        # ids of pieces and of words, met in this and in the last generation
+        self.pieces: list[dict[str, bytes]] = [{}, {}]
+        self.words: list[dict[str, bytes]] = [{}, {}]
         split = [p for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if p.get("type") == "Split"]
         kinds = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
-        self.by_word = kinds == ["NFC", "Replace", "Lowercase"] and len(split) == 1 and split[0].get("invert") is True
-        self.pattern = regex.compile(split[0]["pattern"]["Regex"]) if self.by_word else None
+        pattern = split[0]["pattern"].get("Regex", "") if len(split) == 1 and split[0].get("invert") is True else ""
+        # the pattern's parts besides runs of letters: set off by spaces, they leave the runs
+        self.by_piece = kinds == ["NFC", "Replace", "Lowercase"] and pattern.count(LETTERS) == 1
+        self.pattern = regex.compile(pattern) if self.by_piece else None
+        self.others = f"({pattern.replace(LETTERS, '')})" if self.by_piece else ""
         # the printable stand-ins of bytes in byte-level models: printable Latin-1 stands for itself, others follow 255
         keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in keep]
         self.stand = {b: chr(b) for b in keep} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def piece(self, piece: str) -> bytes:
-        got = self.pieces.get(piece)
-        if got is None:
-            if len(self.pieces) > CACHE:
-                self.pieces.clear()
-            text = piece if piece.isascii() else "".join(map(self.stand.__getitem__, piece.encode()))
-            got = self.pieces[piece] = np.array([t.id for t in self.model.tokenize(text)], "<u4").tobytes()
-        return got
+        text = piece if piece.isascii() else "".join(map(self.stand.__getitem__, piece.encode()))
+        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
 
     def word(self, word: str) -> bytes:
-        if word.isprintable() and max(word) <= "ɏ" and "İ" not in word and " " not in word:
-            # up to U+024F, NFC changes nothing and lower-casing goes letter by letter
-            got = b"".join(map(self.piece, self.pattern.findall(word.lower())))
-        else:
-            got = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self.known) > 2 * CACHE:
-            self.known.clear()
-            self.known[""] = b""
-        self.known[word] = got
-        return got
+        return self.whole(word) if ODD.search(word) else b"".join(map(self.piece, self.pattern.findall(word.lower())))
+
+    def gathered(self, lists: pa.ListArray, cache: list[dict[str, bytes]], encode) -> list[np.ndarray]:
+        """The ids of each list of pieces or words."""
+        coded = lists.flatten().dictionary_encode()
+        if len(cache[0]) > 2 * CACHE:
+            cache[:] = {}, cache[0]
+        known, older = cache
+        ids = []
+        for w in coded.dictionary.to_pylist():
+            x = known.get(w)
+            if x is None:
+                x = known[w] = (older.get(w) or encode(w)) if w else b""
+            ids.append(x)
+        table, size = np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        at = coded.indices.to_numpy()
+        n = size[at]
+        ends = np.cumsum(n)
+        flat = table[np.repeat((np.cumsum(size) - size)[at] - ends + n, n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        last = np.concatenate([[0], ends])[np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]
+        return np.split(flat, last[:-1])
+
+    def batch(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text of an Arrow array; null is empty."""
+        if not len(texts):
+            return []
+        texts = texts.fill_null("") if texts.null_count else texts
+        out: list[np.ndarray | None] = [None] * len(texts)
+        flags = lambda x: x.to_numpy(zero_copy_only=False)
+        alone = np.full(len(texts), not self.by_piece)
+        for s in self.special if self.by_piece else []:
+            alone |= flags(pc.match_substring(texts, s))
+        for i in np.flatnonzero(alone).tolist():
+            out[i] = np.frombuffer(self.whole(texts[i].as_py()), "<u4")
+        odd = flags(pc.match_substring_regex(texts, ODD_TEXT)) if self.by_piece else alone
+        plain, rest = np.flatnonzero(~alone & ~odd), np.flatnonzero(~alone & odd)
+        if len(plain):
+            cut = pc.replace_substring_regex(pc.utf8_lower(texts.take(pa.array(plain))), self.others, r" \1 ")
+            for i, x in zip(plain.tolist(), self.gathered(pc.ascii_split_whitespace(cut), self.pieces, self.piece), strict=True):
+                out[i] = x
+        if len(rest):
+            lists = pc.split_pattern(pc.replace_substring(texts.take(pa.array(rest)), "\n", " "), " ")
+            for i, x in zip(rest.tolist(), self.gathered(lists, self.words, self.word), strict=True):
+                out[i] = x
+        return out
 
     def __call__(self, text: str) -> np.ndarray:
-        if not self.by_word or any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-        get, word = self.known.get, self.word
-        return np.frombuffer(b"".join([x if (x := get(w)) is not None else word(w) for w in text.replace("\n", " ").split(" ")]), "<u4")
+        return self.batch(pa.array([text], pa.large_string()))[0]
 
 
 def packed(ids: np.ndarray, width: int) -> bytes:
@@ -103,9 +152,8 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 def train_dictionary(df: DataFrame, path: str, text: str, id_col: str, width: int) -> bytes:
     """From a bounded sample; empty where there is too little to learn from."""
-    rows = bounded_sample(df.select(F.xxhash64(id_col).alias("k"), F.col(text).alias("t")).where("t is not null"), "k", DICT_DOCS)
-    encode = Encoder(path)
-    samples = [packed(encode(r.t), width) for r in rows.toLocalIterator()]
+    rows = sampled_texts(df.select(F.col(id_col).alias("_i"), F.col(text).alias("_t")).where("_t is not null"), DICT_DOCS).toArrow()
+    samples = sorted(packed(ids, width) for ids in Encoder(path).batch(rows["_t"].combine_chunks()))
     try:
         return zstandard.train_dictionary(DICT_BYTES, [s for s in samples if len(s) >= 8]).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -147,8 +195,8 @@ def write_tokens(df: DataFrame, out_uri: str, tokenizer: str | None = None, text
                 head = MAGIC + len(digest).to_bytes(4, "little") + digest.encode() + bytes([width])
                 out.write(head)
                 at = len(head)
-            for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.append(encode(t or ""), np.uint32(end_id))
+            for key, ids in zip(batch.column(0).to_pylist(), encode.batch(batch.column(1)), strict=True):
+                ids = np.append(ids, np.uint32(end_id))
                 frame = press.compress(packed(ids, width))
                 out.write(frame)
                 index.append((key or 0, key is None, at, len(frame), start, len(ids)))

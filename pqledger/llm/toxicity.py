@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE, bounded_sample, fold, read, steps, texts
+from .common import CACHE, STEP, bounded_sample, fold, read, sampled_texts, steps, texts
 from .quality import STOP_WORDS
 
 #: Labelled documents that training takes at most; documented bound, the only sample.
@@ -219,16 +219,13 @@ def best_threshold(logits: np.ndarray, y: np.ndarray, default: float) -> float:
     return float((s[i] + s[i - 1]) / 2)
 
 
-_VOCAB = Vocabulary()
-
-
-def score_texts(net: Net, values: list[str]) -> np.ndarray:
-    global _VOCAB
-    if len(_VOCAB) > CACHE:
-        _VOCAB.reset()
-    get = _VOCAB.__getitem__
+def score_texts(net: Net, values: list[str], vocab: Vocabulary | None = None) -> np.ndarray:
+    vocab = Vocabulary() if vocab is None else vocab
+    if len(vocab) > CACHE:
+        vocab.reset()
+    get = vocab.__getitem__
     flat, starts = laid_out([list(map(get, t.encode().split())) for t in values])
-    z = net.logits(_VOCAB.rows[flat], starts) - net.shift[languages(_VOCAB.marks[flat], starts)]
+    z = net.logits(vocab.rows[flat], starts) - net.shift[languages(vocab.marks[flat], starts)]
     return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
 
 
@@ -236,8 +233,8 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc
     """Trains on a bounded sample of labelled rows; the caller has taken held-out rows from labels."""
     y = labels.select(F.col(label_id).alias("_i"), F.col(label).cast("int").alias("_y")).where("_y in (0, 1) and _i is not null").groupBy("_i").agg(F.max("_y").alias("_y"))
     picked = F.broadcast(bounded_sample(y, "_i", n))  # at most n rows
-    rows = df.select(F.col(id_col).alias("_i"), F.coalesce(F.col(text), F.lit("")).alias("_t")).join(picked, "_i").select("_t", "_y")
-    got = rows.toArrow()
+    rows = df.select(F.col(id_col).alias("_i"), F.coalesce(F.col(text), F.lit("")).alias("_t")).join(picked, "_i")
+    got = sampled_texts(rows, n).toArrow()  # an id may have many texts
     order = sorted(zip(got["_t"].to_pylist(), got["_y"].to_pylist(), strict=True))  # the same model in every run
     return train([t for t, _ in order], [y for _, y in order])
 
@@ -250,10 +247,10 @@ def flag(df: DataFrame, net: Net, text: str = "text", reject: bool = False) -> D
     packed_net = net.save()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Net.load(packed_net)
+        own, vocab = Net.load(packed_net), Vocabulary()
         for batch in batches:
-            for part in steps(batch):
-                s = score_texts(own, texts(part, text))
+            for part in steps(batch, STEP, text):
+                s = score_texts(own, texts(part, text), vocab)
                 if reject:
                     yield part.filter(pa.array(s < 0.5))
                 else:
