@@ -10,11 +10,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pqledger.llm import decontaminate, mixing, neardup, tokens, toxicity
-from pqledger.llm.common import read, shared_dir
+from pqledger.llm.common import read, shared_dir, text_key
 from pqledger.session import ship
 
 ORACLE_SQL = None
@@ -26,12 +26,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.flag(docs, net, reject=True)
 
 
+def row_name(doc_id: str, *key: Column) -> Column:
+    """Names a row by its doc_id and text; never null."""
+    return F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("~")), *[k.cast("string") for k in key])
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class stays: the one of the least doc_id, null last; of rows of that id, the one of the least hash."""
-    # in the order of (doc_id, hash of the text), as text
-    number = F.lpad(F.hex(F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
-    rows = docs.withColumn("_row", F.concat(F.coalesce(number, F.lit("~")), F.lpad(F.hex(F.xxhash64("text")), 16, "0")))
-    stay = neardup.near_duplicates(rows, id_col="_row").where("is_representative").select(F.col("doc_id").alias("_row")).distinct()
+    stay = neardup.near_rows(docs).where("is_representative").select(row_name("doc_id", F.col("t1"), F.col("t2")).alias("_row")).distinct()
+    rows = docs.withColumn("_row", row_name("doc_id", *text_key("text")))
     return rows.join(stay, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
 
 
@@ -43,7 +46,8 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole copies by rate, with the target weights reached by repeating documents, never by dropping one."""
+    """Whole copies by rate, with the target weights reached by repeating documents, never by dropping one. The output has at
+    most 1 / (the least target) times the input's tokens; documents of a rare domain with a high target are repeated often."""
     labelled = mixing.labelled_by_lang(docs, read(spark, sf_dir, "labels"))
     rates = mixing.mixed(docs, labelled, mixing.TARGETS, floor=1.0, budget=0).groupBy("doc_id").agg(F.max("rate").alias("_rate"))
     part = F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(1 << 20)) / (1 << 20)
