@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +22,7 @@ from ..session import ship
 #: Documents and bytes of text that a Python worker works on at once; memory bounds only, results don't depend on them.
 STEP, STEP_BYTES = 256, 1 << 20
 #: Rows and bytes of an Arrow batch; memory bounds only.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1500", "spark.sql.execution.arrow.maxBytesPerBatch": "6m"}
 #: Entries after which a worker's cache of words starts anew; a memory bound only.
 CACHE = 120_000
 #: ASCII white space of the contracts, as a Java pattern.
@@ -70,6 +72,25 @@ class Scratch:
         self.spark._jvm.System.gc()
 
 
+def release() -> None:
+    """Gives memory that a Python worker no longer uses back to the system: workers stay for later tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow, after which each task's worker releases its memory."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(tidy, schema)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again, for results that are read lazily."""
     return Scratch(df.sparkSession, name).store(df, name)

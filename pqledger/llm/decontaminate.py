@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import STEP_BYTES, flat, mix, read, steps, stored, word_hashes
+from .common import STEP_BYTES, flat, map_arrow, mix, read, steps, stored, word_hashes
 
 WINDOW, RUN_WORDS, COVER = 8, 13, 0.8
 #: A window of placeholders needs so many words that aren't placeholders, else its words count as they are.
@@ -164,7 +164,7 @@ def window_rows(df: DataFrame, text: str, id_col: str, only: np.ndarray | None =
                         ids.append(key), ws.append(w), ps.append(p), ns.append(len(h)), ss.append(values[p : p + WINDOW].tolist())
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ws, pa.int64()), pa.array(ps, pa.int32()), pa.array(ns, pa.int32()), pa.array(ss, pa.list_(pa.int64()))], names=["id", "w", "pos", "n", "slots"])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("_t")).mapInArrow(run, SCHEMA)
+    return map_arrow(df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("_t")), run, SCHEMA)
 
 
 def judge(at: list[int], words: int, slots: list[tuple[int, int, int]]) -> tuple[int, int, bool]:
@@ -220,7 +220,7 @@ def contaminated(docs: DataFrame, bench: DataFrame, text: str = "text", id_col:
     pairs = F.filter(F.transform(F.arrays_zip("islots", "slots"), lambda x, i: F.when((x.islots != -1) & x.slots.isNotNull(), F.struct((F.col("ipos") + i).alias("p"), x.islots.alias("a"), x.slots.alias("b")))), lambda x: x.isNotNull())
     g = hits.groupBy("id", "item_id", "diagonal").agg(
         F.max("item_words").alias("item_words"), F.sort_array(F.collect_set("ipos")).alias("at"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("slots"))
-    bad = g.select("id", "item_id", "item_words", "at", "slots").mapInArrow(judged, "id long, item_id long, item_words int, covered_words int, longest_run int, slots int")
+    bad = map_arrow(g.select("id", "item_id", "item_words", "at", "slots"), judged, "id long, item_id long, item_words int, covered_words int, longest_run int, slots int")
     best = F.max(F.struct("longest_run", "covered_words", "item_words", "slots"))
     return bad.groupBy(F.col("id").alias("doc_id"), "item_id").agg(best.alias("b"), F.count("*").alias("n_places")).select("doc_id", "item_id", "b.longest_run", "b.covered_words", "b.item_words", "b.slots", "n_places")
 

@@ -6,8 +6,10 @@ punctuation density, place. Weights are trained by full-likelihood gradient step
 are marked as article text or not. A default set of labelled pages is generated from layouts that vary wrappers, menus,
 sidebars, notices, adverts, forms, comments and footers; callers may pass their own.
 
-Scripts, styles, comments and the head never make blocks. Character references are decoded; white space inside a block
-becomes one space. Null and empty html, and pages without article text, give the empty string. Unclosed tags, cut-off
+Scripts, styles, comments and the head never make blocks. A head ends at its end tag or at the first tag or text that can't
+stand in it; scripts, styles, titles, frames and text areas without an end last to the page's end; other hidden elements
+without an end hide nothing. Character references are decoded, each text between two tags on its own; white space inside a
+block becomes one space. Null and empty html, and pages without article text, give the empty string. Unclosed tags, cut-off
 tags and cut-off references at the end are taken as they stand. Repeated rows each give a row; null ids pass through;
 further columns are not read.
 """
@@ -17,6 +19,7 @@ from __future__ import annotations
 import html as htmllib
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -34,9 +37,15 @@ SILENT = set("script style noscript template head title svg math iframe object c
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Open elements that a start tag closes, where they are the innermost ones.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-RAW = ("script", "style", "textarea", "title")
-TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|</[^>]*(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: Elements whose content has no tags: it lasts to their end tag, or to the end of the page.
+RAW = set("script style textarea title iframe".split())
+#: Start tags that can stand in a head; any other one, and text, ends it.
+IN_HEAD = set("base link meta noscript script style template title".split())
+#: Start tags besides blocks that end drawings and formulas which are still open.
+BREAKOUT = set("b big br code em embed font head i img nobr ruby s small span strike strong sub sup tt u var".split())
+#: A tag's attributes: quoted values hold any sign, values without quotes last to white space or the tag's end.
+TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=\s*[^\s\"'>][^\s>]*|=)*)(?:>|\Z)|</[^>]*(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*))", re.I)
 SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 
 
@@ -50,34 +59,55 @@ class Block:
     text: str = ""
 
 
+@dataclass
+class Open:
+    """An open element, with what holds of it and of all around it."""
+
+    tag: str
+    blocks: tuple[str, ...] = ()
+    names: frozenset[str] = frozenset()
+    silent: bool = False
+    link: bool = False
+
+
 def blocks_of(page: str) -> list[Block]:
     """Leaf blocks that have text, in page order."""
-    stack: list[tuple[str, frozenset[str]]] = []
+    stack = [Open("")]
+    count: Counter = Counter()  # open elements by tag
+    inner = [0]  # places of open blocks
     out: list[Block] = []
     now: list[Block | None] = [None]
 
     def close() -> None:
         b = now[0]
         if b is not None:
-            b.text = " ".join(htmllib.unescape("".join(b.parts)).split())
+            b.text = " ".join("".join(b.parts).split())
             if b.text:
                 out.append(b)
         now[0] = None
 
+    def cut(n: int) -> None:
+        """Ends all elements but the n outermost."""
+        while len(stack) > n:
+            count[stack.pop().tag] -= 1
+        while inner[-1] >= n:
+            inner.pop()
+
     def text(s: str) -> None:
-        if not s or any(t in SILENT for t, _ in stack):
+        if not s:
+            return
+        if stack[-1].tag == "head" and not s.isspace():
+            cut(len(stack) - 1)
+        top = stack[-1]
+        if top.silent or now[0] is None and s.isspace():
             return
         if now[0] is None:
-            if s.isspace():
-                return
-            outer = tuple(t for t, _ in stack if t in BLOCK)
-            names = frozenset().union(*(n for _, n in stack)) if stack else frozenset()
-            now[0] = Block(outer[-1] if outer else "body", outer, names)
-        now[0].parts.append(s)
-        if any(t == "a" for t, _ in stack):
+            now[0] = Block(top.blocks[-1] if top.blocks else "body", top.blocks, top.names)
+        now[0].parts.append(htmllib.unescape(s))
+        if top.link:
             now[0].linked += len(s)
 
-    at, raw = 0, None
+    at, low = 0, None
     for m in TOKEN.finditer(page):
         if m.start() < at:
             continue
@@ -87,35 +117,50 @@ def blocks_of(page: str) -> list[Block]:
         if not tag:
             continue
         if m[1]:  # an end tag closes its element and what is open within; without one it's ignored
-            if any(t == tag for t, _ in stack):
+            if count[tag]:
                 if tag in BLOCK:
                     close()
-                while stack.pop()[0] != tag:
-                    pass
+                cut(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag))
             elif tag == "p":
                 close()
             continue
+        if count["head"] and tag not in IN_HEAD and stack[-1].tag == "head":
+            cut(len(stack) - 1)
+        if tag in BLOCK or tag in BREAKOUT:
+            drawing = next((i for i in range(1, len(stack)) if stack[i].tag in ("svg", "math")), None) if count["svg"] or count["math"] else None
+            if drawing is not None and not count["foreignobject"]:
+                cut(drawing)
         if tag in BLOCK:
             close()
             # a block start ends an open paragraph, with the inline elements left open in it
-            inner = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in BLOCK), None)
-            if inner is not None and stack[inner][0] in ({"p"} | CLOSES.get(tag, set())):
-                del stack[inner:]
+            if inner[-1] and stack[inner[-1]].tag in ({"p"} | CLOSES.get(tag, set())):
+                cut(inner[-1])
         if tag == "br":
             text(" ")
-        if tag in VOID:
+        if tag in VOID or tag == "head" and (out or now[0] is not None or count["body"]):
             continue
-        names = frozenset(w for a in ATTRIBUTE.finditer(m[3] or "") for w in SPLIT.split((a[2] or a[3] or a[4] or "").lower()) if w)
-        stack.append((tag, names))
-        if tag in RAW or tag in SILENT and tag in ("noscript", "template"):
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            stack.pop()
+        top = stack[-1]
+        names = top.names.union(w for a in ATTRIBUTE.finditer(m[3] or "") for w in SPLIT.split((a[2] or a[3] or a[4] or "").lower()) if w)
+        if tag in RAW or tag in ("noscript", "template"):
+            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             if tag == "textarea":
+                stack.append(Open(tag, (*top.blocks, tag), names, top.silent, top.link))
                 text(page[at : end.start() if end else len(page)])
+                stack.pop()
                 close()
-            at = end.end() if end else len(page)
-        elif (m[3] or "").rstrip().endswith("/") and tag not in BLOCK:
-            stack.pop()
+            if end or tag in RAW:
+                at = end.end() if end else len(page)
+            continue
+        if (m[3] or "").rstrip().endswith("/") and tag not in BLOCK:
+            continue
+        if tag in SILENT and tag != "head":
+            low = page.lower() if low is None else low
+            if low.find(f"</{tag}", at) < 0:  # one that never ends hides nothing
+                continue
+        if tag in BLOCK:
+            inner.append(len(stack))
+        count[tag] += 1
+        stack.append(Open(tag, (*top.blocks, tag) if tag in BLOCK else top.blocks, names if len(names) > len(top.names) else top.names, top.silent or tag in SILENT, top.link or tag == "a"))
     text(page[at:])
     close()
     return out
@@ -164,32 +209,44 @@ class Crf:
         return y[::-1]
 
 
+def marginals(e: np.ndarray, trans: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """(log of the sum over all labellings, probabilities of each label, of each pair of neighbouring labels)."""
+    n = len(e)
+    fwd, bwd = np.zeros((n, 2)), np.zeros((n, 2))
+    fwd[0] = e[0]
+    for i in range(1, n):
+        fwd[i] = e[i] + np.logaddexp(fwd[i - 1][0] + trans[0], fwd[i - 1][1] + trans[1])
+    for i in range(n - 2, -1, -1):
+        x = e[i + 1] + bwd[i + 1]
+        bwd[i] = np.logaddexp(trans[:, 0] + x[0], trans[:, 1] + x[1])
+    z = float(np.logaddexp(*fwd[-1]))
+    return z, np.exp(fwd + bwd - z), np.exp(fwd[:-1, :, None] + trans + (e + bwd)[1:, None, :] - z)
+
+
+def gradients(w: np.ndarray, trans: np.ndarray, rows: list[list[int]], y: list[int]) -> tuple[float, np.ndarray, np.ndarray]:
+    """(negative log-likelihood of labels y, its gradients by block, n x 2, and by transition)."""
+    e = np.array([w[r].sum(0) for r in rows])
+    z, p, q = marginals(e, trans)
+    at, n = np.array(y), np.arange(len(y))
+    loss = z - e[n, at].sum() - trans[at[:-1], at[1:]].sum()
+    p[n, at] -= 1
+    gt = q.sum(0)
+    np.subtract.at(gt, (at[:-1], at[1:]), 1)
+    return float(loss), p, gt
+
+
 def train(pages: list[tuple[list[list[int]], list[int]]], rounds: int = 30, rate: float = 0.5, ridge: float = 1e-3) -> Crf:
     """Adagrad on the negative log-likelihood, by forward and backward sums."""
     w, trans = np.zeros((len(FEATURES), 2)), np.zeros((2, 2))
     gw2, gt2 = np.full_like(w, 1e-2), np.full_like(trans, 1e-2)
+    total = sum(len(y) for _, y in pages)
     for _ in range(rounds):
-        gw, gt, total = ridge * w, ridge * trans, sum(len(y) for _, y in pages)
+        gw, gt = ridge * w, ridge * trans
         for rows, y in pages:
-            e = np.array([w[r].sum(0) for r in rows])
-            n = len(y)
-            fwd, bwd = np.zeros((n, 2)), np.zeros((n, 2))
-            fwd[0] = e[0]
-            for i in range(1, n):
-                fwd[i] = e[i] + np.logaddexp(fwd[i - 1][0] + trans[0], fwd[i - 1][1] + trans[1])
-            for i in range(n - 2, -1, -1):
-                x = e[i + 1] + bwd[i + 1]
-                bwd[i] = np.logaddexp(trans[:, 0] + x[0], trans[:, 1] + x[1])
-            z = np.logaddexp(*fwd[-1])
-            p = np.exp(fwd + bwd - z)
-            for i in range(n):
-                d = p[i].copy()
-                d[y[i]] -= 1
-                gw[rows[i]] += d / total
-                if i:
-                    q = np.exp(fwd[i - 1][:, None] + trans + e[i] + bwd[i] - z)
-                    q[y[i - 1], y[i]] -= 1
-                    gt += q / total
+            _, by_block, by_step = gradients(w, trans, rows, y)
+            for r, d in zip(rows, by_block, strict=True):
+                gw[r] += d / total
+            gt += by_step / total
         gw2 += gw**2
         gt2 += gt**2
         w -= rate * gw / np.sqrt(gw2)
