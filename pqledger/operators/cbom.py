@@ -5,7 +5,7 @@ Findings carry ``ord``, a struct or number that gives their input order; "first"
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,7 +48,11 @@ def with_ids(df: DataFrame) -> DataFrame:
 
 
 def normal_path(path: Column) -> Column:
-    """POSIX normpath, then backslashes to slashes."""
+    """POSIX normpath, then backslashes to slashes. Paths that are normal already are taken as they are."""
+    return F.when(path.rlike(r"^$|//|./$|\\|(^|/)\.{1,2}(/|$)"), _normalised(path)).otherwise(path)
+
+
+def _normalised(path: Column) -> Column:
     absolute = F.startswith(path, F.lit("/"))
     parts = F.filter(F.split(path, "/"), lambda p: (p != "") & (p != "."))
 
@@ -66,11 +70,11 @@ def normal_path(path: Column) -> Column:
 
 
 def exact_dedup(df: DataFrame) -> DataFrame:
-    """First finding of each (path, line, type, algorithm, evidence, method); nulls are equal. One shuffle with a map-side minimum."""
+    """First finding of each (path, line, type, algorithm, evidence, method); nulls are equal. One shuffle; each task sends at
+    most one row of a key, so a hot key stays small."""
     keys = {"_p": normal_path(F.col("file_path")), **{f"_{c}": F.col(c) for c in ("line_number", "artifact_type", "algorithm", "evidence", "detection_method")}}
-    keyed = df.withColumns(keys)
-    first = F.min_by(F.struct(*[F.col(c) for c in df.columns]), F.col("ord"))
-    return keyed.groupBy(*keys).agg(first.alias("r")).select("r.*")
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy("ord"))
+    return df.withColumns(keys).withColumn("_n", first).where("_n = 1").select(*df.columns)
 
 
 def multiset_difference(a: DataFrame, b: DataFrame, ignore: tuple[str, ...] = ("artifact_id", "ord")) -> DataFrame:

@@ -5,6 +5,7 @@ Patterns are Java regular expressions and, as plan-time literals, compiled once.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -89,8 +90,7 @@ def is_doc(path: Column) -> Column:
 
 
 def starts_comment(line: Column, marks: tuple[str, ...] = ("#", "//", "/*", "*")) -> Column:
-    s = strip(line)
-    return F.exists(F.array(*map(F.lit, marks)), lambda m: F.startswith(s, m))
+    return line.rlike(r"(?U)^\s*(?:" + "|".join(map(re.escape, marks)) + ")")
 
 
 def mask_comments(text: Column) -> Column:
@@ -101,15 +101,26 @@ def mask_comments(text: Column) -> Column:
 
 def matched(df: DataFrame, rules: list[Rule], method: str | dict, line: str = "line") -> DataFrame:
     """One row for each rule that a line matches, with the rule's fields; a line's rules in order, as rule_index."""
+    return matched_families(df, [(rules, method)], line).drop("family")
+
+
+def matched_families(df: DataFrame, families: list[tuple[list[Rule], str | dict]], line: str = "line") -> DataFrame:
+    """matched() for several lists of rules in one pass; family numbers the lists, rule_index a list's rules."""
     c = F.col(line)
+    text = lambda x: F.lit(x).cast("string")
 
-    def hit(i: int, r: Rule) -> Column:
-        text = lambda x: F.lit(x).cast("string")
+    def hit(family: int, i: int, r: Rule, method: str | dict) -> Column:
         size = F.regexp_extract(c, r.pattern, r.size).try_cast("int") if r.size else F.lit(None).cast("int")
         m = method[r.artifact_type] if isinstance(method, dict) else method
-        return F.when(c.rlike(r.pattern), F.struct(F.lit(i).alias("rule_index"), text(r.algorithm).alias("algorithm"), text(r.artifact_type).alias("artifact_type"), text(r.library).alias("library"), F.lit(r.confidence).alias("confidence"), text(r.evidence).alias("evidence"), text(r.protocol).alias("protocol"), text(r.warning).alias("warning_type"), size.alias("key_size"), text(m).alias("detection_method")))
-
-    found = F.explode(F.filter(F.array(*[hit(i, r) for i, r in enumerate(rules)]), lambda x: x.isNotNull()))
+        fields = {
+            "family": F.lit(family), "rule_index": F.lit(i), "algorithm": text(r.algorithm), "artifact_type": text(r.artifact_type),
+            "library": text(r.library), "confidence": F.lit(r.confidence), "evidence": text(r.evidence), "protocol": text(r.protocol),
+            "warning_type": text(r.warning), "key_size": size, "detection_method": text(m),
+        }
+        return F.when(c.rlike(r.pattern), F.struct(*[v.alias(k) for k, v in fields.items()]))
+
+    hits = [hit(f, i, r, method) for f, (rules, method) in enumerate(families) for i, r in enumerate(rules)]
+    found = F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull()))
     return df.withColumn("_h", found).select(*df.columns, "_h.*").withColumn("code_snippet", strip(c))
 
 
@@ -122,20 +133,31 @@ def snippet_mode(line: Column) -> Column:
     return F.upper(F.nullif(F.regexp_extract(line, r"(?i)\b(MODE_)?(GCM|CBC|EAX|ECB|CTR|CFB|OFB)\b", 2), F.lit("")))
 
 
+#: Every line that a rule of the families matches holds one of the parts, or starts as a directive does: most lines are
+#: put aside by these before any rule's pattern is tried.
+CODE_PARTS = ["RSA", "rsa.", "ec.generate", "ECD", "ecdh", "AES", "aes", "DES", "hashlib.", "EVP_sha", "createHash", "MessageDigest", "hmac.new", "createHmac", "Mac.getInstance", "ssl.", "SSL_CTX", "tls.", "https."]
+PROTOCOL_PARTS = ["TLS", "SSL", "ssl.", "tls.", "https.", "ssh", "aramiko", "JSch", "DHE-", "ecdsa-sha2", "diffie-hellman"]
+DIRECTIVE_START = r"(?iu:^\s*(?:ssl|Protocol|KexAlgorithms|Ciphers|HostKeyAlgorithms))"
+
+
+def holds(line: Column, parts: list[str], *patterns: str) -> Column:
+    """One joint pattern, so that a line that is computed is computed once."""
+    return line.rlike("|".join([*map(re.escape, parts), *patterns]))
+
+
 def code_rules(df: DataFrame) -> DataFrame:
     """Cross-language rules on lines that aren't comments, with key size and mode of the line."""
-    return matched(df.where(~starts_comment(F.col("line"))), CODE_RULES, "semgrep").withColumns({"key_size": snippet_key_size(F.col("line")), "mode": snippet_mode(F.col("line"))})
+    c = F.col("line")
+    return matched(df.where(holds(c, CODE_PARTS) & ~starts_comment(c)), CODE_RULES, "semgrep").withColumns({"key_size": snippet_key_size(F.col("line")), "mode": snippet_mode(F.col("line"))})
 
 
 def protocols(df: DataFrame, path: str = "path") -> DataFrame:
-    ok = df.where(~is_doc(F.col(path)) & ~starts_comment(F.col("line")))
-    parts = [(DIRECTIVES, "config_directive"), (TLS_VERSIONS, "api_pattern"), (TLS_APIS, "api_pattern"), (CIPHER_SUITES, "cipher_suite"), (SSH, "ssh_evidence")]
-    out = [matched(ok, rules, m).withColumn("family", F.lit(i)) for i, (rules, m) in enumerate(parts)]
-    all_ = out[0]
-    for o in out[1:]:
-        all_ = all_.unionByName(o)
+    c = F.col("line")
+    ok = df.where(holds(c, PROTOCOL_PARTS, DIRECTIVE_START) & ~is_doc(F.col(path)) & ~starts_comment(c))
+    families = [(DIRECTIVES, "config_directive"), (TLS_VERSIONS, "api_pattern"), (TLS_APIS, "api_pattern"), (CIPHER_SUITES, "cipher_suite"), (SSH, "ssh_evidence")]
     value = F.coalesce(*[F.when(F.col("evidence") == r.evidence, strip(F.regexp_extract("line", r.pattern, 1))) for r in DIRECTIVES])
-    return all_.withColumn("evidence", F.when(F.col("detection_method") == "config_directive", F.concat("evidence", F.lit(": "), value)).otherwise(F.col("evidence")))
+    directive = F.col("detection_method") == "config_directive"
+    return matched_families(ok, families).withColumn("evidence", F.when(directive, F.concat("evidence", F.lit(": "), value)).otherwise(F.col("evidence")))
 
 
 def hardware(df: DataFrame) -> DataFrame:
@@ -145,7 +167,7 @@ def hardware(df: DataFrame) -> DataFrame:
 def c_code(df: DataFrame) -> DataFrame:
     """Files (path, text): calls on lines without comments, and includes."""
     masked = lines(df.withColumn("text", mask_comments(F.col("text"))))
-    return matched(masked, C_INCLUDES, "pattern_match").unionByName(matched(masked, C_CALLS, "pattern_match"))
+    return matched_families(masked, [(C_INCLUDES, "pattern_match"), (C_CALLS, "pattern_match")]).drop("family")
 
 
 # fixed values: Java

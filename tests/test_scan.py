@@ -182,3 +182,53 @@ def test_streaming(spark, tmp_path):
     q = watch(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"))
     assert q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).where("algorithm = 'MD5'").count() > 0
+
+
+def test_rules_put_no_matching_line_aside(spark):
+    from pqledger.operators import rules
+
+    code = """RSA.generate(2048) rsa.generate_private_key(x) RSA_generate_key(1) KeyPairGenerator.getInstance("RSA"x ec.generate_private_key(x)
+SHA256withECDSA ECDSA.new(x) createSign("ECDSA"x ECDH.new(x) createECDH(x) ecdh AES.new(k) createCipheriv("aes AES_encrypt(x) AES_set_encrypt_key(x)
+Cipher.getInstance("AES DES.new(k) DES_ecb_encrypt(x) Cipher.getInstance("DES"x DES3.new(k) TripleDES Cipher.getInstance("DESede"x hashlib.sha1(x)
+EVP_sha1() createHash("sha1"x MessageDigest.getInstance("SHA-1"x hashlib.sha256(x) hashlib.sha512(x) EVP_sha256() createHash("sha256"x
+MessageDigest.getInstance("SHA256"x hashlib.sha3_256(x) createHash("sha3-256"x hmac.new(k) crypto.createHmac(x) Mac.getInstance(x)
+ssl.wrap_socket(s) ssl.create_default_context() SSL_CTX_new(m) tls.connect(o) https.request(o)""".split()
+    protocols = """TLSv1.3 PROTOCOL_TLSv1_2 TLS1_1_VERSION TLSv1_0 SSLv3 SSLv2 ssl.create_default_context() SSLContext( SSL_CTX_new( SSL_CTX_set_min_proto_version(
+TLS_server_method( tls.connect( https.createServer( SSLSocketFactory ECDHE-RSA-AES128-GCM-SHA256 ECDHE-ECDSA-AES256-GCM-SHA384 TLS_AES_256_GCM_SHA384
+TLS_CHACHA20_POLY1305_SHA256 DHE-RSA-AES256-SHA ssh-keygen Paramiko paramiko.SSHClient() JSch() ssh-rsa ecdsa-sha2-nistp256 ssh-ed25519
+diffie-hellman-group14-sha1""".split()
+    directives = [" ſsl_protocols TLS;", "SSL_CIPHERS x;", "sslciphersuite x", "SSLProtocol all", "\tprotocol 2", "KexAlgorithms x", "Ciphers x", "HostKeyAlgorithms x"]
+    families = [rules.DIRECTIVES, rules.TLS_VERSIONS, rules.TLS_APIS, rules.CIPHER_SUITES, rules.SSH]
+    for lines, plain, got in (
+        (code, [(rules.CODE_RULES, "m")], rules.code_rules),
+        (protocols + directives, [(f, "m") for f in families], rules.protocols),
+    ):
+        df = spark.createDataFrame([("a.py", i, x) for i, x in enumerate(lines)], "path string, line_number int, line string")
+        want = {(r.line_number, r.family, r.rule_index) for r in rules.matched_families(df, plain).collect()}
+        rows = [r.asDict() for r in got(df).collect()]
+        assert {(r["line_number"], r.get("family", 0), r["rule_index"]) for r in rows} == want and len(rows) == len(want)
+        assert {n for n, _, _ in want} == set(range(len(lines))), sorted(set(range(len(lines))) - {n for n, _, _ in want})
+
+
+def test_comment_starts_and_normal_paths(spark):
+    import posixpath
+
+    from pyspark.sql import functions as F
+
+    from pqledger.operators import cbom, rules
+
+    lines = {"# a": True, " \t// a": True, " * a": True, "/* a": True, "a # b": False, "": False, "/ a": False}
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    assert {r.line: r.c for r in df.select("line", rules.starts_comment(F.col("line")).alias("c")).collect()} == lines
+    paths = ["", "/", "//", "//a", "///a", "a/", "a", "./a", "../a", "a/../b", "a//b", "a\\b", ".", "..", "/..", "/../a", "a/.", "a/..", "a.b/c..d/.e"]
+    df = spark.createDataFrame([(x,) for x in paths], "path string")
+    for r in df.select("path", cbom.normal_path(F.col("path")).alias("n")).collect():
+        assert r.n == posixpath.normpath(r.path).replace("\\", "/")
+
+
+def test_dependencies_and_binaries_name_no_algorithm():
+    from pqledger.operators import code
+
+    assert [(r["algorithm"], r["library"]) for r in code.manifest("requirements.txt", "pycrypto==2.6\nflask\n")] == [(None, "PyCrypto")]
+    pem = b"-----BEGIN CERTIFICATE-----\nMIIB\n-----END CERTIFICATE-----"
+    assert [r["algorithm"] for r in code.binary("a.bin", pem)] == [None]
