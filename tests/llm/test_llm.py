@@ -383,3 +383,52 @@ def test_pipeline_judges_rows_by_their_own_texts(spark, tmp_path):
     spark.createDataFrame([(1, c)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = cp.drop_benchmark_leaks(spark, frame(spark, [(1, a), (1, c), (None, b), (None, c), (2, None)]), str(tmp_path)).collect()
     assert {(r.doc_id, r.text) for r in got} == {(1, a), (None, b), (2, None)}
+
+
+def test_html_loses_no_text():
+    read = lambda page: [b.text for b in html.blocks_of(page)]
+    assert read("<html><head><title>T</title><body><p>One.<p>Two.") == ["One.", "Two."]
+    assert read("<head><title>T</title><meta x>Bare text<p>Two.") == ["Bare text", "Two."]
+    assert read("<p>One.<svg><path d=1><p>Two.</p><p>Three.</p>") == ["One.", "Two.", "Three."]
+    assert read("<p>One <svg><text>drawn</text></svg> more.</p>") == ["One more."]
+    assert read("<p title=don't>It's here.</p><p>And isn't gone.</p>") == ["It's here.", "And isn't gone."]
+    assert read("<p>&<b>amp;</b> &lt;b&gt; &amp;amp;</p>") == ["&amp; <b> &amp;"]
+    assert read("<p>a<script>if (1 < 2) '<p>no</p>'</script>b</p><style>p{}</style><!-- no --><p>c") == ["ab", "c"]
+    assert read("<template>no</template><noscript>no</noscript><p>yes") == ["yes"]
+    many = read("<div>" * 3000 + "".join(f"<p>Line {i}." for i in range(5000)))
+    assert many == [f"Line {i}." for i in range(5000)]
+
+
+def test_html_table_edges(spark):
+    schema = "page_id long, url string, html string, text string, n_chars string"
+    model = html.default_model()
+    assert html.extract(spark.createDataFrame([], schema), model).count() == 0
+    long = "<article><h1>A title.</h1>" + "<p>A sentence of the article, with words.</p>" * 4000 + "</article>"
+    got = html.extract(spark.createDataFrame([(1, "u", long, "x", "y")], schema), model).first()
+    assert got.text.count("\n") == 4000 and got.n_chars == len(got.text)
+
+
+def test_crf_against_enumeration():
+    import itertools
+
+    rng = np.random.default_rng(3)
+    w, trans = rng.normal(size=(6, 2)), rng.normal(size=(2, 2))
+    rows, y = [[0, 2], [1], [3, 4, 5], [2, 2], [0, 5]], [0, 1, 1, 0, 1]
+    e = np.array([w[r].sum(0) for r in rows])
+    paths = list(itertools.product((0, 1), repeat=5))
+    total = lambda p: sum(e[i, k] for i, k in enumerate(p)) + sum(trans[a, b] for a, b in itertools.pairwise(p))
+    s = np.array([total(p) for p in paths])
+    z, one, two = html.marginals(e, trans)
+    share = np.exp(s - np.log(np.exp(s).sum()))
+    assert np.isclose(z, np.log(np.exp(s).sum()))
+    for i in range(5):
+        assert np.isclose(one[i, 1], sum(q for p, q in zip(paths, share, strict=True) if p[i]))
+    for i in range(4):
+        assert np.isclose(two[i, 0, 1], sum(q for p, q in zip(paths, share, strict=True) if p[i : i + 2] == (0, 1)))
+    assert tuple(html.Crf(w, trans).decode(rows)) == paths[int(s.argmax())]
+    loss, _, gt = html.gradients(w, trans, rows, y)
+    assert np.isclose(loss, z - total(y))
+    for a, b in itertools.product((0, 1), repeat=2):
+        moved = trans.copy()
+        moved[a, b] += 1e-6
+        assert np.isclose((html.gradients(w, moved, rows, y)[0] - loss) / 1e-6, gt[a, b], atol=1e-4)
