@@ -109,20 +109,48 @@ def category_histogram(df: DataFrame) -> DataFrame:
     return df.groupBy("cbom_category").agg(F.count("*").alias("n"))
 
 
-def merge(df: DataFrame) -> DataFrame:
-    """Classified findings to entries. UNSPECIFIED findings merge by library, others by algorithm and key size; a null
-    algorithm is an ordinary key, and so is a null library. The entry is described by its most confident, then first finding."""
+#: What merge() adds for later steps and ordered() leaves out of the bill.
+HELPERS = ("first_path", "first_file", "n_files", "languages")
+
+
+def keyed(df: DataFrame) -> DataFrame:
+    """Classified findings with the key of their entry, _u, _k and _s: UNSPECIFIED findings go by library, others by
+    algorithm and key size; a null algorithm is an ordinary key, and so is a null library."""
     none = F.coalesce(F.col("algorithm") == "UNSPECIFIED", F.lit(False))
-    keyed = df.withColumns({"_u": none, "_k": F.when(none, F.col("library")).otherwise(F.col("algorithm")), "_s": F.when(~none, F.col("key_size"))})
-    lead = F.min_by(F.struct("artifact_id", "algorithm", "key_size", "cbom_category", "library"), F.struct((-F.coalesce("confidence", F.lit(0.0))).alias("c"), "ord"))
+    return df.withColumns({"_u": none, "_k": F.when(none, F.col("library")).otherwise(F.col("algorithm")), "_s": F.when(~none, F.col("key_size"))})
+
+
+def _lead() -> Column:
+    """The most confident, then first finding, which describes the entry."""
+    return F.min_by(F.struct("artifact_id", "algorithm", "key_size", "cbom_category", "library"), F.struct((-F.coalesce("confidence", F.lit(0.0))).alias("c"), "ord"))
+
+
+def merge(df: DataFrame) -> DataFrame:
+    """Classified findings to entries. files_affected and occurrences hold all of an entry's findings in one value, as the
+    bill's format asks; steps that need no more than counts, the first path or the languages read the columns of HELPERS, and
+    the lists are then left out of the plan. What works on each occurrence takes the rows of occurrences()."""
     occurrence = F.struct("ord", F.struct("file_path", "line_number", "code_snippet", "detection_method", "confidence").alias("o"))
-    g = keyed.groupBy("_u", "_k", "_s").agg(lead.alias("r"), F.sort_array(F.collect_list(occurrence)).alias("all"), F.count("*").alias("occurrence_count"), F.max(F.coalesce("confidence", F.lit(0.0))).alias("max_confidence"), F.sort_array(F.collect_set("file_path")).alias("files_affected"), F.min("ord").alias("first_ord"))
-    return g.select(F.col("r.artifact_id").alias("cbom_entry_id"), F.col("r.algorithm").alias("algorithm"), F.when(~F.col("_u"), F.col("r.key_size")).alias("key_size"), F.col("r.cbom_category").alias("cbom_category"), F.col("r.library").alias("library"), "occurrence_count", "max_confidence", "files_affected", F.col("all.o").alias("occurrences"), "first_ord")
+    g = keyed(df).groupBy("_u", "_k", "_s").agg(
+        _lead().alias("r"), F.sort_array(F.collect_list(occurrence)).alias("all"), F.count("*").alias("occurrence_count"), F.max(F.coalesce("confidence", F.lit(0.0))).alias("max_confidence"), F.sort_array(F.collect_set("file_path")).alias("files_affected"), F.min("ord").alias("first_ord"),
+        F.min_by("file_path", "ord").alias("first_path"), F.min("file_path").alias("first_file"), F.count_distinct("file_path").alias("n_files"), F.sort_array(F.collect_set(F.when(F.col("file_path").isNotNull(), language_bucket(F.col("file_path"))))).alias("languages"),
+    )
+    return g.select(F.col("r.artifact_id").alias("cbom_entry_id"), F.col("r.algorithm").alias("algorithm"), F.when(~F.col("_u"), F.col("r.key_size")).alias("key_size"), F.col("r.cbom_category").alias("cbom_category"), F.col("r.library").alias("library"), "occurrence_count", "max_confidence", "files_affected", F.col("all.o").alias("occurrences"), "first_ord", *HELPERS)
+
+
+def occurrences(df: DataFrame) -> DataFrame:
+    """One row for each classified finding, with what its entry says of it: cbom_entry_id, algorithm, key_size, cbom_category
+    and first_ord. Entries are found by partial aggregation and joined back by their key, so an entry with most of the
+    findings never meets in one value; the join's large side is split by AQE where entries are too many to broadcast."""
+    rows = keyed(df).select("_u", "_k", "_s", "file_path", "confidence", "ord")
+    g = keyed(df).groupBy("_u", "_k", "_s").agg(_lead().alias("r"), F.min("ord").alias("first_ord"))
+    e = g.select(*[F.col(c).alias(f"{c}e") for c in ("_u", "_k", "_s")], F.col("r.artifact_id").alias("cbom_entry_id"), F.col("r.algorithm").alias("algorithm"), F.when(~F.col("_u"), F.col("r.key_size")).alias("key_size"), F.col("r.cbom_category").alias("cbom_category"), "first_ord")
+    same = (F.col("_u") == F.col("_ue")) & F.col("_k").eqNullSafe(F.col("_ke")) & F.col("_s").eqNullSafe(F.col("_se"))
+    return rows.join(e, same).select("cbom_entry_id", "algorithm", "key_size", "cbom_category", "first_ord", "file_path", "confidence", "ord")
 
 
 def ordered(entries: DataFrame) -> DataFrame:
     """Most occurrences first, then by first finding."""
-    return entries.orderBy(F.desc("occurrence_count"), "first_ord")
+    return entries.orderBy(F.desc("occurrence_count"), "first_ord").drop(*HELPERS)
 
 
 def language(path: Column) -> Column:
@@ -135,15 +163,14 @@ def language_bucket(path: Column) -> Column:
 
 
 def cross_file_patterns(entries: DataFrame, min_files: int = 2) -> DataFrame:
-    n = F.size("files_affected")
+    n = F.col("n_files")
     named = F.col("algorithm").isNull() | (F.col("algorithm") != "UNSPECIFIED")
-    return entries.where((n >= min_files) & named).select("algorithm", "key_size", F.lit("cross_file_repetition").alias("pattern_type"), "files_affected", F.col("occurrence_count").alias("total_occurrences"), F.when(n >= 3, "high").otherwise("medium").alias("severity_signal"), "first_ord")
+    return entries.where((n >= min_files) & named).select("algorithm", "key_size", F.lit("cross_file_repetition").alias("pattern_type"), "files_affected", "n_files", F.col("occurrence_count").alias("total_occurrences"), F.when(n >= 3, "high").otherwise("medium").alias("severity_signal"), "first_ord")
 
 
 def cross_language_patterns(entries: DataFrame) -> DataFrame:
-    langs = F.array_sort(F.array_distinct(F.transform("files_affected", language_bucket)))
     named = F.col("algorithm").isNull() | (F.col("algorithm") != "UNSPECIFIED")
-    return entries.where(named).withColumn("languages", langs).where(F.size("languages") >= 2).select("algorithm", "key_size", F.lit("cross_language_spread").alias("pattern_type"), "languages", "files_affected", "first_ord")
+    return entries.where(named).where(F.size("languages") >= 2).select("algorithm", "key_size", F.lit("cross_language_spread").alias("pattern_type"), "languages", "files_affected", "first_ord")
 
 
 def _dim(spark, rows, schema):
@@ -165,14 +192,17 @@ def attach_recommendations(entries: DataFrame) -> DataFrame:
 def attach_fixes(entries: DataFrame) -> DataFrame:
     """Left join on (algorithm, language of the first occurrence)."""
     fixes = _dim(entries.sparkSession, [(a, g, t) for (a, g), t in dims.FIXES.items()], "fa string, fl string, fix_suggestion string")
-    first = language(F.get("occurrences", F.lit(0)).file_path)
+    first = language(F.col("first_path"))
     return entries.withColumn("_l", first).join(fixes, (F.col("algorithm") == F.col("fa")) & (F.col("_l") == F.col("fl")), "left").select(*entries.columns, "fix_suggestion")
 
 
-def summary(entries: DataFrame) -> DataFrame:
-    """One row: entries, raw findings, entries that aren't quantum safe, files."""
-    files = F.array_size(F.array_distinct(F.flatten(F.collect_set("files_affected"))))
-    return entries.agg(F.count("*").alias("unique_entries"), F.coalesce(F.sum("occurrence_count"), F.lit(0)).alias("raw_findings"), F.count_if(~F.col("recommendation.already_quantum_safe")).alias("quantum_vulnerable"), files.cast("long").alias("files"))
+def summary(entries: DataFrame, findings: DataFrame) -> DataFrame:
+    """One row: entries, raw findings, entries that aren't quantum safe, files of the findings."""
+    zero = F.lit(0).cast("long")
+    of = entries.agg(F.count("*").alias("unique_entries"), F.coalesce(F.sum("occurrence_count"), zero).alias("raw_findings"), F.count_if(~F.col("recommendation.already_quantum_safe")).alias("quantum_vulnerable"))
+    files = findings.agg(F.count_distinct("file_path").alias("files"))
+    both = of.withColumn("files", zero).unionByName(files.select(*[zero.alias(c) for c in of.columns], "files"))
+    return both.agg(*[F.sum(c).alias(c) for c in both.columns])
 
 
 def cyclonedx_components(entries: DataFrame) -> DataFrame:

@@ -2,26 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import dims
 from .cbom import any_in, lookup
 
 
-def findings(entries: DataFrame) -> DataFrame:
-    """One finding for each occurrence of entries whose category can be scored, with its context."""
-    path = F.lower(F.coalesce("o.file_path", F.lit("")))
+def findings(occurrences: DataFrame) -> DataFrame:
+    """One finding for each of cbom.occurrences() whose entry's category can be scored, with its context. Its id is the
+    entry's with the occurrence's number in it; the numbers are counted only where ids are read."""
+    path = F.lower(F.coalesce("file_path", F.lit("")))
     critical, internet = any_in(path, dims.CRITICAL_HINTS), any_in(path, dims.INTERNET_HINTS)
     alg = F.upper(F.coalesce("algorithm", F.lit("")))
     cat = F.col("cbom_category")
     purpose = F.when(cat.isin("Certificate", "Protocol"), "key_exchange").when(cat == "Hash Function", "integrity").when((cat == "Key") & alg.isin("ECDSA", "DSA", "ED25519"), "signing").otherwise("encryption")
     kind = lookup(dims.FINDING_TYPE, cat)
-    exploded = entries.where(kind.isNotNull()).select("*", F.posexplode("occurrences").alias("i", "o"))
-    return exploded.select(
-        F.concat_ws("_", "cbom_entry_id", F.col("i")).alias("finding_id"), kind.alias("finding_type"), "algorithm", F.col("o.file_path").alias("location"), "key_size", F.col("o.confidence").alias("confidence"), purpose.alias("purpose"),
+    i = F.row_number().over(Window.partitionBy("cbom_entry_id", "first_ord").orderBy("ord")) - 1
+    return occurrences.where(kind.isNotNull()).withColumn("i", i).select(
+        F.concat_ws("_", "cbom_entry_id", F.col("i")).alias("finding_id"), kind.alias("finding_type"), "algorithm", F.col("file_path").alias("location"), "key_size", "confidence", purpose.alias("purpose"),
         F.lit(False).alias("key_is_long_lived"), F.when(critical, "Critical").when(internet, "High").otherwise("Moderate").alias("sensitivity"), F.lit("standard").alias("device_class"), internet.alias("internet_facing"), F.lit(False).alias("public_registry"), F.lit(False).alias("third_party_api"),
-        F.when(critical, 12.0).when(internet, 6.0).otherwise(3.0).alias("data_lifetime_years"), lookup(dims.MIGRATION_YEARS, kind).alias("migration_effort_years"), F.lit(None).cast("map<string,string>").alias("extra"), F.struct("first_ord", "i").alias("ord"),
+        F.when(critical, 12.0).when(internet, 6.0).otherwise(3.0).alias("data_lifetime_years"), lookup(dims.MIGRATION_YEARS, kind).alias("migration_effort_years"), F.lit(None).cast("map<string,string>").alias("extra"), F.struct("first_ord", "ord").alias("ord"), "cbom_entry_id",
     )
 
 
@@ -122,8 +123,9 @@ def migration_phase() -> Column:
 
 
 def merge_recommendations(scored: DataFrame, entries: DataFrame) -> DataFrame:
-    """Left join to the entry that a finding's id names, with the source of its recommendation."""
-    e = entries.select(F.col("cbom_entry_id").alias("_e"), F.col("recommendation").alias("db_recommendation"), F.col("algorithm").alias("_a"))
-    j = scored.withColumn("_id", F.regexp_replace("finding_id", "_[^_]*$", "")).join(e, F.col("_id") == F.col("_e"), "left")
+    """Left join to a finding's entry, with the source of its recommendation. Ids are short, so the entry's first finding
+    names it as well."""
+    e = entries.select(F.col("cbom_entry_id").alias("_e"), F.col("first_ord").alias("_o"), F.col("recommendation").alias("db_recommendation"), F.col("algorithm").alias("_a"))
+    j = scored.join(e, (F.col("cbom_entry_id") == F.col("_e")) & (F.col("ord.first_ord") == F.col("_o")), "left")
     source = F.when(F.col("db_recommendation").isNull(), "none").when(F.col("_a") == "UNSPECIFIED", "category_fallback").otherwise("algorithm_map")
     return j.select(*scored.columns, migration_phase().alias("migration_phase"), "db_recommendation", source.alias("db_recommendation_source"))

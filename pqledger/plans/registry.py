@@ -16,8 +16,12 @@ def _entries(spark: SparkSession, sf: str) -> DataFrame:
     return cbom.merge(cbom.classify(synthetic.findings(spark, sf)))
 
 
+def _occurrences(spark: SparkSession, sf: str) -> DataFrame:
+    return cbom.occurrences(cbom.classify(synthetic.findings(spark, sf)))
+
+
 def _scored(spark: SparkSession, sf: str, profile: str | None = "enterprise_default") -> DataFrame:
-    return risk.recommend(risk.score(risk.findings(cbom.bill(synthetic.findings(spark, sf))), profile))
+    return risk.recommend(risk.score(risk.findings(_occurrences(spark, sf)), profile))
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
@@ -34,15 +38,15 @@ def exact_dedup(spark, sf):
 
 
 def cbom_merge(spark, sf):
-    return _entries(spark, sf).select("cbom_entry_id", "algorithm", "key_size", "cbom_category", "library", "occurrence_count", "max_confidence", F.size("files_affected").cast("long").alias("n_files"), F.get("files_affected", F.lit(0)).alias("first_file"), F.col("occurrences")[0].file_path.alias("first_path"))
+    return _entries(spark, sf).select("cbom_entry_id", "algorithm", "key_size", "cbom_category", "library", "occurrence_count", "max_confidence", "n_files", "first_file", "first_path")
 
 
 def cbom_summary(spark, sf):
-    return cbom.summary(cbom.attach_recommendations(_entries(spark, sf)))
+    return cbom.summary(cbom.attach_recommendations(_entries(spark, sf)), synthetic.findings(spark, sf))
 
 
 def cross_file(spark, sf):
-    return cbom.cross_file_patterns(_entries(spark, sf)).select("algorithm", "key_size", "pattern_type", F.size("files_affected").cast("long").alias("n_files"), "total_occurrences", "severity_signal")
+    return cbom.cross_file_patterns(_entries(spark, sf)).select("algorithm", "key_size", "pattern_type", "n_files", "total_occurrences", "severity_signal")
 
 
 def cross_language(spark, sf):
@@ -54,7 +58,7 @@ def recommendations(spark, sf):
 
 
 def context_counts(spark, sf):
-    return risk.findings(_entries(spark, sf)).groupBy("finding_type", "purpose", "sensitivity", "internet_facing", "data_lifetime_years", "migration_effort_years").agg(F.count("*").alias("n"))
+    return risk.findings(_occurrences(spark, sf)).groupBy("finding_type", "purpose", "sensitivity", "internet_facing", "data_lifetime_years", "migration_effort_years").agg(F.count("*").alias("n"))
 
 
 def conversion_counts(spark, sf):
@@ -72,7 +76,7 @@ def system_score(spark, sf):
 
 def merged_recommendations(spark, sf):
     entries = cbom.bill(synthetic.findings(spark, sf))
-    m = risk.merge_recommendations(risk.score(risk.findings(entries)), entries)
+    m = risk.merge_recommendations(risk.score(risk.findings(_occurrences(spark, sf))), entries)
     return m.groupBy("migration_phase", "db_recommendation_source").agg(F.count("*").alias("n"))
 
 

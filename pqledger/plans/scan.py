@@ -63,6 +63,6 @@ def container(tree: DataFrame, cap: int = 5000, config_bytes: int = 1_000_000) -
 def inventory(found: DataFrame, profile: str = "enterprise_default") -> dict[str, DataFrame]:
     """All results of a table of findings."""
     entries = cbom.bill(found)
-    scored = risk.recommend(risk.score(risk.findings(entries), profile))
+    scored = risk.recommend(risk.score(risk.findings(cbom.occurrences(cbom.classify(found))), profile))
     rated = effort.ratings(found)
-    return {"entries": cbom.ordered(entries), "cross_file": cbom.cross_file_patterns(entries), "cross_language": cbom.cross_language_patterns(entries), "summary": cbom.summary(entries), "scored": risk.merge_recommendations(scored, entries), "system": risk.system_score(scored), "cyclonedx": cbom.cyclonedx(entries), "effort": rated, "components": effort.components(found, rated)}
+    return {"entries": cbom.ordered(entries), "cross_file": cbom.cross_file_patterns(entries).drop("n_files"), "cross_language": cbom.cross_language_patterns(entries), "summary": cbom.summary(entries, found), "scored": risk.merge_recommendations(scored, entries).drop("cbom_entry_id"), "system": risk.system_score(scored), "cyclonedx": cbom.cyclonedx(entries), "effort": rated, "components": effort.components(found, rated)}

@@ -232,3 +232,22 @@ def test_dependencies_and_binaries_name_no_algorithm():
     assert [(r["algorithm"], r["library"]) for r in code.manifest("requirements.txt", "pycrypto==2.6\nflask\n")] == [(None, "PyCrypto")]
     pem = b"-----BEGIN CERTIFICATE-----\nMIIB\n-----END CERTIFICATE-----"
     assert [r["algorithm"] for r in code.binary("a.bin", pem)] == [None]
+
+
+def test_occurrences_are_the_entries_rows(spark):
+    rows = [("a1", "algorithm", "RSA", 2048, "b.py", 0.5, None, 3), ("a2", "algorithm", "RSA", 2048, "a.py", 0.9, None, 7), ("a3", "algorithm", None, None, None, None, None, 2), ("a2", "hash", "MD5", None, "c.c", 0.4, None, 5), ("a5", "algorithm", "UNSPECIFIED", 1, "a.py", 0.3, "x", 9), ("a6", "algorithm", "UNSPECIFIED", 2, "d.py", 0.3, "x", 1)]
+    df = spark.createDataFrame(rows, "artifact_id string, artifact_type string, algorithm string, key_size int, file_path string, confidence double, library string, ord long")
+    found = cbom.classify(cbom.conform(df))
+    entries = cbom.merge(found)
+    nested = entries.selectExpr("cbom_entry_id", "algorithm", "key_size", "first_ord", "explode(occurrences) as o").selectExpr("cbom_entry_id", "algorithm", "key_size", "first_ord", "o.file_path", "o.confidence")
+    flat = cbom.occurrences(found)
+    assert sorted(map(str, flat.select(*nested.columns).collect())) == sorted(map(str, nested.collect())) and flat.count() == len(rows)
+    scored = risk.score(risk.findings(flat))
+    assert {(r.finding_id, r.location) for r in scored.collect() if r.algorithm == "RSA"} == {("a2_0", "b.py"), ("a2_1", "a.py")}
+    # two entries share the id a2; no row is repeated for it
+    merged = risk.merge_recommendations(scored, cbom.attach_recommendations(entries))
+    assert merged.count() == scored.count() == len(rows)
+    plan = scored.groupBy("risk.band").count()._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "Window" not in plan
+    empty = cbom.merge(found.limit(0))
+    assert empty.count() == 0 and cbom.summary(cbom.attach_recommendations(empty), found.limit(0)).first().asDict() == {"unique_entries": 0, "raw_findings": 0, "quantum_vulnerable": 0, "files": 0}
