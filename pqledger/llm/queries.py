@@ -5,6 +5,8 @@ from __future__ import annotations
 from .decontaminate import op3_benchmark_decontamination
 from .html import op4_html_extraction
 from .language import op8_language_id
+from .importance import ORACLE as IMPORTANCE_ORACLE
+from .importance import op11_importance_resampling
 from .lm import op10_lm_scoring
 from .mixing import op5_mixing
 from .neardup import op6_minhash_near_dedup
@@ -16,6 +18,6 @@ from .toxicity import op9_toxicity
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_token_binary, op3_benchmark_decontamination, op4_html_extraction, op5_mixing, op6_minhash_near_dedup, op7_substring_dedup, op8_language_id, op9_toxicity, op10_lm_scoring)
+    for f in (op1_quality_rules, op2_token_binary, op3_benchmark_decontamination, op4_html_extraction, op5_mixing, op6_minhash_near_dedup, op7_substring_dedup, op8_language_id, op9_toxicity, op10_lm_scoring, op11_importance_resampling)
 }
-ORACLES = dict(QUALITY_ORACLE)
+ORACLES = {**QUALITY_ORACLE, **IMPORTANCE_ORACLE}
