@@ -10,6 +10,8 @@ from .importance import op11_importance_resampling
 from .lm import op10_lm_scoring
 from .mixing import op5_mixing
 from .neardup import op6_minhash_near_dedup
+from .negatives import ORACLE as NEGATIVES_ORACLE
+from .negatives import op13_hard_negatives
 from .pieces import op12_sentencepiece
 from .quality import ORACLE as QUALITY_ORACLE
 from .quality import op1_quality_rules
@@ -19,6 +21,6 @@ from .toxicity import op9_toxicity
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_token_binary, op3_benchmark_decontamination, op4_html_extraction, op5_mixing, op6_minhash_near_dedup, op7_substring_dedup, op8_language_id, op9_toxicity, op10_lm_scoring, op11_importance_resampling, op12_sentencepiece)
+    for f in (op1_quality_rules, op2_token_binary, op3_benchmark_decontamination, op4_html_extraction, op5_mixing, op6_minhash_near_dedup, op7_substring_dedup, op8_language_id, op9_toxicity, op10_lm_scoring, op11_importance_resampling, op12_sentencepiece, op13_hard_negatives)
 }
-ORACLES = {**QUALITY_ORACLE, **IMPORTANCE_ORACLE}
+ORACLES = {**QUALITY_ORACLE, **IMPORTANCE_ORACLE, **NEGATIVES_ORACLE}
