@@ -70,6 +70,12 @@ def best(row: np.ndarray, score: np.ndarray, pick: np.ndarray, ids: np.ndarray,
     return order[place < k]
 
 
+def padded(lists: list[list[int]], empty: int) -> np.ndarray:
+    """Rows of one length; anchors with fewer windows get empty ones."""
+    n = max(map(len, lists))
+    return np.array([x + [empty] * (n - len(x)) for x in lists], np.int64).reshape(len(lists), n)
+
+
 def search(left: pa.Table, right: pa.Table, k: int, same: bool) -> pa.Table:
     """One cell: for each anchor of left and each of its windows (low, high, and least: the lowest score that can still
     matter) the k best rows of right, of the anchor's label (same) or of others."""
@@ -84,7 +90,7 @@ def search(left: pa.Table, right: pa.Table, k: int, same: bool) -> pa.Table:
     none = right["vec_id"].combine_chunks().is_null().to_numpy(zero_copy_only=False)
     ids = np.where(none, LONG, right["vec_id"].combine_chunks().fill_null(0).to_numpy())
     label_a, label_b, own = left["label"].to_numpy(), right["label"].to_numpy(), left["vec_id"].to_numpy()
-    low, high, least = (np.array(left[c].to_pylist(), object if abs(norm_a.max() * norm_b[0]) >= 1 << 62 else np.int64).reshape(na, -1) for c in ("low", "high", "least"))
+    low, high, least = (padded(left[c].to_pylist(), x) for c, x in (("low", 1), ("high", 0), ("least", 1)))
     open_, least = low <= high, np.maximum(low, least)
     out = []
     for i in range(0, na, BLOCK):

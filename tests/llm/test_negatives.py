@@ -65,6 +65,14 @@ def test_bound_leaves_cells_out(spark):
     assert [tuple(r) for r in negatives.wave(table, near, stats, ["d"], 1, 10, False).collect()] == [(1, 0, 7, 9, 25)]
 
 
+def test_anchors_with_fewer_positives(spark):
+    rng = np.random.default_rng(3)
+    label = lambda i: 9 if i in (100, 101, 103) else i % 4
+    rows = [(i, rng.normal(0.4, 0.3, 6).tolist(), label(i)) for i in range(90, 320)]
+    got = mine(spark, rows)
+    assert got == brute(rows) and len({r[1] for r in got if r[0] == 100}) == 2
+
+
 def test_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0], 1), (0, [1.0, 0.0], 1), (100, [0.5, 0.5], 2), (200, None, 1), (300, [1.0, None], 1), (400, [nan, 1.0], 1), (500, [inf, 1.0], 1), (600, [1.0, 1.0], None)]
