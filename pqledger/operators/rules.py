@@ -42,7 +42,10 @@ C_CALLS = [
     Rule(r"\bAES_encrypt\s*\(", "AES", "algorithm", "openssl/aes.h"),
     Rule(r"\bAES_set_encrypt_key\s*\(\s*\w+\s*,\s*(\d+)", "AES", "algorithm", "openssl/aes.h", size=1),
 ]
-C_INCLUDES = [Rule(rf"#\s*include\s*[<\"]{h}[>\"]", f"{a} (import signal)", "import_signal", h, 0.25) for h, a in [("openssl/rsa.h", "RSA"), ("openssl/des.h", "DES"), ("openssl/md5.h", "MD5"), ("openssl/aes.h", "AES"), ("openssl/evp.h", "EVP/generic")]]
+C_INCLUDE = r"#include\s*[<\"]([^>\"]+)[>\"]"
+C_HEADERS = ["openssl/rsa.h", "openssl/des.h", "openssl/md5.h", "openssl/aes.h", "openssl/evp.h"]
+#: A line that a rule of C matches holds one of these.
+C_PARTS = r"RSA_|MD5|EVP_|DES_|AES_|#include"
 # fixed values: cross-language rules, word boundaries as they are
 CODE_RULES = [
     Rule(r"\b(RSA\.generate|rsa\.generate_private_key|RSA_generate_key|KeyPairGenerator\.getInstance\s*\(\s*[\"']RSA[\"'])\b", "RSA", "algorithm", "Cryptographic Library", 0.95, "crypto-rsa-keygen"),
@@ -73,11 +76,45 @@ HARDWARE = [
 HARDWARE_METHOD = {"hsm": "hsm_pattern", "embedded_iot": "embedded_iot_pattern", "packet_constraint": "packet_mtu_pattern", "database_crypto": "db_crypto_pattern"}
 
 
+#: What a rule gives; detectors that aren't line rules fill the same fields.
+HIT = {
+    "rank": "int", "family": "int", "rule_index": "int", "line_number": "int", "artifact_type": "string", "algorithm": "string",
+    "key_size": "int", "detection_method": "string", "confidence": "double", "library": "string", "code_snippet": "string",
+    "language": "string", "mode": "string", "protocol": "string", "protocol_version": "string", "evidence": "string",
+    "dependency_version": "string", "source_type": "string", "warning_type": "string", "message": "string",
+    "docker_instruction": "string", "evidence_type": "string",
+}
+HITS = "array<struct<" + ",".join(f"{n}:{t}" for n, t in HIT.items()) + ">>"
+
+
+def hit(**values) -> Column:
+    """One finding as a struct; what isn't given is null."""
+    as_column = lambda v: v if isinstance(v, Column) else F.lit(v)
+    return F.struct(*[as_column(values.get(n)).cast(t).alias(n) for n, t in HIT.items()])
+
+
+def no_hits() -> Column:
+    return F.array().cast(HITS)
+
+
+def present(found: Column) -> Column:
+    return F.filter(found, lambda h: h.isNotNull())
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once for each row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def line_array(text: Column) -> Column:
+    """A text's lines. An end of line at the end begins no line."""
+    parts = F.split(F.coalesce(text, F.lit("")), LINE_END)
+    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+
+
 def lines(df: DataFrame, text: str = "text") -> DataFrame:
     """Numbered lines of texts, from 1; further columns stay. An end of line at the end begins no line."""
-    parts = F.split(F.coalesce(text, F.lit("")), LINE_END)
-    parts = F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
-    return df.select(*[c for c in df.columns if c != text], F.posexplode(parts).alias("_p", "line")).withColumn("line_number", F.col("_p") + 1).drop("_p")
+    return df.select(*[c for c in df.columns if c != text], F.posexplode(line_array(F.col(text))).alias("_p", "line")).withColumn("line_number", F.col("_p") + 1).drop("_p")
 
 
 def strip(c: Column) -> Column:
@@ -104,24 +141,29 @@ def matched(df: DataFrame, rules: list[Rule], method: str | dict, line: str = "l
     return matched_families(df, [(rules, method)], line).drop("family")
 
 
-def matched_families(df: DataFrame, families: list[tuple[list[Rule], str | dict]], line: str = "line") -> DataFrame:
-    """matched() for several lists of rules in one pass; family numbers the lists, rule_index a list's rules."""
-    c = F.col(line)
-    text = lambda x: F.lit(x).cast("string")
+def rule_hits(line: Column, families: list[tuple[list[Rule], str | dict]], number: Column | None = None, snippet: Column | None = None, rank: int | None = None, **more: Column) -> Column:
+    """The hits of a line, in the order of the families and their rules. more: fields that all hits share."""
+    shown = strip(line) if snippet is None else snippet
 
-    def hit(family: int, i: int, r: Rule, method: str | dict) -> Column:
-        size = F.regexp_extract(c, r.pattern, r.size).try_cast("int") if r.size else F.lit(None).cast("int")
-        m = method[r.artifact_type] if isinstance(method, dict) else method
+    def one(family: int, i: int, r: Rule, method: str | dict) -> Column:
         fields = {
-            "family": F.lit(family), "rule_index": F.lit(i), "algorithm": text(r.algorithm), "artifact_type": text(r.artifact_type),
-            "library": text(r.library), "confidence": F.lit(r.confidence), "evidence": text(r.evidence), "protocol": text(r.protocol),
-            "warning_type": text(r.warning), "key_size": size, "detection_method": text(m),
+            "rank": rank, "family": family, "rule_index": i, "line_number": number, "algorithm": r.algorithm, "artifact_type": r.artifact_type, "library": r.library,
+            "confidence": r.confidence, "evidence": r.evidence, "protocol": r.protocol, "warning_type": r.warning, "code_snippet": shown,
+            "key_size": F.regexp_extract(line, r.pattern, r.size).try_cast("int") if r.size else None, "detection_method": method[r.artifact_type] if isinstance(method, dict) else method,
         }
-        return F.when(c.rlike(r.pattern), F.struct(*[v.alias(k) for k, v in fields.items()]))
+        return F.when(line.rlike(r.pattern), hit(**fields | more))
+
+    return present(F.array(*[one(f, i, r, method) for f, (rules, method) in enumerate(families) for i, r in enumerate(rules)]))
+
+
+def opened(df: DataFrame, hits: Column) -> DataFrame:
+    """One row for each hit of a row, with the fields that df doesn't have itself."""
+    return df.withColumn("_h", F.explode(hits)).select(*df.columns, *[f"_h.{n}" for n in HIT if n not in df.columns])
 
-    hits = [hit(f, i, r, method) for f, (rules, method) in enumerate(families) for i, r in enumerate(rules)]
-    found = F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull()))
-    return df.withColumn("_h", found).select(*df.columns, "_h.*").withColumn("code_snippet", strip(c))
+
+def matched_families(df: DataFrame, families: list[tuple[list[Rule], str | dict]], line: str = "line") -> DataFrame:
+    """matched() for several lists of rules in one pass; family numbers the lists, rule_index a list's rules."""
+    return opened(df, rule_hits(F.col(line), families))
 
 
 def snippet_key_size(line: Column) -> Column:
@@ -145,29 +187,72 @@ def holds(line: Column, parts: list[str], *patterns: str) -> Column:
     return line.rlike("|".join([*map(re.escape, parts), *patterns]))
 
 
+def code_hits(line: Column, number: Column | None = None, rank: int | None = None) -> Column:
+    """Cross-language rules on a line that isn't a comment, with key size and mode of the line."""
+    found = rule_hits(line, [(CODE_RULES, "semgrep")], number, rank=rank, key_size=snippet_key_size(line), mode=snippet_mode(line))
+    return F.when(holds(line, CODE_PARTS) & ~starts_comment(line), found).otherwise(no_hits())
+
+
 def code_rules(df: DataFrame) -> DataFrame:
     """Cross-language rules on lines that aren't comments, with key size and mode of the line."""
-    c = F.col("line")
-    return matched(df.where(holds(c, CODE_PARTS) & ~starts_comment(c)), CODE_RULES, "semgrep").withColumns({"key_size": snippet_key_size(F.col("line")), "mode": snippet_mode(F.col("line"))})
+    return opened(df, code_hits(F.col("line")))
+
+
+PROTOCOL_FAMILIES = [(DIRECTIVES, "config_directive"), (TLS_VERSIONS, "api_pattern"), (TLS_APIS, "api_pattern"), (CIPHER_SUITES, "cipher_suite"), (SSH, "ssh_evidence")]
+
+
+def protocol_hits(line: Column, number: Column | None = None, rank: int | None = None) -> Column:
+    """Protocol rules on a line that isn't a comment; a directive's evidence holds its value."""
+    families = [(DIRECTIVES, "config_directive")], PROTOCOL_FAMILIES[1:]
+    directives = []
+    for i, r in enumerate(DIRECTIVES):
+        named = F.concat(F.lit(f"{r.evidence}: "), strip(F.regexp_extract(line, r.pattern, 1)))
+        fields = {"rank": rank, "family": 0, "rule_index": i, "line_number": number, "artifact_type": r.artifact_type, "confidence": r.confidence, "protocol": r.protocol, "code_snippet": strip(line), "detection_method": families[0][0][1]}
+        directives.append(F.when(line.rlike(r.pattern), hit(evidence=named, **fields)))
+    others = F.transform(rule_hits(line, families[1], number, rank=rank), lambda h: h.withField("family", h.family + 1))
+    found = F.concat(F.when(line.rlike(DIRECTIVE_START), present(F.array(*directives))).otherwise(no_hits()), others)
+    return F.when(holds(line, PROTOCOL_PARTS, DIRECTIVE_START) & ~starts_comment(line), found).otherwise(no_hits())
 
 
 def protocols(df: DataFrame, path: str = "path") -> DataFrame:
-    c = F.col("line")
-    ok = df.where(holds(c, PROTOCOL_PARTS, DIRECTIVE_START) & ~is_doc(F.col(path)) & ~starts_comment(c))
-    families = [(DIRECTIVES, "config_directive"), (TLS_VERSIONS, "api_pattern"), (TLS_APIS, "api_pattern"), (CIPHER_SUITES, "cipher_suite"), (SSH, "ssh_evidence")]
-    value = F.coalesce(*[F.when(F.col("evidence") == r.evidence, strip(F.regexp_extract("line", r.pattern, 1))) for r in DIRECTIVES])
-    directive = F.col("detection_method") == "config_directive"
-    return matched_families(ok, families).withColumn("evidence", F.when(directive, F.concat("evidence", F.lit(": "), value)).otherwise(F.col("evidence")))
+    return opened(df.where(~is_doc(F.col(path))), protocol_hits(F.col("line")))
+
+
+#: A line that a rule of hardware matches holds one of these.
+HARDWARE_PARTS = r"(?iu)pkcs11|cryptoki|C_Initialize|C_OpenSession|HSM|nCipher|SafeNet|TPM|KMIP|FreeRTOS|esp_idf|zephyr|CMSIS|MBED_TLS|avr/io|stm32|pico/stdlib|microcode|firmware_update|flash_write|MTU|MAX_PACKET|SO_SNDBUF|SO_RCVBUF|packet_buffer|fixed_frame|ISO8583|SWIFT_FIN|FIX_PROTOCOL|pgp_sym|AES_ENCRYPT|AES_DECRYPT|DBMS_CRYPTO|UNHEX|ENCRYPTBY"
+
+
+def hardware_hits(line: Column, number: Column | None = None, rank: int | None = None) -> Column:
+    return F.when(line.rlike(HARDWARE_PARTS) & ~starts_comment(line, ("#", "//", "*")), rule_hits(line, [(HARDWARE, HARDWARE_METHOD)], number, rank=rank)).otherwise(no_hits())
 
 
 def hardware(df: DataFrame) -> DataFrame:
-    return matched(df.where(~starts_comment(F.col("line"), ("#", "//", "*"))), HARDWARE, HARDWARE_METHOD)
+    return opened(df, hardware_hits(F.col("line")))
+
+
+def each_line(text: Column, hits) -> Column:
+    """The hits of all lines of a text: hits(line, number)."""
+    return F.flatten(F.transform(line_array(text), lambda line, i: hits(line, i + 1)))
+
+
+def c_hits(text: Column, rank: int | None = None) -> Column:
+    """Includes and calls of C text. Comments are blanked first, snippets are lines as they were written."""
+
+    def found(raw: Column) -> Column:
+        def of(line: Column, number: Column) -> Column:
+            shown, header = strip(F.get(raw, number - 1)), F.regexp_extract(line, C_INCLUDE, 1)
+            include = F.when(header.isin(C_HEADERS), hit(rank=rank, family=0, rule_index=0, line_number=number, algorithm="UNSPECIFIED", artifact_type="import_signal", library=header, confidence=0.25, code_snippet=shown, detection_method="pattern_match"))
+            calls = rule_hits(line, [(C_CALLS, "pattern_match")], number, shown, rank)
+            return F.when(line.rlike(C_PARTS), F.concat(present(F.array(include)), calls)).otherwise(no_hits())
+
+        return each_line(mask_comments(text), of)
+
+    return let(line_array(text), found)
 
 
 def c_code(df: DataFrame) -> DataFrame:
     """Files (path, text): calls on lines without comments, and includes."""
-    masked = lines(df.withColumn("text", mask_comments(F.col("text"))))
-    return matched_families(masked, [(C_INCLUDES, "pattern_match"), (C_CALLS, "pattern_match")]).drop("family")
+    return opened(df.select("path", "text"), c_hits(F.col("text"))).drop("text")
 
 
 # fixed values: Java
@@ -175,21 +260,44 @@ JAVA = {"MD5": ("MD5", "hash"), "SHA-1": ("SHA-1", "hash"), "SHA1": ("SHA-1", "h
 JAVA_LIBRARIES = {"MessageDigest": "java.security", "Cipher": "javax.crypto", "KeyPairGenerator": "java.security", "Signature": "java.security", "KeyGenerator": "javax.crypto"}
 
 
-def java_code(df: DataFrame) -> DataFrame:
-    """Files (path, text): factory calls with the key size of an initialize() within three lines below, and imports."""
+JAVA_CALL = r"\b(?:MessageDigest|Cipher|KeyPairGenerator|Signature|KeyGenerator)\s*\.\s*getInstance\s*\(\s*\"[^\"]*\""
+JAVA_SIZE = r"\.\s*initialize\s*\(\s*(\d+)\s*[,)]"
+JAVA_IMPORT = r"^\s*import\s+(?:static\s+)?((?:javax\.crypto|java\.security)[\w.]*?)(?:\.\*)?\s*;"
+#: An initialize() so many lines below a call gives its key size.
+REACH = 3
+
+
+def java_hits(text: Column, rank: int | None = None) -> Column:
+    """Factory calls with the key size of the last initialize() within REACH lines below, then imports (line 0)."""
     from .cbom import lookup
 
-    ls = lines(df.withColumn("text", mask_comments(F.col("text"))))
-    calls = ls.select("path", "line_number", strip(F.col("line")).alias("code_snippet"), F.posexplode(F.regexp_extract_all("line", F.lit(r"\b(?:MessageDigest|Cipher|KeyPairGenerator|Signature|KeyGenerator)\s*\.\s*getInstance\s*\(\s*\"[^\"]*\""), F.lit(0))).alias("i", "call"))
-    calls = calls.withColumns({"factory": F.regexp_extract("call", r"^(\w+)", 1), "name": F.regexp_extract("call", "\"([^\"]*)\"", 1)})
     names, kinds = {k: v[0] for k, v in JAVA.items()}, {k: v[1] for k, v in JAVA.items()}
-    head = F.substring_index("name", "/", 1)
-    calls = calls.withColumns({"algorithm": F.coalesce(lookup(names, F.col("name")), lookup(names, head)), "artifact_type": F.coalesce(lookup(kinds, F.col("name")), lookup(kinds, head)), "mode": F.get(F.split("name", "/"), F.lit(1)), "library": lookup(JAVA_LIBRARIES, F.col("factory"))}).where("algorithm is not null")
-    sizes = ls.select(F.col("path").alias("_p"), F.col("line_number").alias("_l"), F.explode(F.regexp_extract_all("line", F.lit(r"\.\s*init(?:ialize)?\s*\(\s*(\d+)\s*[,)]"), F.lit(1))).alias("_s"))
-    band = key_size_band(calls, sizes)
-    imports = ls.select("path", strip(F.col("line")).alias("code_snippet"), F.regexp_extract("line", r"^\s*import\s+(?:static\s+)?((?:javax\.crypto|java\.security)[\w.*]*)\s*;", 1).alias("library")).where("library <> ''")
-    imports = imports.select("path", F.lit(0).alias("line_number"), "code_snippet", "library", F.lit("UNSPECIFIED").alias("algorithm"), F.lit("import_signal").alias("artifact_type"), F.lit("import_signal").alias("detection_method"), F.lit(0.3).alias("confidence"))
-    return band.drop("i", "call", "factory", "name").withColumns({"detection_method": F.lit("ast_call"), "confidence": F.lit(0.95)}).unionByName(imports, allowMissingColumns=True)
+
+    def call(c: Column, number: Column, line: Column, sizes: Column) -> Column:
+        name, factory = F.regexp_extract(c, "\"([^\"]*)\"", 1), F.regexp_extract(c, r"^(\w+)", 1)
+        head = F.substring_index(name, "/", 1)
+        near = F.filter(sizes, lambda s: s.at.between(number, number + REACH))
+        algorithm = F.coalesce(lookup(names, name), lookup(names, head))
+        fields = {"rank": rank, "family": 0, "line_number": number, "library": lookup(JAVA_LIBRARIES, factory), "mode": F.get(F.split(name, "/"), F.lit(1)), "code_snippet": strip(line), "detection_method": "ast_call", "confidence": 0.95}
+        return F.when(algorithm.isNotNull(), hit(algorithm=algorithm, artifact_type=F.coalesce(lookup(kinds, name), lookup(kinds, head)), key_size=F.try_element_at(near, F.lit(-1)).n, **fields))
+
+    def found(raw: Column) -> Column:
+        def rest(masked: Column) -> Column:
+            size = lambda line, i: F.transform(F.when(line.contains("initialize"), F.regexp_extract_all(line, F.lit(JAVA_SIZE), F.lit(1))).otherwise(F.array().cast("array<string>")), lambda n: F.struct((i + 1).alias("at"), n.try_cast("int").alias("n")))
+            sizes = F.flatten(F.transform(masked, size))
+            calls = let(sizes, lambda known: F.flatten(F.transform(masked, lambda line, i: F.when(line.contains("getInstance"), present(F.transform(F.regexp_extract_all(line, F.lit(JAVA_CALL), F.lit(0)), lambda c: call(c, i + 1, F.get(raw, i), known)))).otherwise(no_hits()))))
+            imports = F.filter(F.transform(masked, lambda line: F.regexp_extract(line, JAVA_IMPORT, 1)), lambda x: x != "")
+            row = lambda x: hit(rank=rank, family=1, line_number=0, algorithm="UNSPECIFIED", artifact_type="import_signal", library=x, code_snippet=F.concat(F.lit("import "), x, F.lit(";")), detection_method="ast_import", confidence=0.3)
+            return F.concat(calls, F.transform(imports, row))
+
+        return let(line_array(mask_comments(text)), rest)
+
+    return let(line_array(text), found)
+
+
+def java_code(df: DataFrame) -> DataFrame:
+    """Files (path, text): factory calls and imports."""
+    return opened(df.select("path", "text"), java_hits(F.col("text"))).drop("text")
 
 
 def key_size_band(calls: DataFrame, sizes: DataFrame, reach: int = 3) -> DataFrame:

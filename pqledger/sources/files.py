@@ -6,7 +6,7 @@ import tarfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.cbom import ARTIFACT
@@ -40,9 +40,10 @@ def with_routes(df: DataFrame) -> DataFrame:
     return df.withColumn("routes", F.when(F.startswith(name, F.lit("dockerfile")), F.array(F.lit("dockerfile"))).otherwise(many))
 
 
-def as_text(content: str = "content"):
+def as_text(content: str | Column = "content") -> Column:
     """UTF-8 text without the bytes that aren't."""
-    return F.regexp_replace(F.make_valid_utf8(F.col(content).cast("string")), "\\x{FFFD}", "")
+    raw = (F.col(content) if isinstance(content, str) else content).cast("string")
+    return F.when(F.is_valid_utf8(raw), raw).otherwise(F.regexp_replace(F.make_valid_utf8(raw), "\\x{FFFD}", ""))
 
 
 def artifacts_json(spark: SparkSession, path: str) -> DataFrame:

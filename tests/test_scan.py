@@ -7,7 +7,7 @@ import tarfile
 import pytest
 from pyspark.sql import functions as F
 
-from pqledger.operators import cbom, code, effort, risk, rules
+from pqledger.operators import cbom, code, commands, effort, risk, rules
 from pqledger.plans import scan
 from pqledger.sources import files, sinks
 
@@ -16,6 +16,11 @@ def rows(body, path, text):
     return list(body(path, text))
 
 
+def hits(spark, column, text):
+    """The hits that a column of rules finds in a text."""
+    return [r.asDict() for r in spark.createDataFrame([(text,)], "t string").select(F.explode(column(F.col("t"))).alias("h")).select("h.*").collect()]
+
+
 def test_python_calls():
     text = "import hashlib\nfrom Crypto.PublicKey import RSA\nk = RSA.generate(1024)\nhashlib.md5(b'')\nk2 = ec.generate_private_key(ec.SECP256R1(), b())\nc = AES.new(k, AES.MODE_GCM)\nrsa.generate_private_key(public_exponent=3, key_size=2048)\n# DES.new(k)\n"
     got = {(r["line_number"], r["algorithm"], r.get("key_size"), r.get("curve"), r.get("mode")) for r in rows(code.python_code, "a.py", text)}
@@ -37,30 +42,37 @@ def test_manifests():
     assert [(r["library"], r["dependency_version"]) for r in rows(code.manifest, "pom.xml", pom)] == [("Bouncy Castle Provider", "1.7")]
 
 
-def test_dockerfile():
+def test_dockerfile(spark):
     text = "FROM x\n# RSA-2048 in a comment\nRUN apt-get update && \\\n apt-get install -y openssl curl\nRUN openssl req -x509 -newkey rsa:4096 -keyout /k/server.key -out /k/server.crt\nENV TLS_VERSION=TLSv1.3\nENV DB_PASSWORD=hunter2\n"
-    got = rows(code.dockerfile, "Dockerfile", text)
+    got = hits(spark, commands.docker_hits, text)
     kinds = {(r["line_number"], r["artifact_type"], r.get("algorithm"), r.get("key_size")) for r in got}
     assert {(3, "library", None, None), (5, "algorithm", "RSA", 4096), (5, "certificate_generation", None, None), (6, "protocol", None, None)} <= kinds
     assert "hunter2" not in str(got) and not any(n == 2 for n, *_ in kinds)
     key = 'ENV K="-----BEGIN RSA PRIVATE KEY----- secret"\nRUN apt-get install openssl -----BEGIN PRIVATE KEY----- secret'
-    assert "secret" not in str(rows(code.dockerfile, "Dockerfile", key))
+    assert "secret" not in str(hits(spark, commands.docker_hits, key))
 
 
-def test_overlapping_names():
-    assert list(code.named("AES-256-GCM and RSA-2048, ChaCha20-Poly1305, 3DES, SHA-256, dsa")) == [("AES", 256, "GCM"), ("RSA", 2048, None), ("ChaCha20-Poly1305", None, None), ("3DES", None, None), ("SHA-256", None, None)]
+def test_overlapping_names(spark):
+    """Names come by priority; what one has taken no later one reads."""
+    text = "AES-256-GCM and RSA-2048, ChaCha20-Poly1305, 3DES, SHA-256, dsa"
+    want = [("ChaCha20-Poly1305", None), ("RSA", 2048), ("AES-256-GCM", None), ("3DES", None), ("SHA-256", None)]
+    assert [(r["algorithm"], r["key_size"]) for r in hits(spark, commands.config_hits, text)] == want
+    assert [(r["algorithm"], r["key_size"]) for r in hits(spark, commands.docker_hits, "RUN " + text)] == want
 
 
-def test_package_databases():
+def test_package_databases(spark):
     dpkg = "Package: openssl\nStatus: ok\nVersion: 3.0.13\n\nPackage: bash\nVersion: 5\n\nPackage: libssl-dev\nVersion: 3.0.13-0ubuntu1\n"
-    assert [(r["evidence"], r["dependency_version"]) for r in rows(code.package_database, "/var/lib/dpkg/status", dpkg)] == [("openssl", "3.0.13"), ("libssl-dev", "3.0.13-0ubuntu1")]
+    base = lambda apk: lambda t: commands.database_hits(t, F.lit(apk))
+    assert [(r["evidence"], r["dependency_version"]) for r in hits(spark, base(False), dpkg)] == [("dpkg package: openssl", "3.0.13"), ("dpkg package: libssl-dev", "3.0.13-0ubuntu1")]
     apk = "P:openssl\nV:3.1.4-r5\n\nP:libsodium\nV:1"
-    assert [r["evidence"] for r in rows(code.package_database, "/lib/apk/db/installed", apk)] == ["openssl"]
+    assert [r["evidence"] for r in hits(spark, base(True), apk)] == ["apk package: openssl"]
 
 
-def test_image_metadata_keeps_no_secrets():
-    text = code.image_text(json.dumps([{"Config": {"Env": ["API_TOKEN=abc", "SSL_VERSION=TLSv1.2"], "Cmd": ["run"], "Entrypoint": None, "Labels": {"a": "b"}}}]))
-    assert "abc" not in text and "TLSv1.2" in text
+def test_image_metadata_keeps_no_secrets(spark):
+    inspect = json.dumps([{"Config": {"Env": ["API_TOKEN=abc", "SSL_VERSION=TLSv1.2"], "Cmd": ["run"], "Entrypoint": None, "Labels": {"a": "RSA-4096"}}}])
+    got = [r.asDict() for r in scan.metadata(spark.createDataFrame([("nginx:1", inspect), ("none", "{}"), ("bad", "[")], "image string, inspect string")).collect()]
+    assert "abc" not in str(got)
+    assert {(r["file_path"], r["detection_method"], r["protocol"], r["algorithm"], r["key_size"], r["confidence"]) for r in got} == {("docker-inspect:nginx:1", "docker_inspect", "TLSv1.2", None, None, 0.9), ("docker-inspect:nginx:1", "docker_inspect", None, "RSA", 4096, 0.7)}
 
 
 def openssl(*args):
