@@ -1,2 +1 @@
-"""functions of the inventory engine."""
-from .scoring import risk_score, time_left  # noqa: F401
+"""Column functions of the inventory engine."""

@@ -11,6 +11,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.rounding import exact_round
 from .cbom import lookup
 from .rules import hit, let, line_array, no_hits, present, strip
 
@@ -285,7 +286,7 @@ def config_hits(text: Column, sure: float = 0.65, rank: int | None = None, metho
 
     def of(line: Column, number: Column) -> Column:
         trusted = F.when(strip(line).rlike(r"^(#|//|;)"), sure * 0.5).otherwise(sure)
-        up_to = lambda most, more: F.bround(F.least(F.lit(most), trusted + more), 2)
+        up_to = lambda most, more: exact_round(F.least(F.lit(most), trusted + more), 2)
         base = {"rank": rank, "line_number": number, "code_snippet": F.substring(F.regexp_replace(strip(line), "-----BEGIN.*", REDACTED), 1, 200), "detection_method": method, "source_type": "container_image"}
         sub = found_in(line, OPENSSL)
         kind = F.when(F.lower(sub).isin("req", "x509", "verify", "pkcs12", "ca"), "certificate").otherwise("algorithm")

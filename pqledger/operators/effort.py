@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rounding import exact_round
 from . import dims
 
 HARDWARE = ["hsm", "embedded_iot", "firmware", "hardware"]
@@ -41,9 +42,9 @@ def ratings(df: DataFrame) -> DataFrame:
     ca = F.when(c("n") == 0, 3).when((c("custom") > 0) | (c("firmware") > 0), 5).when(c("database") > 0, 5).when(c("legacy") > 0, 4).when(c("hardcoded") > 3, 3).when((c("agile") > 0) | (c("configured") > 0), F.when(c("hardcoded") > 0, 2).otherwise(1)).otherwise(2)
     ds = F.when(c("hardware") == 0, 1).when((c("hsm") > 1) | ((c("hsm") >= 1) & (c("iot") >= 1)), 5).otherwise(4)
     np_ = F.when(c("packets") > 0, F.when((c("iot") > 0) | (c("packets") > 1), 5).otherwise(4)).when(c("legacy_protocols") > 0, 3).when(c("modern_protocols") > 0, 2).otherwise(1)
-    f = f.withColumns({"w_ca": F.when(mixed, F.round(raw[0] / both, 2)).otherwise(fixed(0)), "w_ds": F.when(mixed, F.round(raw[1] / both, 2)).otherwise(fixed(1)), "ca": ca, "ds": ds, "np": np_})
-    f = f.withColumn("w_np", F.when(mixed, F.round(1 - c("w_ca") - c("w_ds"), 2)).otherwise(fixed(2)))
-    m = F.round(c("w_ca") * c("ca") + c("w_ds") * c("ds") + c("w_np") * c("np"), 2)
+    f = f.withColumns({"w_ca": F.when(mixed, exact_round(raw[0] / both, 2)).otherwise(fixed(0)), "w_ds": F.when(mixed, exact_round(raw[1] / both, 2)).otherwise(fixed(1)), "ca": ca, "ds": ds, "np": np_})
+    f = f.withColumn("w_np", F.when(mixed, exact_round(1 - c("w_ca") - c("w_ds"), 2)).otherwise(fixed(2)))
+    m = exact_round(c("w_ca") * c("ca") + c("w_ds") * c("ds") + c("w_np") * c("np"), 2)
     return f.withColumn("m_tech", F.when((m >= 1) & (m <= 5), m).otherwise(F.raise_error(F.lit("effort out of range")).cast("double")))
 
 
@@ -57,7 +58,7 @@ def components(df: DataFrame, rated: DataFrame) -> DataFrame:
         F.when(some(kind.isin("hsm", "embedded_iot", "firmware")), 4).otherwise(1).alias("ds"),
         F.when(some(kind == "packet_constraint"), 4).otherwise(1).alias("np"))
     w = F.broadcast(rated.select("w_ca", "w_ds", "w_np"))  # one row
-    m = F.round(F.col("w_ca") * F.col("ca") + F.col("w_ds") * F.col("ds") + F.col("w_np") * F.col("np"), 2)
+    m = exact_round(F.col("w_ca") * F.col("ca") + F.col("w_ds") * F.col("ds") + F.col("w_np") * F.col("np"), 2)
     return g.join(w).select(F.regexp_extract("path", "([^/]*)$", 1).alias("component"), "path", "n", "ca", "ds", "np", m.alias("m_tech"))
 
 

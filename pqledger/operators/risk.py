@@ -5,27 +5,67 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rounding import exact_round
+from ..scratch import Scratch
 from . import dims
-from .cbom import any_in, lookup
+from .cbom import any_in, attach_recommendations, keyed, lookup
+from .numbering import numbered_within
+
+
+def path_context(path: Column) -> dict[str, Column]:
+    """What a path says of its finding."""
+    low = F.lower(F.coalesce(path, F.lit("")))
+    return {"critical": any_in(low, dims.CRITICAL_HINTS), "internet": any_in(low, dims.INTERNET_HINTS)}
+
+
+def scorable() -> Column:
+    """The type of finding that an entry's category stands for; null where it can't be scored."""
+    return lookup(dims.FINDING_TYPE, F.col("cbom_category"))
+
+
+def context() -> dict[str, Column]:
+    """Columns that scores read, from an entry's category and algorithm, `critical` and `internet`."""
+    alg, cat, kind = F.upper(F.coalesce("algorithm", F.lit(""))), F.col("cbom_category"), scorable()
+    purpose = F.when(cat.isin("Certificate", "Protocol"), "key_exchange").when(cat == "Hash Function", "integrity").when((cat == "Key") & alg.isin("ECDSA", "DSA", "ED25519"), "signing").otherwise("encryption")
+    either = lambda a, b, c: F.when(F.col("critical"), a).when(F.col("internet"), b).otherwise(c)
+    return {
+        "finding_type": kind, "purpose": purpose, "key_is_long_lived": F.lit(False), "sensitivity": either("Critical", "High", "Moderate"), "device_class": F.lit("standard"),
+        "internet_facing": F.col("internet"), "public_registry": F.lit(False), "third_party_api": F.lit(False), "data_lifetime_years": either(12.0, 6.0, 3.0),
+        "migration_effort_years": lookup(dims.MIGRATION_YEARS, kind), "extra": F.lit(None).cast("map<string,string>"),
+    }
 
 
 def findings(occurrences: DataFrame) -> DataFrame:
     """One finding for each of cbom.occurrences() whose entry's category can be scored, with its context. Its id is the
-    entry's with the occurrence's number in it; the numbers are counted only where ids are read."""
-    path = F.lower(F.coalesce("file_path", F.lit("")))
-    critical, internet = any_in(path, dims.CRITICAL_HINTS), any_in(path, dims.INTERNET_HINTS)
-    alg = F.upper(F.coalesce("algorithm", F.lit("")))
-    cat = F.col("cbom_category")
-    purpose = F.when(cat.isin("Certificate", "Protocol"), "key_exchange").when(cat == "Hash Function", "integrity").when((cat == "Key") & alg.isin("ECDSA", "DSA", "ED25519"), "signing").otherwise("encryption")
-    kind = lookup(dims.FINDING_TYPE, cat)
-    i = F.row_number().over(Window.partitionBy("cbom_entry_id", "first_ord").orderBy("ord")) - 1
-    return occurrences.where(kind.isNotNull()).withColumn("i", i).select(
-        F.concat_ws("_", "cbom_entry_id", F.col("i")).alias("finding_id"), kind.alias("finding_type"), "algorithm", F.col("file_path").alias("location"), "key_size", "confidence", purpose.alias("purpose"),
-        F.lit(False).alias("key_is_long_lived"), F.when(critical, "Critical").when(internet, "High").otherwise("Moderate").alias("sensitivity"), F.lit("standard").alias("device_class"), internet.alias("internet_facing"), F.lit(False).alias("public_registry"), F.lit(False).alias("third_party_api"),
-        F.when(critical, 12.0).when(internet, 6.0).otherwise(3.0).alias("data_lifetime_years"), lookup(dims.MIGRATION_YEARS, kind).alias("migration_effort_years"), F.lit(None).cast("map<string,string>").alias("extra"), F.struct("first_ord", "ord").alias("ord"), "cbom_entry_id",
+    entry's with the occurrence's number in it: `i`, if numbered_occurrences() has given it, else counted where ids are read."""
+    known = occurrences if "i" in occurrences.columns else occurrences.withColumn("i", F.row_number().over(Window.partitionBy("cbom_entry_id", "first_ord").orderBy("ord")) - 1)
+    c = context()
+    return known.where(scorable().isNotNull()).withColumns(path_context(F.col("file_path"))).select(
+        F.concat_ws("_", "cbom_entry_id", F.col("i")).alias("finding_id"), c["finding_type"].alias("finding_type"), "algorithm", F.col("file_path").alias("location"), "key_size", "confidence",
+        *[v.alias(k) for k, v in c.items() if k != "finding_type"], F.struct("first_ord", "ord").alias("ord"), "cbom_entry_id",
     )
 
 
+def numbered_occurrences(occurrences: DataFrame, scratch: Scratch) -> DataFrame:
+    """Occurrences with their number within their entry, from 0, by range partitions: an entry with most of the findings is
+    numbered by many tasks."""
+    return numbered_within(occurrences, ["cbom_entry_id", "first_ord"], [F.col("ord")], scratch, "i").withColumn("i", F.col("i") - 1)
+
+
+def finding_groups(classified: DataFrame) -> DataFrame:
+    """Findings that score alike, with their number n: what a score reads is the entry's category and algorithm and what the
+    path says, so findings are counted by these in one pass, and only a few rows for each entry go on. ord is the first
+    finding's; db_recommendation is the entry's."""
+    by = ["_u", "_k", "_s"]
+    lead = F.struct((-F.coalesce("confidence", F.lit(0.0))).alias("c"), "ord", "artifact_id", "algorithm", "key_size", "cbom_category")
+    groups = keyed(classified).withColumns(path_context(F.col("file_path"))).groupBy(*by, "critical", "internet").agg(F.min(lead).alias("lead"), F.min("ord").alias("ord"), F.count("*").alias("n"))
+    entry = Window.partitionBy(*by)  # four rows at most
+    whole = groups.withColumns({"lead": F.min("lead").over(entry), "first_ord": F.min("ord").over(entry)})
+    named = whole.select("critical", "internet", "n", F.struct("first_ord", "ord").alias("ord"), F.col("lead.artifact_id").alias("cbom_entry_id"), F.col("lead.algorithm").alias("algorithm"), F.when(~F.col("_u"), F.col("lead.key_size")).alias("key_size"), F.col("lead.cbom_category").alias("cbom_category"))
+    advised = attach_recommendations(named.where(scorable().isNotNull())).withColumnRenamed("recommendation", "db_recommendation")
+    return advised.withColumns(context()).drop("critical", "internet")
+
+
 def conversion_counts(entries: DataFrame) -> DataFrame:
     ok = lookup(dims.FINDING_TYPE, F.col("cbom_category")).isNotNull()
     return entries.agg(F.coalesce(F.sum(F.when(ok, F.col("occurrence_count"))), F.lit(0)).cast("long").alias("converted"), F.coalesce(F.sum(F.when(~ok, F.col("occurrence_count"))), F.lit(0)).cast("long").alias("skipped"))
@@ -89,7 +129,7 @@ def score(df: DataFrame, profile: str | None = None, weights: tuple[float, ...]
     f = factors(tolerant(df))
     raw = t * F.col("alpha") * F.col("f_time") + m * F.col("alpha") * F.col("f_migration") + s * F.col("beta") * F.col("f_sensitivity") + e * F.col("beta") * F.col("f_exposure") + c * F.col("f_compliance")
     f = f.withColumn("_raw", F.least(F.greatest(raw, F.lit(0.0)), F.lit(1.0)))
-    r4 = lambda n: F.round(n, 4)
+    r4 = lambda n: exact_round(F.col(n), 4)
     risk = F.struct(layer(F.col("finding_type")).alias("layer"), (F.col("algorithm_class") == "shor").alias("shor_vulnerable"), F.struct("alpha", "beta").alias("attenuation"), F.struct(*[r4(f"f_{n}").alias(n) for n in ("time", "migration", "sensitivity", "exposure", "compliance")]).alias("factors"), r4("_raw").alias("layer_score"), band(F.col("_raw")).alias("band"))
     return f.withColumn("risk", risk).drop("_raw", "algorithm_class", "alpha", "beta", *[f"f_{n}" for n in ("time", "migration", "sensitivity", "exposure", "compliance")])
 
@@ -111,17 +151,30 @@ def recommend(df: DataFrame) -> DataFrame:
 
 
 def system_score(df: DataFrame) -> DataFrame:
-    """One row: average over findings, the layer of the highest rounded average (first seen on ties) and all layers' averages."""
-    by = df.groupBy(F.col("risk.layer").alias("layer")).agg(F.sum("risk.layer_score").alias("s"), F.count("*").alias("n"), F.min("ord").alias("first"))
-    by = by.withColumn("avg", F.round(F.col("s") / F.col("n"), 4))
+    """One row: average over findings, the layer of the highest rounded average (first seen on ties) and all layers' averages.
+    Rows are findings, or groups of n."""
+    n = F.col("n") if "n" in df.columns else F.lit(1)
+    by = df.groupBy(F.col("risk.layer").alias("layer")).agg(F.sum(F.col("risk.layer_score") * n).alias("s"), F.sum(n).alias("n"), F.min("ord").alias("first"))
+    average = exact_round(F.col("s") / F.col("n"), 4)
+    by = by.withColumn("avg", average)
     g = by.agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.min_by("layer", F.struct((-F.col("avg")).alias("a"), "first")).alias("priority_layer"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("layer", "avg")))).alias("layer_scores"))
-    return g.select(F.coalesce(F.round(F.col("s") / F.col("n"), 4), F.lit(0.0)).alias("overall_score"), "priority_layer", "layer_scores", F.coalesce("n", F.lit(0)).alias("findings"))
+    return g.select(F.coalesce(average, F.lit(0.0)).alias("overall_score"), "priority_layer", "layer_scores", F.coalesce("n", F.lit(0)).alias("findings"))
 
 
 def migration_phase() -> Column:
     return F.when(F.col("finding_type").isin(dims.HYBRID_TYPES) | F.coalesce(F.col("algorithm").isin(dims.HYBRID_ALGORITHMS), F.lit(False)), "Hybrid-ready").otherwise("Discover & Assess")
 
 
+def recommendation_source() -> Column:
+    """Where an entry's recommendation comes from."""
+    return F.when(F.col("db_recommendation").isNull(), "none").when(F.col("algorithm") == "UNSPECIFIED", "category_fallback").otherwise("algorithm_map")
+
+
+def phases(groups: DataFrame) -> DataFrame:
+    """Phase and source of finding_groups()."""
+    return groups.withColumns({"migration_phase": migration_phase(), "db_recommendation_source": recommendation_source()})
+
+
 def merge_recommendations(scored: DataFrame, entries: DataFrame) -> DataFrame:
     """Left join to a finding's entry, with the source of its recommendation. Ids are short, so the entry's first finding
     names it as well."""

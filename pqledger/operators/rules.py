@@ -7,8 +7,9 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Line ends, as text files have them.
@@ -87,10 +88,18 @@ HIT = {
 HITS = "array<struct<" + ",".join(f"{n}:{t}" for n, t in HIT.items()) + ">>"
 
 
+@lru_cache(maxsize=4096)
+def constant(name: str, value: str | float | None, app: str) -> Column:
+    """A field of fixed value. Most fields of most rules are, and a column costs several calls to the JVM: it is made once
+    for each application."""
+    return F.lit(value).cast(HIT[name]).alias(name)
+
+
 def hit(**values) -> Column:
     """One finding as a struct; what isn't given is null."""
-    as_column = lambda v: v if isinstance(v, Column) else F.lit(v)
-    return F.struct(*[as_column(values.get(n)).cast(t).alias(n) for n, t in HIT.items()])
+    app = SparkSession.active().sparkContext.applicationId
+    field = lambda n, v: v.cast(HIT[n]).alias(n) if isinstance(v, Column) else constant(n, v, app)
+    return F.struct(*[field(n, values.get(n)) for n in HIT])
 
 
 def no_hits() -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cbom, effort, risk, rules
 from ..operators import dims
-from . import synthetic
+from . import generated, synthetic
 
 join = lambda c: F.array_join(c, "|")
 
@@ -16,12 +16,12 @@ def _entries(spark: SparkSession, sf: str) -> DataFrame:
     return cbom.merge(cbom.classify(synthetic.findings(spark, sf)))
 
 
-def _occurrences(spark: SparkSession, sf: str) -> DataFrame:
-    return cbom.occurrences(cbom.classify(synthetic.findings(spark, sf)))
+def _groups(spark: SparkSession, sf: str) -> DataFrame:
+    return risk.finding_groups(cbom.classify(synthetic.findings(spark, sf)))
 
 
 def _scored(spark: SparkSession, sf: str, profile: str | None = "enterprise_default") -> DataFrame:
-    return risk.recommend(risk.score(risk.findings(_occurrences(spark, sf)), profile))
+    return risk.recommend(risk.score(_groups(spark, sf), profile))
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
@@ -58,7 +58,7 @@ def recommendations(spark, sf):
 
 
 def context_counts(spark, sf):
-    return risk.findings(_occurrences(spark, sf)).groupBy("finding_type", "purpose", "sensitivity", "internet_facing", "data_lifetime_years", "migration_effort_years").agg(F.count("*").alias("n"))
+    return _groups(spark, sf).groupBy("finding_type", "purpose", "sensitivity", "internet_facing", "data_lifetime_years", "migration_effort_years").agg(F.sum("n").alias("n"))
 
 
 def conversion_counts(spark, sf):
@@ -67,7 +67,7 @@ def conversion_counts(spark, sf):
 
 def risk_bands(spark, sf):
     s = _scored(spark, sf)
-    return s.groupBy(F.col("risk.layer").alias("layer"), F.col("risk.band").alias("band"), "algorithm", F.col("recommendation.primary").alias("primary"), F.col("recommendation.reason").alias("reason"), F.col("recommendation.est_migration_effort").alias("effort"), F.round("risk.layer_score", 3).alias("score")).agg(F.count("*").alias("n"))
+    return s.groupBy(F.col("risk.layer").alias("layer"), F.col("risk.band").alias("band"), "algorithm", F.col("recommendation.primary").alias("primary"), F.col("recommendation.reason").alias("reason"), F.col("recommendation.est_migration_effort").alias("effort"), F.round("risk.layer_score", 3).alias("score")).agg(F.sum("n").alias("n"))
 
 
 def system_score(spark, sf):
@@ -75,9 +75,7 @@ def system_score(spark, sf):
 
 
 def merged_recommendations(spark, sf):
-    entries = cbom.bill(synthetic.findings(spark, sf))
-    m = risk.merge_recommendations(risk.score(risk.findings(_occurrences(spark, sf))), entries)
-    return m.groupBy("migration_phase", "db_recommendation_source").agg(F.count("*").alias("n"))
+    return risk.phases(_groups(spark, sf)).groupBy("migration_phase", "db_recommendation_source").agg(F.sum("n").alias("n"))
 
 
 def effort_score(spark, sf):
@@ -224,4 +222,5 @@ ORACLES = {
     "line_split": "with s as (select doc_id, unnest(string_split(case when text like '%' || chr(10) then text[:-2] else text end, chr(10))) as line from documents) select doc_id, count(*) as n, cast(sum(length(trim(line, ' '))) as bigint) as chars from s group by 1",
 }
 
-QUERIES = {f.__name__: f for f in (classify_histogram, exact_dedup, cbom_merge, cbom_summary, cross_file, cross_language, recommendations, context_counts, conversion_counts, risk_bands, system_score, merged_recommendations, effort_score, effort_components, high_confidence, distinct_locations, top_components, multiset_difference, cyclonedx_components, rule_match, c_calls, hardware_rules, protocol_rules, key_size_band, line_split)}
+QUERIES = {f.__name__: f for f in (classify_histogram, exact_dedup, cbom_merge, cbom_summary, cross_file, cross_language, recommendations, context_counts, conversion_counts, risk_bands, system_score, merged_recommendations, effort_score, effort_components, high_confidence, distinct_locations, top_components, multiset_difference, cyclonedx_components, rule_match, c_calls, hardware_rules, protocol_rules, key_size_band, line_split)} | generated.QUERIES
+ORACLES |= generated.ORACLES

@@ -6,10 +6,13 @@ column over the files that are routed to one; a file's findings meet in one arra
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cbom, code, commands, effort, risk, rules
+from ..scratch import Scratch
 from ..sources import files as src
 
 #: Routes of files that parsers read, and of files whose text the rules read.
@@ -31,8 +34,10 @@ def when(condition: Column, hits: Column) -> Column:
     return F.when(condition, hits).otherwise(rules.no_hits())
 
 
-def file_hits() -> Column:
-    """All that the rules find in a file (path, routes, _t: its text, _u: whether it is UTF-8)."""
+@lru_cache(maxsize=8)
+def file_hits(app: str) -> Column:
+    """All that the rules find in a file (path, routes, _t: its text, _u: whether it is UTF-8). The expression is built once for
+    each application: it takes thousands of calls to the JVM."""
     text, path = F.col("_t"), F.col("path")
     firmware = F.lower("path").rlike(r"\.(fw|hex|bin)$")
 
@@ -64,7 +69,7 @@ def detect(tree: DataFrame) -> DataFrame:
     files = src.with_routes(tree).where(F.size("routes") > 0)
     text = files.withColumns({"_u": F.is_valid_utf8(F.col("content").cast("string")), "_t": F.when(routed("dockerfile", *READ), src.as_text())})
     both = text.withColumn("_p", code.parsed(F.col("path"), F.col("routes"), F.when(routed(*PARSED), F.col("content"))))
-    return cbom.with_ids(cbom.exact_dedup(opened(both, F.concat(code.widened(file_hits()), F.col("_p")))))
+    return cbom.with_ids(cbom.exact_dedup(opened(both, F.concat(code.widened(file_hits(tree.sparkSession.sparkContext.applicationId)), F.col("_p")))))
 
 
 def container(tree: DataFrame, cap: int = 5000, config_bytes: int = 1_000_000) -> DataFrame:
@@ -119,6 +124,7 @@ def metadata(images: DataFrame, name: str = "image", inspect: str = "inspect") -
 def inventory(found: DataFrame, profile: str = "enterprise_default") -> dict[str, DataFrame]:
     """All results of a table of findings."""
     entries = cbom.bill(found)
-    scored = risk.recommend(risk.score(risk.findings(cbom.occurrences(cbom.classify(found))), profile))
+    occurrences = risk.numbered_occurrences(cbom.occurrences(cbom.classify(found)), Scratch(found.sparkSession, "inventory"))
+    scored = risk.recommend(risk.score(risk.findings(occurrences), profile))
     rated = effort.ratings(found)
     return {"entries": cbom.ordered(entries), "cross_file": cbom.cross_file_patterns(entries).drop("n_files"), "cross_language": cbom.cross_language_patterns(entries), "summary": cbom.summary(entries, found), "scored": risk.merge_recommendations(scored, entries).drop("cbom_entry_id"), "system": risk.system_score(scored), "cyclonedx": cbom.cyclonedx(entries), "effort": rated, "components": effort.components(found, rated)}

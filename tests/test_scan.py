@@ -263,3 +263,31 @@ def test_occurrences_are_the_entries_rows(spark):
     assert "collect_list" not in plan and "Window" not in plan
     empty = cbom.merge(found.limit(0))
     assert empty.count() == 0 and cbom.summary(cbom.attach_recommendations(empty), found.limit(0)).first().asDict() == {"unique_entries": 0, "raw_findings": 0, "quantum_vulnerable": 0, "files": 0}
+
+
+def test_numbers_of_a_hot_entry(spark):
+    """Ids count an entry's findings in order, also where one entry has half the rows; no window spans an entry."""
+    from pqledger.scratch import Scratch
+
+    rows = [(f"a{i}", "algorithm", "RSA" if i % 2 else f"X{i % 9}", f"f{i % 5}.py", i) for i in range(400)]
+    df = spark.createDataFrame(rows, "artifact_id string, artifact_type string, algorithm string, file_path string, ord int")
+    occurrences = cbom.occurrences(cbom.classify(cbom.conform(df)))
+    numbered = risk.findings(risk.numbered_occurrences(occurrences, Scratch(spark, "test")))
+    assert "cbom_entry_id" not in [w for w in numbered._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Window" in w]
+    by = lambda df: {(r.finding_id, r.location, r.ord.ord) for r in df.collect()}
+    assert by(numbered) == by(risk.findings(occurrences)) and len(by(numbered)) == 400
+
+
+def test_groups_score_like_their_findings(spark):
+    paths = ["src/auth/a.py", "src/payment/b.py", "src/core/c.key", None]
+    rows = [(f"a{i}", ["algorithm", "hash", "protocol", "hsm"][i % 4], ["RSA", "MD5", "TLS 1.0", None, "UNSPECIFIED"][i % 5], paths[i % 3 if i % 7 else 3], i / 90, f"l{i % 2}", i) for i in range(90)]
+    df = spark.createDataFrame(rows, "artifact_id string, artifact_type string, algorithm string, file_path string, confidence double, library string, ord int")
+    found = cbom.classify(cbom.conform(df))
+    one, many = risk.score(risk.findings(cbom.occurrences(found))), risk.score(risk.finding_groups(found))
+    keys = ["cbom_entry_id", "algorithm", "key_size", "purpose", "sensitivity", "risk.layer_score", "risk.band"]
+    assert sorted(map(str, one.groupBy(*keys).count().collect())) == sorted(map(str, many.groupBy(*keys).agg(F.sum("n").alias("count")).collect()))
+    a, b = risk.system_score(one).first(), risk.system_score(many).first()
+    assert a == b and a.findings == one.count()
+    merged = risk.merge_recommendations(one, cbom.attach_recommendations(cbom.merge(found)))
+    phase = ["migration_phase", "db_recommendation_source"]
+    assert sorted(map(str, merged.groupBy(*phase).count().collect())) == sorted(map(str, risk.phases(many).groupBy(*phase).agg(F.sum("n").alias("count")).collect()))
