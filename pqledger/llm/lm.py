@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import flat, fold, read, stored
 
-VOCAB, CLASS, HIDDEN, WINDOW, STREAMS = 2048, 64, 16, 16, 192
+VOCAB, CLASS, HIDDEN, WINDOW, STREAMS = 2048, 64, 24, 16, 96
 #: One training document in so many is in the first round of training, all others are in the second.
 FIRST_ROUND = 16
 #: Training documents that a shard takes about, over both rounds.
@@ -42,7 +42,7 @@ KNOWN = 100_000
 FLUSH, SIDE_BY_SIDE = 400_000, 4_000_000
 END = b"\n"  # no word holds white space
 SURFACE = 4 * 3 * 3
-RATE = 0.1
+RATE = 0.08
 
 
 def batch_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
