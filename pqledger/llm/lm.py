@@ -17,7 +17,6 @@ columns are not read.
 
 from __future__ import annotations
 
-import heapq
 import math
 import os
 from collections import Counter
@@ -34,8 +33,9 @@ from .common import flat, fold, read, stored
 VOCAB, CLASS, HIDDEN, WINDOW, STREAMS = 2048, 64, 24, 16, 96
 #: One training document in so many is in the first round of training, all others are in the second.
 FIRST_ROUND = 16
-#: Training documents that a shard takes about, over both rounds.
-SHARD_DOCS = 6400
+#: Training documents that a shard takes about, over both rounds, and shards at most: beyond these a shard takes more
+#: documents, which stream through it.
+SHARD_DOCS, MOST_SHARDS = 6400, 16384
 #: Counts of so many words go to all executors at most; rarer words' counts are joined.
 KNOWN = 100_000
 #: Partial counts that a task holds before it passes them on; tokens scored side by side. Memory bounds only.
@@ -202,21 +202,32 @@ def log_probs(p: dict, h: np.ndarray, ids: np.ndarray, v_top: int, heads: int) -
     return out
 
 
-def side_by_side(docs: list[np.ndarray], streams: int) -> tuple[np.ndarray, np.ndarray]:
-    """Whole documents laid end to end in streams of about equal length, long ones first: (tokens, places x streams, -1
-    beyond a stream's end; lengths, in falling order)."""
-    heap = [(0, i) for i in range(min(streams, len(docs)))]
-    parts: list[list[np.ndarray]] = [[] for _ in heap]
-    for d in sorted(docs, key=len, reverse=True):
-        n, i = heapq.heappop(heap)
-        parts[i].append(d)
-        heapq.heappush(heap, (n + len(d), i))
-    heap.sort(reverse=True)
-    lengths = np.array([n for n, _ in heap], np.int64)
-    out = np.full((int(lengths[0]) if len(heap) else 0, len(heap)), -1, np.int32)
-    for k, (n, i) in enumerate(heap):
-        out[:n, k] = np.concatenate(parts[i])
-    return out, lengths
+def windows(docs: Iterator[np.ndarray], streams: int, end: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Whole documents laid end to end in streams, WINDOW tokens at a time: (streams that still run, as places among those of
+    the window before; inputs; tokens, -1 beyond a stream's end). A stream that ends its document takes the next one, so only
+    one document for each stream is held; with long ones first the streams end together."""
+    rest: list[np.ndarray] = []
+    for d in docs:
+        rest.append(d)
+        if len(rest) == streams:
+            break
+    last = np.full(len(rest), end, np.int32)
+    run = np.arange(len(rest))
+    while len(rest):
+        y = np.full((WINDOW, len(rest)), -1, np.int32)
+        for k, d in enumerate(rest):
+            n = 0
+            while n < WINDOW and d is not None:
+                some = d[: WINDOW - n]
+                y[n : n + len(some), k] = some
+                n, d = n + len(some), d[len(some) :]
+                if not len(d):
+                    d = next(docs, None)
+            rest[k] = d
+        x = np.concatenate([last[None], y[:-1]])
+        yield run, np.where(x >= 0, x, end), y
+        run = np.flatnonzero([d is not None for d in rest])
+        rest, last = [rest[k] for k in run.tolist()], y[-1, run]
 
 
 def window_gradients(p: dict, h: np.ndarray, x: np.ndarray, y: np.ndarray, v_top: int, heads: int, end: int, weight: float) -> tuple[dict, np.ndarray, np.ndarray]:
@@ -286,14 +297,13 @@ def train_shard(p: dict, docs: Iterator[np.ndarray], v_top: int, heads: int, end
     slow = {k: np.ones((w.shape[-2], 1), f4) for k, w in p.items() if k in ("wc", "ww")}
     for k, w in slow.items():  # biases start from counts and move less
         g2[k][..., -1, :], w[-1] = 1e-2, 0.5
-    ys, lengths = side_by_side(list(docs), STREAMS)
-    xs = np.concatenate([np.full((1, ys.shape[1]), end, np.int32), ys[:-1]]) if len(ys) else ys
-    h = np.zeros((ys.shape[1], HIDDEN), f4)
-    for t in range(0, len(ys), WINDOW):
-        a = int(np.searchsorted(-lengths, -t, "left"))  # streams longer than t
-        y, x = ys[t : t + WINDOW, :a], xs[t : t + WINDOW, :a]
-        share = int((y >= 0).sum()) / (WINDOW * STREAMS)
-        grad, u, h = window_gradients(p, h[:a], np.where(x >= 0, x, end), y, v_top, heads, end, 1 / (WINDOW * STREAMS))
+    h, seen = None, 0
+    for run, x, y in windows(docs, STREAMS, end):
+        h = np.zeros((len(run), HIDDEN), f4) if h is None else h[run]
+        tokens = int((y >= 0).sum())
+        seen += tokens
+        share = tokens / (WINDOW * STREAMS)
+        grad, u, h = window_gradients(p, h, x, y, v_top, heads, end, 1 / (WINDOW * STREAMS))
         rate = f4(RATE * share)  # so that a few last tokens move little
         for k, g in grad.items():
             at = u if k == "x" else ...
@@ -303,7 +313,7 @@ def train_shard(p: dict, docs: Iterator[np.ndarray], v_top: int, heads: int, end
             g *= rate * slow[k] if k in slow else rate
             g /= np.sqrt(g2[k][at])
             p[k][at] -= g
-    return p, int(lengths.sum())
+    return p, seen
 
 
 class Slots:
@@ -372,7 +382,7 @@ def fit(docs: DataFrame, text: str, id_col: str) -> tuple[Vocabulary, dict, Data
         mass[r.k] += r.m
     v = Vocabulary(top, known, total, distinct, mass)
     p0 = start_weights(v)
-    shards = max(1, round(n_docs / SHARD_DOCS))
+    shards = min(MOST_SHARDS, max(1, round(n_docs / SHARD_DOCS)))
     lot = F.pmod(F.xxhash64(id_col, F.lit("train")), F.lit(FIRST_ROUND))
     p = p0
     for mine in (lot == 0, lot != 0):
