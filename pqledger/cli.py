@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 from .operators import cbom
 from .plans import scan
-from .sources import files, sinks
+from .sources import sinks, tar
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -23,7 +23,7 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.getOrCreate()
     found = scan.findings(spark, a.directory) if a.directory else None
     if a.container:
-        image = scan.container(files.tar_members(spark.read.format("binaryFile").load(a.container)))
+        image = scan.container(tar.image_files(tar.read_tar(spark, a.container)))
         found = image if found is None else cbom.exact_dedup(found.unionByName(image))
     found = found.cache()
     n = sinks.write_json_array(found.orderBy("ord").drop("ord"), a.output)

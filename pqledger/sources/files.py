@@ -1,11 +1,7 @@
-"""File trees, tar images and saved findings as DataFrames."""
+"""File trees and saved findings as DataFrames."""
 
 from __future__ import annotations
 
-import tarfile
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,20 +46,3 @@ def artifacts_json(spark: SparkSession, path: str) -> DataFrame:
     """A saved JSON array of findings, with ord from its order. The array is one document, so one task reads it."""
     text = spark.read.text(path, wholetext=True)
     return text.select(F.posexplode(F.from_json("value", "array<" + ARTIFACT.simpleString() + ">")).alias("ord", "r")).select("r.*", "ord")
-
-
-def tar_members(df: DataFrame, biggest: int = 1_000_000_000) -> DataFrame:
-    """(path, length, content) of plain files of tar archives (path, content); members that point outside are left out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import io
-
-        for batch in batches:
-            for raw in batch.column(0):
-                with tarfile.open(fileobj=io.BytesIO(raw.as_py())) as t:
-                    for m in t:
-                        parts = m.name.split("/")
-                        if m.isfile() and not m.name.startswith("/") and ".." not in parts and m.size <= biggest:
-                            yield pa.RecordBatch.from_pylist([{"path": "/" + m.name.removeprefix("./"), "length": m.size, "content": t.extractfile(m).read()}], pa.schema([("path", pa.string()), ("length", pa.int64()), ("content", pa.binary())]))
-
-    return df.select("content").mapInArrow(run, "path string, length long, content binary")

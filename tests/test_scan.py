@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pqledger.operators import cbom, code, commands, effort, risk, rules
 from pqledger.plans import scan
-from pqledger.sources import files, sinks
+from pqledger.sources import sinks, tar
 
 
 def rows(body, path, text):
@@ -135,8 +135,7 @@ def test_container(spark, tmp_path):
         t.add(root, "")
         evil = tarfile.TarInfo("../evil.conf")
         t.addfile(evil)
-    members = files.tar_members(spark.read.format("binaryFile").load(str(tmp_path / "i.tar")))
-    got = scan.container(members).collect()
+    got = scan.container(tar.image_files(tar.read_tar(spark, str(tmp_path / "i.tar")))).collect()
     conf = {r.line_number: r.confidence for r in got if r.artifact_type == "protocol"}
     assert conf[2] < conf[1]
     assert any(r.artifact_type == "private_key" and r.algorithm == "RSA" for r in got)
