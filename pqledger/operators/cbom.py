@@ -42,9 +42,9 @@ def conform(df: DataFrame) -> DataFrame:
 
 
 def with_ids(df: DataFrame) -> DataFrame:
-    """Deterministic eight-digit ids from what makes a finding."""
+    """Deterministic ids from what makes a finding: 64 bits, as an entry's id must be unique in its document."""
     key = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in ("file_path", "line_number", "artifact_type", "algorithm", "evidence", "detection_method", "code_snippet", "library")]
-    return df.withColumn("artifact_id", F.coalesce("artifact_id", F.substring(F.sha2(F.concat_ws("\x01", *key), 256), 1, 8)))
+    return df.withColumn("artifact_id", F.coalesce("artifact_id", F.substring(F.sha2(F.concat_ws("\x01", *key), 256), 1, 16)))
 
 
 def normal_path(path: Column) -> Column:
@@ -120,7 +120,7 @@ def keyed(df: DataFrame) -> DataFrame:
     return df.withColumns({"_u": none, "_k": F.when(none, F.col("library")).otherwise(F.col("algorithm")), "_s": F.when(~none, F.col("key_size"))})
 
 
-def _lead() -> Column:
+def lead() -> Column:
     """The most confident, then first finding, which describes the entry."""
     return F.min_by(F.struct("artifact_id", "algorithm", "key_size", "cbom_category", "library"), F.struct((-F.coalesce("confidence", F.lit(0.0))).alias("c"), "ord"))
 
@@ -131,7 +131,7 @@ def merge(df: DataFrame) -> DataFrame:
     the lists are then left out of the plan. What works on each occurrence takes the rows of occurrences()."""
     occurrence = F.struct("ord", F.struct("file_path", "line_number", "code_snippet", "detection_method", "confidence").alias("o"))
     g = keyed(df).groupBy("_u", "_k", "_s").agg(
-        _lead().alias("r"), F.sort_array(F.collect_list(occurrence)).alias("all"), F.count("*").alias("occurrence_count"), F.max(F.coalesce("confidence", F.lit(0.0))).alias("max_confidence"), F.sort_array(F.collect_set("file_path")).alias("files_affected"), F.min("ord").alias("first_ord"),
+        lead().alias("r"), F.sort_array(F.collect_list(occurrence)).alias("all"), F.count("*").alias("occurrence_count"), F.max(F.coalesce("confidence", F.lit(0.0))).alias("max_confidence"), F.sort_array(F.collect_set("file_path")).alias("files_affected"), F.min("ord").alias("first_ord"),
         F.min_by("file_path", "ord").alias("first_path"), F.min("file_path").alias("first_file"), F.count_distinct("file_path").alias("n_files"), F.sort_array(F.collect_set(F.when(F.col("file_path").isNotNull(), language_bucket(F.col("file_path"))))).alias("languages"),
     )
     return g.select(F.col("r.artifact_id").alias("cbom_entry_id"), F.col("r.algorithm").alias("algorithm"), F.when(~F.col("_u"), F.col("r.key_size")).alias("key_size"), F.col("r.cbom_category").alias("cbom_category"), F.col("r.library").alias("library"), "occurrence_count", "max_confidence", "files_affected", F.col("all.o").alias("occurrences"), "first_ord", *HELPERS)
@@ -142,7 +142,7 @@ def occurrences(df: DataFrame) -> DataFrame:
     and first_ord. Entries are found by partial aggregation and joined back by their key, so an entry with most of the
     findings never meets in one value; the join's large side is split by AQE where entries are too many to broadcast."""
     rows = keyed(df).select("_u", "_k", "_s", "file_path", "confidence", "ord")
-    g = keyed(df).groupBy("_u", "_k", "_s").agg(_lead().alias("r"), F.min("ord").alias("first_ord"))
+    g = keyed(df).groupBy("_u", "_k", "_s").agg(lead().alias("r"), F.min("ord").alias("first_ord"))
     e = g.select(*[F.col(c).alias(f"{c}e") for c in ("_u", "_k", "_s")], F.col("r.artifact_id").alias("cbom_entry_id"), F.col("r.algorithm").alias("algorithm"), F.when(~F.col("_u"), F.col("r.key_size")).alias("key_size"), F.col("r.cbom_category").alias("cbom_category"), "first_ord")
     same = (F.col("_u") == F.col("_ue")) & F.col("_k").eqNullSafe(F.col("_ke")) & F.col("_s").eqNullSafe(F.col("_se"))
     return rows.join(e, same).select("cbom_entry_id", "algorithm", "key_size", "cbom_category", "first_ord", "file_path", "confidence", "ord")
@@ -205,8 +205,13 @@ def summary(entries: DataFrame, findings: DataFrame) -> DataFrame:
     return both.agg(*[F.sum(c).alias(c) for c in both.columns])
 
 
-def cyclonedx_components(entries: DataFrame) -> DataFrame:
-    """(first_ord, component): the entries as cryptographic-asset components."""
+def normal_order() -> list[Column]:
+    """The order of entries in the bill: most findings first, then by first finding."""
+    return [(-F.col("occurrence_count")).alias("_n"), F.col("first_ord").alias("_first")]
+
+
+def cyclonedx_properties(entries: DataFrame) -> DataFrame:
+    """Entries with the name, props and advice of their components."""
     kind = F.coalesce(lookup(dims.ASSET_TYPES, F.col("cbom_category")), F.lit("algorithm"))
     is_ = lambda k: F.col("_kind") == k
     props = F.struct(
@@ -217,9 +222,15 @@ def cyclonedx_components(entries: DataFrame) -> DataFrame:
         F.when(is_("related-crypto-material"), F.struct(F.when(F.col("cbom_category") == "Key", "private-key").otherwise("unknown").alias("type"), F.col("key_size").alias("size"))).alias("relatedCryptoMaterialProperties"),
     )
     name = F.when(F.col("algorithm").isNull() | (F.col("algorithm") != "UNSPECIFIED"), F.col("algorithm")).otherwise(F.coalesce("library", F.lit("unknown")))
-    rec = F.when(F.col("recommendation").isNotNull(), F.array(F.struct(F.lit("inventory:recommendedAlternative").alias("name"), F.col("recommendation.recommended_alternative").alias("value"))))
+    advice = F.when(F.col("recommendation").isNotNull(), F.array(F.struct(F.lit("inventory:recommendedAlternative").alias("name"), F.col("recommendation.recommended_alternative").alias("value"))))
+    return entries.withColumn("_kind", kind).withColumns({"name": name, "props": props, "advice": advice})
+
+
+def cyclonedx_components(entries: DataFrame) -> DataFrame:
+    """(first_ord, component): the entries as cryptographic-asset components."""
     where = F.struct(F.transform("occurrences", lambda o: F.struct(o.file_path.alias("location"))).alias("occurrences"))
-    return entries.withColumn("_kind", kind).select("first_ord", "occurrence_count", F.struct(F.lit("cryptographic-asset").alias("type"), F.col("cbom_entry_id").alias("bom-ref"), name.alias("name"), props.alias("cryptoProperties"), where.alias("evidence"), rec.alias("properties")).alias("component"))
+    component = F.struct(F.lit("cryptographic-asset").alias("type"), F.col("cbom_entry_id").alias("bom-ref"), "name", F.col("props").alias("cryptoProperties"), where.alias("evidence"), F.col("advice").alias("properties"))
+    return cyclonedx_properties(entries).select("first_ord", "occurrence_count", component.alias("component"))
 
 
 def cyclonedx(entries: DataFrame, version: str = "1.0") -> DataFrame:
