@@ -11,7 +11,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cbom, code, commands, effort, risk, rules
+from ..operators import cbom, code, commands, document, effort, risk, rules
 from ..scratch import Scratch
 from ..sources import files as src
 
@@ -22,8 +22,8 @@ READ = ["source", "infrastructure"]
 CONFIGS = ["openssl.cnf", "openssl.conf", "ssh_config", "sshd_config", "nginx.conf", "httpd.conf", "apache2.conf"]
 
 
-def findings(spark: SparkSession, root: str) -> DataFrame:
-    return detect(src.tree(spark, root))
+def findings(spark: SparkSession, root: str, password: str | None = None) -> DataFrame:
+    return detect(src.tree(spark, root), password)
 
 
 def routed(*names: str) -> Column:
@@ -64,11 +64,12 @@ def opened(files: DataFrame, found: Column) -> DataFrame:
     return cbom.conform(rows.withColumn("ord", order))
 
 
-def detect(tree: DataFrame) -> DataFrame:
-    """Findings of files (path, length, content), first ones first by (path, detector, place)."""
+def detect(tree: DataFrame, password: str | None = None) -> DataFrame:
+    """Findings of files (path, length, content), first ones first by (path, detector, place). The password opens PKCS#12
+    files; it goes to workers and, by environment, to the tool, never into a row."""
     files = src.with_routes(tree).where(F.size("routes") > 0)
     text = files.withColumns({"_u": F.is_valid_utf8(F.col("content").cast("string")), "_t": F.when(routed("dockerfile", *READ), src.as_text())})
-    both = text.withColumn("_p", code.parsed(F.col("path"), F.col("routes"), F.when(routed(*PARSED), F.col("content"))))
+    both = text.withColumn("_p", code.parsed(F.col("path"), F.col("routes"), F.when(routed(*PARSED), F.col("content")), password))
     return cbom.with_ids(cbom.exact_dedup(opened(both, F.concat(code.widened(file_hits(tree.sparkSession.sparkContext.applicationId)), F.col("_p")))))
 
 
@@ -121,10 +122,16 @@ def metadata(images: DataFrame, name: str = "image", inspect: str = "inspect") -
     return cbom.with_ids(opened(files, code.widened(commands.metadata_hits(F.col("_j"), 0))))
 
 
+def documents(found: DataFrame) -> dict[str, DataFrame]:
+    """The bill and its CycloneDX document as rows of text in order."""
+    classified = cbom.classify(found)
+    return {"cbom": document.bill(classified), "cyclonedx": document.cyclonedx(classified)}
+
+
 def inventory(found: DataFrame, profile: str = "enterprise_default") -> dict[str, DataFrame]:
     """All results of a table of findings."""
     entries = cbom.bill(found)
     occurrences = risk.numbered_occurrences(cbom.occurrences(cbom.classify(found)), Scratch(found.sparkSession, "inventory"))
     scored = risk.recommend(risk.score(risk.findings(occurrences), profile))
     rated = effort.ratings(found)
-    return {"entries": cbom.ordered(entries), "cross_file": cbom.cross_file_patterns(entries).drop("n_files"), "cross_language": cbom.cross_language_patterns(entries), "summary": cbom.summary(entries, found), "scored": risk.merge_recommendations(scored, entries).drop("cbom_entry_id"), "system": risk.system_score(scored), "cyclonedx": cbom.cyclonedx(entries), "effort": rated, "components": effort.components(found, rated)}
+    return {"evidence": effort.evidence(found, rated), "effort_report": effort.result(rated), "entries": cbom.ordered(entries), "cross_file": cbom.cross_file_patterns(entries).drop("n_files"), "cross_language": cbom.cross_language_patterns(entries), "summary": cbom.summary(entries, found), "scored": risk.merge_recommendations(scored, entries).drop("cbom_entry_id"), "system": risk.system_score(scored), "cyclonedx": cbom.cyclonedx(entries), "effort": rated, "components": effort.components(found, rated)}

@@ -290,3 +290,58 @@ def test_groups_score_like_their_findings(spark):
     merged = risk.merge_recommendations(one, cbom.attach_recommendations(cbom.merge(found)))
     phase = ["migration_phase", "db_recommendation_source"]
     assert sorted(map(str, merged.groupBy(*phase).count().collect())) == sorted(map(str, risk.phases(many).groupBy(*phase).agg(F.sum("n").alias("count")).collect()))
+
+
+def test_passwords_open_containers(spark, certs):
+    raw = (certs / "locked.p12").read_bytes()
+    df = spark.createDataFrame([("a.p12", len(raw), bytearray(raw))], "path string, length long, content binary")
+    assert [(r.artifact_type, r.key_size) for r in scan.detect(df).collect()] == [("pkcs12", None)]
+    opened = scan.detect(df, "secret").collect()
+    assert [(r.artifact_type, r.key_size, r.certificate_source_format) for r in opened] == [("certificate", 2048, "PKCS12")] and "secret" not in str(opened)
+
+
+def evidence_of(spark, rows):
+    df = cbom.conform(spark.createDataFrame(rows, "artifact_type string, algorithm string, detection_method string, file_path string, line_number int, library string, protocol string, evidence string, code_snippet string, ord int"))
+    rated = effort.ratings(df)
+    got = [(r.rating, r.evidence) for r in effort.evidence(df, rated).orderBy("rating", "place", "ord").collect()]
+    report = effort.result(rated).first()
+    return got, report
+
+
+def test_effort_evidence(spark):
+    soft = lambda i, method="ast_call", alg="AES", lib=None: ("algorithm", alg, method, f"f{i}.py", i, lib, None, None, "x", i)
+    none = ("DS", "Software-only environment confirmed; 0 HSM, IoT, embedded, or specialized hardware artifacts detected.")
+    flat = ("NP", "Standard flexible software protocols; no restrictive MTU or packet buffer limits discovered.")
+    got, report = evidence_of(spark, [soft(i) for i in range(9, 0, -1)])
+    assert got == [*(("CA", f"Hardcoded algorithm 'AES' at f{i}.py:{i}") for i in range(1, 6)), none, flat] and report.ratings.CA.score == 3
+    got, report = evidence_of(spark, [soft(1, alg="MD5"), soft(2, "pattern_match", "des")])
+    assert got[:2] == [("CA", "Legacy cipher 'MD5' in f1.py"), ("CA", "Legacy cipher 'des' in f2.py")] and report.ratings.CA.score == 4
+    hard = [("hsm", None, "hsm_pattern", "h.c", 1, None, None, "PKCS#11", None, 1), ("firmware", None, "f", "b.fw", None, None, None, None, None, 2), ("packet_constraint", None, "p", "n.c", 3, None, None, None, "MTU = 5", 3)]
+    got, report = evidence_of(spark, hard)
+    assert got == [("CA", "Custom/firmware crypto in b.fw: None"), ("DS", "Hardware dependency 'hsm' in h.c: PKCS#11"), ("DS", "Hardware dependency 'firmware' in b.fw: None"), ("NP", "Packet/MTU constraint in n.c: MTU = 5")]
+    assert (report.ratings.CA.score, report.ratings.DS.score, report.ratings.NP.score) == (5, 5, 5)
+    got, _ = evidence_of(spark, [("protocol", None, "config_directive", "a.conf", 1, None, "TLS 1.0", "x", None, 1), ("protocol", None, "api_pattern", "b.py", 1, None, "TLS 1.2", "x", None, 2)])
+    assert got == [("CA", "Centralized modern crypto library APIs and configuration-driven selection detected."), none, ("NP", "Legacy protocol 'TLS 1.0' in a.conf")]
+    got, report = evidence_of(spark, [])
+    assert got == [none, flat] and report.missing_evidence == ["No crypto findings detected to evaluate Crypto-Agility."] and report.ratings.CA.score == 3
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from pqledger import cli
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.py").write_text("import hashlib\nhashlib.md5(b'')\nRSA.generate(1024)\n")
+    assert cli.main([str(tmp_path / "in"), "-o", str(tmp_path / "out.json"), "--results", str(tmp_path / "r")]) == 0
+    said = capsys.readouterr().out
+    found = json.loads((tmp_path / "out.json").read_text())
+    assert f"{len(found)} artifacts detected" in said and "RSA (1024-bit)  <- RSA.generate(1024)" in said
+    report = json.loads((tmp_path / "mtech_result.json").read_text())
+    assert report["M_tech"] and report["evidence"][0]["evidence"].startswith("Legacy cipher 'MD5'") and report["component_ratings"][0]["component"] == "a.py"
+    assert f"score: {report['M_tech']}" in said
+    bom = json.loads((tmp_path / "r" / "cyclonedx.json").read_text())
+    bill = json.loads((tmp_path / "r" / "cbom.json").read_text())
+    assert len(bom["components"]) == len(bill) > 0 and sum(e["occurrence_count"] for e in bill) == len(found)
+    with pytest.raises(SystemExit):
+        cli.main([])
+    with pytest.raises(SystemExit):
+        cli.main([str(tmp_path / "missing")])
