@@ -88,6 +88,11 @@ def effort_components(spark, sf):
     return effort.components(df, effort.ratings(df)).select("component", "path", "n", "ca", "ds", "np", "m_tech")
 
 
+def effort_evidence(spark, sf):
+    df = synthetic.findings(spark, sf)
+    return effort.evidence(df, effort.ratings(df)).groupBy("rating", "evidence").agg(F.count("*").alias("n"))
+
+
 def high_confidence(spark, sf):
     return synthetic.findings(spark, sf).where(F.coalesce("confidence", F.lit(0.0)) >= 0.65).select("artifact_id", "algorithm", "confidence")
 
@@ -208,6 +213,11 @@ ORACLES = {
     "merged_recommendations": f"{_E} select case when finding_type in ('certificate', 'tls_config') or coalesce(algorithm in {_IN(dims.HYBRID_ALGORITHMS)}, false) then 'Hybrid-ready' else 'Discover & Assess' end as migration_phase, case when algorithm = 'UNSPECIFIED' then case when cbom_category in ('Certificate', 'Protocol') then 'category_fallback' else 'none' end else 'algorithm_map' end as db_recommendation_source, count(*) as n from y group by all",
     "effort_score": f"{_FLAGS} select n, hardware, protocol, software, packets, legacy, agile, hardcoded, configured, 'mixed' as architecture, w_ca, w_ds, w_np, ca, ds, np, round(w_ca * ca + w_ds * ds + w_np * np, 2) as m_tech from r",
     "effort_components": f"{_FLAGS}, p as (select file_path as path, count(*) as n, case when bool_or(coalesce(upper(algorithm) in {_IN(dims.LEGACY_ALGORITHMS)}, false)) then 4 else 2 end as ca, case when bool_or(artifact_type in ('hsm', 'embedded_iot', 'firmware')) then 4 else 1 end as ds, case when bool_or(artifact_type = 'packet_constraint') then 4 else 1 end as np from f group by 1) select regexp_extract(path, '([^/]*)$', 1) as component, path, p.n, p.ca, p.ds, p.np, round(w_ca * p.ca + w_ds * p.ds + w_np * p.np, 2) as m_tech from p, r",
+    "effort_evidence": f"""{_FLAGS}, e as (
+  select 'CA' as rating, 'Legacy cipher ''' || algorithm || ''' in ' || file_path as evidence from f, r where legacy > 0 and upper(algorithm) in {_IN(dims.LEGACY_ALGORITHMS)}
+  union all select 'DS', case when ds = 5 then 'Hardware dependency ''' || artifact_type || ''' in ' else 'Hardware/IoT dependency in ' end || file_path || ': None' from f, r where artifact_type in ('hsm', 'embedded_iot', 'firmware', 'hardware')
+  union all select 'NP', 'Packet/MTU constraint in ' || file_path || ': None' from f, r where artifact_type = 'packet_constraint')
+ select rating, evidence, count(*) as n from e group by all""",
     "high_confidence": f"{_F} select artifact_id, algorithm, confidence from f where confidence >= 0.65",
     "distinct_locations": f"{_F} select distinct file_path from f",
     "top_components": f"{_M} select cbom_entry_id, occurrence_count from m order by occurrence_count desc, first_ord limit 5",
@@ -222,5 +232,5 @@ ORACLES = {
     "line_split": "with s as (select doc_id, unnest(string_split(case when text like '%' || chr(10) then text[:-2] else text end, chr(10))) as line from documents) select doc_id, count(*) as n, cast(sum(length(trim(line, ' '))) as bigint) as chars from s group by 1",
 }
 
-QUERIES = {f.__name__: f for f in (classify_histogram, exact_dedup, cbom_merge, cbom_summary, cross_file, cross_language, recommendations, context_counts, conversion_counts, risk_bands, system_score, merged_recommendations, effort_score, effort_components, high_confidence, distinct_locations, top_components, multiset_difference, cyclonedx_components, rule_match, c_calls, hardware_rules, protocol_rules, key_size_band, line_split)} | generated.QUERIES
+QUERIES = {f.__name__: f for f in (classify_histogram, exact_dedup, cbom_merge, cbom_summary, cross_file, cross_language, recommendations, context_counts, conversion_counts, risk_bands, system_score, merged_recommendations, effort_score, effort_components, effort_evidence, high_confidence, distinct_locations, top_components, multiset_difference, cyclonedx_components, rule_match, c_calls, hardware_rules, protocol_rules, key_size_band, line_split)} | generated.QUERIES
 ORACLES |= generated.ORACLES

@@ -80,16 +80,17 @@ def container(tree: DataFrame, cap: int = 5000, config_bytes: int = 1_000_000) -
     config = low.rlike(r"\.(conf|cnf|cfg|ini)$") | base.isin(CONFIGS)
     kind = (
         F.when(low.rlike(r"(^|/)(var/lib/dpkg/status|lib/apk/db/installed)$"), "packages")
+        .when(low.rlike(r"(^|/)(var/lib|usr/lib/sysimage)/rpm/rpmdb\.sqlite$"), "rpm")
         .when(low.rlike(r"\.(pem|crt|cer|der|p12|pfx)$"), "certificate")
         .when(low.rlike(r"\.(key|pub)$") | base.rlike(r"^id_(rsa|dsa|ecdsa|ed25519)(\.pub)?$"), "key")
         .when(config & (F.col("length") <= config_bytes), "config")
     )
     some = tree.withColumn("kind", kind).where("kind is not null")
-    keep = some.where("kind <> 'packages'").select("path", F.lit(1).alias("_k")).orderBy("path").limit(cap)
-    near = some.join(F.broadcast(keep), "path", "left").where("_k = 1 or kind = 'packages'")  # at most cap paths
+    keep = some.where("kind not in ('packages', 'rpm')").select("path", F.lit(1).alias("_k")).orderBy("path").limit(cap)
+    near = some.join(F.broadcast(keep), "path", "left").where("_k = 1 or kind in ('packages', 'rpm')")  # at most cap paths
     is_ = lambda k: F.col("kind") == k
     text = near.withColumn("_t", F.when(is_("key"), src.as_text(F.substring("content", 1, 4096))).when(is_("config") | is_("packages"), src.as_text()))
-    both = text.withColumn("_p", code.parsed(F.col("path"), F.array(F.lit("certificate")), F.when(is_("certificate"), F.col("content"))))
+    both = text.withColumn("_p", code.parsed(F.col("path"), F.array("kind"), F.when(is_("certificate") | is_("rpm"), F.col("content"))))
     hits = F.concat(
         when(is_("key"), commands.key_hits(F.col("_t"), F.col("path"), 1)),
         when(is_("config"), commands.config_hits(F.col("_t"), 0.65, 1)),
@@ -103,13 +104,14 @@ def in_container(found: Column) -> Column:
     """Certificate rows as an image's: another method, and a broken certificate is unsure instead of a warning."""
 
     def of(f: Column) -> Column:
-        broken, locked = f.artifact_type == "warning", f.artifact_type == "pkcs12"
+        package, locked = (f.detection_method == "package_metadata") | (f.detection_method == "database"), f.artifact_type == "pkcs12"
+        broken = (f.artifact_type == "warning") & ~package
         fields = {
             "artifact_type": F.when(broken, "certificate").otherwise(f.artifact_type),
-            "detection_method": F.when(broken, "filesystem_pattern").otherwise("certificate_detector"),
+            "detection_method": F.when(broken, "filesystem_pattern").when(package, "package_metadata").otherwise("certificate_detector"),
             "confidence": F.when(broken, 0.3).otherwise(f.confidence),
-            "evidence": F.when(broken, F.concat(F.lit("certificate-like extension but could not be parsed: "), f.message)).when(locked, f.certificate_note),
-            "warning_type": F.lit(None), "message": F.lit(None), "rank": F.lit(1),
+            "evidence": F.when(broken, F.concat(F.lit("certificate-like extension but could not be parsed: "), f.message)).when(locked, f.certificate_note).when(package, f.evidence),
+            "warning_type": F.when(package, f.warning_type), "message": F.when(package, f.message), "rank": F.when(package, 4).otherwise(1),
         }
         return F.struct(*[(fields[n] if n in fields else f[n]).cast(t).alias(n) for n, t in code.FINDING.items()])
 
