@@ -274,4 +274,56 @@ ORACLES = {
  select artifact_type, algorithm, key_size, protocol, 'docker_inspect' as detection_method, confidence, count(*) as n from r group by all""",
 }
 
-QUERIES = {f.__name__: f for f in (structural_rows, java_factories, c_signals, javascript_calls, python_calls, dockerfile_rules, config_rules, manifest_versions, package_databases, image_metadata, scan_methods)}
+
+#: Lines of code and configuration that between them match every line rule.
+RULE_LINES = [
+    "RSA.generate(2048)", "rsa.generate_private_key(x)", 'KeyPairGenerator.getInstance("RSA"x', "ec.generate_private_key(x)", 'createSign("ECDSA"x', "ECDH.new(x)", "createECDH(x)", "AES.new(k, MODE_CBC)", 'createCipheriv("aes',
+    'Cipher.getInstance("AES', "DES.new(k)", 'Cipher.getInstance("DES"x', "DES3.new(k)", "TripleDES", 'Cipher.getInstance("DESede"x', "hashlib.sha1(x)", 'createHash("sha1"x', 'MessageDigest.getInstance("SHA-1"x', "hashlib.sha256(x) bits = 256",
+    'createHash("sha256"x', 'MessageDigest.getInstance("SHA256"x', "hashlib.sha3_256(x)", 'createHash("sha3-256"x', "hmac.new(k)", "crypto.createHmac(x)", "Mac.getInstance(x)", "ssl.wrap_socket(s)", "ssl.create_default_context()", "SSL_CTX_new(m)", "tls.connect(o)",
+    "https.request(o)", "use TLSv1.3", "PROTOCOL_TLSv1_2", "TLS1_1_VERSION", "TLSv1_0", "SSLv3", "SSLContext(x)", "SSL_CTX_set_min_proto_version(c)", "TLS_server_method()", "https.createServer(o)", "SSLSocketFactory f", "ECDHE-RSA-AES128-GCM-SHA256",
+    "ECDHE-ECDSA-AES256-GCM-SHA384", "TLS_AES_256_GCM_SHA384", "TLS_CHACHA20_POLY1305_SHA256", "DHE-RSA-AES256-SHA", "ssh-keygen -t rsa", "paramiko.SSHClient()", "JSch(x)", "ssh-rsa AAAA", "ecdsa-sha2-nistp256", "ssh-ed25519", "diffie-hellman-group14-sha1",
+    "  ssl_protocols TLSv1.2 TLSv1.3;", "ssl_ciphers HIGH;", "SSLCipherSuite ALL", "SSLProtocol all -SSLv3", "Protocol 2", "KexAlgorithms curve25519", "Ciphers aes256-ctr", "HostKeyAlgorithms ssh-rsa", "C_Initialize(x)", "new SunPKCS11()", "yubihsm", "TPM2_Init()",
+    "KMIP", "FreeRTOS", "#include avr/io.h", "include stm32f4xx.h", "firmware_update()", "MTU_SIZE = 1500", "SO_SNDBUF", "fixed_frame_size", "ISO8583", "pgp_sym_encrypt(x)", "DBMS_CRYPTO", "UNHEX(SHA2(x))", "ENCRYPTBYPASSPHRASE(x)", "// DES.new(k)", "# ssh-rsa",
+    "* FreeRTOS", "return total + 1", "",
+]
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def rule_lines_sql() -> str:
+    cases = " ".join(f"when {i} then {_quoted(x)}" for i, x in enumerate(RULE_LINES))
+    return f"select concat('src/m', cast(l_suppkey as string), '.py') as path, l_linenumber as line_number, case l_partkey % {len(RULE_LINES)} {cases} end as line from lineitem"
+
+
+def rule_findings(spark, sf):
+    """All line rules over lines that between them match every rule."""
+    query = rule_lines_sql().replace("{", "{{").replace("}", "}}").replace("from lineitem", "from {t}")
+    lines = spark.sql(query, t=spark.read.parquet(f"{sf}/lineitem.parquet"))
+    found = rules.code_rules(lines).unionByName(rules.protocols(lines)).unionByName(rules.hardware(lines))
+    return counted(found, "detection_method", "artifact_type", "algorithm", "library", "confidence", "evidence", "protocol", "warning_type", "key_size", "mode")
+
+
+def _rules_sql() -> str:
+    """Each rule's pattern over each line, by DuckDB's own engine and without the sieves of the plan."""
+    text = lambda x: "null::varchar" if x is None else _quoted(str(x))
+    code_ = lambda c: f"not regexp_matches(line, '^\\s*({c})')"
+    named, bare = r"\b(?:key_size|bits|modulusLength)\s*[:=]\s*(\d+)", r"\b(512|1024|2048|3072|4096|8192|128|192|256)\b"
+    size = f"cast(coalesce(nullif(regexp_extract(line, '{named}', 1), ''), nullif(regexp_extract(line, '{bare}', 1), '')) as int)"
+    mode = r"nullif(upper(regexp_extract(line, '(?i)\b(?:MODE_)?(GCM|CBC|EAX|ECB|CTR|CFB|OFB)\b', 1)), '')"
+    out = []
+    families = [([(rules.CODE_RULES, "semgrep")], "#|//|/\\*|\\*", size, mode), (rules.PROTOCOL_FAMILIES, "#|//|/\\*|\\*", "null::int", "null::varchar"), ([(rules.HARDWARE, rules.HARDWARE_METHOD)], "#|//|\\*", "null::int", "null::varchar")]
+    for some, comments, size_, mode_ in families:
+        for table, method in some:
+            for r in table:
+                pattern = _quoted(r.pattern.replace("(?iu)", "(?i)"))
+                evidence = f"{text(r.evidence + ': ')} || trim(regexp_extract(line, {pattern}, 1))" if table is rules.DIRECTIVES else text(r.evidence)
+                how = method[r.artifact_type] if isinstance(method, dict) else method
+                out.append(f"select {text(how)} as detection_method, {text(r.artifact_type)} as artifact_type, {text(r.algorithm)} as algorithm, {text(r.library)} as library, {r.confidence}::double as confidence, {evidence} as evidence, {text(r.protocol)} as protocol, {text(r.warning)} as warning_type, {size_} as key_size, {mode_} as mode, line_number from l where regexp_matches(line, {pattern}) and {code_(comments)}")
+    return f"with l as materialized ({rule_lines_sql()}), r as (" + " union all ".join(out) + ") select detection_method, artifact_type, algorithm, library, confidence, evidence, protocol, warning_type, key_size, mode, count(*) as n, cast(sum(line_number) as bigint) as lines from r group by all"
+
+
+ORACLES["rule_findings"] = _rules_sql()
+
+QUERIES = {f.__name__: f for f in (structural_rows, java_factories, c_signals, javascript_calls, python_calls, dockerfile_rules, config_rules, manifest_versions, package_databases, image_metadata, scan_methods, rule_findings)}

@@ -37,6 +37,14 @@ def exact_dedup(spark, sf):
     return cbom.exact_dedup(df.unionByName(df)).select("artifact_id", "file_path", "line_number", "artifact_type", "algorithm", "detection_method", "confidence")
 
 
+def dedup_paths(spark, sf):
+    """First findings where the same file is written in several ways, and evidence tells findings apart."""
+    form = F.element_at(F.array(F.lit("/"), F.lit("/./"), F.lit("//"), F.lit("/x/../")), F.col("line_number") % 4 + 1)
+    df = synthetic.findings(spark, sf).withColumns({"file_path": F.concat(F.lit("src"), form, F.regexp_extract("file_path", "([^/]*)$", 1)), "evidence": (F.col("key_size") / 256).cast("int").cast("string")})
+    kept = cbom.exact_dedup(df).select(cbom.normal_path(F.col("file_path")).alias("path"), "algorithm", "evidence", "artifact_id")
+    return kept.groupBy("path", "algorithm", "evidence").agg(F.count("*").alias("n"), F.min("artifact_id").alias("first"))
+
+
 def cbom_merge(spark, sf):
     return _entries(spark, sf).select("cbom_entry_id", "algorithm", "key_size", "cbom_category", "library", "occurrence_count", "max_confidence", "n_files", "first_file", "first_path")
 
@@ -116,6 +124,12 @@ def cyclonedx_components(spark, sf):
     return c.select(F.col("component.bom-ref").alias("ref"), F.col("component.name").alias("name"), F.col("component.cryptoProperties.assetType").alias("asset_type"), "occurrence_count")
 
 
+def cyclonedx_properties(spark, sf):
+    c = cbom.cyclonedx_components(cbom.attach_recommendations(_entries(spark, sf))).select("component.*", "occurrence_count")
+    p = "cryptoProperties."
+    return c.select(F.col("bom-ref").alias("ref"), F.col(p + "algorithmProperties.primitive").alias("primitive"), F.col(p + "algorithmProperties.parameterSetIdentifier").alias("parameters"), F.col(p + "certificateProperties.signatureAlgorithmRef").alias("signature"), F.col(p + "protocolProperties.version").alias("version"), F.col(p + "relatedCryptoMaterialProperties.type").alias("material"), F.col(p + "relatedCryptoMaterialProperties.size").alias("size"), F.get("properties", F.lit(0)).value.alias("advice"), F.size("evidence.occurrences").alias("places"))
+
+
 def rule_match(spark, sf):
     return rules.code_rules(synthetic.files(spark, sf)).groupBy("path", "algorithm", "evidence", "key_size", "mode", "warning_type").agg(F.count("*").alias("n"))
 
@@ -186,18 +200,24 @@ def _fix() -> str:
     return _text({f"{a}/{g}": t for (a, g), t in dims.FIXES.items()}, f"algorithm || '/' || ({lang})", "null")
 
 
+_ARCHITECTURE = "case when hardware > 0 and software > 0 then 'mixed' when hardware > 0 then 'hardware/IoT-centric' when protocol > 0 and protocol >= software and packets > 0 then 'network/protocol-centric' else 'software-centric' end"
+_CA = "case when n = 0 then 3 when legacy > 0 then 4 when hardcoded > 3 then 3 when agile + configured > 0 then (case when hardcoded > 0 then 2 else 1 end) else 2 end"
 _FLAGS = f"""{_F}, g as (select count(*) as n, count(*) filter (artifact_type in ('hsm', 'embedded_iot', 'firmware', 'hardware')) as hardware, count(*) filter (artifact_type in ('protocol', 'packet_constraint')) as protocol,
  count(*) filter (artifact_type not in ('hsm', 'embedded_iot', 'firmware', 'hardware', 'protocol', 'packet_constraint', 'database_crypto')) as software, count(*) filter (artifact_type = 'packet_constraint') as packets,
  count(*) filter (upper(algorithm) in {_IN(dims.LEGACY_ALGORITHMS)}) as legacy, count(*) filter (library in {_IN(dims.AGILE_LIBRARIES)}) as agile, count(*) filter (detection_method in ('ast_call', 'semgrep')) as hardcoded, count(*) filter (detection_method in ('config_directive', 'api_pattern')) as configured,
  count(*) filter (artifact_type = 'hsm') as hsm, count(*) filter (artifact_type in ('embedded_iot', 'firmware')) as iot from f),
  w as (select *, 0.35::double + 0.15::double * software / (hardware + protocol + software) as p1, 0.20::double + 0.35::double * hardware / (hardware + protocol + software) as p2, 0.20::double + 0.30::double * protocol / (hardware + protocol + software) as p3 from g),
  v as (select *, round(p1 / (p1 + p2 + p3), 2) as w_ca, round(p2 / (p1 + p2 + p3), 2) as w_ds from w),
- r as (select *, round(1 - w_ca - w_ds, 2) as w_np, 4 as ca, case when hsm > 1 or (hsm >= 1 and iot >= 1) then 5 else 4 end as ds, case when iot > 0 or packets > 1 then 5 else 4 end as np from v)"""
+ r as (select *, round(1 - w_ca - w_ds, 2) as w_np, {_ARCHITECTURE} as architecture, {_CA} as ca, case when hsm > 1 or (hsm >= 1 and iot >= 1) then 5 else 4 end as ds, case when iot > 0 or packets > 1 then 5 else 4 end as np from v)"""
 _L = f"with l as ({synthetic.LINES})"
 
 ORACLES = {
     "classify_histogram": f"{_C} select cbom_category, count(*) as n from c group by 1",
     "exact_dedup": f"{_F} select artifact_id, file_path, line_number, artifact_type, algorithm, detection_method, confidence from (select *, row_number() over (partition by file_path, line_number, artifact_type, algorithm, detection_method order by ord) as r from f) where r = 1",
+    "dedup_paths": f"""{_F}, g as (select *, 'src' || case line_number % 4 when 0 then '/' when 1 then '/./' when 2 then '//' else '/x/../' end || regexp_extract(file_path, '([^/]*)$', 1) as raw, cast(key_size // 256 as varchar) as evidence from f),
+ h as (select *, regexp_replace(regexp_replace(raw, '/x/[.][.]/', '/'), '/[.]/|//', '/') as path from g),
+ k as (select *, row_number() over (partition by path, line_number, artifact_type, algorithm, evidence, detection_method order by ord) as r from h)
+ select path, algorithm, evidence, count(*) as n, min(artifact_id) as first from k where r = 1 group by all""",
     "cbom_merge": f"{_M} select cbom_entry_id, algorithm, key_size, cbom_category, library, occurrence_count, max_confidence, n_files, first_file, first_path from m",
     "cbom_summary": f"{_M} select count(*) as unique_entries, cast(sum(occurrence_count) as bigint) as raw_findings, count(*) filter (({_rec(2)}) = false) as quantum_vulnerable, (select count(distinct file_path) from f) as files from m",
     "cross_file": f"{_M} select algorithm, key_size, 'cross_file_repetition' as pattern_type, n_files, occurrence_count as total_occurrences, case when n_files >= 3 then 'high' else 'medium' end as severity_signal from m where n_files >= 2 and not u",
@@ -211,7 +231,7 @@ ORACLES = {
  case when cls = 'pqc' then 'none' when migration_effort_years <= 0.5 then 'low' when migration_effort_years <= 1.5 then 'medium' else 'high' end as effort, round(round(raw, 4), 3) as score, count(*) as n from s group by all""",
     "system_score": f"{_S} select (select round(round(avg(round(raw, 4)), 4), 3) from s) as overall_score, (select layer from (select layer, round(avg(round(raw, 4)), 4) as v from s group by 1) order by v desc limit 1) as priority_layer, (select count(*) from s) as findings",
     "merged_recommendations": f"{_E} select case when finding_type in ('certificate', 'tls_config') or coalesce(algorithm in {_IN(dims.HYBRID_ALGORITHMS)}, false) then 'Hybrid-ready' else 'Discover & Assess' end as migration_phase, case when algorithm = 'UNSPECIFIED' then case when cbom_category in ('Certificate', 'Protocol') then 'category_fallback' else 'none' end else 'algorithm_map' end as db_recommendation_source, count(*) as n from y group by all",
-    "effort_score": f"{_FLAGS} select n, hardware, protocol, software, packets, legacy, agile, hardcoded, configured, 'mixed' as architecture, w_ca, w_ds, w_np, ca, ds, np, round(w_ca * ca + w_ds * ds + w_np * np, 2) as m_tech from r",
+    "effort_score": f"{_FLAGS} select n, hardware, protocol, software, packets, legacy, agile, hardcoded, configured, architecture, w_ca, w_ds, w_np, ca, ds, np, round(w_ca * ca + w_ds * ds + w_np * np, 2) as m_tech from r",
     "effort_components": f"{_FLAGS}, p as (select file_path as path, count(*) as n, case when bool_or(coalesce(upper(algorithm) in {_IN(dims.LEGACY_ALGORITHMS)}, false)) then 4 else 2 end as ca, case when bool_or(artifact_type in ('hsm', 'embedded_iot', 'firmware')) then 4 else 1 end as ds, case when bool_or(artifact_type = 'packet_constraint') then 4 else 1 end as np from f group by 1) select regexp_extract(path, '([^/]*)$', 1) as component, path, p.n, p.ca, p.ds, p.np, round(w_ca * p.ca + w_ds * p.ds + w_np * p.np, 2) as m_tech from p, r",
     "effort_evidence": f"""{_FLAGS}, e as (
   select 'CA' as rating, 'Legacy cipher ''' || algorithm || ''' in ' || file_path as evidence from f, r where legacy > 0 and upper(algorithm) in {_IN(dims.LEGACY_ALGORITHMS)}
@@ -223,6 +243,10 @@ ORACLES = {
     "top_components": f"{_M} select cbom_entry_id, occurrence_count from m order by occurrence_count desc, first_ord limit 5",
     "multiset_difference": f"{_F} select 'left' as side, algorithm, count(*) as n from f where line_number = 1 and algorithm is distinct from 'X' group by 2 union all select 'right', 'X', count(*) from f where line_number = 1 having count(*) > 0",
     "cyclonedx_components": f"{_M} select cbom_entry_id as ref, case when u then coalesce(library, 'unknown') else algorithm end as name, {_text(dims.ASSET_TYPES, 'cbom_category', chr(39) + 'algorithm' + chr(39))} as asset_type, occurrence_count from m",
+    "cyclonedx_properties": f"""{_M}, a as (select *, {_text(dims.ASSET_TYPES, 'cbom_category', chr(39) + 'algorithm' + chr(39))} as kind from m)
+ select cbom_entry_id as ref, case when kind = 'algorithm' then case when cbom_category = 'Hash Function' then 'hash' else 'unknown' end end as primitive, case when kind = 'algorithm' then coalesce(nullif(key_size, 0)::varchar, '') end as parameters,
+ case when kind = 'certificate' then algorithm end as signature, case when kind = 'protocol' then algorithm end as version, case when kind = 'related-crypto-material' then case when cbom_category = 'Key' then 'private-key' else 'unknown' end end as material,
+ case when kind = 'related-crypto-material' then key_size end as size, {_rec(0)} as advice, cast(occurrence_count as int) as places from a""",
     "rule_match": f"{_L} select path, case l_partkey % 10 when 0 then 'RSA' when 1 then 'AES' when 2 then 'SHA-1' when 4 then 'SHA-256' when 5 then 'TLS' else 'RSA' end as algorithm, case l_partkey % 10 when 0 then 'crypto-rsa-keygen' when 1 then 'crypto-aes-cipher' when 2 then 'crypto-sha1-hash' when 4 then 'crypto-sha2-hash' when 5 then 'crypto-tls-api' else 'crypto-rsa-keygen' end as evidence, cast(nullif(regexp_extract(line, '\\b(512|1024|2048|3072|4096|8192|128|192|256)\\b', 1), '') as int) as key_size, case when l_partkey % 10 = 1 then 'GCM' end as mode, case when l_partkey % 10 = 2 then 'weak_hash' end as warning_type, count(*) as n from l where l_partkey % 10 in (0, 1, 2, 4, 5, 8) group by all",
     "c_calls": f"{_L} select case when l_partkey % 10 = 4 then 'SHA-256' else 'RSA' end as algorithm, case when l_partkey % 10 = 4 then 'hash' else 'algorithm' end as artifact_type, case when l_partkey % 10 = 4 then 'openssl/evp.h' else 'openssl/rsa.h' end as library, cast(nullif(regexp_extract(line, '[(](\\d+)', 1), '') as int) as key_size, count(*) as n from l where l_partkey % 10 in (4, 8) group by all",
     "hardware_rules": f"{_L} select 'packet_constraint' as artifact_type, 'Packet / Buffer Constraint' as evidence, 'packet_mtu_pattern' as detection_method, count(*) as n from l where l_partkey % 10 = 7 having count(*) > 0",
@@ -232,5 +256,5 @@ ORACLES = {
     "line_split": "with s as (select doc_id, unnest(string_split(case when text like '%' || chr(10) then text[:-2] else text end, chr(10))) as line from documents) select doc_id, count(*) as n, cast(sum(length(trim(line, ' '))) as bigint) as chars from s group by 1",
 }
 
-QUERIES = {f.__name__: f for f in (classify_histogram, exact_dedup, cbom_merge, cbom_summary, cross_file, cross_language, recommendations, context_counts, conversion_counts, risk_bands, system_score, merged_recommendations, effort_score, effort_components, effort_evidence, high_confidence, distinct_locations, top_components, multiset_difference, cyclonedx_components, rule_match, c_calls, hardware_rules, protocol_rules, key_size_band, line_split)} | generated.QUERIES
+QUERIES = {f.__name__: f for f in (classify_histogram, exact_dedup, dedup_paths, cbom_merge, cbom_summary, cross_file, cross_language, recommendations, context_counts, conversion_counts, risk_bands, system_score, merged_recommendations, effort_score, effort_components, effort_evidence, high_confidence, distinct_locations, top_components, multiset_difference, cyclonedx_components, cyclonedx_properties, rule_match, c_calls, hardware_rules, protocol_rules, key_size_band, line_split)} | generated.QUERIES
 ORACLES |= generated.ORACLES
