@@ -11,8 +11,7 @@ Words are case-folded and stripped of edge punctuation; words without letters or
 word that doesn't begin a sentence or a line; every window with a name also counts with its names as plain words, so copies
 in capitals or in title case match, and a window of too few literal words counts as it is written. An item under WINDOW
 words matches as a whole, without placeholders; one under SHORT_WORDS words stands in too many texts by chance and
-matches nothing; null and
-empty texts on either side match nothing; rows that repeat an id are treated as one text's further copies; null ids
+matches only a text that consists of it; null and empty texts on either side match nothing; rows that repeat an id are treated as one text's further copies; null ids
 can't be named: their rows are never convicted. Further columns are not read.
 """
 
@@ -31,8 +30,12 @@ from .common import STEP_BYTES, flat, map_arrow, mix, read, steps, stored, word_
 WINDOW, RUN_WORDS, COVER = 8, 13, 0.8
 #: A window of placeholders needs so many words that aren't placeholders, else its words count as they are.
 LITERALS = 4
-#: Items of fewer words match nothing.
+#: Items of fewer words match whole texts only.
 SHORT_WORDS = 4
+#: Tells the hash of a whole short text from that of a window.
+WHOLE = np.uint64(0x9D8A7C6B5E4F3A21)
+#: Rows of the benchmark's windows that are broadcast at most (about 100 bytes each); beyond, they are joined by shuffle.
+BROADCAST_ROWS = 1 << 15
 #: In a run whose slots contradict each other, a consistent stretch convicts from so many words: two windows side by side.
 BROKEN_WORDS = 2 * WINDOW
 #: Window hashes of the benchmark that are sent to all executors at most (8 bytes each); beyond, windows are joined by shuffle alone.
@@ -153,6 +156,8 @@ def window_rows(df: DataFrame, text: str, id_col: str, only: np.ndarray | None =
                         continue
                     own = [len(h)] if SHORT_WORDS <= len(h) < WINDOW else []
                     x, at = windows(h, v, slot, name, own if short is None else short)
+                    if len(h) < SHORT_WORDS:
+                        x, at = sequences(v, len(h)) ^ WHOLE, np.zeros(1, np.int64)
                     if only is not None:
                         some = np.flatnonzero(table[(x & mask).view(np.int64)])
                         if not len(some):
@@ -209,14 +214,14 @@ def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def contaminated(docs: DataFrame, bench: DataFrame, text: str = "text", id_col: str = "doc_id", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
     """One row for each convicted (doc_id, item_id): covered words, the longest run, item words, slots and distinct slot values."""
     items = stored(window_rows(bench, item_text, item_id).distinct(), "items")
-    n = items.select("w").distinct().count()
+    n, n_rows = items.agg(F.count_distinct("w"), F.count("*")).first()
     only = None
     if n <= BROADCAST_WINDOWS:  # its size is proven; the hashes only spare windows that can't match
         only = np.sort(np.array(items.select("w").distinct().toArrow()["w"].to_numpy()).view(np.uint64))
-    short = sorted(r.n for r in items.where(F.col("n") < WINDOW).select("n").distinct().collect())
+    short = sorted(r.n for r in items.where(F.col("n").between(SHORT_WORDS, WINDOW - 1)).select("n").distinct().collect())
     mine = window_rows(docs, text, id_col, only, short)
     other = items.select("w", F.col("id").alias("item_id"), F.col("pos").alias("ipos"), F.col("n").alias("item_words"), F.col("slots").alias("islots"))
-    hits = mine.drop("n").distinct().join(F.broadcast(other) if n <= BROADCAST_WINDOWS // 64 else other, "w").withColumn("diagonal", F.col("pos") - F.col("ipos"))
+    hits = mine.drop("n").distinct().join(F.broadcast(other) if n_rows <= BROADCAST_ROWS else other, "w").withColumn("diagonal", F.col("pos") - F.col("ipos"))
     pairs = F.filter(F.transform(F.arrays_zip("islots", "slots"), lambda x, i: F.when((x.islots != -1) & x.slots.isNotNull(), F.struct((F.col("ipos") + i).alias("p"), x.islots.alias("a"), x.slots.alias("b")))), lambda x: x.isNotNull())
     g = hits.groupBy("id", "item_id", "diagonal").agg(
         F.max("item_words").alias("item_words"), F.sort_array(F.collect_set("ipos")).alias("at"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("slots"))

@@ -86,6 +86,21 @@ def test_decontamination(spark):
     assert broken and decontaminate.contaminated(frame(spark, []), b).count() == 0
 
 
+def test_items_of_few_words_match_whole_texts(spark):
+    bench = spark.createDataFrame([(1, "who is he"), (2, "Paris"), (3, "")], "item_id long, text string")
+    rows = [(1, "Who is he?"), (2, "and who is he then"), (3, "paris"), (4, "Paris Paris"), (5, ""), (6, None), (7, "who is")]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame(spark, rows), bench).collect()}
+    assert got == {(1, 1), (3, 2)}
+
+
+def test_decontamination_same_without_broadcast(spark, docs, monkeypatch):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    want = sorted(map(tuple, decontaminate.contaminated(docs, bench).collect()))
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
+    assert want and sorted(map(tuple, decontaminate.contaminated(docs, bench).collect())) == want
+
+
 def test_decontamination_on_documents(spark, docs):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     items = [(r.item_id, r.text) for r in bench.collect()]
@@ -282,6 +297,26 @@ def test_network_probabilities_add_up():
     assert abs(total - 1) < 1e-4
 
 
+def test_pipeline_run_and_edges(spark, tmp_path, monkeypatch):
+    import corpus_pipeline as cp
+
+    from pqledger.scratch import shared_dir
+
+    got = cp.run(spark, SF)
+    assert got.count() > 0 and {"doc_id", "start", "n_tokens", "ids_crc32"} <= set(got.columns)
+    (tmp_path / "in").mkdir()
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(str(tmp_path / "in" / f"{t}.parquet"))
+    columns = spark.read.parquet(f"{SF}/documents.parquet").schema
+    spark.createDataFrame([], columns).write.parquet(str(tmp_path / "in" / "documents.parquet"))
+    assert cp.run(spark, str(tmp_path / "in")).count() == 0
+    rows = [(1, None, "en", "s", 0), (2, "", "en", "s", 0), (2, "", "en", "s", 0), (None, "some text of nobody", None, None, None)]
+    spark.createDataFrame(rows, columns).write.mode("overwrite").parquet(str(tmp_path / "in" / "documents.parquet"))
+    kept = cp.run(spark, str(tmp_path / "in")).collect()
+    assert {r.doc_id for r in kept} <= {None, 1, 2} and None in {r.doc_id for r in kept}
+    assert shared_dir(spark)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as cp
 
