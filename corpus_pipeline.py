@@ -8,13 +8,12 @@ copy of rows of null doc_id. Empty input gives empty output.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pqledger.llm import decontaminate, mixing, neardup, tokens, toxicity
-from pqledger.llm.common import read, shared_dir, text_key
+from pqledger.llm.common import read, text_key
+from pqledger.scratch import Scratch
 from pqledger.session import ship
 
 ORACLE_SQL = None
@@ -71,9 +70,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(ship(spark), sf_dir, "documents")
+    """All stages; what a stage has written is deleted once its successor is written."""
+    docs, scratch = read(ship(spark), sf_dir, "documents"), Scratch(spark, "pipeline")
+    before = None
     for name, stage in STAGES:
-        out = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(out)
-        docs = spark.read.parquet(out)
+        docs = scratch.store(stage(spark, docs, sf_dir), name)
+        if before:
+            scratch.drop(before)
+        before = name
     return docs
