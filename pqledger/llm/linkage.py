@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLD, Scratch, hashed_words, mix, shingles, steps
+from .common import GOLD, Scratch, hashed_words, map_arrow, mix, shingles, steps
 
 #: 64-bit words of a sketch.
 SKETCH = 16
@@ -166,7 +166,7 @@ def token_sets(items: DataFrame, weighted: bool, k: int) -> DataFrame:
                 w = hashed_words(batch.column(1))
                 yield token_batch(batch.column(0), [tokens(shingles(w.h[a:b], k), weighted) for a, b in zip(w.at[:-1].tolist(), w.at[1:].tolist(), strict=True)])
 
-    return items.select("id", "text").mapInArrow(run, SETS)
+    return map_arrow(items.select("id", "text"), run, SETS)
 
 
 SETS = "id long, tokens array<long>, size long, " + ", ".join(f"{m} long" for m in MAPS)

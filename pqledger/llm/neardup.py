@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLD, MASK, Scratch, hashed_words, mix, read, sequence_ids, shingles, steps, text_key
+from .common import GOLD, MASK, Scratch, hashed_words, map_arrow, mix, read, sequence_ids, shingles, steps, text_key
 from .linkage import linked
 
 THRESHOLD, SHINGLE = 0.8, 5
@@ -109,7 +109,7 @@ def signatures(df: DataFrame, text: str, id_col: str) -> DataFrame:
 
     base = df.select(F.col(id_col).alias("doc_id"), *text_key(text), F.col(text).alias("_t"))
     zero = F.lit(0).cast("long")
-    return base.mapInArrow(run, base.select("doc_id", "t1", "t2", zero.alias("c1"), zero.alias("c2"), F.array(zero).alias("bands")).schema)
+    return map_arrow(base, run, base.select("doc_id", "t1", "t2", zero.alias("c1"), zero.alias("c2"), F.array(zero).alias("bands")).schema)
 
 
 def near_rows(df: DataFrame, text: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE, STEP, bounded_sample, fold, read, sampled_texts, steps, texts
+from .common import CACHE, STEP, bounded_sample, fold, map_arrow, read, sampled_texts, steps, texts
 from .quality import STOP_WORDS
 
 #: Labelled documents that training takes at most; documented bound, the only sample.
@@ -256,7 +256,7 @@ def flag(df: DataFrame, net: Net, text: str = "text", reject: bool = False) -> D
                 else:
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*part.schema.names, "score", "predicted"])
 
-    return base.mapInArrow(run, schema)
+    return map_arrow(base, run, schema)
 
 
 def train_labels(labels: DataFrame) -> DataFrame:
