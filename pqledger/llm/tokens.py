@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE, read, sampled_texts, shared_dir
+from .common import CACHE, read, release, sampled_texts, shared_dir
 
 MAGIC = b"PQTOK1\n\0"
 INDEX = np.dtype([("key", "<i8"), ("null", "u1"), ("at", "<u8"), ("size", "<u4"), ("start", "<u8"), ("tokens", "<u8")])
@@ -154,10 +154,14 @@ def train_dictionary(df: DataFrame, path: str, text: str, id_col: str, width: in
     """From a bounded sample; empty where there is too little to learn from."""
     rows = sampled_texts(df.select(F.col(id_col).alias("_i"), F.col(text).alias("_t")).where("_t is not null"), DICT_DOCS).toArrow()
     samples = sorted(packed(ids, width) for ids in Encoder(path).batch(rows["_t"].combine_chunks()))
+    del rows
     try:
         return zstandard.train_dictionary(DICT_BYTES, [s for s in samples if len(s) >= 8]).as_bytes()
     except (zstandard.ZstdError, ValueError):
         return b""
+    finally:
+        del samples
+        release()  # the driver goes on without the sample
 
 
 def compressor(dictionary: bytes) -> zstandard.ZstdCompressor:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE, STEP, bounded_sample, fold, map_arrow, read, sampled_texts, steps, texts
+from .common import CACHE, STEP, bounded_sample, fold, map_arrow, read, release, sampled_texts, steps, texts
 from .quality import STOP_WORDS
 
 #: Labelled documents that training takes at most; documented bound, the only sample.
@@ -236,7 +236,10 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc
     rows = df.select(F.col(id_col).alias("_i"), F.coalesce(F.col(text), F.lit("")).alias("_t")).join(picked, "_i")
     got = sampled_texts(rows, n).toArrow()  # an id may have many texts
     order = sorted(zip(got["_t"].to_pylist(), got["_y"].to_pylist(), strict=True))  # the same model in every run
-    return train([t for t, _ in order], [y for _, y in order])
+    net = train([t for t, _ in order], [y for _, y in order])
+    del got, order
+    release()  # the driver goes on without the sample
+    return net
 
 
 def flag(df: DataFrame, net: Net, text: str = "text", reject: bool = False) -> DataFrame:
