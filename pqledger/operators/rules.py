@@ -111,14 +111,15 @@ def present(found: Column) -> Column:
 
 
 def let(value: Column, body) -> Column:
-    """body(value), with value computed once for each row."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    """body(value), with value computed once for each row. A fold over nothing, whose type is the body's: an element of a
+    transformed array asks the body for its type twice at each level, so that planning takes time exponential in the depth."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda v, _: v, body)
 
 
 def line_array(text: Column) -> Column:
     """A text's lines. An end of line at the end begins no line."""
-    parts = F.split(F.coalesce(text, F.lit("")), LINE_END)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    whole = lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    return let(F.split(F.coalesce(text, F.lit("")), LINE_END), whole)
 
 
 def lines(df: DataFrame, text: str = "text") -> DataFrame:
@@ -142,7 +143,8 @@ def starts_comment(line: Column, marks: tuple[str, ...] = ("#", "//", "/*", "*")
 def mask_comments(text: Column) -> Column:
     """C comments blanked, block comments first, then to the end of lines; lines and offsets stay."""
     blank = lambda c, pattern: F.array_join(F.transform(F.arrays_zip(F.split(c, pattern).alias("t"), F.regexp_extract_all(c, F.lit(f"({pattern})")).alias("m")), lambda x: F.concat(F.coalesce(x["t"], F.lit("")), F.coalesce(F.regexp_replace(x["m"], r"[^\n]", " "), F.lit("")))), "")
-    return blank(blank(text, r"(?s:/\*.*?\*/)"), r"//[^\n]*")
+    masked = lambda c: F.when(c.contains("//"), blank(c, r"//[^\n]*")).otherwise(c)
+    return let(F.when(text.contains("/*"), blank(text, r"(?s:/\*.*?\*/)")).otherwise(text), masked)
 
 
 def matched(df: DataFrame, rules: list[Rule], method: str | dict, line: str = "line") -> DataFrame:
@@ -295,7 +297,7 @@ def java_hits(text: Column, rank: int | None = None) -> Column:
             size = lambda line, i: F.transform(F.when(line.contains("initialize"), F.regexp_extract_all(line, F.lit(JAVA_SIZE), F.lit(1))).otherwise(F.array().cast("array<string>")), lambda n: F.struct((i + 1).alias("at"), n.try_cast("int").alias("n")))
             sizes = F.flatten(F.transform(masked, size))
             calls = let(sizes, lambda known: F.flatten(F.transform(masked, lambda line, i: F.when(line.contains("getInstance"), present(F.transform(F.regexp_extract_all(line, F.lit(JAVA_CALL), F.lit(0)), lambda c: call(c, i + 1, F.get(raw, i), known)))).otherwise(no_hits()))))
-            imports = F.filter(F.transform(masked, lambda line: F.regexp_extract(line, JAVA_IMPORT, 1)), lambda x: x != "")
+            imports = F.filter(F.transform(F.filter(masked, lambda line: line.contains("import")), lambda line: F.regexp_extract(line, JAVA_IMPORT, 1)), lambda x: x != "")
             row = lambda x: hit(rank=rank, family=1, line_number=0, algorithm="UNSPECIFIED", artifact_type="import_signal", library=x, code_snippet=F.concat(F.lit("import "), x, F.lit(";")), detection_method="ast_import", confidence=0.3)
             return F.concat(calls, F.transform(imports, row))
 
