@@ -81,6 +81,7 @@ SNIPPETS = {
     "dpkg": ["concat('Package: openssl', chr(10), 'Version: ', cast(u as string), chr(10))", "concat('Package: bash', chr(10), 'Version: 5', chr(10))", "concat('Package: libssl3', chr(10), 'Status: ok', chr(10))"],
 }
 PATHS = {"java": "src/F{}.java", "c": "src/f{}.c", "js": "src/f{}.js", "py": "src/f{}.py", "docker": "d{}/Dockerfile", "config": "etc/f{}.conf", "requirements": "r{}/requirements.txt", "gradle": "g{}/build.gradle", "cmake": "m{}/CMakeLists.txt", "dpkg": "i{}/var/lib/dpkg/status"}
+PLACE = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
 IN_ORDER = "partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate"
 
 
@@ -98,8 +99,12 @@ def lines_at(kind: str) -> str:
 
 def files(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """(path, text) of a kind, one file for each order; an order has a few lines."""
-    query = lines_sql(kind).replace("{", "{{").replace("}", "}}").replace("from lineitem", "from {t}")
-    rows = spark.sql(query, t=ship(spark).read.parquet(f"{sf_dir}/lineitem.parquet"))
+    some = SNIPPETS[kind]
+    u, k = F.col("l_suppkey").alias("u"), (F.col("l_partkey") % len(some)).alias("k")
+    rows = ship(spark).read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("o"), F.struct(*PLACE).alias("n"), u, k)
+    cases = " ".join(f"when {i} then {x}" for i, x in enumerate(some))
+    # one shuffle: a file's lines are sorted where they meet, by what lines_sql numbers them by; rows equal in it are equal lines
+    rows = rows.select("o", "n", F.expr(f"case k {cases} end").alias("line"))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "line"))), lambda x: x.line), "\n")
     before, after = PATHS[kind].split("{}")
     return rows.groupBy("o").agg(text.alias("text")).select(F.concat(F.lit(before), F.col("o").cast("string"), F.lit(after)).alias("path"), "text")
