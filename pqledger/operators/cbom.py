@@ -71,10 +71,14 @@ def _normalised(path: Column) -> Column:
 
 def exact_dedup(df: DataFrame) -> DataFrame:
     """First finding of each (path, line, type, algorithm, evidence, method); nulls are equal. One shuffle; each task sends at
-    most one row of a key, so a hot key stays small."""
-    keys = {"_p": normal_path(F.col("file_path")), **{f"_{c}": F.col(c) for c in ("line_number", "artifact_type", "algorithm", "evidence", "detection_method")}}
+    most one row of a key, so a hot key stays small. A row is sorted and sent with each value once: the path as it is written
+    goes along only where it differs from the normal one."""
+    keys = ["_p", "line_number", "artifact_type", "algorithm", "evidence", "detection_method"]
+    named = df.withColumn("_p", normal_path(F.col("file_path")))
+    narrow = named.select(*[c for c in df.columns if c != "file_path"], "_p", F.nullif("file_path", "_p").alias("_w"))
     first = F.row_number().over(Window.partitionBy(*keys).orderBy("ord"))
-    return df.withColumns(keys).withColumn("_n", first).where("_n = 1").select(*df.columns)
+    kept = narrow.withColumn("_n", first).where("_n = 1").withColumn("file_path", F.coalesce("_w", "_p"))
+    return kept.select(*df.columns)
 
 
 def multiset_difference(a: DataFrame, b: DataFrame, ignore: tuple[str, ...] = ("artifact_id", "ord")) -> DataFrame:
