@@ -84,7 +84,11 @@ def exact_dedup(df: DataFrame) -> DataFrame:
 def multiset_difference(a: DataFrame, b: DataFrame, ignore: tuple[str, ...] = ("artifact_id", "ord")) -> DataFrame:
     """Rows of either side that the other lacks, with their side."""
     x, y = a.drop(*ignore), b.drop(*ignore)
-    return x.exceptAll(y).withColumn("side", F.lit("left")).unionByName(y.exceptAll(x).withColumn("side", F.lit("right")))
+    # one count of both sides: what is left over of a row is on the left if positive, on the right if negative
+    both = x.withColumn("_v", F.lit(1).cast("long")).union(y.withColumn("_v", F.lit(-1).cast("long")))
+    n = both.groupBy(*x.columns).agg(F.sum("_v").alias("_v")).where("_v <> 0")
+    side = F.when(F.col("_v") > 0, "left").otherwise("right")
+    return n.select(*x.columns, side.alias("side"), F.explode(F.sequence(F.lit(1).cast("long"), F.abs("_v"))).alias("_i")).drop("_i")
 
 
 def category() -> Column:
