@@ -138,10 +138,15 @@ def merge(df: DataFrame) -> DataFrame:
     bill's format asks; steps that need no more than counts, the first path or the languages read the columns of HELPERS, and
     the lists are then left out of the plan. What works on each occurrence takes the rows of occurrences()."""
     occurrence = F.struct("ord", F.struct("file_path", "line_number", "code_snippet", "detection_method", "confidence").alias("o"))
-    g = keyed(df).groupBy("_u", "_k", "_s").agg(
+    all_ = keyed(df)
+    lists = all_.groupBy("_u", "_k", "_s").agg(
         lead().alias("r"), F.sort_array(F.collect_list(occurrence)).alias("all"), F.count("*").alias("occurrence_count"), F.max(F.coalesce("confidence", F.lit(0.0))).alias("max_confidence"), F.sort_array(F.collect_set("file_path")).alias("files_affected"), F.min("ord").alias("first_ord"),
-        F.min_by("file_path", "ord").alias("first_path"), F.min("file_path").alias("first_file"), F.count_distinct("file_path").alias("n_files"), F.sort_array(F.collect_set(F.when(F.col("file_path").isNotNull(), language_bucket(F.col("file_path"))))).alias("languages"),
+        F.min_by("file_path", "ord").alias("first_path"), F.min("file_path").alias("first_file"), F.sort_array(F.collect_set(F.when(F.col("file_path").isNotNull(), language_bucket(F.col("file_path"))))).alias("languages"),
     )
+    # different paths are counted apart: beside the rest, each of them would be sent with all of an entry's values
+    paths = all_.select(*[F.col(c).alias(f"{c}p") for c in ("_u", "_k", "_s")], "file_path").distinct().groupBy("_up", "_kp", "_sp").agg(F.count("file_path").alias("n_files"))
+    same = (F.col("_u") == F.col("_up")) & F.col("_k").eqNullSafe(F.col("_kp")) & F.col("_s").eqNullSafe(F.col("_sp"))
+    g = lists.join(paths, same)
     return g.select(F.col("r.artifact_id").alias("cbom_entry_id"), F.col("r.algorithm").alias("algorithm"), F.when(~F.col("_u"), F.col("r.key_size")).alias("key_size"), F.col("r.cbom_category").alias("cbom_category"), F.col("r.library").alias("library"), "occurrence_count", "max_confidence", "files_affected", F.col("all.o").alias("occurrences"), "first_ord", *HELPERS)
 
 
