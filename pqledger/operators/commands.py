@@ -145,7 +145,7 @@ def names(text: Column, one, aes: str = AES_DOCKER) -> Column:
     patterns = [aes if name == "AES" else pattern for pattern, name in NAMES]
     places = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for kv in PART_PLACES.items() for x in kv])
     every_place = F.array(*map(F.lit, range(len(NAMES))))  # for letters that only case folding takes for a part's
-    tried = F.array_sort(F.array_distinct(F.flatten(F.transform(every(text, NAME_PARTS, 1), lambda p: F.coalesce(F.try_element_at(places, F.upper(p)), every_place)))))
+    tried = F.sort_array(F.array_distinct(F.flatten(F.transform(every(text, NAME_PARTS, 1), lambda p: F.coalesce(F.try_element_at(places, F.upper(p)), every_place)))))
 
     def at(i: Column, of) -> Column:
         out = F.when(i == 0, of(0))
@@ -302,7 +302,7 @@ def docker_hits(text: Column, rank: int | None = None) -> Column:
         return let(F.upper(F.regexp_extract(s.flat, r"^([A-Za-z]+)", 1)), lambda word: F.when(word.isin(TARGETS), with_word(word)).otherwise(no_hits()))
 
     # by line and type, else in the order found
-    ranked = lambda found: F.transform(F.array_sort(F.transform(found, lambda h, i: F.struct(h.line_number.alias("l"), h.artifact_type.alias("t"), i.alias("i")))), lambda k: F.get(found, k.i))
+    ranked = lambda found: F.transform(F.sort_array(F.transform(found, lambda h, i: F.struct(h.line_number.alias("l"), h.artifact_type.alias("t"), i.alias("i")))), lambda k: F.get(found, k.i))
     return let(F.flatten(F.transform(statements(text), of)), ranked)
 
 

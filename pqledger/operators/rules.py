@@ -133,7 +133,7 @@ def strip(c: Column) -> Column:
 
 def is_doc(path: Column) -> Column:
     low = F.lower(path)
-    return low.rlike(r"\.(md|txt|rst|doc|docx|pdf|html)$") | F.regexp_extract(low, "([^/]*)$", 1).isin("readme", "license", "changelog")
+    return low.rlike(r"\.(md|txt|rst|doc|docx|pdf|html)$") | F.substring_index(low, "/", -1).isin("readme", "license", "changelog")
 
 
 def starts_comment(line: Column, marks: tuple[str, ...] = ("#", "//", "/*", "*")) -> Column:

@@ -101,11 +101,12 @@ def files(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """(path, text) of a kind, one file for each order; an order has a few lines."""
     some = SNIPPETS[kind]
     u, k = F.col("l_suppkey").alias("u"), (F.col("l_partkey") % len(some)).alias("k")
-    rows = ship(spark).read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("o"), F.struct(*PLACE).alias("n"), u, k)
+    rows = ship(spark).read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("o"), *PLACE, u, k)
     cases = " ".join(f"when {i} then {x}" for i, x in enumerate(some))
     # one shuffle: a file's lines are sorted where they meet, by what lines_sql numbers them by; rows equal in it are equal lines
-    rows = rows.select("o", "n", F.expr(f"case k {cases} end").alias("line"))
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "line"))), lambda x: x.line), "\n")
+    # what they are sorted by is one flat struct: for a struct in a struct each comparison would build its own ordering
+    rows = rows.select("o", *PLACE, F.expr(f"case k {cases} end").alias("line"))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*PLACE, "line"))), lambda x: x.line), "\n")
     before, after = PATHS[kind].split("{}")
     return rows.groupBy("o").agg(text.alias("text")).select(F.concat(F.lit(before), F.col("o").cast("string"), F.lit(after)).alias("path"), "text")
 

@@ -67,7 +67,7 @@ def opened(files: DataFrame, found: Column) -> DataFrame:
 def detect(tree: DataFrame, password: str | None = None) -> DataFrame:
     """Findings of files (path, length, content), first ones first by (path, detector, place). The password opens PKCS#12
     files; it goes to workers and, by environment, to the tool, never into a row."""
-    files = src.with_routes(tree).where(F.size("routes") > 0)
+    files = src.with_routes(tree.where(src.is_routed()))
     text = files.withColumns({"_u": F.is_valid_utf8(F.col("content").cast("string")), "_t": F.when(routed("dockerfile", *READ), src.as_text())})
     both = text.withColumn("_p", code.parsed(F.col("path"), F.col("routes"), F.when(routed(*PARSED), F.col("content")), password))
     return cbom.with_ids(cbom.exact_dedup(opened(both, F.concat(code.widened(file_hits(tree.sparkSession.sparkContext.applicationId)), F.col("_p")))))

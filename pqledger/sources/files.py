@@ -28,12 +28,31 @@ def _quoted(s: str) -> str:
     return "\\Q" + s + "\\E" if s else ""
 
 
+def base_name(path: str | Column = "path") -> Column:
+    """What follows a path's last slash, in lower case."""
+    return F.lower(F.substring_index(path, "/", -1))
+
+
+def extension(name: Column) -> Column:
+    """What follows a name's last dot; null without one. All ENDS are a dot and such an extension."""
+    return F.when(name.contains("."), F.substring_index(name, ".", -1))
+
+
+def is_routed() -> Column:
+    """Whether any detector takes a file. A filter by it may be carried down to the rows that files are made of, so it is a
+    plain comparison, which is compiled, and reads the name three times."""
+    name = base_name()
+    known = sorted({e.removeprefix(".") for some in ENDS.values() for e in some})
+    return F.startswith(name, F.lit("dockerfile")) | name.isin(MANIFESTS) | extension(name).isin(known)
+
+
 def with_routes(df: DataFrame) -> DataFrame:
     """Adds the array of detectors that a file goes to; a Dockerfile goes to one only."""
-    name = F.lower(F.regexp_extract("path", "([^/]*)$", 1))
-    ends = lambda k: F.when(F.exists(F.array(*map(F.lit, ENDS[k])), lambda e: F.endswith(name, e)), k)
+    name = F.col("_name")
+    ends = lambda k: F.when(F.col("_end").isin([e.removeprefix(".") for e in ENDS[k]]), k)
     many = F.array_compact(F.array(F.when(name.isin(MANIFESTS), "manifest"), *[ends(k) for k in ENDS]))
-    return df.withColumn("routes", F.when(F.startswith(name, F.lit("dockerfile")), F.array(F.lit("dockerfile"))).otherwise(many))
+    routes = F.when(F.startswith(name, F.lit("dockerfile")), F.array(F.lit("dockerfile"))).otherwise(many)
+    return df.withColumn("_name", base_name()).withColumn("_end", extension(name)).withColumn("routes", routes).drop("_name", "_end")
 
 
 def as_text(content: str | Column = "content") -> Column:

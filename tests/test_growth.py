@@ -65,3 +65,17 @@ def test_files_meet_in_one_shuffle_without_a_window(spark):
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "line"))), lambda x: x.line), "\n")
     want = lines.groupBy("o").agg(text.alias("text")).select(F.concat(F.lit("etc/f"), F.col("o").cast("string"), F.lit(".conf")).alias("path"), "text")
     assert df.exceptAll(want).isEmpty() and want.exceptAll(df).isEmpty()
+
+
+def test_routes_come_from_the_name_without_patterns(spark):
+    """A filter on files is carried down to their lines; a pattern in it ran for each line and each known ending."""
+    from pqledger.sources import files as src
+
+    names = ["a/b.PY", ".py", "py", "x.tar.so", "d/Dockerfile.dev", "", "a.py/", "a.py\n", "g/build.gradle.kts", "A.H", "CMakeLists.txt", "x.conf.txt", None]
+    df = spark.createDataFrame([(x,) for x in names], "path string")
+    got = [tuple(r.routes) for r in src.with_routes(df).collect()]
+    assert got == [("source", "python"), ("source", "python"), (), ("binary",), ("dockerfile",), (), (), (), ("manifest",), ("source", "c"), ("manifest",), (), ()]
+    assert [r.path for r in df.where(src.is_routed()).collect()] == [n for n, r in zip(names, got, strict=True) if r]
+    assert src.with_routes(df).columns == ["path", "routes"]
+    made = plan(src.with_routes(df.where(src.is_routed())))
+    assert "regexp" not in made and "exists(" not in made
