@@ -4,12 +4,14 @@ Every pair of texts that share a band counts, but pairs within a band's group ar
 
 1. Each text is compared with one other, the least id of its groups. Links join classes.
 2. Groups that still hold several classes compare their members with one member of another class, twice.
-3. In groups that are still mixed, members outside a group's largest class meet the members of other classes. A pair is
-   made only in the first group that both share, and only if sizes and sketches allow the threshold's similarity.
+3. In groups that are still mixed, a few members, the hubs, meet the members of other classes, then more of them, and at
+   last all members outside a group's largest class do. A pair is made only in the first group that both share, and only if
+   sizes and sketches allow the threshold's similarity. In a group of many near copies few hubs join most members, so that
+   the pairs of later rounds, which are of different classes, stay about as many as there are members.
 
 A sketch is the parity of a text's shingles by bit: bits in which two sketches differ are never more than shingles in
 which the texts differ, whatever they have in common. So steps 1 and 2 cost about as many pairs as there are members, and
-step 3 makes only pairs near the threshold; none that reaches it is missing. Similarities are exact, from whole sets.
+step 3 makes only pairs near the threshold; none that reaches it is missing, as the last round leaves out no member. Similarities are exact, from whole sets.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ MAPS = [f"m{i}" for i in range(SKETCH)]
 SALT = 200
 #: Rounds in which mixed groups are compared with one of their members.
 STARS = 2
+#: One member in so many is a hub, by rounds of step 3. The last round takes all.
+HUBS = (4096, 256, 16, 1)
 
 
 def tune_bands(threshold: float, recall: float = 0.999, most: int = 160) -> tuple[int, int]:
@@ -143,15 +147,23 @@ def mixed_groups(member: DataFrame, classes: DataFrame, scratch: Scratch) -> Dat
     return scratch.store(placed.join(several, "bucket", "left_semi"), "open")
 
 
-def left_over(open_: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) of different classes that share a group and may reach the threshold, each pair once."""
+def is_hub(id_: str, one_in: int) -> Column:
+    return F.pmod(F.xxhash64(id_), F.lit(one_in)) == 0
+
+
+def left_over(open_: DataFrame, items: DataFrame, threshold: float, one_in: int = 1) -> DataFrame:
+    """(a, b) of different classes that share a group and may reach the threshold, each pair once; only those with a hub if
+    one_in is over 1."""
+    if one_in > 1:  # all groups of a hub are kept, so the first group that it shares is
+        open_ = open_.join(open_.where(is_hub("id", one_in)).select("bucket").distinct(), "bucket", "left_semi")
     most = open_.groupBy("bucket", "class_id").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "class_id")).alias("most"))
     own = open_.groupBy("id").agg(F.collect_list("bucket").alias("groups"))  # as many as there are bands
     rows = open_.join(most.select("bucket", F.col("most.class_id").alias("largest")), "bucket").join(items.drop("tokens"), "id").join(own, "id")
     side = lambda x: [F.col("id").alias(x), F.col("class_id").alias(f"c{x}"), F.col("size").alias(f"s{x}"), F.col("groups").alias(f"g{x}"), *[F.col(m).alias(f"{x}{m}") for m in MAPS]]
-    x = rows.where("class_id <> largest").select("bucket", *side("x"))
-    y = rows.select(F.col("bucket").alias("same"), (F.col("class_id") == F.col("largest")).alias("in_largest"), *side("y"))
-    apart = (F.col("cx") != F.col("cy")) & (F.col("in_largest") | (F.col("x") < F.col("y")))
+    first = is_hub("id", one_in) if one_in > 1 else F.col("class_id") != F.col("largest")  # whom a pair is made from
+    x = rows.where(first).select("bucket", *side("x"))
+    y = rows.select(F.col("bucket").alias("same"), first.alias("both"), *side("y"))
+    apart = (F.col("cx") != F.col("cy")) & (~F.col("both") | (F.col("x") < F.col("y")))
     less = lambda g: F.filter(g, lambda v: v < F.col("bucket"))
     met = x.join(y, (F.col("bucket") == F.col("same")) & apart & may_reach(F.col("sx"), F.col("sy"), differing("x", "y"), threshold) & ~F.arrays_overlap(less("gx"), less("gy")))
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
@@ -201,16 +213,21 @@ def linked(buckets: DataFrame, items: DataFrame | Callable[[DataFrame], DataFram
         return merged(classes, links[-1], scratch)
 
     classes = compare(first.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")))
-    for star in range(STARS + 1):
-        open_ = mixed_groups(member, classes, scratch)
+    open_ = mixed_groups(member, classes, scratch)
+    for head in (F.min, F.max)[:STARS]:
         if open_.isEmpty():
             break
-        if star == STARS:
-            classes = compare(left_over(open_, items, threshold))
-            break
-        head = F.max if star else F.min
         heads = open_.groupBy("bucket").agg(head(F.struct("class_id", "id")).alias("h")).select("bucket", F.col("h.id").alias("a"), F.col("h.class_id").alias("ca"))
         classes = compare(open_.join(heads, "bucket").where("class_id <> ca").select("a", F.col("id").alias("b")).distinct())
+        open_ = mixed_groups(open_, classes, scratch)  # groups are only ever less mixed
+    for one_in in HUBS:
+        if open_.isEmpty():
+            break
+        if one_in > 1 and open_.where(is_hub("id", one_in)).isEmpty():
+            continue
+        classes = compare(left_over(open_, items, threshold, one_in))
+        if one_in > 1:
+            open_ = mixed_groups(open_, classes, scratch)
     scratch.drop("members", "first", "sets", "open")
     several = classes.groupBy("class_id").agg(F.count("*").alias("n")).where("n > 1").select("class_id")
     return reduce(DataFrame.unionByName, links), classes.join(several, "class_id", "left_semi").select("id", "class_id")

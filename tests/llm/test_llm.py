@@ -217,6 +217,25 @@ def test_linkage_crosses_stars(spark):
     assert got[1] == got[2] == 1 and got[3] == got[4] == 3 and 5 not in got
 
 
+def test_a_group_of_near_copies_makes_pairs_in_proportion(spark, monkeypatch):
+    """Members reach the threshold with some of the others only: pairs once grew with the square of their number."""
+    base, n = words(5, 100), 600
+    texts = {k: base[: 5 + k * 7 % 85] + [f"x{k}", f"y{k}"] + base[7 + k * 7 % 85 :] for k in range(n)}
+    i = spark.createDataFrame([(k, " ".join(v)) for k, v in texts.items()], "id long, text string")
+    b = spark.createDataFrame([(k, 9) for k in texts], "id long, bucket long")
+    made, verified = [], linkage.verified
+
+    def counted(pairs, *more):
+        made.append(pairs.count())
+        return verified(pairs, *more)
+
+    monkeypatch.setattr(linkage, "verified", counted)
+    _, classes = linkage.linked(b, i, 0.8, True)
+    got = {r.id: r.class_id for r in classes.collect()}
+    assert got == brute_classes({k: linkage.bag(" ".join(v)) for k, v in texts.items()})
+    assert sum(made) < 20 * n, made
+
+
 def test_substring(spark):
     passage = [f"{a} {b} {c} {d} {e} {f}." for a, b, c, d, e, f in zip(*[iter(words(8, 72))] * 6)]
     own = lambda i: " ".join(" ".join(words(20 + i, 7, k)) + "." for k in range(8))
