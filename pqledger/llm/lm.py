@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import math
 import os
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +39,9 @@ SHARD_DOCS, MOST_SHARDS = 6400, 16384
 KNOWN = 100_000
 #: Partial counts that a task holds before it passes them on; tokens scored side by side. Memory bounds only.
 FLUSH, SIDE_BY_SIDE = 400_000, 4_000_000
+#: Rows of the output layer that are worked on at once, documents scored abreast, and tokens of theirs at once: what these take
+#: stays in a processor's cache. Results don't depend on them but for rounding.
+CACHED, ABREAST, HELD = 256, 512, 8192
 END = b"\n"  # no word holds white space
 SURFACE = 4 * 3 * 3
 RATE = 0.08
@@ -90,24 +92,28 @@ def token_counts(df: DataFrame, text: str) -> DataFrame:
     """(word binary, n): counts of all tokens; each task adds up before it passes on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c: Counter = Counter()
+        held: list[pa.Table] = []
+        rows = ends = 0
 
-        def out() -> pa.RecordBatch:
-            b = pa.RecordBatch.from_arrays([pa.array(list(c.keys()), pa.binary()), pa.array(list(c.values()), pa.int64())], names=["word", "n"])
-            c.clear()
-            return b
+        def added() -> pa.Table:
+            return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
 
         for batch in batches:
             ws, at, n = batch_words(batch.column(0))
-            for w, k in zip(ws.to_pylist(), np.bincount(at, minlength=len(ws)).tolist(), strict=True):
-                if k:
-                    c[w] += k
-            if len(n):
-                c[END] += len(n)
-            if len(c) > FLUSH:
-                yield out()
-        if c:
-            yield out()
+            times = np.bincount(at, minlength=len(ws))
+            ends += len(n)
+            some = np.flatnonzero(times)  # not the empty word
+            held.append(pa.table({"word": ws.take(pa.array(some)), "n": times[some]}))
+            rows += len(some)
+            if rows > 2 * FLUSH:
+                held[:] = [added()]
+                rows = held[0].num_rows
+                if rows > FLUSH:
+                    yield from held.pop().to_batches()
+                    rows = 0
+        if ends:
+            held.append(pa.table({"word": pa.array([END], pa.binary()), "n": pa.array([ends], pa.int64())}))
+            yield from added().to_batches()
 
     return df.select(F.col(text).alias("_t")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -147,31 +153,44 @@ def start_weights(v: Vocabulary, seed: int = 11) -> dict[str, np.ndarray]:
     }
 
 
-def cell(p: dict, h: np.ndarray, x: np.ndarray):
-    """One step; returns the new state and what the way back needs."""
-    a = h @ p["u"]
-    rz = x[:, : 2 * HIDDEN] + a[:, : 2 * HIDDEN]
+def parts(u: np.ndarray) -> np.ndarray:
+    """The matrices of the reset gate, the update gate and the candidate side by side as three, each without gaps."""
+    return np.ascontiguousarray(u.reshape(HIDDEN, 3, HIDDEN).transpose(1, 0, 2))
+
+
+def inputs(table: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Rows x of the input table, as three parts like parts(u)."""
+    at = 3 * x[None] + np.arange(3).reshape(3, *[1] * x.ndim)
+    return np.take(table.reshape(-1, HIDDEN), at, axis=0)
+
+
+def cell(u: np.ndarray, h: np.ndarray, x: np.ndarray, a: np.ndarray, rz: np.ndarray, n: np.ndarray, new: np.ndarray) -> None:
+    """One step from states h and inputs x; u, x, a and the gates rz are in parts. Fills a, rz, n and the new state, which may be h."""
+    np.matmul(h, u, out=a)
+    np.add(x[:2], a[:2], out=rz)
     np.negative(rz, out=rz)
     np.exp(rz, out=rz)
     rz += 1
     np.reciprocal(rz, out=rz)
-    r, z, an = rz[:, :HIDDEN], rz[:, HIDDEN:], a[:, 2 * HIDDEN :]
-    n = r * an
-    n += x[:, 2 * HIDDEN :]
+    np.multiply(rz[0], a[2], out=n)
+    n += x[2]
     np.tanh(n, out=n)
-    new = h - n
-    new *= z
+    np.subtract(h, n, out=new)
+    new *= rz[1]
     new += n
-    return new, (r, z, n, an)
 
 
 def softmax(x: np.ndarray, scale: float = 1.0) -> np.ndarray:
     """scale times the probabilities of rows of logits, in place. Logits are log-odds and never near the limits of exp."""
     np.exp(x, out=x)
-    x *= np.float32(scale) / x.sum(1, keepdims=True)
+    x *= (np.float32(scale) / row_sums(x))[:, None]
     return x
 
 
+def row_sums(x: np.ndarray) -> np.ndarray:
+    return x @ np.ones(x.shape[1], x.dtype)
+
+
 def with_ones(h: np.ndarray) -> np.ndarray:
     out = np.ones((len(h), h.shape[1] + 1), np.float32)
     out[:, :-1] = h
@@ -182,21 +201,42 @@ def class_of(ids: np.ndarray, v_top: int, heads: int) -> np.ndarray:
     return np.where(ids < v_top, ids // CLASS, ids - v_top + heads)
 
 
+def stretches(edges: list[int], rows: int, n: int) -> Iterator[tuple[int, int, list[tuple[int, int, int]]]]:
+    """(from, to, [(class, from, to)]) of consecutive rows in the order of their classes, about n at a time: what is made of them
+    stays in the processor's cache. edges: where each class of frequent words begins, and the end of the last; a class isn't split."""
+    a, some = 0, []
+    for k in range(len(edges) - 1):
+        if edges[k] < edges[k + 1]:
+            some.append((k, edges[k], edges[k + 1]))
+            if edges[k + 1] - a >= n:
+                yield a, edges[k + 1], some
+                a, some = edges[k + 1], []
+    while a < rows:
+        b = max(min(a + n, rows), edges[-1])
+        yield a, b, some
+        a, some = b, []
+
+
 def log_probs(p: dict, h: np.ndarray, ids: np.ndarray, v_top: int, heads: int) -> np.ndarray:
     """Natural logs of the network's probabilities of ids after states h."""
     c = class_of(ids, v_top, heads)
     order = np.argsort(c.astype(np.int16), kind="stable")
     h, c, ids = with_ones(h[order]), c[order], ids[order]
-    logits = h @ p["wc"]
-    got = logits[np.arange(len(ids)), c]
-    got -= np.log(np.exp(logits, out=logits).sum(1))
     edges = np.searchsorted(c, np.arange(heads + 1)).tolist()
-    for k in range(heads):
-        a, b = edges[k], edges[k + 1]
-        if a < b:
-            logits = h[a:b] @ p["ww"][k]
-            got[a:b] += logits[np.arange(b - a), ids[a:b] - k * CLASS]
-            got[a:b] -= np.log(np.exp(logits, out=logits).sum(1))
+    got = np.empty(len(ids), np.result_type(h, p["wc"]))
+    for a, b, some in stretches(edges, len(ids), CACHED):
+        logits = h[a:b] @ p["wc"]
+        part = logits[np.arange(b - a), c[a:b]]
+        part -= np.log(row_sums(np.exp(logits, out=logits)))
+        got[a:b] = part
+        if some:
+            m = some[-1][2]
+            logits = np.empty((m - a, CLASS), got.dtype)
+            for k, i, j in some:
+                np.matmul(h[i:j], p["ww"][k], out=logits[i - a : j - a])
+            part = logits[np.arange(m - a), ids[a:m] - c[a:m] * CLASS]
+            part -= np.log(row_sums(np.exp(logits, out=logits)))
+            got[a:m] += part
     out = np.empty(len(ids), got.dtype)
     out[order] = got
     return out
@@ -212,22 +252,48 @@ def windows(docs: Iterator[np.ndarray], streams: int, end: int) -> Iterator[tupl
         if len(rest) == streams:
             break
     last = np.full(len(rest), end, np.int32)
-    run = np.arange(len(rest))
+    run, at = np.arange(len(rest)), [0] * len(rest)
     while len(rest):
-        y = np.full((WINDOW, len(rest)), -1, np.int32)
+        y = np.empty((len(rest), WINDOW), np.int32)
+        ended = False
         for k, d in enumerate(rest):
+            i = at[k]
+            if len(d) > i + WINDOW:  # most often a document fills the window and goes on
+                y[k] = d[i : i + WINDOW]
+                at[k] = i + WINDOW
+                continue
             n = 0
             while n < WINDOW and d is not None:
-                some = d[: WINDOW - n]
-                y[n : n + len(some), k] = some
-                n, d = n + len(some), d[len(some) :]
-                if not len(d):
-                    d = next(docs, None)
-            rest[k] = d
+                some = d[i : i + WINDOW - n]
+                y[k, n : n + len(some)] = some
+                n, i = n + len(some), i + len(some)
+                if i == len(d):
+                    d, i = next(docs, None), 0
+            y[k, n:] = -1
+            rest[k], at[k] = d, i
+            ended |= d is None
+        y = np.ascontiguousarray(y.T)
         x = np.concatenate([last[None], y[:-1]])
         yield run, np.where(x >= 0, x, end), y
-        run = np.flatnonzero([d is not None for d in rest])
-        rest, last = [rest[k] for k in run.tolist()], y[-1, run]
+        run, last = np.arange(len(rest)), y[-1]
+        if ended:
+            run = np.flatnonzero([d is not None for d in rest])
+            rest, at, last = [rest[k] for k in run.tolist()], [at[k] for k in run.tolist()], last[run]
+
+
+def sums_by(ids: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(different ids, sums of their rows of g, which is in parts). Rows of ids that have one are taken as they are; of the others
+    two numbers are added at a time, as one complex number."""
+    order = np.argsort(ids.astype(np.int16) if ids.max() < 1 << 15 else ids, kind="stable")
+    ids = ids[order]
+    first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    rows = np.take(g.reshape(-1, HIDDEN), order[:, None] + np.arange(3) * len(ids), axis=0).reshape(len(ids), 3 * HIDDEN)
+    n = np.diff(np.append(first, len(ids)))
+    out, many = np.take(rows, first, axis=0), np.flatnonzero(n > 1)
+    if len(many):
+        some = np.take(rows, np.flatnonzero(np.repeat(n > 1, n)), axis=0).view(np.complex64)
+        out[many] = np.add.reduceat(some, np.cumsum(n[many]) - n[many]).view(np.float32)
+    return ids[first], out
 
 
 def window_gradients(p: dict, h: np.ndarray, x: np.ndarray, y: np.ndarray, v_top: int, heads: int, end: int, weight: float) -> tuple[dict, np.ndarray, np.ndarray]:
@@ -235,58 +301,74 @@ def window_gradients(p: dict, h: np.ndarray, x: np.ndarray, y: np.ndarray, v_top
     log-likelihood of y (steps x streams, -1 for none) after inputs x, by backpropagation within the window."""
     f4 = np.float32
     steps_, streams = y.shape
-    e = p["x"][x]
-    keep = (x != end).astype(f4)[:, :, None]  # else a document begins
-    h0, hs, r, z, n, an = (np.empty((steps_, streams, HIDDEN), f4) for _ in range(6))
+    e, u = inputs(p["x"], x), parts(p["u"])
+    goes_on = x != end  # else a document begins
+    keep, all_go_on = goes_on.astype(f4)[:, :, None], goes_on.all(1).tolist()
+    h0, hs, n = (np.empty((steps_, streams, HIDDEN), f4) for _ in range(3))
+    rz, a = np.empty((2, steps_, streams, HIDDEN), f4), np.empty((3, steps_, streams, HIDDEN), f4)
     for t in range(steps_):
-        np.multiply(h, keep[t], out=h0[t])
-        h, (r[t], z[t], n[t], an[t]) = cell(p, h0[t], e[t])
-        hs[t] = h
+        if all_go_on[t]:
+            h0[t] = h
+        else:
+            np.multiply(h, keep[t], out=h0[t])
+        h = hs[t]
+        cell(u, h0[t], e[:, t], a[:, t], rz[:, t], n[t], h)
     flat_y = y.ravel()
     ok = np.flatnonzero(flat_y >= 0)
     # rows in the order of their classes, so that each class is one slice
     c = class_of(flat_y[ok], v_top, heads)
     order = np.argsort(c.astype(np.int16), kind="stable")
     ok, c = ok[order], c[order]
-    hh, yy = with_ones(hs.reshape(-1, HIDDEN)[ok]), flat_y[ok]
+    hh, yy = with_ones(np.take(hs.reshape(-1, HIDDEN), ok, axis=0)), flat_y[ok]
+    hT, rows = np.ascontiguousarray(hh.T), np.arange(len(yy))
     edges = np.searchsorted(c, np.arange(heads + 1)).tolist()
-    pc = softmax(hh @ p["wc"], weight)
-    pc[np.arange(len(yy)), c] -= f4(weight)
-    grad = {"wc": hh.T @ pc, "ww": np.zeros_like(p["ww"])}
-    dh = pc @ p["wc"][:-1].T
+    g = softmax(hh @ p["wc"], weight)
+    g[rows, c] -= f4(weight)
+    grad = {"wc": hT @ g, "ww": np.zeros_like(p["ww"])}
+    dh = g @ p["wc"][:-1].T
     m = edges[-1]  # rows of frequent words
     if m:
-        pw = np.empty((m, CLASS), f4)
+        g, more, back = np.empty((m, CLASS), f4), np.empty((m, HIDDEN), f4), p["ww"][:, :-1].transpose(0, 2, 1)
         some = [(k, edges[k], edges[k + 1]) for k in range(heads) if edges[k] < edges[k + 1]]
         for k, i, j in some:
-            np.matmul(hh[i:j], p["ww"][k], out=pw[i:j])
-        softmax(pw, weight)
-        pw[np.arange(m), yy[:m] - c[:m] * CLASS] -= f4(weight)
+            np.matmul(hh[i:j], p["ww"][k], out=g[i:j])
+        softmax(g, weight)
+        g[rows[:m], yy[:m] - c[:m] * CLASS] -= f4(weight)
         for k, i, j in some:
-            np.matmul(hh[i:j].T, pw[i:j], out=grad["ww"][k])
-            dh[i:j] += pw[i:j] @ p["ww"][k][:-1].T
-    full = np.zeros((steps_ * streams, HIDDEN), f4)
+            np.matmul(hT[:, i:j], g[i:j], out=grad["ww"][k])
+            np.matmul(g[i:j], back[k], out=more[i:j])
+        dh[:m] += more
+    full = np.zeros((steps_ * streams, HIDDEN), f4) if len(ok) < flat_y.size else np.empty((steps_ * streams, HIDDEN), f4)
     full[ok] = dh
     full = full.reshape(steps_, streams, HIDDEN)
-    carry = np.zeros((streams, HIDDEN), f4)
-    da, dn = np.empty((steps_, streams, 3 * HIDDEN), f4), np.empty((steps_, streams, HIDDEN), f4)
-    to_n, to_z, to_r, back = (1 - z) * (1 - n * n), (h0 - n) * z * (1 - z), an * r * (1 - r), np.ascontiguousarray(p["u"].T)
+    r, z = rz
+    da, dn, carry, back = np.empty_like(a), np.empty_like(n), np.zeros((streams, HIDDEN), f4), np.ascontiguousarray(u.transpose(0, 2, 1))
+    three = np.empty((3, streams, HIDDEN), f4)
+    # the factors of the way back: of n's, z's and r's inputs
+    to_n, to_z, to_r, rest = np.multiply(n, n), np.subtract(h0, n), np.subtract(1, r), np.subtract(1, z)
+    np.subtract(1, to_n, out=to_n)
+    to_n *= rest
+    to_z *= z
+    to_z *= rest
+    to_r *= r
+    to_r *= a[2]
     for t in range(steps_ - 1, -1, -1):
-        d = full[t] + carry
+        d = full[t]
+        d += carry
         np.multiply(d, to_n[t], out=dn[t])
-        g = da[t]
-        np.multiply(dn[t], to_r[t], out=g[:, :HIDDEN])
-        np.multiply(d, to_z[t], out=g[:, HIDDEN : 2 * HIDDEN])
-        np.multiply(dn[t], r[t], out=g[:, 2 * HIDDEN :])
-        d *= z[t]
-        d += g @ back
-        carry = np.multiply(d, keep[t], out=d)
-    grad["u"] = h0.reshape(-1, HIDDEN).T @ da.reshape(-1, 3 * HIDDEN)
-    da[:, :, 2 * HIDDEN :] = dn  # now by the inputs
-    rows = np.argsort(x, axis=None, kind="stable")
-    u, firsts = np.unique(x.ravel()[rows], return_index=True)
-    grad["x"] = np.add.reduceat(da.reshape(-1, 3 * HIDDEN)[rows], firsts)
-    return grad, u, h
+        np.multiply(dn[t], to_r[t], out=da[0, t])
+        np.multiply(d, to_z[t], out=da[1, t])
+        np.multiply(dn[t], r[t], out=da[2, t])
+        np.matmul(da[:, t], back, out=three)
+        np.multiply(d, z[t], out=carry)
+        for k in three:
+            carry += k
+        if not all_go_on[t]:
+            carry *= keep[t]
+    grad["u"] = np.matmul(h0.reshape(-1, HIDDEN).T, da.reshape(3, -1, HIDDEN)).transpose(1, 0, 2).reshape(HIDDEN, 3 * HIDDEN)
+    da[2] = dn  # now by the inputs
+    rows, grad["x"] = sums_by(x.ravel(), da)
+    return grad, rows, h
 
 
 def train_shard(p: dict, docs: Iterator[np.ndarray], v_top: int, heads: int, end: int) -> tuple[dict, int]:
@@ -305,14 +387,22 @@ def train_shard(p: dict, docs: Iterator[np.ndarray], v_top: int, heads: int, end
         share = tokens / (WINDOW * STREAMS)
         grad, u, h = window_gradients(p, h, x, y, v_top, heads, end, 1 / (WINDOW * STREAMS))
         rate = f4(RATE * share)  # so that a few last tokens move little
+        met = np.flatnonzero(np.bincount(y[(y >= 0) & (y < v_top)] // CLASS, minlength=heads))
         for k, g in grad.items():
-            at = u if k == "x" else ...
+            at = u if k == "x" else met if k == "ww" and len(met) < heads else ...  # the gradients of all others are 0
+            if k == "ww" and at is met:
+                g = g[met]
             if k != "x":
                 np.clip(g, -0.5, 0.5, out=g)
-            g2[k][at] += g * g
+            old = g2[k] if at is ... else np.take(g2[k], at, axis=0)
+            old += g * g
             g *= rate * slow[k] if k in slow else rate
-            g /= np.sqrt(g2[k][at])
-            p[k][at] -= g
+            g /= np.sqrt(old)
+            if at is ...:
+                p[k] -= g
+            else:
+                g2[k][at] = old
+                p[k][at] = np.subtract(np.take(p[k], at, axis=0), g, out=g)
     return p, seen
 
 
@@ -413,7 +503,8 @@ def round_of_training(docs: DataFrame, start: dict, v: Vocabulary, shards: int,
     some = docs.select(F.col(text).alias("_t"), F.col(id_col).alias("_i"))
     order = F.coalesce(F.floor(F.log2(F.length("_t") + 1) / 2), F.lit(0))  # long ones first, so that no stream runs on alone
     # by text as well, so that rows of one id, or of none, don't all meet in one shard
-    dealt = some.repartition(shards, F.xxhash64("_i", "_t")).sortWithinPartitions(order.desc(), F.xxhash64("_i", F.lit("deal")), "_i", "_t").select("_t", F.spark_partition_id().cast("long").alias("s"))
+    keyed = some.select("_t", "_i", order.alias("_o"), F.xxhash64("_i", F.lit("deal")).alias("_d"))  # once a row, not in each comparison
+    dealt = keyed.repartition(shards, F.xxhash64("_i", "_t")).sortWithinPartitions(F.desc("_o"), "_d", "_i", "_t").select("_t", F.spark_partition_id().cast("long").alias("s"))
     parts = stored(dealt.mapInArrow(run, "shard long, weights binary, tokens long"), "shards")
     last = averaged(parts).collect()  # at most 16 rows
     if not last:
@@ -428,37 +519,49 @@ LN10 = math.log(10)
 
 def score_batch(p: dict, docs: list[np.ndarray], n_top: int, heads: int, end: int) -> np.ndarray:
     """log10 of the network's probabilities of whole documents, side by side, state carried throughout."""
-    order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
-    lengths = np.array([len(docs[i]) for i in order])
     out = np.zeros(len(docs))
-    h, last = np.zeros((len(docs), HIDDEN), np.float32), np.full(len(docs), end)
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    n_held = 0
-
-    def flush() -> None:
-        nonlocal n_held
-        if held:
-            hs, ys, ds = (np.concatenate([x[i] for x in held]) for i in range(3))
-            out[:] += np.bincount(ds, log_probs(p, hs, ys, n_top, heads).astype(np.float64), len(docs))
-            held.clear()
-            n_held = 0
-
-    flat = np.concatenate([docs[i] for i in order])
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    rank = np.array(order)
-    for t in range(int(lengths[0])):
-        a = int(np.searchsorted(-lengths, -t, "left"))  # documents longer than t
-        h = h[:a]
-        h, _ = cell(p, h, p["x"][last[:a]])
-        y = flat[starts[:a] + t]
-        held.append((h, y, rank[:a]))
-        last, n_held = y, n_held + a
-        if n_held > 16384:
-            flush()
-    flush()
+    order = np.argsort(-np.fromiter(map(len, docs), np.int64, len(docs)), kind="stable")
+    for i in range(0, len(order), ABREAST):  # documents of about the same length
+        out[order[i : i + ABREAST]] = score_abreast(p, [docs[k] for k in order[i : i + ABREAST].tolist()], n_top, heads, end)
     return out / LN10
 
 
+def score_abreast(p: dict, docs: list[np.ndarray], n_top: int, heads: int, end: int) -> np.ndarray:
+    """Natural logs of the probabilities of documents, longest first."""
+    lengths = np.array([len(d) for d in docs])
+    out, n = np.zeros(len(docs)), len(docs)
+    f4 = np.float32
+    h, gates, u, k = np.zeros((n, HIDDEN), f4), None, parts(p["u"]), -1
+    flat, starts = np.concatenate(docs), np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    running = np.searchsorted(-lengths, -np.arange(int(lengths[0])), "left")  # documents longer than t
+    last, t = np.full(n, end), 0
+    while t < len(running):
+        # some steps at a time, so that what the words' probabilities are made of stays small
+        stop = t + max(1, int(np.searchsorted(np.cumsum(running[t : t + HELD]), HELD, "right")))
+        stop = min(stop, len(running))
+        many = running[t:stop]
+        at = np.concatenate([[0], np.cumsum(many)])
+        doc = np.arange(at[-1]) - np.repeat(at[:-1], many)
+        y = flat[starts[doc] + np.repeat(np.arange(t, stop), many)]
+        x = inputs(p["x"], np.concatenate([last[: many[0]], y[doc_before(many, at)]]))
+        hs = np.empty((len(y), HIDDEN), f4)
+        edges = at.tolist()
+        for i, j in zip(edges[:-1], edges[1:], strict=True):
+            if j - i != k:
+                k = j - i
+                gates = [np.empty((m, k, HIDDEN), f4) for m in (3, 2, 1)]
+            cell(u, h[:k], x[:, i:j], *gates[:2], gates[2][0], hs[i:j])
+            h = hs[i:j]
+        out += np.bincount(doc, log_probs(p, hs, y, n_top, heads), n)
+        last, t = y[edges[-2] :], stop
+    return out
+
+
+def doc_before(many: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of the rows of all steps but the first, the places of the same documents' rows one step before."""
+    return np.arange(at[1], at[-1]) - np.repeat(many[:-1], many[1:])
+
+
 def scored(docs: DataFrame, v: Vocabulary, p: dict, counts: DataFrame, text: str, id_col: str) -> DataFrame:
     known, top, n_top, heads, end = v.known, [w for w, _ in v.top], v.n_top, v.heads, v.end
     n_words = len(known)
@@ -511,7 +614,7 @@ def scored(docs: DataFrame, v: Vocabulary, p: dict, counts: DataFrame, text: str
     rare = mine.select("doc_id", "rid", F.explode(F.arrays_zip("words", "ns")).alias("x")).select("doc_id", "rid", F.col("x.words").alias("word"), F.col("x.ns").alias("m"))
     c = F.coalesce("c", zero)
     log = F.col("m") * F.log10(c + 0.1)
-    found = rare.join(counts.select("word", F.col("n").alias("c")), "word", "left").select("doc_id", "rid", zero.alias("n_tokens"), F.when(c > 0, F.col("m")).otherwise(0).cast("long").alias("n_known"), log.alias("base"), log.alias("score"))
+    found = rare.join(counts.select("word", F.col("n").alias("c")).hint("shuffle_hash"), "word", "left").select("doc_id", "rid", zero.alias("n_tokens"), F.when(c > 0, F.col("m")).otherwise(0).cast("long").alias("n_known"), log.alias("base"), log.alias("score"))
     both = mine.select("doc_id", "rid", "n_tokens", "n_known", "base", "score").unionByName(found).groupBy("doc_id", "rid").agg(*[F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base", "score")])
     return both.select("doc_id", "n_tokens", "n_known", F.lit(v.total).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * v.denominator).alias("base_score"), "score")
 

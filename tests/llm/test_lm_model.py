@@ -1,8 +1,11 @@
 """The recurrent language model: gradients against differences, scores step by step, and documents streamed whole."""
 
+import collections
 import math
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pqledger.llm import lm
@@ -123,3 +126,54 @@ def test_training_learns(model):
     assert n == sum(map(len, docs)) and rng is not None
     before, after = (lm.score_batch(q, docs[:1], v.n_top, v.heads, v.end)[0] for q in (p, trained))
     assert after > before / 3
+
+
+def test_sums_by():
+    rng = np.random.default_rng(9)
+    ids = np.concatenate([rng.integers(0, 4, 40), np.arange(4, 20), [7]])
+    g = rng.normal(size=(3, len(ids), lm.HIDDEN)).astype(np.float32)
+    got_ids, got = lm.sums_by(ids, g)
+    rows = g.transpose(1, 0, 2).reshape(len(ids), -1)
+    assert got_ids.tolist() == sorted(set(ids.tolist()))
+    assert np.allclose(got, [rows[ids == i].sum(0) for i in got_ids], atol=1e-5)
+
+
+def test_stretches_hold_every_row_once():
+    for edges, rows, n in (([0, 5, 5, 12, 30], 44, 8), ([0, 0, 0], 20, 8), ([0, 0, 3], 3, 8), ([0, 0], 0, 8), ([0, 2, 4], 30, 100)):
+        got = list(lm.stretches(edges, rows, n))
+        assert [i for a, b, _ in got for i in range(a, b)] == list(range(rows))
+        assert [x for _, _, some in got for x in some] == [(k, edges[k], edges[k + 1]) for k in range(len(edges) - 1) if edges[k] < edges[k + 1]]
+        assert all(a <= i and j <= b for a, b, some in got for _, i, j in some)
+
+
+def test_counting_adds_up_before_it_passes_on(monkeypatch):
+    """Counts of a task's words are added as arrays: no step for each word in Python, and the words of two batches meet."""
+    taken = []
+
+    class Frame:
+        def __getattr__(self, name):
+            return lambda *a: taken.append(a[0]) or self if name == "mapInArrow" else self
+
+    monkeypatch.setattr(lm, "F", type("F", (), {"col": lambda x: Frame(), "sum": lambda x: Frame()}))
+    lm.token_counts(Frame(), "t")
+    texts = [["B a b", None, " a\tc "], ["", "a"], ["d"]]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.string())], names=["t"]) for x in texts]
+    want = collections.Counter({b"a": 3, b"b": 2, b"c": 1, b"d": 1, lm.END: 6})
+    for flush in (400_000, 1):  # one flush at the end, and many
+        monkeypatch.setattr(lm, "FLUSH", flush)
+        got = list(taken[0](iter(batches)))
+        total = collections.Counter()
+        for b in got:
+            for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                total[w] += n
+        assert total == want and (flush == 1 or sum(b.num_rows for b in got) == len(want))
+    assert not list(taken[0](iter([])))
+    many = pa.array([" ".join(f"w{k}" for k in range(i, i + 20_000)) for i in range(0, 200_000, 20_000)])
+    monkeypatch.setattr(lm, "FLUSH", 400_000)
+    spent = {}
+    for name, f in (("words", lambda b: lm.batch_words(b.column(0))), ("counts", lambda b: list(taken[0](iter([b]))))):
+        start = time.process_time()
+        for _ in range(3):
+            f(pa.RecordBatch.from_arrays([many], names=["t"]))
+        spent[name] = time.process_time() - start
+    assert spent["counts"] < 4 * spent["words"]
