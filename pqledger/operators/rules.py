@@ -6,6 +6,7 @@ Patterns are Java regular expressions and, as plan-time literals, compiled once.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -122,9 +123,15 @@ def line_array(text: Column) -> Column:
     return let(F.split(F.coalesce(text, F.lit("")), LINE_END), whole)
 
 
-def lines(df: DataFrame, text: str = "text") -> DataFrame:
-    """Numbered lines of texts, from 1; further columns stay. An end of line at the end begins no line."""
-    return df.select(*[c for c in df.columns if c != text], F.posexplode(line_array(F.col(text))).alias("_p", "line")).withColumn("line_number", F.col("_p") + 1).drop("_p")
+def fed_array(text: Column) -> Column:
+    """A text's lines by line feeds alone, other ends stay in them. One feed at the end begins no line, an empty text is one
+    line, a null has none."""
+    return F.split(F.regexp_replace(text, r"\n\z", ""), "\n")
+
+
+def lines(df: DataFrame, text: str = "text", split: Callable[[Column], Column] = line_array) -> DataFrame:
+    """Numbered lines of texts, from 1, as split has them; further columns stay."""
+    return df.select(*[c for c in df.columns if c != text], F.posexplode(split(F.col(text))).alias("_p", "line")).withColumn("line_number", F.col("_p") + 1).drop("_p")
 
 
 def strip(c: Column) -> Column:
