@@ -3,7 +3,7 @@ queries that run the detectors over them. The SQL beside each query reads the sa
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import code, commands, rules
@@ -97,27 +97,39 @@ def lines_at(kind: str) -> str:
     return f"select *, cast(coalesce(sum(1 + length(line) - length(replace(line, chr(10), ''))) over (partition by o order by n rows between unbounded preceding and 1 preceding), 0) as bigint) + 1 as pos from ({lines_sql(kind)}) a"
 
 
-def files(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    """(path, text) of a kind, one file for each order; an order has a few lines."""
+def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(o, rows): an order's rows, sorted by what lines_sql numbers them by. One shuffle: they are sorted where they meet, and lines
+    are made after it, as what they say is a function of what rows are sorted by; rows equal in it are equal lines."""
+    rows = ship(spark).read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("o"), *PLACE)
+    return rows.groupBy("o").agg(F.sort_array(F.collect_list(F.struct(*PLACE))).alias("rows"))
+
+
+def path_of(kind: str) -> Column:
+    before, after = PATHS[kind].split("{}")
+    return F.concat(F.lit(before), F.col("o").cast("string"), F.lit(after))
+
+
+def text_of(kind: str) -> Column:
+    """The text that an order's rows make."""
     some = SNIPPETS[kind]
-    u, k = F.col("l_suppkey").alias("u"), (F.col("l_partkey") % len(some)).alias("k")
-    rows = ship(spark).read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("o"), *PLACE, u, k)
     cases = " ".join(f"when {i} then {x}" for i, x in enumerate(some))
-    # one shuffle: a file's lines are sorted where they meet, by what lines_sql numbers them by; rows equal in it are equal lines
-    # what they are sorted by is one flat struct: for a struct in a struct each comparison would build its own ordering
-    rows = rows.select("o", *PLACE, F.expr(f"case k {cases} end").alias("line"))
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*PLACE, "line"))), lambda x: x.line), "\n")
-    before, after = PATHS[kind].split("{}")
-    return rows.groupBy("o").agg(text.alias("text")).select(F.concat(F.lit(before), F.col("o").cast("string"), F.lit(after)).alias("path"), "text")
+    return F.array_join(F.expr(f"zip_with(rows.l_suppkey, rows.l_partkey, (u, k) -> case k % {len(some)} {cases} end)"), "\n")
+
+
+def files(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """(path, text) of a kind, one file for each order; an order has a few lines."""
+    return orders(spark, sf_dir).select(path_of(kind).alias("path"), text_of(kind).alias("text"))
+
+
+def texts(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
+    """(path, text) of several kinds. An order's rows are read, sent and sorted once for all of them."""
+    some = F.array(*[F.struct(path_of(k).alias("path"), text_of(k).alias("text")) for k in kinds])
+    return orders(spark, sf_dir).select(F.explode(some).alias("f")).select("f.path", "f.text")
 
 
 def tree(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
     """(path, length, content) as a scan reads it."""
-    some = [files(spark, sf_dir, k).select("path", F.octet_length("text").cast("long").alias("length"), F.col("text").cast("binary").alias("content")) for k in kinds]
-    out = some[0]
-    for df in some[1:]:
-        out = out.unionByName(df)
-    return out
+    return texts(spark, sf_dir, *kinds).select("path", F.octet_length("text").cast("long").alias("length"), F.col("text").cast("binary").alias("content"))
 
 
 def counted(df: DataFrame, *by: str) -> DataFrame:
@@ -129,8 +141,8 @@ STRUCTURE = ("language", "artifact_type", "algorithm", "library", "key_size", "m
 
 def structural_rows(spark, sf):
     """Calls with their enclosing and chained calls, and imports, in four languages."""
-    some = tree(spark, sf, "java", "c", "js", "py").select("path", F.col("content").cast("string").alias("text"))
-    return counted(code.found(some, structural), *STRUCTURE)
+    some = texts(spark, sf, "java", "c", "js", "py")
+    return counted(code.found(some, structural, only=(*STRUCTURE, "line_number")), *STRUCTURE)
 
 
 def java_factories(spark, sf):
@@ -160,7 +172,7 @@ def config_rules(spark, sf):
 
 
 def manifest_versions(spark, sf):
-    some = tree(spark, sf, "requirements", "gradle", "cmake").select("path", F.col("content").cast("string").alias("text"))
+    some = texts(spark, sf, "requirements", "gradle", "cmake")
     return counted(code.found(some, code.manifest), "library", "dependency_version")
 
 
