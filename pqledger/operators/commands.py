@@ -53,6 +53,8 @@ INSTALLS = [
     r"(?iu)\bnpm\s+install\s+(?:-\S+\s+)*([^\n|;&]+)",
     r"(?iu)\byarn\s+add\s+(?:-\S+\s+)*([^\n|;&]+)",
 ]
+#: A text in capitals that such a call is in holds its word, as for PART_PLACES.
+INSTALL_WORDS = ["APT-", "APT", "AP", "YUM", "DNF", "P", "NPM", "YARN"]
 # fixed values: commands of the certificate tool and their options
 OPENSSL = r"(?iu)\bopenssl\s+(genrsa|genpkey|req|x509|ecparam|ec|dgst|enc|s_client|verify|rsa|pkey|pkcs12|ca)\b"
 KEY_SIZE = r"\b(512|1024|2048|3072|4096|8192|16384)\b"
@@ -90,8 +92,8 @@ NAMES = [
     (r"(?iu)\bSHA[-_]?1\b", "SHA-1"),
     (r"(?iu)\bMD5\b", "MD5"),
 ]
-#: A text that holds a name holds its part: the parts, with the places of their patterns in NAMES. A match is empty, with
-#: the part as its group, so that parts may overlap.
+#: A text that holds a name holds its part: the parts, with the places of their patterns in NAMES. They are looked for in the
+#: text in capitals, which holds whatever folds to them: their letters are none that other letters only fold down to (I, K).
 PART_PLACES = {
     part.upper(): [i for i, (_, name) in enumerate(NAMES) if name in of]
     for part, of in {
@@ -99,7 +101,6 @@ PART_PLACES = {
         "AES": ["AES"], "DES": ["3DES", "DES"], "SHA": ["SHA-224", "SHA-256", "SHA-384", "SHA-512", "SHA-1"], "MD5": ["MD5"],
     }.items()
 }
-NAME_PARTS = "(?iu)(?=(" + "|".join(PART_PLACES) + "))"
 # fixed values: protocols
 PROTOCOL = r"(?iu)\b(TLS|SSL)[\s_-]*v?(1\.3|1\.2|1\.1|1\.0|1|2|3)\b"
 PROTOCOL_CONFIG = r"(?iu)\b(TLS|SSL)[\s_-]?v?[\s_-]?(1\.3|1\.2|1\.1|1\.0|1|2|3)\b"
@@ -130,9 +131,17 @@ def every(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def holds_key(text: Column) -> Column:
+    return text.contains("-----") & text.rlike(PEM_KEY)
+
+
 def safe(text: Column) -> Column:
     """Text that holds a private key isn't shown."""
-    return F.when(text.rlike(PEM_KEY), REDACTED).otherwise(text)
+    return F.when(holds_key(text), REDACTED).otherwise(text)
+
+
+def where(condition: Column, hits: Column) -> Column:
+    return F.when(condition, hits).otherwise(no_hits())
 
 
 def taking(one, name: str, pattern: str):
@@ -143,15 +152,15 @@ def names(text: Column, one, aes: str = AES_DOCKER) -> Column:
     """one(match, name) for each algorithm that a text names, by priority and without overlaps. A fold over the patterns
     whose part the text holds keeps what is left of the text: each reads it once, and replaces in it only if it was found."""
     patterns = [aes if name == "AES" else pattern for pattern, name in NAMES]
-    places = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for kv in PART_PLACES.items() for x in kv])
-    every_place = F.array(*map(F.lit, range(len(NAMES))))  # for letters that only case folding takes for a part's
-    tried = F.sort_array(F.array_distinct(F.flatten(F.transform(every(text, NAME_PARTS, 1), lambda p: F.coalesce(F.try_element_at(places, F.upper(p)), every_place)))))
+    numbers = lambda xs: F.array(*map(F.lit, xs))
+    held = lambda up: F.array_sort(F.array_distinct(F.flatten(F.array(*[F.when(up.contains(part), numbers(i)).otherwise(numbers([]).cast("array<int>")) for part, i in PART_PLACES.items()]))))
+    tried = let(F.upper(text), held)
 
-    def at(i: Column, of) -> Column:
-        out = F.when(i == 0, of(0))
-        for k in range(1, len(NAMES)):
-            out = out.when(i == k, of(k))
-        return out
+    def at(i: Column, of, low: int = 0, high: int = len(NAMES)) -> Column:
+        if high - low == 1:
+            return of(low)
+        middle = (low + high) // 2
+        return F.when(i < middle, at(i, of, low, middle)).otherwise(at(i, of, middle, high))
 
     def step(s: Column, i: Column) -> Column:
         def taken(found: Column) -> Column:
@@ -197,11 +206,11 @@ def command_hits(flat: Column, **base) -> Column:
 
 def package_hits(flat: Column, **base) -> Column:
     """Known packages that a package manager installs, by manager."""
-    found = []
-    for pattern in INSTALLS:
+    found, up = [], F.upper(flat)
+    for word, pattern in zip(INSTALL_WORDS, INSTALLS, strict=True):
         tokens = F.filter(F.flatten(F.transform(every(flat, pattern, 1), lambda blob: F.split(strip(blob), r"\s+"))), lambda t: (t != "") & ~t.startswith("-"))
         keys = F.filter(F.transform(tokens, lambda t: F.lower(F.trim(F.substring_index(F.substring_index(t, "=", 1), ":", 1)))), lambda k: k.isin(list(PACKAGES)))
-        found.append(F.transform(keys, lambda k: hit(artifact_type="library", library=lookup(PACKAGE_NAMES, k), confidence=lookup(PACKAGE_CONFIDENCE, k), evidence_type="package_install", detection_method="pattern", **base)))
+        found.append(where(up.contains(word), F.transform(keys, lambda k: hit(artifact_type="library", library=lookup(PACKAGE_NAMES, k), confidence=lookup(PACKAGE_CONFIDENCE, k), evidence_type="package_install", detection_method="pattern", **base))))
     return F.when(flat.rlike(r"(?iu)install|add"), F.concat(*found)).otherwise(no_hits())
 
 
@@ -226,15 +235,16 @@ def variable_hits(flat: Column, rest: Column, **base) -> Column:
     name are not shown."""
     base = {"detection_method": "pattern"} | base
     shown = base.pop("code_snippet")
-    pairs = every(rest, ASSIGNMENT)
     first = F.regexp_extract(rest, r"^(\S+)", 1)
-    named = F.transform(pairs, lambda p: F.struct(F.regexp_extract(p, ASSIGNMENT, 1).alias("n"), F.regexp_extract(p, ASSIGNMENT, 2).alias("v")))
-    alone = F.array(F.struct(first.alias("n"), strip(F.substring(rest, F.length(first) + 1, F.length(rest))).alias("v")))
+    # what is read of a variable several times is computed once
+    variable = lambda n, v: F.struct(n.alias("n"), F.upper(n).alias("name"), F.regexp_replace(v, "^[\"']+|[\"']+$", "").alias("value"))
+    named = lambda pairs: F.transform(pairs, lambda p: variable(F.regexp_extract(p, ASSIGNMENT, 1), F.regexp_extract(p, ASSIGNMENT, 2)))
+    alone = F.array(variable(first, strip(F.substring(rest, F.length(first) + 1, F.length(rest)))))
 
     def of(p: Column) -> Column:
-        name, value = F.upper(p.n), F.regexp_replace(p.v, "^[\"']+|[\"']+$", "")
+        name, value = p["name"], p["value"]
         low = F.lower(value)
-        hidden = F.when(p.n.rlike(SECRET) & ~flat.rlike(PEM_KEY), F.concat(base["docker_instruction"], F.lit(" "), p.n, F.lit("=<redacted>"))).otherwise(shown)
+        hidden = F.when(p.n.rlike(SECRET) & ~holds_key(flat), F.concat(base["docker_instruction"], F.lit(" "), p.n, F.lit("=<redacted>"))).otherwise(shown)
         row = lambda kind, sure, why="env_config", snippet=shown, **more: hit(artifact_type=kind, confidence=sure, evidence_type=why, code_snippet=snippet, **more, **base)
         at = F.when(value.rlike(PROTOCOL), value).otherwise(flat)
         version = F.when(at.rlike(PROTOCOL), F.concat(F.upper(F.regexp_extract(at, PROTOCOL, 1)), F.lit("v"), F.regexp_extract(at, PROTOCOL, 2))).otherwise(F.nullif(value, F.lit("")))
@@ -248,9 +258,10 @@ def variable_hits(flat: Column, rest: Column, **base) -> Column:
             .otherwise(row("certificate_reference", 0.85))
         )
 
-    found = present(F.transform(F.when(F.size(pairs) > 0, named).when(rest == "", F.slice(alone, 1, 0)).otherwise(alone), of))
+    some = let(every(rest, ASSIGNMENT), lambda pairs: F.when(F.size(pairs) > 0, named(pairs)).when(rest == "", F.slice(alone, 1, 0)).otherwise(alone))
+    found = present(F.transform(some, of))
     key = hit(artifact_type="key_reference", confidence=0.99, evidence_type="embedded_private_key", code_snippet=REDACTED, **base)
-    return let(found, lambda f: F.when(flat.rlike(PEM_KEY) & ~F.exists(f, lambda h: h.evidence_type == "env_config"), F.concat(f, F.array(key))).otherwise(f))
+    return let(found, lambda f: F.when(holds_key(flat) & ~F.exists(f, lambda h: h.evidence_type == "env_config"), F.concat(f, F.array(key))).otherwise(f))
 
 
 def statements(text: Column) -> Column:
@@ -277,9 +288,13 @@ def docker_hits(text: Column, rank: int | None = None) -> Column:
 
     def of(s: Column) -> Column:
         def with_word(word: Column) -> Column:
+            return let(F.upper(s.flat), lambda up: let(up.contains("OPENSSL") & is_command(s.flat), lambda command: found(word, up, command)))
+
+        def found(word: Column, up: Column, command: Column) -> Column:
+            """up: the statement in capitals. No pattern is tried where words that it needs aren't in it."""
             flat, rest = s.flat, strip(F.regexp_replace(s.flat, r"^[A-Za-z]+\s*", ""))
             base = {"rank": rank, "line_number": s.at, "docker_instruction": word, "code_snippet": safe(flat), "source_type": "dockerfile"}
-            variable, command = word.isin("ENV", "ARG"), is_command(flat)
+            variable = word.isin("ENV", "ARG")
 
             def named(m: Column, name: str, pattern: str) -> Column:
                 size = found_in(m, pattern, 1) if "(" in pattern.removeprefix("(?iu)") else F.lit(None)
@@ -288,15 +303,15 @@ def docker_hits(text: Column, rank: int | None = None) -> Column:
                 return hit(artifact_type="algorithm", algorithm=label, key_size=size.try_cast("int") if name == "RSA" else None, evidence_type="algorithm_reference", detection_method="regex/pattern", confidence=0.75, **base)
 
             version = lambda m: hit(artifact_type="protocol", protocol=F.upper(F.regexp_extract(m, PROTOCOL, 1)), protocol_version=F.concat(F.upper(F.regexp_extract(m, PROTOCOL, 1)), F.lit("v"), F.regexp_extract(m, PROTOCOL, 2)), evidence_type="protocol_version", detection_method="pattern", confidence=0.9, **base)
-            ssh = F.when(flat.rlike(SSH), hit(artifact_type="protocol", protocol="SSH", evidence_type="ssh_evidence", detection_method="pattern", confidence=0.75, **base))
-            when = lambda condition, hits: F.when(condition, hits).otherwise(no_hits())
+            ssh = F.when((up.contains("SSH-") | flat.contains("_")) & flat.rlike(SSH), hit(artifact_type="protocol", protocol="SSH", evidence_type="ssh_evidence", detection_method="pattern", confidence=0.75, **base))
             return F.concat(
-                when(word == "RUN", package_hits(flat, **base)),
-                when(word.isin("RUN", "CMD", "ENTRYPOINT"), command_hits(flat, **base)),
-                when(~command, names(flat, named)),
-                when(~command & ~variable, F.concat(F.transform(every(flat, PROTOCOL), version), present(F.array(ssh)))),
-                when(word.isin("COPY", "ADD", "RUN"), file_hits(flat, **base)),
-                when(variable, variable_hits(flat, rest, **base)),
+                where(word == "RUN", package_hits(flat, **base)),
+                where(command & word.isin("RUN", "CMD", "ENTRYPOINT"), command_hits(flat, **base)),
+                where(~command, names(flat, named)),
+                where(~command & ~variable & (up.contains("TLS") | up.contains("SSL")), F.transform(every(flat, PROTOCOL), version)),
+                where(~command & ~variable, present(F.array(ssh))),
+                where(word.isin("COPY", "ADD", "RUN") & (flat.contains(".") | flat.contains("_")), file_hits(flat, **base)),
+                where(variable, let(rest, lambda after: variable_hits(flat, after, **base))),
             )
 
         return let(F.upper(F.regexp_extract(s.flat, r"^([A-Za-z]+)", 1)), lambda word: F.when(word.isin(TARGETS), with_word(word)).otherwise(no_hits()))
